@@ -17,6 +17,10 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # HTML rows are CPU-heavy per byte: keep AQE from merging them into a few
+    # big partitions after a shuffle.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 
 
@@ -65,3 +69,13 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     ``localCheckpoint`` is deliberately never used."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than the cluster has
+    cores (small inputs whose few row groups would otherwise run on a few
+    cores).  At scale a scan already has many splits and this is a no-op."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par * factor)
+    return df

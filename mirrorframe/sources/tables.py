@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -14,4 +16,4 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages(page_id, url, html)`` — the fetched-page corpus (S1 source)."""
-    return read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return spread(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
