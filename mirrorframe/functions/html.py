@@ -63,22 +63,31 @@ def _unquote(raw: Column) -> Column:
     return F.regexp_replace(raw, r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2")
 
 
+def start_tag(tok) -> Column:
+    """The start tag of a token; for a whole ``<script>``/``<style>`` element
+    token only its opening tag (the body is never read as attributes)."""
+    t = _c(tok)
+    return F.when(t.rlike(r"(?i)^<(?:script|style)\b"),
+                  F.regexp_extract(t, r"(?is)^<(?:script|style)\b[^>]*+>", 0)).otherwise(t)
+
+
 def attributes(tok) -> Column:
     """array<struct<name, raw, value>> of a start tag, in source order.
     ``raw`` keeps the quotes as written; ``value`` is unquoted and unescaped."""
+    def pairs(nr):
+        return F.transform(nr["names"], lambda n, i: let(F.try_element_at(nr["raws"], i + 1), lambda raw: F.struct(
+            n.alias("name"), raw.alias("raw"), unescape(_unquote(raw)).alias("value"))))
+
     def build(body):
-        names = F.regexp_extract_all(body, F.lit(_ATTR), 1)
-        raws = F.regexp_extract_all(body, F.lit(_ATTR), 2)
-        return F.transform(names, lambda n, i: F.struct(
-            n.alias("name"), F.element_at(raws, i + 1).alias("raw"),
-            unescape(_unquote(F.element_at(raws, i + 1))).alias("value")))
-    return let(F.regexp_extract(_c(tok), _TAG_BODY, 1), build)
+        return let(F.struct(F.regexp_extract_all(body, F.lit(_ATTR), 1).alias("names"),
+                            F.regexp_extract_all(body, F.lit(_ATTR), 2).alias("raws")), pairs)
+    return let(F.regexp_extract(start_tag(tok), _TAG_BODY, 1), build)
 
 
 def attr_of(attrs: Column, name: str) -> Column:
     """Value of the first attribute called ``name`` (case-insensitive), else NULL."""
     hit = F.filter(attrs, lambda a: F.lower(a["name"]) == name)
-    return F.when(F.size(hit) > 0, F.element_at(hit, 1)["value"])
+    return F.when(F.size(hit) > 0, F.try_element_at(hit, F.lit(1))["value"])
 
 
 def attr_value(tok, name: str) -> Column:
@@ -144,5 +153,5 @@ def srcset_entries(value) -> Column:
     parts = F.split(_c(value), ",", -1)
     return F.transform(parts, lambda p, i: let(split_ws(p), lambda t: F.struct(
         i.alias("idx"), t.alias("tokens"),
-        F.when((F.size(t) > 0) & ~F.element_at(t, 1).startswith("data:"), F.element_at(t, 1))
+        F.when((F.size(t) > 0) & ~F.try_element_at(t, F.lit(1)).startswith("data:"), F.try_element_at(t, F.lit(1)))
         .alias("url"))))

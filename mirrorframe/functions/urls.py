@@ -116,7 +116,7 @@ def _remove_dot_segments(segments: Column) -> Column:
                               .otherwise(acc))
         .when(s == ".", acc)
         .otherwise(F.concat(acc, F.array(s))))
-    last = F.element_at(segments, -1)
+    last = F.try_element_at(segments, F.lit(-1))
     return F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
 
 
@@ -134,7 +134,7 @@ def resolve_url(base, ref) -> Column:
         inherit = url_unparse(scheme, netloc, b["path"], b["params"],
                               F.when(r["query"] != "", r["query"]).otherwise(b["query"]), r["fragment"])
         base_parts = F.split(b["path"], "/", -1)
-        base_dir = F.when(F.element_at(base_parts, -1) != "",
+        base_dir = F.when(F.try_element_at(base_parts, F.lit(-1)) != "",
                           F.slice(base_parts, 1, F.size(base_parts) - 1)).otherwise(base_parts)
         rel_segs = F.split(r["path"], "/", -1)
 
@@ -213,7 +213,7 @@ def mime_ext(content_type) -> Column:
     """MIME (before ';', trimmed, lower-cased) -> extension, default '.html'."""
     mime = F.lower(F.trim(F.split(_c(content_type), ";", 2)[0]))
     m = F.create_map(*[x for kv in CONTENT_TYPE_EXT.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    return F.coalesce(F.element_at(m, mime), F.lit(".html"))
+    return F.coalesce(F.try_element_at(m, mime), F.lit(".html"))
 
 
 def local_path(url, content_type=None) -> Column:

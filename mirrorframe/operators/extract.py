@@ -88,7 +88,7 @@ def _asset_rows(tok: Column, ti: Column) -> Column:
                                                | F.array_contains(rel, "shortcut icon")),
                       F.lit("image/x-icon"))
                 .otherwise(F.lit(None).cast("string")))
-        tag_rank = F.element_at(H.asset_tag_rank_map(), a["name"])
+        tag_rank = F.try_element_at(H.asset_tag_rank_map(), a["name"])
 
         def per_attr(attr, ai):
             def with_value(v):
@@ -110,7 +110,7 @@ def _asset_rows(tok: Column, ti: Column) -> Column:
                         .otherwise(single))
             return let(H.attr_of(a["attrs"], attr), with_value)
 
-        attrs_for_tag = F.element_at(H.asset_attr_map(), a["name"])
+        attrs_for_tag = F.try_element_at(H.asset_attr_map(), a["name"])
         return F.flatten(F.transform(attrs_for_tag, per_attr))
 
     return let(F.struct(H.tag_name(tok).alias("name"), H.attributes(tok).alias("attrs")), per_tag)
@@ -150,7 +150,7 @@ def extract_meta_refresh(pages: DataFrame, base_col: str = "url", keep: list[str
     keep = list(keep or [])
     metas = F.filter(_tokens(pages), lambda t: H.is_start_tag(t, ["meta"])
                      & (F.lower(H.attr_value(t, "http-equiv")) == "refresh"))
-    content = H.attr_value(F.element_at(metas, 1), "content")
+    content = H.attr_value(F.try_element_at(metas, F.lit(1)), "content")
     target = F.regexp_extract(content, r"""(?i)url\s*=\s*["']?([^"'\s>]+)""", 1)
     out = (pages.select(*keep, "page_id", F.col(base_col).alias("_base"), target.alias("_t"))
            .where(F.col("_t").isNotNull() & (F.col("_t") != "")))

@@ -89,3 +89,151 @@ WHERE NOT (ext IN (""" + KNOWN_SQL + r""") AND ext NOT IN (""" + PAGE_SQL + r"""
 GROUP BY host, norm_url, local_path""")
 def frontier_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier_by_host_df(read_pages(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Scalar URL functions over every page URL
+# ---------------------------------------------------------------------------
+
+@register("url_table", r"""
+WITH u AS (
+  SELECT page_id, url,
+         lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS scheme,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1) AS netloc,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query,
+         regexp_extract(url, '#(.*)$', 1) AS fragment
+  FROM pages),
+v AS (
+  SELECT *, coalesce(nullif(rtrim(path, '/'), ''), '/') AS npath FROM u),
+w AS (
+  SELECT *, scheme || '://' || netloc || npath || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS norm_url,
+         CASE WHEN npath = '/' THEN 'index.html' ELSE ltrim(npath, '/') END AS lp0,
+         lower(regexp_extract(regexp_extract(lower(path), '([^/]*)$', 1), '^\.*[^.].*(\.[^.]*)$', 1)) AS pext
+  FROM v)
+SELECT page_id, url, scheme, netloc, path, query, fragment, norm_url,
+       CASE WHEN lower(regexp_extract(regexp_extract(lp0, '([^/]*)$', 1), '^\.*[^.].*(\.[^.]*)$', 1))
+                 IN (""" + KNOWN_SQL + r""") THEN lp0 ELSE lp0 || '.html' END AS local_path,
+       (path IN ('', '/') OR pext NOT IN (""" + KNOWN_SQL + r""") OR pext IN (""" + PAGE_SQL + r""")) AS is_html,
+       scheme IN ('http', 'https') AS valid_scheme
+FROM w""")
+def url_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read_pages(spark, sf_dir).select("page_id", "url")
+    parts = p.withColumn("p", U.url_parts("url"))
+    return parts.select(
+        "page_id", "url", "p.scheme", "p.netloc", "p.path", "p.query", "p.fragment",
+        U.normalize_url("url").alias("norm_url"),
+        U.file_path(U.normalize_url("url")).alias("local_path"),
+        U.is_html_link("url").alias("is_html"),
+        U.valid_scheme("url").alias("valid_scheme"))
+
+
+# ---------------------------------------------------------------------------
+# H2 links per page
+# ---------------------------------------------------------------------------
+
+@register("page_links", "WITH " + PAGES_NORM_SQL + r""",
+t AS (SELECT page_id, scheme, netloc, regexp_extract_all(html, '<a\s[^>]*>', 0) AS tags FROM pc),
+e AS (SELECT page_id, scheme, netloc, unnest(range(len(tags))) AS pos, unnest(tags) AS tag FROM t),
+h AS (SELECT page_id, pos, scheme, netloc, regexp_extract(tag, 'href="([^"]*)"', 1) AS href FROM e),
+r AS (SELECT page_id, pos, href, scheme || '://' || netloc || href AS abs_url,
+             lower(regexp_extract(substr(href, 2), '^\.*[^.].*(\.[^.]*)$', 1)) AS ext
+      FROM h WHERE href LIKE '/%')
+SELECT page_id, pos, href, abs_url, abs_url AS norm_url FROM r
+WHERE NOT (ext IN (""" + KNOWN_SQL + r""") AND ext NOT IN (""" + PAGE_SQL + r"""))""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.corpus(read_pages(spark, sf_dir))
+    return X.extract_links(X.with_tokens(c), base_col="norm_url").select(
+        "page_id", "pos", "href", "abs_url", "norm_url")
+
+
+# ---------------------------------------------------------------------------
+# H3-H6 assets, H7 meta refresh, H8/H10/H11 CSS references, H12 CSS rewrite
+# ---------------------------------------------------------------------------
+
+_ORIGIN_SQL = r"""
+o AS (SELECT page_id, url, html,
+             lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) || '://' ||
+             regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1) AS origin,
+             regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1),
+                            '^(.*/)', 1) AS dir
+      FROM pages)"""
+
+
+def _markup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import derived
+    return derived.asset_markup(read_pages(spark, sf_dir))
+
+
+@register("page_assets", "WITH " + _ORIGIN_SQL + r"""
+SELECT page_id, 'img' AS tag, 'src' AS attr, -1 AS srcset_idx, origin || '/img/' || (page_id % 7) || '.png' AS abs_url,
+       NULL AS content_type, 'img/' || (page_id % 7) || '.png' AS local_path, false AS is_stylesheet FROM o
+UNION ALL
+SELECT page_id, 'img', 'srcset', 0, origin || '/s/' || page_id || '.jpg', NULL, 's/' || page_id || '.jpg', false FROM o
+UNION ALL
+SELECT page_id, 'img', 'srcset', 1, origin || '/l/' || page_id || '.jpg', NULL, 'l/' || page_id || '.jpg', false FROM o
+UNION ALL
+SELECT page_id, 'link', 'href', -1, origin || '/css/' || (page_id % 3) || '.css', 'text/css',
+       'css/' || (page_id % 3) || '.css', true FROM o
+UNION ALL
+SELECT page_id, 'script', 'src', -1, origin || '/js/' || (page_id % 5), 'application/javascript',
+       'js/' || (page_id % 5) || '.js', false FROM o""")
+def page_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = X.extract_assets(X.with_tokens(_markup_pages(spark, sf_dir)))
+    return a.select("page_id", "tag", "attr", "srcset_idx", "abs_url", "content_type", "local_path",
+                    "is_stylesheet")
+
+
+@register("meta_refresh", "WITH " + _ORIGIN_SQL + r"""
+SELECT page_id, -1 AS pos, origin || '/news/' || page_id AS abs_url, origin || '/news/' || page_id AS norm_url
+FROM o WHERE page_id % 10 = 0""")
+def meta_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.extract_meta_refresh(X.with_tokens(_markup_pages(spark, sf_dir)))
+
+
+@register("css_refs", "WITH " + _ORIGIN_SQL + r""",
+b AS (SELECT *, len(regexp_extract_all(html, '<style', 0)) AS pos FROM o)
+SELECT page_id, pos, 'url' AS kind, 0 AS ref_pos, origin || '/bg/' || (page_id % 4) || '.png' AS abs_url,
+       'bg/' || (page_id % 4) || '.png' AS local_path FROM b
+UNION ALL
+SELECT page_id, pos, 'import', 0, origin || dir || 'x' || (page_id % 2) || '.css',
+       ltrim(dir, '/') || 'x' || (page_id % 2) || '.css' FROM b""")
+def css_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    styles = X.extract_style_blocks(X.with_tokens(_markup_pages(spark, sf_dir)), keep=["url"])
+    return X.extract_css_refs(styles, base_col="url", keep=["page_id", "pos"]).select(
+        "page_id", "pos", "kind", "ref_pos", "abs_url", "local_path")
+
+
+_CSS_OUT_SQL = r"""'body{background:url("bg/' || (page_id % 4) || '.png")} @import "' || ltrim(dir, '/') || 'x'
+       || (page_id % 2) || '.css"; i{background:url(data:x)}'"""
+
+
+@register("css_rewrite", "WITH " + _ORIGIN_SQL + r""",
+b AS (SELECT *, regexp_extract_all(html, '<style>([^<]*)</style>', 1) AS blocks FROM o)
+SELECT page_id, unnest(range(len(blocks))) AS pos, unnest(blocks) AS css FROM b
+UNION ALL
+SELECT page_id, len(blocks) AS pos, """ + _CSS_OUT_SQL + r""" AS css FROM b""")
+def css_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import css as C
+    styles = X.extract_style_blocks(X.with_tokens(_markup_pages(spark, sf_dir)), keep=["url"])
+    return styles.select("page_id", "pos", C.rewrite_css("css", "url").alias("css"))
+
+
+# ---------------------------------------------------------------------------
+# H13-H16 + J5 + H9: page rewrite for offline viewing
+# ---------------------------------------------------------------------------
+
+@register("page_rewrite", "WITH " + _ORIGIN_SQL + r"""
+SELECT page_id,
+       regexp_replace(html, '<a href="/([^"]*)">', '<a href="\1.html">', 'g')
+       || CASE WHEN page_id % 10 = 0 THEN '<meta http-equiv="Refresh" content="0; url=/news/' || page_id || '">'
+               ELSE '' END
+       || '<img src="img/' || (page_id % 7) || '.png" srcset="s/' || page_id || '.jpg 1x, l/' || page_id
+       || '.jpg 2x"><link rel="stylesheet" href="css/' || (page_id % 3) || '.css"><script src="/js/'
+       || (page_id % 5) || '"></script><style>' || """ + _CSS_OUT_SQL + r""" || '</style>' AS html
+FROM o""")
+def page_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import derived
+    from ..operators.rewrite import rewrite_pages
+    pages = read_pages(spark, sf_dir)
+    return rewrite_pages(derived.asset_markup(pages), fetched=derived.asset_responses(pages))
