@@ -237,3 +237,93 @@ def page_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.rewrite import rewrite_pages
     pages = read_pages(spark, sf_dir)
     return rewrite_pages(derived.asset_markup(pages), fetched=derived.asset_responses(pages))
+
+
+# ---------------------------------------------------------------------------
+# S5 robots parsing, J3/P3 robots test
+# ---------------------------------------------------------------------------
+
+_ROBOTS_HOSTS_SQL = r"""
+hs AS (SELECT DISTINCT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1) AS host FROM pages),
+hr AS (SELECT host, CASE WHEN host LIKE 'blog.%' THEN 403 WHEN host LIKE 'm.%' THEN 404
+                         WHEN host LIKE 'www.%' THEN 503 ELSE 200 END AS status,
+              substr(host, 1, 1) AS f FROM hs)"""
+
+
+@register("robots_rules", "WITH " + _ROBOTS_HOSTS_SQL + r"""
+SELECT host, 5 AS line_no, true AS allow, '/' || f || 'x' AS prefix FROM hr WHERE status = 200
+UNION ALL SELECT host, 6, false, '/' || f FROM hr WHERE status = 200
+UNION ALL SELECT host, 7, false, '/a' FROM hr WHERE status = 200
+UNION ALL SELECT host, -1, false, '' FROM hr WHERE status IN (403, 503)""")
+def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import derived
+    from ..operators.robots import parse_robots
+    return parse_robots(derived.host_robots(read_pages(spark, sf_dir)))
+
+
+@register("robots_allowed", "WITH " + PAGES_NORM_SQL + "," + _ROBOTS_HOSTS_SQL + r""",
+t AS (SELECT page_id, scheme, netloc, regexp_extract_all(html, '<a\s[^>]*>', 0) AS tags FROM pc),
+e AS (SELECT page_id, scheme, netloc, unnest(range(len(tags))) AS pos, unnest(tags) AS tag FROM t),
+h AS (SELECT page_id, pos, scheme, netloc, regexp_extract(tag, 'href="([^"]*)"', 1) AS href FROM e),
+r AS (SELECT page_id, pos, netloc, href, scheme || '://' || netloc || href AS norm_url,
+             lower(regexp_extract(substr(href, 2), '^\.*[^.].*(\.[^.]*)$', 1)) AS ext
+      FROM h WHERE href LIKE '/%')
+SELECT page_id, pos, norm_url,
+       CASE WHEN hr.status IN (403, 503) THEN false
+            WHEN hr.status = 404 THEN true
+            WHEN starts_with(href, '/' || f || 'x') THEN true
+            WHEN starts_with(href, '/' || f) OR starts_with(href, '/a') THEN false
+            ELSE true END AS robots_allowed
+FROM r JOIN hr ON hr.host = r.netloc
+WHERE NOT (ext IN (""" + KNOWN_SQL + r""") AND ext NOT IN (""" + PAGE_SQL + r"""))""")
+def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import derived
+    from ..operators.robots import parse_robots, robots_filter
+    pages = read_pages(spark, sf_dir)
+    links = X.extract_links(X.with_tokens(X.corpus(pages)), base_col="norm_url")
+    rules = parse_robots(derived.host_robots(pages))
+    return robots_filter(links, rules).select("page_id", "pos", "norm_url", "robots_allowed")
+
+
+# ---------------------------------------------------------------------------
+# I1 crawl (J1, J2, A1, X1, W1, L1, P3) over a link-graph site
+# ---------------------------------------------------------------------------
+
+CRAWL_MAX_PAGES = 100
+
+
+@register("crawl_site", r"""
+WITH RECURSIVE r(id, lvl) AS (
+  SELECT page_id, 0 FROM pages WHERE page_id = 0
+  UNION ALL
+  SELECT c.page_id, r.lvl + 1 FROM r JOIN pages c ON c.page_id = 2 * r.id + 1 OR c.page_id = 2 * r.id + 2
+  WHERE NOT starts_with(CAST(c.page_id AS VARCHAR), '7'))
+SELECT * FROM (
+  SELECT 'https://site.example.com/p/' || id AS norm_url, id AS page_id, lvl AS level,
+         row_number() OVER (ORDER BY id) AS crawl_rank
+  FROM r) WHERE crawl_rank <= """ + str(CRAWL_MAX_PAGES))
+def crawl_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import derived
+    from .crawl import crawl
+    from ..config import CrawlConfig
+    from ..operators.robots import parse_robots
+    site = derived.link_graph_site(read_pages(spark, sf_dir))
+    seeds = spark.createDataFrame([("site", derived.SITE + "/p/0")], "crawl_id string, url string")
+    robots = parse_robots(spark.createDataFrame([derived.site_robots()], "host string, status int, body string"))
+    out = crawl(site, seeds, CrawlConfig(max_pages=CRAWL_MAX_PAGES), robots=robots)
+    return out.select("norm_url", "page_id", "level", "crawl_rank")
+
+
+# ---------------------------------------------------------------------------
+# S4/I2/L2 sitemap expansion
+# ---------------------------------------------------------------------------
+
+@register("sitemap_urls", "WITH " + _ORIGIN_SQL + r"""
+SELECT CAST(page_id AS VARCHAR) AS crawl_id, url AS loc, '0.0' AS ord_key FROM o
+UNION ALL SELECT CAST(page_id AS VARCHAR), origin || '/x/' || page_id, '1.0' FROM o WHERE page_id % 2 = 0
+UNION ALL SELECT CAST(page_id AS VARCHAR), origin || '/y/' || page_id, '1.1' FROM o WHERE page_id % 2 = 0""")
+def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import derived
+    from .crawl import expand_sitemaps
+    roots, docs = derived.sitemap_docs(read_pages(spark, sf_dir))
+    return expand_sitemaps(roots, docs).select("crawl_id", "loc", F.array_join("ord", ".").alias("ord_key"))

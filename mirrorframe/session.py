@@ -66,9 +66,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss);
-    ``localCheckpoint`` is deliberately never used."""
+    ``localCheckpoint`` is deliberately never used.  The input is persisted
+    for the duration so the checkpoint write does not recompute it."""
+    from pyspark import StorageLevel
+
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=eager)
+    if eager:
+        df.unpersist()
+    return out
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
