@@ -327,3 +327,147 @@ def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .crawl import expand_sitemaps
     roots, docs = derived.sitemap_docs(read_pages(spark, sf_dir))
     return expand_sitemaps(roots, docs).select("crawl_id", "loc", F.array_join("ord", ".").alias("ord_key"))
+
+
+# ---------------------------------------------------------------------------
+# S2/S3/U12 response outcomes, W6 retry plan
+# ---------------------------------------------------------------------------
+
+_RESP_SQL = r"""
+r AS (
+  SELECT event_id, 'https://api.example.com/u/' || user_id AS url, user_id, value, ts,
+         CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 429 ELSE 500 END
+              WHEN event_type = 'view' THEN 200 WHEN event_type = 'click' THEN 304 ELSE 404 END AS status,
+         CASE WHEN event_type = 'view' THEN 'text/html; charset=utf-8'
+              WHEN event_type = 'purchase' THEN 'application/json' ELSE 'text/plain' END AS ct,
+         CASE WHEN event_type = 'view' THEN floor(value * 1000) ELSE 0 END AS size,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt
+  FROM events),
+o AS (
+  SELECT *,
+         CASE WHEN status = 429 THEN 'retry_429' WHEN status >= 400 THEN 'error'
+              WHEN ct LIKE '%text/html%' OR ct LIKE '%text/plain%' THEN 'page' ELSE 'not_page' END AS page_outcome,
+         CASE WHEN status = 429 THEN 'retry_429' WHEN status = 304 THEN 'unchanged' WHEN status >= 400 THEN 'error'
+              WHEN size > 52428800 THEN 'too_large' WHEN size <= 0 THEN 'empty' ELSE 'accept' END AS asset_outcome,
+         CASE WHEN status = 429 THEN
+                   CASE WHEN event_id % 4 = 0 THEN floor(value)
+                        ELSE greatest(0, floor(value) - (epoch_us(ts) % 1000000) / 1e6) END
+              ELSE pow(2, attempt - 1) END AS wait_s
+  FROM r)"""
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import derived
+    from ..operators.policy import number_attempts
+    from ..sources.tables import read_table
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return number_attempts(derived.event_responses(ev))
+
+
+@register("response_outcomes", "WITH " + _RESP_SQL + r"""
+SELECT event_id, url, status, attempt, page_outcome, asset_outcome, round(wait_s, 3) AS wait_s FROM o""")
+def response_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import policy as P
+    r = _responses(spark, sf_dir)
+    return r.select(
+        "event_id", "url", "status", "attempt",
+        P.classify_page("status", "content_type").alias("page_outcome"),
+        P.classify_asset("status", "size").alias("asset_outcome"),
+        F.round(P.retry_wait("status", "retry_after", "attempt", "ts"), 3).alias("wait_s"))
+
+
+@register("retry_plan", "WITH " + _RESP_SQL + r""",
+l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY url ORDER BY attempt DESC) = 1)
+SELECT url, attempt, status, page_outcome AS outcome,
+       CASE WHEN page_outcome NOT IN ('retry_429', 'error') THEN 'done'
+            WHEN attempt >= 3 THEN 'fail' ELSE 'retry' END AS action,
+       CASE WHEN page_outcome IN ('retry_429', 'error') AND attempt < 3
+            THEN round(epoch_us(ts) / 1e6 + wait_s, 3) END AS next_at_s
+FROM l""")
+def retry_plan_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.policy import retry_plan
+    p = retry_plan(_responses(spark, sf_dir), kind="page")
+    return p.select("url", "attempt", "status", "outcome", "action",
+                    F.round(F.unix_micros("next_at") / 1e6, 3).alias("next_at_s"))
+
+
+# ---------------------------------------------------------------------------
+# W2/P6 byte budget over lineitem (crawl = supplier, order = line, size = qty)
+# ---------------------------------------------------------------------------
+
+BUDGET_MAX_ASSET = 45.0
+BUDGET_MAX_TOTAL = 1000.0
+
+
+@register("byte_budget", r"""
+WITH RECURSIVE li AS (
+  SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity AS size,
+         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn
+  FROM lineitem),
+walk(l_suppkey, rn, rem, admitted) AS (
+  SELECT l_suppkey, rn,
+         CASE WHEN size <= 45 AND size <= 1000 THEN 1000 - size ELSE 1000 END,
+         size <= 45 AND size <= 1000
+  FROM li WHERE rn = 1
+  UNION ALL
+  SELECT li.l_suppkey, li.rn,
+         CASE WHEN li.size <= 45 AND li.size <= w.rem THEN w.rem - li.size ELSE w.rem END,
+         li.size <= 45 AND li.size <= w.rem
+  FROM walk w JOIN li ON li.l_suppkey = w.l_suppkey AND li.rn = w.rn + 1)
+SELECT li.l_suppkey, li.l_orderkey, li.l_linenumber, li.l_partkey, walk.admitted
+FROM walk JOIN li USING (l_suppkey, rn)""")
+def byte_budget_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.policy import byte_budget
+    from ..sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey",
+                                                      "l_quantity")
+    # item order must be total: (order, line, part) is unique per supplier
+    out = byte_budget(li, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"], "l_quantity",
+                      max_asset=BUDGET_MAX_ASSET, max_total=BUDGET_MAX_TOTAL)
+    return out.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "admitted")
+
+
+# ---------------------------------------------------------------------------
+# W3 per-host politeness schedule of the discovered links
+# ---------------------------------------------------------------------------
+
+@register("host_schedule", "WITH " + PAGES_NORM_SQL + r""",
+t AS (SELECT page_id, netloc, regexp_extract_all(html, '<a\s[^>]*>', 0) AS tags FROM pc),
+e AS (SELECT page_id, netloc, unnest(range(len(tags))) AS pos, unnest(tags) AS tag FROM t),
+h AS (SELECT page_id, pos, netloc, regexp_extract(tag, 'href="([^"]*)"', 1) AS href,
+             lower(regexp_extract(substr(regexp_extract(tag, 'href="([^"]*)"', 1), 2), '^\.*[^.].*(\.[^.]*)$', 1)) AS ext
+      FROM e),
+k AS (SELECT page_id, pos, netloc AS host FROM h
+      WHERE href LIKE '/%' AND NOT (ext IN (""" + KNOWN_SQL + r""") AND ext NOT IN (""" + PAGE_SQL + r""")))
+SELECT page_id, pos, host, n, greatest(0.0, (n + 1 - 20) / 10.0) AS start_at
+FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id, pos) - 1 AS n FROM k)""")
+def host_schedule_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.policy import host_schedule
+    links = X.extract_links(X.with_tokens(X.corpus(read_pages(spark, sf_dir))), base_col="norm_url")
+    req = links.select("page_id", "pos", U.authority("abs_url").alias("host"))
+    return host_schedule(req, ["page_id", "pos"]).select("page_id", "pos", "host", "n", "start_at")
+
+
+# ---------------------------------------------------------------------------
+# U9/J4/P4 private addresses
+# ---------------------------------------------------------------------------
+
+@register("private_hosts", r"""
+SELECT event_id,
+       CASE event_id % 4 WHEN 0 THEN 'http://10.0.' || (event_id % 256) || '.1/'
+                         WHEN 1 THEN 'http://8.8.' || (event_id % 256) || '.8/'
+                         WHEN 2 THEN 'http://172.' || (event_id % 32 + 16) || '.0.1:8080/x'
+                         ELSE 'https://Name' || event_id || '.example.com/p' END AS url,
+       CASE event_id % 4 WHEN 0 THEN '10.0.' || (event_id % 256) || '.1'
+                         WHEN 1 THEN '8.8.' || (event_id % 256) || '.8'
+                         WHEN 2 THEN '172.' || (event_id % 32 + 16) || '.0.1'
+                         ELSE 'name' || event_id || '.example.com' END AS host,
+       CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN event_id % 32 < 16
+                         ELSE event_id % 3 <> 0 AND event_id % 2 = 0 END AS is_private
+FROM events""")
+def private_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import derived
+    from ..operators.policy import block_private
+    from ..sources.tables import read_table
+    urls, dns = derived.host_mix(read_table(spark, sf_dir, "events").select("event_id"))
+    return block_private(urls, "url", dns).select("event_id", "url", "host", "is_private")

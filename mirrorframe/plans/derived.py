@@ -135,3 +135,20 @@ def event_responses(events: DataFrame) -> DataFrame:
         "event_id", F.concat(F.lit("https://api.example.com/u/"), _s("user_id")).alias("url"),
         status.alias("status"), ctype.alias("content_type"), retry_after.alias("retry_after"),
         body_len.alias("size"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def host_mix(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """URLs with literal private/public IPv4 hosts, a host with a port and
+    named hosts, plus a ``dns(host, ip)`` table for part of the names."""
+    eid = F.col("event_id")
+    k = eid % 4
+    url = (F.when(k == 0, F.concat(F.lit("http://10.0."), (eid % 256).cast("string"), F.lit(".1/")))
+           .when(k == 1, F.concat(F.lit("http://8.8."), (eid % 256).cast("string"), F.lit(".8/")))
+           .when(k == 2, F.concat(F.lit("http://172."), (eid % 32 + 16).cast("string"), F.lit(".0.1:8080/x")))
+           .otherwise(F.concat(F.lit("https://Name"), _s("event_id"), F.lit(".example.com/p"))))
+    urls = events.select("event_id", url.alias("url"))
+    dns = (events.where((eid % 4 == 3) & (eid % 3 != 0))
+           .select(F.concat(F.lit("name"), _s("event_id"), F.lit(".example.com")).alias("host"),
+                   F.when(eid % 2 == 0, F.concat(F.lit("192.168.1."), (eid % 256).cast("string")))
+                   .otherwise(F.lit("93.184.216.34")).alias("ip")))
+    return urls, dns
