@@ -471,3 +471,110 @@ def private_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import read_table
     urls, dns = derived.host_mix(read_table(spark, sf_dir, "events").select("event_id"))
     return block_private(urls, "url", dns).select("event_id", "url", "host", "is_private")
+
+
+# ---------------------------------------------------------------------------
+# T1/W4/U13 job status (batch and streaming), T2 live jobs
+# ---------------------------------------------------------------------------
+
+_JOBS_SQL = r"""
+WITH e AS (SELECT *, CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS job_id,
+                  event_type IN ('view', 'click', 'signup') AS prog FROM events),
+a AS (SELECT job_id,
+             CAST(count(*) FILTER (WHERE prog) AS INTEGER) AS pages_cloned,
+             arg_max('https://site.example.com/p/' || event_id, (ts, event_id)) FILTER (WHERE prog) AS cu,
+             arg_max(CASE WHEN event_type = 'error' THEN 'error' ELSE 'done' END, (ts, event_id))
+                 FILTER (WHERE NOT prog) AS st,
+             arg_max('HTTP error ' || event_id, (ts, event_id)) FILTER (WHERE event_type = 'error') AS err,
+             arg_max('cloned_sites/' || job_id, (ts, event_id)) FILTER (WHERE event_type = 'purchase') AS od
+      FROM e GROUP BY job_id)
+SELECT job_id, coalesce(st, 'running') AS status, pages_cloned, 100 AS max_pages,
+       coalesce(cu, '') AS current_url, coalesce(od, '') AS output_dir, err AS error,
+       CASE WHEN coalesce(st, 'running') = 'done' THEN 100
+            ELSE CAST(floor(pages_cloned / 100 * 100 + 0.5) AS INTEGER) END AS progress
+FROM a"""
+
+_JOB_COLS = ["job_id", "status", "pages_cloned", "max_pages", "current_url", "output_dir", "error", "progress"]
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.tables import read_table
+    return read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+
+
+@register("job_status", _JOBS_SQL)
+def job_status_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.jobs import job_patches_from_events, job_status
+    return job_status(job_patches_from_events(_events(spark, sf_dir))).select(*_JOB_COLS)
+
+
+@register("job_status_stream", _JOBS_SQL)
+def job_status_stream_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.live import finish_job_rows, job_status_stream, read_table_stream, run_available
+    stream = read_table_stream(spark, sf_dir, "events")
+    table = run_available(job_status_stream(stream), "jobs", mode="complete")
+    return finish_job_rows(table).select(*_JOB_COLS)
+
+
+JOBS_NOW = "2024-01-15 12:00:00"
+JOBS_TTL = 86400
+
+
+@register("live_jobs", r"""
+SELECT CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS job_id,
+       round(epoch_us(min(ts)) / 1e6, 3) AS created_s
+FROM events GROUP BY 1
+HAVING min(ts) >= TIMESTAMP '""" + JOBS_NOW + r"""' - INTERVAL """ + f"'{JOBS_TTL} seconds'")
+def live_jobs_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.jobs import job_patches_from_events, job_status, live_jobs
+    jobs = job_status(job_patches_from_events(_events(spark, sf_dir)))
+    return live_jobs(jobs, JOBS_NOW, JOBS_TTL).select(
+        "job_id", F.round(F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6, 3).alias("created_s"))
+
+
+# ---------------------------------------------------------------------------
+# R1/J6 re-crawl change classes
+# ---------------------------------------------------------------------------
+
+@register("recrawl_diff", r"""
+SELECT 'doc://' || doc_id AS url,
+       CASE WHEN doc_id % 10 = 0 THEN 'gone' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS change
+FROM documents
+UNION ALL
+SELECT 'doc://' || (doc_id + 100000000), 'new' FROM documents WHERE doc_id % 10 = 5""")
+def recrawl_diff_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import derived
+    from ..operators.snapshot import recrawl_diff
+    from ..sources.tables import read_table
+    old, new = derived.document_snapshots(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return recrawl_diff(old, new)
+
+
+# ---------------------------------------------------------------------------
+# T3 streaming frontier, T4 token bucket stream
+# ---------------------------------------------------------------------------
+
+@register("stream_frontier", "WITH " + PAGES_NORM_SQL + r""",
+t AS (SELECT scheme, netloc, unnest(regexp_extract_all(html, '<a\s[^>]*>', 0)) AS tag FROM pn),
+h AS (SELECT scheme, netloc, regexp_extract(tag, 'href="([^"]*)"', 1) AS href FROM t),
+r AS (SELECT scheme || '://' || netloc || href AS norm_url, netloc AS host,
+             lower(regexp_extract(substr(href, 2), '^\.*[^.].*(\.[^.]*)$', 1)) AS ext
+      FROM h WHERE href LIKE '/%')
+SELECT DISTINCT norm_url, host FROM r
+WHERE NOT (ext IN (""" + KNOWN_SQL + r""") AND ext NOT IN (""" + PAGE_SQL + r"""))""")
+def stream_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.live import read_table_stream, run_available, streaming_frontier
+    stream = read_table_stream(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return run_available(streaming_frontier(stream), "frontier", mode="append")
+
+
+@register("token_bucket_stream")
+def token_bucket_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-host token bucket over request arrivals (events: host = user_id % 5,
+    arrival = ts).  A sequential recurrence: no SQL oracle; tested against a
+    brute-force simulation in tests/test_streaming.py."""
+    from ..streaming.live import read_table_stream, run_available, token_bucket
+    ev = read_table_stream(spark, sf_dir, "events")
+    req = ev.select("event_id", F.concat(F.lit("h"), (F.col("user_id") % 5).cast("string")).alias("host"),
+                    (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("arrival"))
+    return run_available(token_bucket(req), "bucket", mode="append")

@@ -152,3 +152,26 @@ def host_mix(events: DataFrame) -> tuple[DataFrame, DataFrame]:
                    F.when(eid % 2 == 0, F.concat(F.lit("192.168.1."), (eid % 256).cast("string")))
                    .otherwise(F.lit("93.184.216.34")).alias("ip")))
     return urls, dns
+
+
+def document_snapshots(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two crawls of the documents as ``snapshot(url, etag, last_modified,
+    md5)``: the second misses every tenth document, edits every seventh and
+    adds new ones; a third of the URLs carry an ETag, a third Last-Modified,
+    the rest only a content hash."""
+    did = F.col("doc_id")
+    url = F.concat(F.lit("doc://"), _s("doc_id"))
+
+    def snap(df, text, lm):
+        return df.select(url.alias("url"), F.when(did % 3 == 0, F.md5(text)).alias("etag"),
+                         F.when(did % 3 == 1, lm).alias("last_modified"), F.md5(text).alias("md5"))
+
+    old = snap(documents, F.col("text"), F.lit("v1"))
+    kept = documents.where(did % 10 != 0)
+    edited = F.when(did % 7 == 0, F.concat(F.col("text"), F.lit(" [edited]"))).otherwise(F.col("text"))
+    new = snap(kept, edited, F.when(did % 7 == 0, F.lit("v2")).otherwise(F.lit("v1")))
+    added = documents.where(did % 10 == 5).select(
+        F.concat(F.lit("doc://"), (did + 100000000).cast("string")).alias("url"),
+        F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+        F.md5("text").alias("md5"))
+    return old, new.unionByName(added)
