@@ -149,8 +149,9 @@ def byte_budget(items: DataFrame, key: str, order: list[str], size_col: str = "s
     und = cut_lineage(base.where(F.col("_size") <= F.lit(float(max_asset))))
     rem = cut_lineage(und.select(key).distinct().withColumn("_rem", F.lit(float(max_total))))
     ocols = list(order)
+    left = und.count()
     for _ in range(max_rounds):
-        if und.isEmpty():
+        if left == 0:
             break
         c = prefix_sum(und, [key], ocols, F.col("_size"), out="_cum").join(rem, key)
         fits = F.col("_cum") <= F.col("_rem")
@@ -159,14 +160,16 @@ def byte_budget(items: DataFrame, key: str, order: list[str], size_col: str = "s
         first_over = first_over.select(key, *[F.col("_j")[o].alias("_j_" + o) for o in ocols],
                                        (F.col("_j._cum") - F.col("_j._size")).alias("_used"))
         c = c.join(first_over, key, "left")
-        after_j = F.lit(False)
+        gt = F.lit(False)
         eq = F.lit(True)
         for o in ocols:  # lexicographic (order) > (j order)
-            after_j = after_j | (eq & (F.col(o) > F.col("_j_" + o)))
+            gt = gt | (eq & (F.col(o) > F.col("_j_" + o)))
             eq = eq & (F.col(o) == F.col("_j_" + o))
-        is_j = eq & F.col("_j_" + ocols[0]).isNotNull()
+        has_j = F.col("_used").isNotNull()
+        # a key with no overflowing item has no j: nothing is after it
+        after_j = F.when(has_j, F.coalesce(gt, F.lit(False))).otherwise(F.lit(False))
+        is_j = F.when(has_j, F.coalesce(eq, F.lit(False))).otherwise(F.lit(False))
         new_rem = F.col("_rem") - F.col("_used")
-        has_j = F.col("_j_" + ocols[0]).isNotNull()
         state = (F.when(fits & ~after_j, F.lit("admit"))
                  .when(is_j, F.lit("skip"))
                  .when(has_j & after_j & (F.col("_size") > new_rem), F.lit("skip"))
@@ -176,6 +179,10 @@ def byte_budget(items: DataFrame, key: str, order: list[str], size_col: str = "s
                        .select(*items.columns, "_size", "admitted"))
         rem = cut_lineage(c.groupBy(key).agg(F.min("_new_rem").alias("_rem")))
         und = cut_lineage(c.where(F.col("_state") == "open").select(*items.columns, "_size"))
+        now_left = und.count()
+        if now_left >= left:
+            raise RuntimeError("byte_budget made no progress (order columns must be non-NULL and unique)")
+        left = now_left
     out = decided[0].select(*items.columns, "_size", "admitted")
     for d in decided[1:]:
         out = out.unionByName(d)

@@ -578,3 +578,104 @@ def token_bucket_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = ev.select("event_id", F.concat(F.lit("h"), (F.col("user_id") % 5).cast("string")).alias("host"),
                     (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("arrival"))
     return run_available(token_bucket(req), "bucket", mode="append")
+
+
+# ---------------------------------------------------------------------------
+# C1 clone_site -> S6/S7 manifest, W5 last writer, A4 totals, S8 progress,
+# F1 hook; J7/A2 download plan
+# ---------------------------------------------------------------------------
+
+_SITE_FILES_SQL = r"""
+WITH RECURSIVE r(id, lvl) AS (
+  SELECT page_id, 0 FROM pages WHERE page_id = 0
+  UNION ALL
+  SELECT c.page_id, r.lvl + 1 FROM r JOIN pages c ON c.page_id = 2 * r.id + 1 OR c.page_id = 2 * r.id + 2
+  WHERE NOT starts_with(CAST(c.page_id AS VARCHAR), '7')),
+c AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS rk FROM r) WHERE rk <= """ + str(100) + r"""),
+pf AS (SELECT 'p/' || id || '.html' AS local_path, 'page' AS kind,
+              '<html><head><title>p' || id || '</title>'
+              || CASE WHEN id % 10 = 0 THEN '<meta http-equiv="refresh" content="0; url=/news/' || id || '">'
+                      ELSE '' END
+              || '</head><body><a href="p/' || (2 * id + 1) || '.html">left</a> <a href="p/' || (2 * id + 2)
+              || '.html">right</a> <a href="p/0.html">home</a></body></html>'
+              || '<img src="img/' || (id % 3) || '.png"><link rel="stylesheet" href="css/site.css">' AS content
+       FROM c),
+af AS (SELECT DISTINCT 'img/' || (id % 3) || '.png' AS local_path, 'asset' AS kind, 'PNG' || (id % 3) AS content
+       FROM c
+       UNION ALL SELECT 'css/site.css', 'asset', 'body{background:url("css/bg.png")}'
+       UNION ALL SELECT 'css/bg.png', 'asset', 'BG'),
+f AS (SELECT * FROM pf UNION ALL SELECT * FROM af)"""
+
+
+def _clone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import derived
+    from .clone import Hooks, clone_site
+    from ..config import CrawlConfig
+    from ..operators.robots import parse_robots
+    pages = read_pages(spark, sf_dir)
+    site = derived.link_graph_site(pages)
+    seeds = spark.createDataFrame([("site", derived.SITE + "/p/0")], "crawl_id string, url string")
+    robots = parse_robots(spark.createDataFrame([derived.site_robots()], "host string, status int, body string"))
+    return clone_site(site, seeds, CrawlConfig(max_pages=CRAWL_MAX_PAGES), responses=derived.site_responses(pages),
+                      robots=robots, hooks=Hooks(after_html=derived.site_asset_hook))
+
+
+@register("site_manifest", _SITE_FILES_SQL + r"""
+SELECT 'site' AS crawl_id, local_path, kind, CAST(strlen(content) AS BIGINT) AS size, md5(content) AS md5 FROM f""")
+def site_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.snapshot import manifest
+    return manifest(_clone(spark, sf_dir)).select("crawl_id", "local_path", "kind", "size", "md5")
+
+
+@register("site_totals", _SITE_FILES_SQL + r"""
+SELECT 'site' AS crawl_id, count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM f""")
+def site_totals_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.snapshot import site_totals
+    return site_totals(_clone(spark, sf_dir))
+
+
+@register("progress_log", r"""
+WITH RECURSIVE r(id, lvl) AS (
+  SELECT page_id, 0 FROM pages WHERE page_id = 0
+  UNION ALL
+  SELECT c.page_id, r.lvl + 1 FROM r JOIN pages c ON c.page_id = 2 * r.id + 1 OR c.page_id = 2 * r.id + 2
+  WHERE NOT starts_with(CAST(c.page_id AS VARCHAR), '7'))
+SELECT 'site' AS crawl_id, pages_cloned, """ + str(CRAWL_MAX_PAGES) + r""" AS max_pages,
+       'https://site.example.com/p/' || id AS current_url,
+       CAST(floor(pages_cloned / """ + str(CRAWL_MAX_PAGES) + r""" * 100 + 0.5) AS INTEGER) AS progress
+FROM (SELECT id, row_number() OVER (ORDER BY id) AS pages_cloned FROM r)
+WHERE pages_cloned <= """ + str(CRAWL_MAX_PAGES))
+def progress_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import derived
+    from .clone import progress_log
+    from .crawl import crawl
+    from ..config import CrawlConfig
+    from ..operators.robots import parse_robots
+    site = derived.link_graph_site(read_pages(spark, sf_dir))
+    seeds = spark.createDataFrame([("site", derived.SITE + "/p/0")], "crawl_id string, url string")
+    robots = parse_robots(spark.createDataFrame([derived.site_robots()], "host string, status int, body string"))
+    got = crawl(site, seeds, CrawlConfig(max_pages=CRAWL_MAX_PAGES), robots=robots)
+    return progress_log(got, CRAWL_MAX_PAGES).withColumn(
+        "progress", U.progress_pct("pages_cloned", "max_pages"))
+
+
+@register("download_plan", "WITH " + _ORIGIN_SQL + r"""
+SELECT page_id, abs_url, content_type FROM (
+  SELECT page_id, origin || '/img/' || (page_id % 7) || '.png' AS abs_url, NULL AS content_type FROM o
+  UNION ALL SELECT page_id, origin || '/s/' || page_id || '.jpg', NULL FROM o
+  UNION ALL SELECT page_id, origin || '/l/' || page_id || '.jpg', NULL FROM o
+  UNION ALL SELECT page_id, origin || '/js/' || (page_id % 5), 'application/javascript' FROM o)
+WHERE abs_url NOT IN (SELECT origin || '/img/' || (page_id % 7) || '.png' FROM o WHERE page_id % 2 = 0)""")
+def download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page, distinct asset URLs with their first hint, minus the
+    URLs already downloaded (stylesheets, and every image URL that an even
+    page uses)."""
+    from ..operators.snapshot import plan_downloads
+    pages = read_pages(spark, sf_dir)
+    assets = X.extract_assets(X.with_tokens(_markup_pages(spark, sf_dir)))
+    have = (assets.where((F.col("page_id") % 2 == 0) & (F.col("tag") == "img") & (F.col("attr") == "src"))
+            .select(F.col("abs_url").alias("url"))
+            .unionByName(assets.where(F.col("tag") == "link").select(F.col("abs_url").alias("url"))))
+    del pages
+    plan = plan_downloads(assets.withColumn("crawl_rank", F.lit(0)), snapshot=have, keys=["page_id"])
+    return plan.select("page_id", "abs_url", "content_type")

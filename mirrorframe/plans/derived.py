@@ -175,3 +175,29 @@ def document_snapshots(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
         F.md5("text").alias("md5"))
     return old, new.unionByName(added)
+
+
+def site_asset_hook(url, html):
+    """An ``after_html`` hook for the link-graph site: every page also shows
+    an image (one of three) and the site stylesheet."""
+    pid = F.regexp_extract(url, r"/p/(\d+)$", 1).cast("long")
+    return F.concat(html, F.lit('<img src="/img/'), (pid % 3).cast("string"),
+                    F.lit('.png"><link rel="stylesheet" href="/css/site.css">'))
+
+
+def site_responses(pages: DataFrame) -> DataFrame:
+    """Asset answers of the link-graph site: the three images, the stylesheet
+    (with a background image) and that image; ``(url, status, content_type,
+    body, size)``."""
+    spark = pages.sparkSession
+    imgs = (pages.select((F.col("page_id") % 3).alias("k")).distinct()
+            .select(F.concat(F.lit(SITE + "/img/"), F.col("k").cast("string"), F.lit(".png")).alias("url"),
+                    F.lit(200).alias("status"), F.lit("image/png").alias("content_type"),
+                    F.encode(F.concat(F.lit("PNG"), F.col("k").cast("string")), "UTF-8").alias("body")))
+    other = spark.createDataFrame(
+        [(SITE + "/css/site.css", 200, "text/css", bytearray(b"body{background:url(bg.png)}")),
+         (SITE + "/css/bg.png", 200, "image/png", bytearray(b"BG")),
+         (SITE + "/css/missing.png", 404, "text/html", bytearray(b""))],
+        "url string, status int, content_type string, body binary")
+    out = imgs.unionByName(other)
+    return out.withColumn("size", F.octet_length("body").cast("long"))
