@@ -98,14 +98,17 @@ def url_unparse(scheme: Column, netloc: Column, path: Column, params: Column,
                         query.alias("query"), fragment.alias("fragment")), build)
 
 
+def normalize_parts(p: Column) -> Column:
+    """normalize_url of an already parsed URL (struct from ``url_parts``)."""
+    path = F.regexp_replace(p["path"], "/+$", "")
+    path = F.when(path == "", F.lit("/")).otherwise(path)
+    return url_unparse(p["scheme"], p["netloc"], path, p["params"], p["query"], F.lit(""))
+
+
 def normalize_url(url) -> Column:
     """Drop the fragment, strip all trailing '/' from the path (empty -> '/'),
     keep query and ;params."""
-    def build(p):
-        path = F.regexp_replace(p["path"], "/+$", "")
-        path = F.when(path == "", F.lit("/")).otherwise(path)
-        return url_unparse(p["scheme"], p["netloc"], path, p["params"], p["query"], F.lit(""))
-    return let(url_parts(url), build)
+    return let(url_parts(url), normalize_parts)
 
 
 def _remove_dot_segments(segments: Column) -> Column:
@@ -120,14 +123,9 @@ def _remove_dot_segments(segments: Column) -> Column:
     return F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
 
 
-def resolve_url(base, ref) -> Column:
-    """urljoin(base, ref) as a column expression."""
-    base, ref = _c(base), _c(ref)
-
-    def with_base(b):
-        return let(url_parts(ref, default_scheme=b["scheme"]), lambda r: join(b, r))
-
-    def join(b, r):
+def resolve_parts(b: Column, base: Column, ref: Column) -> Column:
+    """urljoin with the base already parsed (``b`` = ``url_parts(base)``)."""
+    def join(r):
         scheme = r["scheme"]
         netloc = F.when(scheme.isin(USES_NETLOC) & (r["netloc"] == ""), b["netloc"]).otherwise(r["netloc"])
         own_authority = url_unparse(scheme, r["netloc"], r["path"], r["params"], r["query"], r["fragment"])
@@ -156,7 +154,13 @@ def resolve_url(base, ref) -> Column:
     return (F.when(base.isNull() | ref.isNull(), F.lit(None).cast("string"))
             .when(base == "", ref)
             .when(ref == "", base)
-            .otherwise(let(url_parts(base), with_base)))
+            .otherwise(let(url_parts(ref, default_scheme=b["scheme"]), join)))
+
+
+def resolve_url(base, ref) -> Column:
+    """urljoin(base, ref) as a column expression."""
+    base, ref = _c(base), _c(ref)
+    return let(url_parts(base), lambda b: resolve_parts(b, base, ref))
 
 
 def splitext_ext(path) -> Column:
@@ -185,12 +189,17 @@ def same_domain(url, seed) -> Column:
     return authority(url) == authority(seed)
 
 
-def is_html_link(url) -> Column:
-    """True unless the (lower-cased) path ends in a known non-page extension."""
+def is_html_parts(p: Column) -> Column:
+    """is_html_link of an already parsed URL."""
     def build(path):
         ext = splitext_ext(path)
         return (path == "") | (path == "/") | ~ext.isin(KNOWN_EXTS) | ext.isin(PAGE_EXTS)
-    return let(F.lower(url_parts(url)["path"]), build)
+    return let(F.lower(p["path"]), build)
+
+
+def is_html_link(url) -> Column:
+    """True unless the (lower-cased) path ends in a known non-page extension."""
+    return is_html_parts(url_parts(url))
 
 
 def valid_scheme(url) -> Column:

@@ -9,6 +9,8 @@ projection and evaluating the URL expressions twice.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +43,15 @@ def _tokens(df: DataFrame) -> Column:
     return F.col("tokens") if "tokens" in df.columns else H.tokenize_html("html")
 
 
-def _link_row(base: Column, seed: Column, follow: bool, tok: Column, i: Column) -> Column:
+def _link_row(bp: Column, base: Column, seed_netloc: Column, follow: bool, tok: Column, i: Column) -> Column:
     def with_href(h):
         ok = h.isNotNull() & (h != "")
         for p in SKIP_HREF_PREFIXES:
             ok = ok & ~h.startswith(p)
-        return let(U.resolve_url(base, h), lambda a: F.struct(
+        return let(U.resolve_parts(bp, base, h), lambda a: let(U.url_parts(a), lambda p: F.struct(
             i.alias("pos"), h.alias("href"), a.alias("abs_url"),
-            U.normalize_url(a).alias("norm_url"),
-            (ok & (F.lit(follow) | U.same_domain(a, seed)) & U.is_html_link(a)).alias("keep")))
+            U.normalize_parts(p).alias("norm_url"),
+            (ok & (F.lit(follow) | (p["netloc"] == seed_netloc)) & U.is_html_parts(p)).alias("keep"))))
     return let(H.attr_value(tok, "href"), with_href)
 
 
@@ -63,15 +65,27 @@ def extract_links(pages: DataFrame, base_col: str = "url", seed_col: str | None
     the page itself) or all when ``follow_domains``; keeps HTML-like targets.
     Duplicates are retained (``pos`` is the index among ``<a>`` tags)."""
     keep = list(keep or [])
-    base = F.col(base_col)
-    seed = F.col(seed_col) if seed_col else base
-    a_tags = F.filter(_tokens(pages), lambda t: H.is_start_tag(t, ["a"]))
-    rows = F.filter(F.transform(a_tags, lambda t, i: _link_row(base, seed, follow_domains, t, i)),
-                    lambda r: r["keep"])
+    rows = _link_rows("tokens" if "tokens" in pages.columns else None, base_col, seed_col, follow_domains)
     return (pages.select(*keep, "page_id", F.inline(rows))
             .drop("keep"))
 
 
+@lru_cache(maxsize=64)
+def _link_rows(tokens_col: str | None, base_col: str, seed_col: str | None, follow_domains: bool) -> Column:
+    """The per-page link-row expression, built once per signature: Column
+    trees are reusable across DataFrames, and building them is many JVM
+    calls (this matters in the crawl loop, which re-plans every level)."""
+    base = F.col(base_col)
+    seed = F.col(seed_col) if seed_col else base
+    toks = F.col(tokens_col) if tokens_col else H.tokenize_html("html")
+    a_tags = F.filter(toks, lambda t: H.is_start_tag(t, ["a"]))
+    # base and seed are parsed once per page, each link once
+    per_page = F.struct(U.url_parts(base).alias("bp"), U.authority(seed).alias("sn"))
+    return let(per_page, lambda pp: F.filter(
+        F.transform(a_tags, lambda t, i: _link_row(pp["bp"], base, pp["sn"], follow_domains, t, i)),
+        lambda r: r["keep"]))
+
+
 def _rel_tokens(attrs: Column) -> Column:
     return F.coalesce(H.split_ws(H.attr_of(attrs, "rel")), F.array().cast("array<string>"))
 
@@ -148,15 +162,21 @@ def extract_meta_refresh(pages: DataFrame, base_col: str = "url", keep: list[str
     """Target of the first ``<meta http-equiv=refresh>`` of each page that has
     a ``url=`` in its content: ``(*keep, page_id, pos=-1, abs_url, norm_url)``."""
     keep = list(keep or [])
-    metas = F.filter(_tokens(pages), lambda t: H.is_start_tag(t, ["meta"])
-                     & (F.lower(H.attr_value(t, "http-equiv")) == "refresh"))
-    content = H.attr_value(F.try_element_at(metas, F.lit(1)), "content")
-    target = F.regexp_extract(content, r"""(?i)url\s*=\s*["']?([^"'\s>]+)""", 1)
+    target, norm = _refresh_exprs("tokens" if "tokens" in pages.columns else None)
     out = (pages.select(*keep, "page_id", F.col(base_col).alias("_base"), target.alias("_t"))
            .where(F.col("_t").isNotNull() & (F.col("_t") != "")))
     out = out.withColumn("abs_url", U.resolve_url("_base", "_t"))
-    return (out.select(*keep, "page_id", F.lit(-1).alias("pos"), "abs_url",
-                       U.normalize_url("abs_url").alias("norm_url")))
+    return out.select(*keep, "page_id", F.lit(-1).alias("pos"), "abs_url", norm.alias("norm_url"))
+
+
+@lru_cache(maxsize=8)
+def _refresh_exprs(tokens_col: str | None):
+    toks = F.col(tokens_col) if tokens_col else H.tokenize_html("html")
+    metas = F.filter(toks, lambda t: H.is_start_tag(t, ["meta"])
+                     & (F.lower(H.attr_value(t, "http-equiv")) == "refresh"))
+    content = H.attr_value(F.try_element_at(metas, F.lit(1)), "content")
+    target = F.regexp_extract(content, r"""(?i)url\s*=\s*["']?([^"'\s>]+)""", 1)
+    return target, U.normalize_url("abs_url")
 
 
 def extract_style_blocks(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ host's rules: first matching rule in file order wins, no match allows.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +107,11 @@ def robots_filter(urls: DataFrame, robots: DataFrame, url_col: str = "norm_url",
     lists = host_rule_lists(robots)
     u = urls.withColumn("_host", U.authority(url_col))
     j = u.join(lists.withColumnRenamed("host", "_host"), "_host", "left")
+    return j.withColumn("robots_allowed", _allowed_expr(url_col, exempt_col)).drop("_host", "rules")
+
+
+@lru_cache(maxsize=16)
+def _allowed_expr(url_col: str, exempt_col: str | None) -> Column:
     target = robots_target(F.col(url_col))
     first = let(target, lambda t: F.try_element_at(
         F.filter(F.coalesce(F.col("rules"), F.array().cast("array<struct<line_no:int,allow:boolean,prefix:string>>")),
@@ -112,4 +119,4 @@ def robots_filter(urls: DataFrame, robots: DataFrame, url_col: str = "norm_url",
     allowed = F.coalesce(first["allow"], F.lit(True))
     if exempt_col:
         allowed = allowed | (F.col(url_col) == F.col(exempt_col))
-    return j.withColumn("robots_allowed", allowed).drop("_host", "rules")
+    return allowed
