@@ -115,7 +115,8 @@ SELECT page_id, url, scheme, netloc, path, query, fragment, norm_url,
        CASE WHEN lower(regexp_extract(regexp_extract(lp0, '([^/]*)$', 1), '^\.*[^.].*(\.[^.]*)$', 1))
                  IN (""" + KNOWN_SQL + r""") THEN lp0 ELSE lp0 || '.html' END AS local_path,
        (path IN ('', '/') OR pext NOT IN (""" + KNOWN_SQL + r""") OR pext IN (""" + PAGE_SQL + r""")) AS is_html,
-       scheme IN ('http', 'https') AS valid_scheme
+       scheme IN ('http', 'https') AS valid_scheme,
+       'https://' || netloc AS site_url
 FROM w""")
 def url_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_pages(spark, sf_dir).select("page_id", "url")
@@ -125,7 +126,8 @@ def url_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         U.normalize_url("url").alias("norm_url"),
         U.file_path(U.normalize_url("url")).alias("local_path"),
         U.is_html_link("url").alias("is_html"),
-        U.valid_scheme("url").alias("valid_scheme"))
+        U.valid_scheme("url").alias("valid_scheme"),
+        U.ensure_scheme(F.concat(F.lit(" "), F.col("p.netloc"))).alias("site_url"))
 
 
 # ---------------------------------------------------------------------------
@@ -679,3 +681,37 @@ def download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     del pages
     plan = plan_downloads(assets.withColumn("crawl_rank", F.lit(0)), snapshot=have, keys=["page_id"])
     return plan.select("page_id", "abs_url", "content_type")
+
+
+# ---------------------------------------------------------------------------
+# A5 crawl counters where the crawl stops
+# ---------------------------------------------------------------------------
+
+@register("crawl_counts", r"""
+WITH RECURSIVE r(id, lvl) AS (
+  SELECT page_id, 0 FROM pages WHERE page_id = 0
+  UNION ALL
+  SELECT c.page_id, r.lvl + 1 FROM r JOIN pages c ON c.page_id = 2 * r.id + 1 OR c.page_id = 2 * r.id + 2
+  WHERE NOT starts_with(CAST(c.page_id AS VARCHAR), '7')),
+f AS (SELECT id, lvl FROM (SELECT id, lvl, row_number() OVER (ORDER BY id) AS rk FROM r)
+      WHERE rk <= """ + str(CRAWL_MAX_PAGES) + r"""),
+e AS (SELECT lvl + 1 AS lvl, id AS parent, 0 AS pos FROM f
+      UNION ALL SELECT lvl + 1, id, 1 FROM f
+      UNION ALL SELECT lvl + 1, id, -1 FROM f WHERE id % 10 = 0),
+lp AS (SELECT (id - 1) // 2 AS parent, CASE WHEN id % 2 = 1 THEN 0 ELSE 1 END AS pos, lvl
+       FROM f ORDER BY id DESC LIMIT 1)
+SELECT 'site' AS crawl_id, (SELECT count(*) FROM f) AS pages_cloned, 1 + (SELECT count(*) FROM e) AS visited,
+       CASE WHEN (SELECT count(*) FROM f) < """ + str(CRAWL_MAX_PAGES) + r""" THEN 0 ELSE
+         (SELECT count(*) FROM e, lp
+          WHERE (e.lvl = lp.lvl AND (e.parent > lp.parent OR (e.parent = lp.parent AND e.pos > lp.pos)))
+             OR e.lvl = lp.lvl + 1) END AS queue_len,
+       0 AS sitemap_urls""")
+def crawl_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import derived
+    from .crawl import crawl_with_counts
+    from ..config import CrawlConfig
+    from ..operators.robots import parse_robots
+    site = derived.link_graph_site(read_pages(spark, sf_dir))
+    seeds = spark.createDataFrame([("site", derived.SITE + "/p/0")], "crawl_id string, url string")
+    robots = parse_robots(spark.createDataFrame([derived.site_robots()], "host string, status int, body string"))
+    return crawl_with_counts(site, seeds, CrawlConfig(max_pages=CRAWL_MAX_PAGES), robots=robots)[1]

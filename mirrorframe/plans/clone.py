@@ -61,11 +61,15 @@ def clone_site(pages: DataFrame, seeds: DataFrame, cfg: CrawlConfig | None = Non
         "crawl_id", "crawl_rank", "page_id", F.lit(99).alias("tag_rank"), F.col("pos").alias("tag_pos"),
         "ref_pos", F.col("ref_pos").alias("attr_rank"), F.lit(-1).alias("srcset_idx"), "abs_url",
         F.lit(None).cast("string").alias("content_type"), F.lit(False).alias("is_stylesheet")).drop("ref_pos")
+    # ref_url: the URL as the page references it (rewrite key); abs_url: the
+    # URL downloaded (after the F2 hook)
+    assets = assets.withColumn("ref_url", F.col("abs_url"))
+    css_assets = css_assets.withColumn("ref_url", F.col("abs_url"))
     if hooks.map_url is not None:
         assets = assets.withColumn("abs_url", hooks.map_url(F.col("abs_url")))
         css_assets = css_assets.withColumn("abs_url", hooks.map_url(F.col("abs_url")))
     cols = ["crawl_id", "crawl_rank", "page_id", "tag_rank", "tag_pos", "attr_rank", "srcset_idx", "abs_url",
-            "content_type", "is_stylesheet"]
+            "ref_url", "content_type", "is_stylesheet"]
     refs = assets.select(*cols).unionByName(css_assets.select(*cols))
     refs = refs.where(U.valid_scheme("abs_url"))
 
@@ -102,10 +106,10 @@ def clone_site(pages: DataFrame, seeds: DataFrame, cfg: CrawlConfig | None = Non
 
     # J5 per page: assets downloaded in this crawl -> their local path
     fetched = dl.select("crawl_id", "abs_url", "local_path")
-    maps = (refs.select("crawl_id", "page_id", "abs_url").distinct()
+    maps = (refs.select("crawl_id", "page_id", "abs_url", "ref_url").distinct()
             .join(fetched, ["crawl_id", "abs_url"])
             .groupBy("crawl_id", "page_id")
-            .agg(F.map_from_entries(F.collect_list(F.struct("abs_url", "local_path"))).alias("fetched")))
+            .agg(F.map_from_entries(F.collect_list(F.struct("ref_url", "local_path"))).alias("fetched")))
     pages_rw = tok.join(maps, ["crawl_id", "page_id"], "left")
     html = F.array_join(rewrite_tokens(F.col("tokens"), F.col("norm_url"), F.col("seed_url"), F.col("fetched"),
                                        cfg.follow_domains), "")

@@ -41,6 +41,13 @@ def _keyed(df: DataFrame, n: int) -> DataFrame:
 def crawl(pages: DataFrame, seeds: DataFrame, cfg: CrawlConfig | None = None,
           robots: DataFrame | None = None, sitemap_urls: DataFrame | None = None,
           corpus: DataFrame | None = None, keep_html: bool = False) -> DataFrame:
+    """See ``crawl_with_counts``; returns only the fetched pages."""
+    return crawl_with_counts(pages, seeds, cfg, robots, sitemap_urls, corpus, keep_html)[0]
+
+
+def crawl_with_counts(pages: DataFrame, seeds: DataFrame, cfg: CrawlConfig | None = None,
+                      robots: DataFrame | None = None, sitemap_urls: DataFrame | None = None,
+                      corpus: DataFrame | None = None, keep_html: bool = False) -> tuple[DataFrame, DataFrame]:
     """Crawl many seeds at once.
 
     ``seeds(crawl_id, url)``; ``pages(page_id, url, html)`` is the corpus
@@ -49,7 +56,9 @@ def crawl(pages: DataFrame, seeds: DataFrame, cfg: CrawlConfig | None = None,
     prefix)`` optional; ``sitemap_urls(crawl_id, loc, ord)`` optional.
 
     Returns the fetched pages ``(crawl_id, norm_url, page_id, level, ord,
-    crawl_rank)`` (+ ``url, html, seed_url`` when ``keep_html``)."""
+    crawl_rank)`` (+ ``url, html, seed_url`` when ``keep_html``) and A5
+    counts ``(crawl_id, pages_cloned, visited, queue_len, sitemap_urls)`` at
+    the point the crawl stops (queue = enqueued but not yet dequeued)."""
     cfg = cfg or CrawlConfig()
     spark = seeds.sparkSession
     checkpoint_root(spark)
@@ -70,6 +79,8 @@ def crawl(pages: DataFrame, seeds: DataFrame, cfg: CrawlConfig | None = None,
     visited_parts = [frontier.select("crawl_id", "norm_url")]
 
     out_levels: list[DataFrame] = []
+    queue_parts: list[DataFrame] = [seed_info.select("crawl_id", F.lit(0).cast("long").alias("queue_len"))
+                                    .where(F.lit(False))]
     level = 0
     while level < cfg.max_levels:
         # pages cloned so far per crawl (union of checkpointed levels)
@@ -100,11 +111,13 @@ def crawl(pages: DataFrame, seeds: DataFrame, cfg: CrawlConfig | None = None,
         got = cut_lineage(ranked.select(*cols, *extra))
         out_levels.append(got.select(*cols, *(extra if keep_html else [])))
 
-        # H2 + H7 on this level's pages -> next frontier (A1 + J2), only for
-        # crawls still below their cap
+        # H2 + H7 on this level's pages -> next frontier (A1 + J2).  Links of
+        # every fetched page are enqueued (also on the level that reaches the
+        # cap, as a queue crawl does before it stops); only crawls below
+        # their cap go on.
         open_crawls = (got.groupBy("crawl_id").agg(F.max("crawl_rank").alias("m"))
                        .where(F.col("m") < cfg.max_pages).select("crawl_id"))
-        pages_l = X.with_tokens(got.join(open_crawls, "crawl_id", "left_semi"))
+        pages_l = X.with_tokens(got)
         links = X.extract_links(pages_l, base_col="norm_url", seed_col="seed_url",
                                 follow_domains=cfg.follow_domains, keep=["crawl_id", "ord"])
         links = links.select("crawl_id", "norm_url",
@@ -114,13 +127,44 @@ def crawl(pages: DataFrame, seeds: DataFrame, cfg: CrawlConfig | None = None,
         nxt = (links.unionByName(refresh)
                .groupBy("crawl_id", "norm_url").agg(F.min("ord").alias("ord")))
         visited = reduce(DataFrame.unionByName, visited_parts)
-        frontier = cut_lineage(_keyed(nxt.join(visited, ["crawl_id", "norm_url"], "left_anti"), n))
+        enqueued = cut_lineage(_keyed(nxt.join(visited, ["crawl_id", "norm_url"], "left_anti"), n))
+        visited_parts.append(enqueued.select("crawl_id", "norm_url"))
+        # A5: for crawls reaching the cap on this level, what is still queued:
+        # entries of this level behind the last fetched page, plus everything
+        # enqueued from this level's pages
+        capped = (got.groupBy("crawl_id").agg(F.max("ord").alias("last_ord"), F.max("crawl_rank").alias("rank"))
+                  .where(F.col("rank") >= cfg.max_pages))
+        behind = (frontier.join(capped, "crawl_id").where(F.col("ord") > F.col("last_ord"))
+                  .groupBy("crawl_id").agg(F.count(F.lit(1)).alias("q1")))
+        new_q = enqueued.join(capped, "crawl_id").groupBy("crawl_id").agg(F.count(F.lit(1)).alias("q2"))
+        queue_parts.append(capped.select("crawl_id").join(behind, "crawl_id", "left").join(new_q, "crawl_id", "left")
+                           .select("crawl_id", (F.coalesce("q1", F.lit(0)) + F.coalesce("q2", F.lit(0)))
+                                   .alias("queue_len")))
+        frontier = enqueued.join(open_crawls, "crawl_id", "left_semi")
         if frontier.isEmpty():
             break
-        visited_parts.append(frontier.select("crawl_id", "norm_url"))
         level += 1
 
-    return reduce(DataFrame.unionByName, out_levels)
+    # A5 counts where the crawl stopped
+    visited_n = (reduce(DataFrame.unionByName, visited_parts).groupBy("crawl_id")
+                 .agg(F.count(F.lit(1)).alias("visited")))
+    queued = reduce(DataFrame.unionByName, queue_parts)
+    done = reduce(DataFrame.unionByName, [o.select("crawl_id") for o in out_levels])
+    counts = (seed_info.select("crawl_id")
+              .join(done.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("pages_cloned")), "crawl_id", "left")
+              .join(visited_n, "crawl_id", "left").join(queued, "crawl_id", "left"))
+    if sitemap_urls is not None:
+        smc = sitemap_urls.groupBy(F.col("crawl_id").cast("string").alias("crawl_id")).agg(
+            F.count(F.lit(1)).alias("sitemap_urls"))
+        counts = counts.join(smc, "crawl_id", "left")
+    else:
+        counts = counts.withColumn("sitemap_urls", F.lit(0).cast("long"))
+    counts = counts.select(
+        "crawl_id", F.coalesce("pages_cloned", F.lit(0)).alias("pages_cloned"),
+        F.coalesce("visited", F.lit(0)).alias("visited"),
+        F.coalesce("queue_len", F.lit(0)).alias("queue_len"),
+        F.coalesce("sitemap_urls", F.lit(0)).cast("long").alias("sitemap_urls"))
+    return reduce(DataFrame.unionByName, out_levels), counts
 
 
 # ---------------------------------------------------------------------------

@@ -139,3 +139,71 @@ def test_sitemap_depth_and_failures(spark):
     got = sorted((r.crawl_id, r.loc) for r in expand_sitemaps(roots, sm).collect())
     # depth 0..3 are read; d.xml would be depth 4 -> nothing; bad content type -> nothing
     assert got == [("2", "http://t.com/a&b")]
+
+
+def test_sitemap_seeds_come_after_seed_without_scope(spark):
+    """Seed first, then sitemap URLs (normalised, deduped, no scope test),
+    then the seed's links."""
+    site = {"http://example.com/": make_html(["/a"]), "http://example.com/a": make_html(),
+            "http://example.com/s1": make_html(), "http://other.com/s2": make_html()}
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(site.items())],
+                                  "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("c", "http://example.com")], "crawl_id string, url string")
+    sm = spark.createDataFrame([("c", "http://example.com/s1/", [0]), ("c", "http://other.com/s2#x", [1]),
+                                ("c", "http://example.com/", [2])], "crawl_id string, loc string, ord array<int>")
+    out = crawl(pages, seeds, CrawlConfig(max_pages=10), sitemap_urls=sm)
+    got = [r.norm_url for r in out.orderBy("crawl_rank").collect()]
+    assert got == ["http://example.com/", "http://example.com/s1", "http://other.com/s2", "http://example.com/a"]
+
+
+def test_clone_hooks(spark):
+    """F1 after_html, F2 map_url and F3 export are applied."""
+    from pyspark.sql import functions as F
+    from mirrorframe.plans.clone import Hooks, clone_site
+    site = {"http://example.com/": '<img src="/i.png"><a href="/b">b</a>', "http://example.com/b": "<p>b</p>"}
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(site.items())],
+                                  "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("c", "http://example.com/")], "crawl_id string, url string")
+    resp = spark.createDataFrame([("http://cdn.example.com/i.png", 200, "image/png", bytearray(b"PNG"), 3)],
+                                 "url string, status int, content_type string, body binary, size long")
+    seen = []
+    hooks = Hooks(after_html=lambda url, html: F.concat(html, F.lit("<!--x-->")),
+                  map_url=lambda u: F.regexp_replace(u, "^http://example.com/", "http://cdn.example.com/"),
+                  export=lambda files: seen.append(files.count()))
+    files = {r.local_path: bytes(r.content) for r in clone_site(pages, seeds, responses=resp, hooks=hooks).collect()}
+    assert files["i.png"] == b"PNG"
+    assert files["index.html"].endswith(b"<!--x-->")
+    assert b'href="b.html"' in files["index.html"]
+    assert b'<img src="i.png">' in files["index.html"]
+    assert seen == [3]
+
+
+def test_crawl_counts_match_queue(spark):
+    """A5: pages cloned, visited and queue length where a queue crawl stops."""
+    from mirrorframe.plans.crawl import crawl_with_counts
+    rnd = random.Random(5)
+    site = {}
+    for i in range(30):
+        site[f"http://g.com/n/{i}"] = make_html([f"/n/{rnd.randrange(40)}" for _ in range(3)])
+    site["http://g.com/n/0"] = make_html([f"/n/{k}" for k in range(1, 5)])
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(site.items())],
+                                  "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("c", "http://g.com/n/0")], "crawl_id string, url string")
+    for cap in (7, 100):
+        _, counts = crawl_with_counts(pages, seeds, CrawlConfig(max_pages=cap))
+        c = counts.first()
+        # reference: queue crawl with counters
+        q, seen, out = deque(["http://g.com/n/0"]), {"http://g.com/n/0"}, 0
+        while q and out < cap:
+            u = q.popleft()
+            h = site.get(u)
+            if h is None:
+                continue
+            out += 1
+            import re
+            for href in re.findall(r'<a href="([^"]*)"', h):
+                nrm = _norm(urljoin(u, href))
+                if nrm not in seen:
+                    seen.add(nrm)
+                    q.append(nrm)
+        assert (c.pages_cloned, c.visited, c.queue_len) == (out, len(seen), len(q))
