@@ -142,11 +142,16 @@ def byte_budget(items: DataFrame, key: str, order: list[str], size_col: str = "s
     at that point is fixed, and every later item larger than it is skipped for
     good.  Repeats until no item is undecided (each round decides at least one
     item per open key).  Adds ``admitted``."""
-    spark = items.sparkSession
     base = items.withColumn("_size", F.col(size_col).cast("double"))
-    too_big = base.where(~(F.col("_size") <= F.lit(float(max_asset))))
+    small = F.col("_size") <= F.lit(float(max_asset))
+    too_big = base.where(~small)
     decided = [too_big.withColumn("admitted", F.lit(False))]
-    und = cut_lineage(base.where(F.col("_size") <= F.lit(float(max_asset))))
+    # keys whose admissible items all fit are decided without rounds (a
+    # partial aggregate, no ordering needed)
+    totals = base.where(small).groupBy(key).agg(F.sum("_size").alias("_t"))
+    fit_keys = totals.where(F.col("_t") <= F.lit(float(max_total))).select(key)
+    decided.append(base.where(small).join(fit_keys, key, "left_semi").withColumn("admitted", F.lit(True)))
+    und = cut_lineage(base.where(small).join(fit_keys, key, "left_anti"))
     rem = cut_lineage(und.select(key).distinct().withColumn("_rem", F.lit(float(max_total))))
     ocols = list(order)
     left = und.count()
@@ -186,7 +191,6 @@ def byte_budget(items: DataFrame, key: str, order: list[str], size_col: str = "s
     out = decided[0].select(*items.columns, "_size", "admitted")
     for d in decided[1:]:
         out = out.unionByName(d)
-    del spark
     return out.drop("_size")
 
 

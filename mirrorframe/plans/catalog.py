@@ -673,12 +673,10 @@ def download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     URLs already downloaded (stylesheets, and every image URL that an even
     page uses)."""
     from ..operators.snapshot import plan_downloads
-    pages = read_pages(spark, sf_dir)
     assets = X.extract_assets(X.with_tokens(_markup_pages(spark, sf_dir)))
     have = (assets.where((F.col("page_id") % 2 == 0) & (F.col("tag") == "img") & (F.col("attr") == "src"))
             .select(F.col("abs_url").alias("url"))
             .unionByName(assets.where(F.col("tag") == "link").select(F.col("abs_url").alias("url"))))
-    del pages
     plan = plan_downloads(assets.withColumn("crawl_rank", F.lit(0)), snapshot=have, keys=["page_id"])
     return plan.select("page_id", "abs_url", "content_type")
 

@@ -55,6 +55,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="mirrorframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
+    # iterative plans carry large expressions; keep their text form bounded
+    if spark.conf.get("spark.sql.maxPlanStringLength", "2147483632") == "2147483632":
+        spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 20))
     return d
 
 
@@ -65,17 +68,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss);
-    ``localCheckpoint`` is deliberately never used.  The input is persisted
-    for the duration so the checkpoint write does not recompute it."""
-    from pyspark import StorageLevel
-
-    checkpoint_root(df.sparkSession)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=eager)
-    if eager:
-        df.unpersist()
-    return out
+    """Cut the lineage by writing a table into the shared checkpoint folder
+    and reading it back: one job, survives executor loss, and keeps plans
+    short for the next iteration.  (``localCheckpoint`` is never used;
+    ``persist`` is avoided because caching renders the whole plan as text.)"""
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
