@@ -225,8 +225,9 @@ def mime_ext(content_type) -> Column:
     return F.coalesce(F.try_element_at(m, mime), F.lit(".html"))
 
 
-def local_path(url, content_type=None) -> Column:
-    """Relative file path for a URL (host and query not part of the path)."""
+def local_path(url, content_type=None, parts: Column | None = None) -> Column:
+    """Relative file path for a URL (host and query not part of the path).
+    ``parts`` may pass an already parsed URL (``url_parts``)."""
     if content_type is None:
         ct = F.lit(None).cast("string")
     else:
@@ -246,7 +247,7 @@ def local_path(url, content_type=None) -> Column:
             F.regexp_replace(path, "^/+", ""))
         return let(lp, lambda x: let(F.struct(x.alias("lp"), splitext_ext(x).alias("ext"), ct.alias("ct")), build))
 
-    path = F.split(unquote_plus(url_parts(url)["path"]), r"\?", 2)[0]
+    path = F.split(unquote_plus(parts["path"] if parts is not None else url_parts(url)["path"]), r"\?", 2)[0]
     return let(path, from_path)
 
 
@@ -283,9 +284,9 @@ def safe_path(local) -> Column:
     return F.when(p.isNull(), F.lit(None).cast("string")).otherwise(let(p, build))
 
 
-def file_path(url, content_type=None) -> Column:
+def file_path(url, content_type=None, parts: Column | None = None) -> Column:
     """local_path followed by safe_path: where a URL is stored in a snapshot."""
-    return safe_path(local_path(url, content_type))
+    return safe_path(local_path(url, content_type, parts))
 
 
 def retry_after_seconds(value, now) -> Column:

@@ -22,16 +22,16 @@ SRI_ATTRS = ["integrity", "crossorigin"]
 SRI_TAGS = ["script", "link", "style"]
 
 
-def _srcset_rewrite(v: Column, base: Column) -> Column:
+def _srcset_rewrite(v: Column, base: Column, bp: Column) -> Column:
     def entry(e):
         toks = F.when(e["url"].isNotNull(), F.concat(
-            F.array(U.file_path(U.resolve_url(base, e["url"]))),
+            F.array(U.file_path(U.resolve_parts(bp, base, e["url"]))),
             F.slice(e["tokens"], 2, F.greatest(F.size(e["tokens"]) - 1, F.lit(0))))).otherwise(e["tokens"])
         return F.array_join(toks, " ")
     return F.array_join(F.transform(H.srcset_entries(v), entry), ", ")
 
 
-def _rewrite_attrs(name: Column, attrs: Column, base: Column, fetched: Column) -> Column:
+def _rewrite_attrs(name: Column, attrs: Column, base: Column, bp: Column, fetched: Column) -> Column:
     """New attribute list of an asset tag (first occurrence of each asset
     attribute is considered, as a DOM would)."""
     attr_list = F.coalesce(F.try_element_at(H.asset_attr_map(), name), F.array().cast("array<string>"))
@@ -45,9 +45,9 @@ def _rewrite_attrs(name: Column, attrs: Column, base: Column, fetched: Column) -
         first = F.array_position(lnames, ln) == (i + 1)
         eligible = first & F.array_contains(attr_list, ln) & v.isNotNull() & (v != "") & ~v.startswith("data:")
         new_v = (F.when(~eligible, F.lit(None).cast("string"))
-                 .when(ln.isin(X.SRCSET_ATTRS), _srcset_rewrite(v, base))
+                 .when(ln.isin(X.SRCSET_ATTRS), _srcset_rewrite(v, base, bp))
                  .when((name == "link") & ~link_ok, F.lit(None).cast("string"))
-                 .otherwise(F.try_element_at(fetched, U.resolve_url(base, v))))
+                 .otherwise(F.try_element_at(fetched, U.resolve_parts(bp, base, v))))
         return let(new_v, lambda nv: F.when(nv.isNotNull() & (nv != v), F.struct(
             a["name"].alias("name"), H.quote_attr(nv).alias("raw"), nv.alias("value"))).otherwise(a))
 
@@ -55,16 +55,21 @@ def _rewrite_attrs(name: Column, attrs: Column, base: Column, fetched: Column) -
         name.isin(SRI_TAGS), H.drop_attrs(out, SRI_ATTRS)).otherwise(out))
 
 
-def _rewrite_anchor(attrs: Column, base: Column, seed: Column, follow: bool) -> Column:
+def _rewrite_anchor(attrs: Column, base: Column, bp: Column, seed_netloc: Column, follow: bool) -> Column:
     lnames = F.transform(attrs, lambda a: F.lower(a["name"]))
 
+    def target(a, absu, p):
+        keep = ((p["netloc"] == seed_netloc) | (F.lit(follow) & p["scheme"].isin("http", "https"))) \
+            & U.is_html_parts(p)
+        return F.when(keep, let(U.file_path(absu, parts=p), lambda lp: F.struct(
+            a["name"].alias("name"), H.quote_attr(lp).alias("raw"), lp.alias("value")))).otherwise(a)
+
     def one(a, i):
         v = a["value"]
         first = (F.lower(a["name"]) == "href") & (F.array_position(lnames, F.lit("href")) == (i + 1))
-        return F.when(first & v.isNotNull() & (v != ""), let(U.resolve_url(base, v), lambda absu: F.when(
-            (U.same_domain(absu, seed) | (F.lit(follow) & U.valid_scheme(absu))) & U.is_html_link(absu),
-            let(U.file_path(absu), lambda lp: F.struct(a["name"].alias("name"), H.quote_attr(lp).alias("raw"),
-                                                       lp.alias("value")))).otherwise(a))).otherwise(a)
+        return F.when(first & v.isNotNull() & (v != ""), let(
+            U.resolve_parts(bp, base, v),
+            lambda absu: let(U.url_parts(absu), lambda p: target(a, absu, p)))).otherwise(a)
     return F.transform(attrs, one)
 
 
@@ -73,12 +78,18 @@ def rewrite_tokens(tokens: Column, base: Column, seed: Column, fetched: Column,
     """Map each token of a page to its offline form (see module doc)."""
     asset_tags = [t for t, _ in ASSET_ATTRS]
     fetched = F.coalesce(fetched, F.create_map().cast("map<string,string>"))
+    # base and seed parsed once per page
+    per_page = F.struct(U.url_parts(base).alias("bp"), U.authority(seed).alias("sn"))
+    return let(per_page, lambda pp: _rewrite_all(tokens, base, pp["bp"], pp["sn"], fetched, follow_domains,
+                                                 asset_tags))
+
 
+def _rewrite_all(tokens, base, bp, sn, fetched, follow_domains, asset_tags):
     def one(t):
         def tag(info):
             st, name, attrs = info["st"], info["name"], info["attrs"]
-            new_attrs = (F.when(name == "a", _rewrite_anchor(attrs, base, seed, follow_domains))
-                         .when(name.isin(asset_tags + ["style"]), _rewrite_attrs(name, attrs, base, fetched))
+            new_attrs = (F.when(name == "a", _rewrite_anchor(attrs, base, bp, sn, follow_domains))
+                         .when(name.isin(asset_tags + ["style"]), _rewrite_attrs(name, attrs, base, bp, fetched))
                          .otherwise(attrs))
             new_st = let(new_attrs, lambda na: F.when(na == attrs, st).otherwise(H.rebuild_tag(st, na)))
             rest = F.substring(t, F.length(st) + 1, F.lit(2147483647))
@@ -109,13 +120,18 @@ def rewrite_pages(pages: DataFrame, fetched: DataFrame | None = None, base_col:
     """``(*keys, html)`` rewritten.  ``fetched(abs_url)`` lists assets
     that were downloaded (now or in an earlier run); others keep their URL."""
     keys = list(keys or ["page_id"])
-    p = X.with_tokens(pages) if "tokens" not in pages.columns else pages
+    p = pages
     if fetched is not None:
-        maps = fetched_maps(X.extract_assets(p, base_col=base_col, keep=[k for k in keys if k != "page_id"]),
+        tok = X.with_tokens(pages) if "tokens" not in pages.columns else pages
+        maps = fetched_maps(X.extract_assets(tok, base_col=base_col, keep=[k for k in keys if k != "page_id"]),
                             fetched, keys)
+        # join the small per-page maps to the raw page, tokenise after the
+        # join: token arrays are larger than the HTML and never shuffled
         p = p.join(maps, keys, "left")
     else:
         p = p.withColumn("fetched", F.lit(None).cast("map<string,string>"))
+    if "tokens" not in p.columns:
+        p = X.with_tokens(p)
     seed = F.col(seed_col) if seed_col else F.col(base_col)
     out = rewrite_tokens(F.col("tokens"), F.col(base_col), seed, F.col("fetched"), follow_domains)
     return p.select(*keys, F.array_join(out, "").alias("html"))
