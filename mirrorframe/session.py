@@ -68,12 +68,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage by writing a table into the shared checkpoint folder
-    and reading it back: one job, survives executor loss, and keeps plans
-    short for the next iteration.  (``localCheckpoint`` is never used;
-    ``persist`` is avoided because caching renders the whole plan as text.)"""
+    """Reliable checkpoint into the shared folder (``spark.checkpoint.dir``):
+    survives executor loss, keeps the next iteration's plan short and keeps
+    the output partitioning.  ``localCheckpoint`` is never used.  The input
+    is persisted only while the checkpoint is written, so it is computed once."""
+    from pyspark import StorageLevel
+
+    checkpoint_root(df.sparkSession)  # also bounds plan text (cache names)
+    if not eager:
+        return df.checkpoint(eager=False)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # compute once for both jobs
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
+
+
+def write_and_read(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Alternative cut: a parquet table in the shared folder, read back."""
     spark = df.sparkSession
-    path = scratch_path(spark, "cut")
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
