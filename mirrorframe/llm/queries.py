@@ -1,6 +1,31 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
-from mirrorframe.llm import quality
-from mirrorframe.llm.common import read
+from pyspark.sql import functions as F
+
+from mirrorframe.llm import mixing, quality, simhash, warc
+from mirrorframe.llm.common import Scratch, read
+
+
+def op1_warc(spark, sf_dir):
+    """Archives of all pages, written and read back; repeated page rows each have a record."""
+    with Scratch(spark, "warc") as scratch:
+        records = warc.plan_records(read(spark, sf_dir, "pages"))
+        manifest = scratch.keep(warc.write_archives(records, scratch.path("archives")), "manifest")
+    found = warc.read_archives(spark, manifest)
+    held = warc.resolve_revisits(found)
+    return held.select(
+        F.expr("try_cast(key AS bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.expr("try_cast(refers_to AS bigint)").alias("refers_to"))
+
+
+def op2_simhash(spark, sf_dir):
+    of = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+    return of.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op3_mixing(spark, sf_dir):
+    """Sources mixed at their size to the power 0.7, as many characters as there are."""
+    return mixing.mix(read(spark, sf_dir, "documents"), seed=7, temperature=0.7).select(
+        "doc_id", "source", "copy", "n_copies", F.round("rate", 9).alias("rate"), "mix_key", "text")
 
 
 def op6_quality_rules(spark, sf_dir):
@@ -9,6 +34,9 @@ def op6_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
     "op6_quality_rules": op6_quality_rules,
 }
 
