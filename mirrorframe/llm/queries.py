@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 from pyspark.sql import functions as F
 
-from mirrorframe.llm import mixing, quality, simhash, warc
+from mirrorframe.llm import chunk_prints, mixing, packing, quality, simhash, warc
 from mirrorframe.llm.common import Scratch, read
 
 
@@ -33,11 +33,24 @@ def op6_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_fingerprints(spark, sf_dir):
+    return chunk_prints.compare_with_next(read(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"), size=2048, end_id=1)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_packing": op8_packing,
 }
 
 ORACLES = {}
