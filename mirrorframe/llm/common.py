@@ -46,8 +46,7 @@ class Scratch:
     def path(self, label: str) -> str:
         return f"{self.root}/{label}-{uuid.uuid4().hex[:8]}"
 
-    def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
-        path = self.path(label)
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
         schema = df.schema
         del df
@@ -55,10 +54,12 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(path)
 
+    def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
+        return self._write(df, self.path(label))
+
     def table(self, df: DataFrame, label: str = "t") -> DataFrame:
-        out = self.keep(df, label)
-        self.gone.append(out.inputFiles()[0].rpartition("/")[0] if out.inputFiles() else self.root)
-        return out
+        self.gone.append(self.path(label))
+        return self._write(df, self.gone[-1])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 from pyspark.sql import functions as F
 
-from mirrorframe.llm import chunk_prints, mixing, packing, quality, simhash, warc
+from mirrorframe.llm import chunk_prints, mixing, packing, quality, simhash, substrings, warc
 from mirrorframe.llm.common import Scratch, read
 
 
@@ -44,6 +44,10 @@ def op8_packing(spark, sf_dir):
                         public_tokenizers.path("byte_bpe_50k.tiktoken"), size=2048, end_id=1)
 
 
+def op9_substrings(spark, sf_dir):
+    return substrings.drop_repeats(read(spark, sf_dir, "documents"), window=20)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -51,6 +55,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
+    "op9_substrings": op9_substrings,
 }
 
 ORACLES = {}
