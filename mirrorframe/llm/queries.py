@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 from pyspark.sql import functions as F
 
-from mirrorframe.llm import chunk_prints, mixing, packing, quality, simhash, substrings, warc
+from mirrorframe.llm import chunk_prints, language, mixing, packing, quality, simhash, substrings, warc
 from mirrorframe.llm.common import Scratch, read
 
 
@@ -28,6 +28,14 @@ def op3_mixing(spark, sf_dir):
         "doc_id", "source", "copy", "n_copies", F.round("rate", 9).alias("rate"), "mix_key", "text")
 
 
+def op5_language(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    found = language.identify(docs, docs.filter(fifth != 0))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.quality_signals(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -52,6 +60,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op5_language": op5_language,
     "op6_quality_rules": op6_quality_rules,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
