@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 from pyspark.sql import functions as F
 
-from mirrorframe.llm import chunk_prints, language, mixing, packing, quality, simhash, substrings, warc
+from mirrorframe.llm import chunk_prints, credentials, language, main_text, mixing, packing, quality, simhash, substrings, warc
 from mirrorframe.llm.common import Scratch, read
 
 
@@ -28,6 +28,10 @@ def op3_mixing(spark, sf_dir):
         "doc_id", "source", "copy", "n_copies", F.round("rate", 9).alias("rate"), "mix_key", "text")
 
 
+def op4_main_text(spark, sf_dir):
+    return main_text.main_text(read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_language(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -56,15 +60,21 @@ def op9_substrings(spark, sf_dir):
     return substrings.drop_repeats(read(spark, sf_dir, "documents"), window=20)
 
 
+def op10_secrets(spark, sf_dir):
+    return credentials.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_main_text": op4_main_text,
     "op5_language": op5_language,
     "op6_quality_rules": op6_quality_rules,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
     "op9_substrings": op9_substrings,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES = {}
