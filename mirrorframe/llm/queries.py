@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from mirrorframe.llm import chunk_prints, credentials, language, main_text, mixing, packing, quality, simhash, substrings, warc
 from mirrorframe.llm.common import Scratch, read
 
@@ -65,6 +66,7 @@ def op10_secrets(spark, sf_dir):
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
@@ -78,3 +80,5 @@ QUERIES = {
 }
 
 ORACLES = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
