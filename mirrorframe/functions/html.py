@@ -1,26 +1,34 @@
 """HTML as a lossless token array, read and rewritten with built-in array and
 regex functions (no parser library, no Python UDF).
 
-A page is tokenised once into ``array<string>``: comments, whole
-``<script>``/``<style>`` elements, start/end tags, doctype and text runs.
+A page is tokenised once into ``array<string>``: comments, whole raw-text
+elements (``<script>``, ``<style>``, ``<title>``, ``<textarea>``), start/end
+tags, doctype and text runs.
 Joining the tokens gives back the input byte for byte, so untouched parts of
 a page are never re-serialised.
 """
 
 from __future__ import annotations
 
+import html as _html
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import ASSET_ATTRS
 from .urls import _c, let
 
+RAW_TEXT = "script|style|title|textarea"
 # Possessive quantifiers keep the Java regex engine from deep backtracking on
-# long attribute values / text runs.
+# long attribute values / text runs.  In a tag a quote opens a value only right
+# after '=', so an apostrophe inside an unquoted value is an ordinary character.
+_IN_TAG = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 TOKEN_PATTERN = (
     r"(?is)<!--.*?-->"
-    r"|<(script|style)\b[^>]*+>.*?</\1\s*+>"
-    r"|</?[a-z](?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+>"
+    rf"|<({RAW_TEXT})(?=[\s/>]){_IN_TAG}>.*?(?:</\1\s*+>|\z)"
+    rf"|</?[a-z]{_IN_TAG}>"
     r"|<![^>]*+>"
     r"|[^<]++"
     r"|<"
@@ -50,13 +58,41 @@ def is_start_tag(tok, names: list[str] | None = None) -> Column:
     return t.rlike(rf"(?i)^<(?:{alt})(?:[\s/>])")
 
 
+# A text as character references and what lies between them.  In an attribute a
+# name without ';' counts only if neither a letter, a digit nor '=' follows.
+_REFS = r"&#[0-9]++;?|&#[xX][0-9A-Fa-f]++;?|&[A-Za-z][A-Za-z0-9]*+;|&[A-Za-z][A-Za-z0-9]*+(?!=)|[^&]++|&"
+
+
+def _named_refs() -> Column:
+    """name -> characters of every named reference, as one literal map."""
+    return F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+
+
+def _numbered_refs() -> Column:
+    """What the numbers that name no character themselves stand for."""
+    odd = {n: _html.unescape(f"&#{n};") for n in [0, 13, *range(0x80, 0xA0)]}
+    return F.from_json(F.lit(json.dumps(odd)), "map<string,string>")
+
+
+def _char(number: Column) -> Column:
+    """Code point -> character; no character -> U+FFFD."""
+    ok = (number < 0xD800) | ((number > 0xDFFF) & (number <= 0x10FFFF))
+    utf32 = F.unhex(F.lpad(F.hex(number), 8, "0"))
+    return F.coalesce(F.try_element_at(_numbered_refs(), number.cast("string")),
+                      F.when(ok, F.decode(utf32, "UTF-32")).otherwise(F.lit("\ufffd")))
+
+
 def unescape(v) -> Column:
-    """The basic character references found in attribute values."""
-    x = _c(v)
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-                    ("&amp;", "&")):
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return x
+    """Character references decoded: numeric, and all named ones."""
+    def one(t):
+        digits = F.regexp_extract(t, r"^&#(?:[xX]0*([0-9A-Fa-f]{1,8})|0*([0-9]{1,10}));?$", 0)
+        value = F.when(digits.rlike("^&#[xX]"), F.conv(F.regexp_extract(t, "^&#[xX]([0-9A-Fa-f]+)", 1), 16, 10)
+                       ).otherwise(F.regexp_extract(t, "^&#([0-9]+)", 1)).try_cast("long")
+        return (F.when(t.startswith("&#") & (F.length(t) > 2), _char(F.coalesce(value, F.lit(0x110000).cast("long"))))
+                .when(t.startswith("&"), F.coalesce(F.try_element_at(_named_refs(), F.substring(t, 2, 64)), t))
+                .otherwise(t))
+    return let(_c(v), lambda x: F.when(
+        x.contains("&"), F.array_join(F.transform(F.regexp_extract_all(x, F.lit(_REFS), 0), one), "")).otherwise(x))
 
 
 def _unquote(raw: Column) -> Column:
@@ -64,11 +100,11 @@ def _unquote(raw: Column) -> Column:
 
 
 def start_tag(tok) -> Column:
-    """The start tag of a token; for a whole ``<script>``/``<style>`` element
-    token only its opening tag (the body is never read as attributes)."""
+    """The start tag of a token; for a whole raw-text element only its opening
+    tag (the body is never read as attributes)."""
     t = _c(tok)
-    return F.when(t.rlike(r"(?i)^<(?:script|style)\b"),
-                  F.regexp_extract(t, r"(?is)^<(?:script|style)\b[^>]*+>", 0)).otherwise(t)
+    return F.when(t.rlike(rf"(?i)^<(?:{RAW_TEXT})(?=[\s/>])"),
+                  F.regexp_extract(t, rf"(?is)^<(?:{RAW_TEXT})(?=[\s/>]){_IN_TAG}>", 0)).otherwise(t)
 
 
 def attributes(tok) -> Column:
@@ -124,7 +160,7 @@ def drop_attrs(attrs: Column, names: list[str]) -> Column:
 
 def element_text(tok, name: str) -> Column:
     """Body of a raw-text element token (``<style>…</style>``)."""
-    return F.regexp_extract(_c(tok), rf"(?is)^<{name}\b[^>]*+>(.*)</{name}\s*+>$", 1)
+    return F.regexp_extract(_c(tok), rf"(?is)^<{name}(?=[\s/>]){_IN_TAG}>(.*?)(?:</{name}\s*+>)?$", 1)
 
 
 def asset_attr_map() -> Column:

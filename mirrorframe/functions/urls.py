@@ -289,17 +289,49 @@ def file_path(url, content_type=None, parts: Column | None = None) -> Column:
     return safe_path(local_path(url, content_type, parts))
 
 
+# Month names and zone names (hours from UTC) of HTTP dates (fixed values).
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_ZONES = {"EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2}))?"
+_DATES = [  # pattern, and which of its groups are day, month and year
+    (r"(?i)(\d{1,2})[ -]+([a-z]{3})[a-z]*[ -]+(\d{4}|\d{2})\s+" + _CLOCK, (1, 2, 3, 4)),
+    (r"(?i)^[a-z]{3,9},?\s+([a-z]{3})\s+(\d{1,2})\s+" + _CLOCK + r"\s+(\d{4})", (2, 1, 6, 3)),
+]
+
+
+def http_date(value) -> Column:
+    """An HTTP date (RFC 1123, RFC 850 or asctime form, with a named or
+    numeric zone; none is UTC) as a timestamp, whatever the session's zone."""
+    v = _c(value)
+    month = F.create_map(*[x for i, m in enumerate(_MONTHS) for x in (F.lit(m), F.lit(i + 1))])
+    zone = F.create_map(*[x for k, h in _ZONES.items() for x in (F.lit(k), F.lit(h * 3600))])
+
+    def form(pattern, groups):
+        d, m, y, clock = groups
+        get = lambda i: F.regexp_extract(v, pattern, i).try_cast("int")
+        year = get(y)
+        year = F.when(F.length(F.regexp_extract(v, pattern, y)) > 2, year).when(year < 69, year + 2000).otherwise(year + 1900)
+        return F.try_make_timestamp(
+            year, F.try_element_at(month, F.lower(F.regexp_extract(v, pattern, m))), get(d), get(clock), get(clock + 1),
+            F.coalesce(get(clock + 2), F.lit(0)).cast("decimal(8,6)"), F.lit("UTC"))
+
+    sign = F.when(F.regexp_extract(v, r"([+-])\d{4}\s*$", 1) == "-", -1).otherwise(1)
+    hhmm = F.regexp_extract(v, r"[+-](\d{4})\s*$", 1)
+    offset = F.coalesce(
+        F.when(hhmm != "", sign * (F.substring(hhmm, 1, 2).cast("int") * 3600 + F.substring(hhmm, 3, 2).cast("int") * 60)),
+        F.try_element_at(zone, F.upper(F.regexp_extract(v, r"([A-Za-z]{3})\s*$", 1))), F.lit(0))
+    return F.coalesce(*[form(*x) for x in _DATES]) - F.make_interval(secs=offset)
+
+
 def retry_after_seconds(value, now) -> Column:
     """Retry-After header -> seconds: a number as is, an HTTP-date as
     max(0, date - now), anything else NULL."""
     v = F.trim(_c(value))
     num = v.try_cast("double")
-    date_txt = F.regexp_extract(v, r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
-    ts = F.try_to_timestamp(date_txt, F.lit("d MMM yyyy HH:mm:ss"))
-    delta = F.unix_micros(ts) / 1e6 - F.unix_micros(_c(now).cast("timestamp")) / 1e6
+    delta = F.unix_micros(http_date(v)) / 1e6 - F.unix_micros(_c(now).cast("timestamp")) / 1e6
     return (F.when((v == "") | v.isNull(), F.lit(None).cast("double"))
             .when(num.isNotNull(), num)
-            .when(ts.isNotNull(), F.greatest(F.lit(0.0), delta))
+            .when(delta.isNotNull(), F.greatest(F.lit(0.0), delta))
             .otherwise(F.lit(None).cast("double")))
 
 

@@ -26,12 +26,15 @@ SRCSET_ATTRS = ["srcset", "data-srcset"]
 
 def corpus(pages: DataFrame) -> DataFrame:
     """One row per normalised URL: ``(norm_url, page_id, url, html)``; the
-    lowest ``page_id`` wins when the corpus holds several copies."""
-    return (pages.select("page_id", "url", "html")
-            .withColumn("norm_url", U.normalize_url("url"))
-            .groupBy("norm_url")
-            .agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p"))
-            .select("norm_url", "p.page_id", "p.url", "p.html"))
+    lowest ``page_id`` wins when the corpus holds several copies.  Only keys
+    are aggregated; the html stays where it was read, and the losing pages are
+    taken out by their id."""
+    keys = pages.select("page_id", U.normalize_url("url").alias("norm_url"))
+    copies = (keys.groupBy("norm_url").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+              .where("n > 1"))
+    losers = keys.join(copies, "norm_url").where("page_id != first").select("page_id")
+    return pages.join(losers, "page_id", "left_anti").select(
+        U.normalize_url("url").alias("norm_url"), "page_id", "url", "html")
 
 
 def with_tokens(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -51,7 +54,8 @@ def _link_row(bp: Column, base: Column, seed_netloc: Column, follow: bool, tok:
         return let(U.resolve_parts(bp, base, h), lambda a: let(U.url_parts(a), lambda p: F.struct(
             i.alias("pos"), h.alias("href"), a.alias("abs_url"),
             U.normalize_parts(p).alias("norm_url"),
-            (ok & (F.lit(follow) | (p["netloc"] == seed_netloc)) & U.is_html_parts(p)).alias("keep"))))
+            (ok & p["scheme"].isin("http", "https") & (F.lit(follow) | (p["netloc"] == seed_netloc))
+             & U.is_html_parts(p)).alias("keep"))))
     return let(H.attr_value(tok, "href"), with_href)
 
 
@@ -61,17 +65,17 @@ def extract_links(pages: DataFrame, base_col: str = "url", seed_col: str | None
     ``(*keep, page_id, pos, href, abs_url, norm_url)``.
 
     Skips empty hrefs and ``#`` / ``javascript:`` / ``mailto:``; resolves
-    against ``base_col``; keeps same-domain (netloc of ``seed_col``, default
+    against ``base_col``; keeps http(s) targets on the same domain (netloc of ``seed_col``, default
     the page itself) or all when ``follow_domains``; keeps HTML-like targets.
     Duplicates are retained (``pos`` is the index among ``<a>`` tags)."""
     keep = list(keep or [])
-    rows = _link_rows("tokens" if "tokens" in pages.columns else None, base_col, seed_col, follow_domains)
+    rows = link_rows("tokens" if "tokens" in pages.columns else None, base_col, seed_col, follow_domains)
     return (pages.select(*keep, "page_id", F.inline(rows))
             .drop("keep"))
 
 
 @lru_cache(maxsize=64)
-def _link_rows(tokens_col: str | None, base_col: str, seed_col: str | None, follow_domains: bool) -> Column:
+def link_rows(tokens_col: str | None, base_col: str, seed_col: str | None, follow_domains: bool) -> Column:
     """The per-page link-row expression, built once per signature: Column
     trees are reusable across DataFrames, and building them is many JVM
     calls (this matters in the crawl loop, which re-plans every level)."""
@@ -162,21 +166,23 @@ def extract_meta_refresh(pages: DataFrame, base_col: str = "url", keep: list[str
     """Target of the first ``<meta http-equiv=refresh>`` of each page that has
     a ``url=`` in its content: ``(*keep, page_id, pos=-1, abs_url, norm_url)``."""
     keep = list(keep or [])
-    target, norm = _refresh_exprs("tokens" if "tokens" in pages.columns else None)
-    out = (pages.select(*keep, "page_id", F.col(base_col).alias("_base"), target.alias("_t"))
-           .where(F.col("_t").isNotNull() & (F.col("_t") != "")))
-    out = out.withColumn("abs_url", U.resolve_url("_base", "_t"))
-    return out.select(*keep, "page_id", F.lit(-1).alias("pos"), "abs_url", norm.alias("norm_url"))
+    rows = refresh_rows("tokens" if "tokens" in pages.columns else None, base_col)
+    return pages.select(*keep, "page_id", F.inline(rows))
 
 
 @lru_cache(maxsize=8)
-def _refresh_exprs(tokens_col: str | None):
+def refresh_rows(tokens_col: str | None, base_col: str) -> Column:
     toks = F.col(tokens_col) if tokens_col else H.tokenize_html("html")
-    metas = F.filter(toks, lambda t: H.is_start_tag(t, ["meta"])
-                     & (F.lower(H.attr_value(t, "http-equiv")) == "refresh"))
+    metas = F.filter(F.filter(toks, lambda t: H.is_start_tag(t, ["meta"])),
+                     lambda t: F.lower(H.attr_value(t, "http-equiv")) == "refresh")
     content = H.attr_value(F.try_element_at(metas, F.lit(1)), "content")
     target = F.regexp_extract(content, r"""(?i)url\s*=\s*["']?([^"'\s>]+)""", 1)
-    return target, U.normalize_url("abs_url")
+
+    def row(t):
+        return U.let(U.resolve_url(F.col(base_col), t), lambda a: F.struct(
+            F.lit(-1).alias("pos"), a.alias("abs_url"), U.normalize_url(a).alias("norm_url")))
+    # no target: no row
+    return F.transform(F.filter(F.array(target), lambda t: t != ""), row)
 
 
 def extract_style_blocks(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ JOB_FIELDS = ["url", "status", "pages_cloned", "max_pages", "current_url", "outp
               "started_at", "created_at"]
 
 
-def _latest(field: str) -> Column:
+def latest_field(field: str) -> Column:
     """max_by ignores rows whose ordering is NULL: a NULL patch never wins."""
     order = F.when(F.col(field).isNotNull(), F.struct("ts", "seq"))
     return F.max_by(F.col(field), order).alias(field)
@@ -32,7 +32,7 @@ def job_status(patches: DataFrame) -> DataFrame:
     fields = [f for f in JOB_FIELDS if f in patches.columns]
     created = patches.where(F.col("kind") == "create").select("job_id").distinct()
     live = patches.join(created, "job_id", "left_semi")
-    jobs = live.groupBy("job_id").agg(*[_latest(f) for f in fields])
+    jobs = live.groupBy("job_id").agg(*[latest_field(f) for f in fields])
     return jobs.withColumn("progress", progress_pct("pages_cloned", "max_pages", F.col("status")))
 
 

@@ -2,46 +2,78 @@
 retry plan (W6), per-host politeness schedule (W3), byte budget (W2, P6) and
 private-address blocking (U9, J4, P4).
 
-Per-key running counts/sums use ``prefix_sum``: the input is range
-partitioned on (key, order) so one hot key (a host or crawl holding a third
-of all rows) is split across many tasks; each task sums locally and adds the
-totals of the earlier ranges of the same key.
+Per-key running sums and maxima use ``prefix``: the rows are range partitioned
+on (key, order), so one hot key (a host or crawl holding a third of all rows)
+is split across many tasks; each task works locally and adds the totals of the
+earlier ranges of the same key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BURST, MAX_ASSET_SIZE, MAX_RETRIES, MAX_TOTAL_BYTES, RATE_PER_SEC
 from ..functions import urls as U
-from ..session import cut_lineage
+from ..session import Scratch
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys are equal; the key columns of the left."""
+    r = right.select(*[F.col(k).alias("_n_" + k) for k in keys], *[c for c in right.columns if c not in keys])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("_n_" + k)) for k in keys])
+    return left.join(r, cond, how).drop(*["_n_" + k for k in keys])
+
+
+def ranged(df: DataFrame, keys: list[str], order: list[str], scratch: Scratch,
+           partitions: int | None = None) -> DataFrame:
+    """The rows in ranges of (key, order), each with its range number ``_pid``.
+    The input is written before it is sampled and once more in its ranges, so
+    that it is computed once and the numbers never change."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scratch.keep(scratch.table(df).repartitionByRange(n, *keys, *order)
+                        .withColumn("_pid", F.spark_partition_id()))
+
+
+def prefix_over(rows: DataFrame, keys: list[str], order: list[str], value: Column, out: str = "cum",
+                how: str = "sum", before: str | None = None) -> DataFrame:
+    """Running ``sum`` or ``max`` of ``value`` over ``ranged`` rows, inclusive
+    as ``out`` and, if asked for, exclusive as ``before`` (NULL at a key's first
+    row for a maximum)."""
+    agg = {"sum": F.sum, "max": F.max}[how]
+    both = (lambda a, b: a + b) if how == "sum" else F.greatest
+    rows = rows.withColumn("_v", value)
+    w = Window.partitionBy(*keys, "_pid").orderBy(*order)
+    here = rows.withColumn("_in", agg("_v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if before:
+        here = here.withColumn("_ex", agg("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    total = rows.groupBy(*keys, "_pid").agg(agg("_v").alias("_t"))
+    w2 = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = total.select(*keys, "_pid", agg("_t").over(w2).alias("_off"))
+    j = null_safe(here, off, [*keys, "_pid"])
+    if how == "sum":
+        j = j.withColumn("_off", F.coalesce("_off", F.lit(0)))
+    j = j.withColumn(out, both(F.col("_in"), F.col("_off")))
+    if before:
+        ex = F.coalesce("_ex", F.lit(0)) if how == "sum" else F.col("_ex")
+        j = j.withColumn(before, both(ex, F.col("_off")))
+    return j.drop("_v", "_in", "_ex", "_off")
 
 
 def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: Column | None = None,
                out: str = "cum", partitions: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` (default 1 = running count) per
-    ``keys`` in ``order``; ``order`` must be unique within a key."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = value if value is not None else F.lit(1)
-    r = (df.withColumn("_v", v).repartitionByRange(n, *keys, *order)
-         .withColumn("_pid", F.spark_partition_id()))
-    w = (Window.partitionBy(*keys, "_pid").orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # Materialise once: partition ids are fixed for both uses below (and for
-    # any recomputation after an executor loss).
-    local = cut_lineage(r.withColumn("_local", F.sum("_v").over(w)))
-    tot = local.groupBy(*keys, "_pid").agg(F.sum("_v").alias("_tot"))
-    w2 = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.withColumn("_off", F.coalesce(F.sum("_tot").over(w2), F.lit(0))).drop("_tot")
-    return (local.join(off, [*keys, "_pid"])
-            .withColumn(out, F.col("_local") + F.col("_off"))
-            .drop("_v", "_pid", "_local", "_off"))
+    ``keys`` in ``order``, which is unique within a key.  NULL keys are a key."""
+    with Scratch(df.sparkSession, "prefix") as scratch:
+        rows = ranged(df, keys, order, scratch, partitions)
+    return prefix_over(rows, keys, order, value if value is not None else F.lit(1), out).drop("_pid")
 
 
 # ---------------------------------------------------------------------------
-# W3 politeness schedule (token bucket, all requests queued at t=0)
+# W3 politeness schedule (token bucket, all requests queued at t=0), T4 with
+# arrivals
 # ---------------------------------------------------------------------------
 
 def host_schedule(requests: DataFrame, order: list[str], host_col: str = "host",
@@ -56,6 +88,41 @@ def host_schedule(requests: DataFrame, order: list[str], host_col: str = "host",
             .drop("_cnt"))
 
 
+def token_bucket(requests: DataFrame, state: DataFrame | None = None, rate: float = RATE_PER_SEC, burst: int = BURST,
+                 id_col: str = "event_id") -> tuple[DataFrame, DataFrame]:
+    """T4: ``requests(event_id, host, arrival)`` -> (starts, state).
+
+    A request starts when it has arrived, its host's previous request has
+    started and the bucket (full at first) holds a token.  In (arrival, id)
+    order the n-th request (0-based) of a host starts at
+    ``max(a_n, (n - burst + 1) / rate + max over earlier k of (a_k - k / rate))``,
+    so a running maximum is all that is needed, and ``state(host, seen, peak)``
+    (requests so far, that maximum) carries it over to later requests.
+    ``starts`` adds ``start_at`` and ``wait_s`` to the requests."""
+    spark = requests.sparkSession
+    with Scratch(spark, "bucket") as scratch:
+        rows = requests.select(id_col, "host", F.col("arrival").cast("double").alias("arrival"))
+        order = ["arrival", id_col]
+        base = ranged(rows, ["host"], order, scratch)
+        if state is not None:
+            base = null_safe(base, state.select("host", "seen", "peak"), ["host"], "left")
+        else:
+            base = base.withColumn("seen", F.lit(None).cast("long")).withColumn("peak", F.lit(None).cast("double"))
+        numbered = prefix_over(base, ["host"], order, F.lit(1), "_n").withColumn(
+            "_n", F.col("_n") - 1 + F.coalesce("seen", F.lit(0)))
+        done = scratch.keep(prefix_over(numbered, ["host"], order, F.col("arrival") - F.col("_n") / float(rate),
+                                        "_top", "max", "_earlier"))
+    earliest = F.greatest("_earlier", "peak") + (F.col("_n") - burst + 1) / float(rate)
+    start = F.greatest("arrival", earliest)  # greatest() passes over NULLs
+    starts = done.select(id_col, "host", "arrival", start.alias("start_at"), (start - F.col("arrival")).alias("wait_s"))
+    new = done.groupBy("host").agg((F.max("_n") + 1).alias("seen"),
+                                   F.greatest(F.max("_top"), F.max("peak")).alias("peak"))
+    if state is not None:
+        old = state.select("host", "seen", "peak")
+        new = new.unionByName(null_safe(old, new.select("host"), ["host"], "left_anti"))
+    return starts, new
+
+
 # ---------------------------------------------------------------------------
 # S2 / S3 response classification, U12 Retry-After, W6 retry plan
 # ---------------------------------------------------------------------------
@@ -131,67 +198,49 @@ def retry_plan(responses: DataFrame, kind: str = "page", max_retries: int = MAX_
 # ---------------------------------------------------------------------------
 
 def byte_budget(items: DataFrame, key: str, order: list[str], size_col: str = "size",
-                max_asset: float = MAX_ASSET_SIZE, max_total: float = MAX_TOTAL_BYTES,
-                max_rounds: int = 10_000) -> DataFrame:
-    """Greedy admission in ``order`` per ``key``: an item is admitted when it is
-    at most ``max_asset`` and fits in what is left of ``max_total``; an item that
-    does not fit is skipped and later smaller items may still fit.
-
-    Exact, in rounds: a running sum over the undecided items admits the
-    prefix that fits; the first item that overflows is skipped, the budget left
-    at that point is fixed, and every later item larger than it is skipped for
-    good.  Repeats until no item is undecided (each round decides at least one
-    item per open key).  Adds ``admitted``."""
-    base = items.withColumn("_size", F.col(size_col).cast("double"))
-    small = F.col("_size") <= F.lit(float(max_asset))
-    too_big = base.where(~small)
-    decided = [too_big.withColumn("admitted", F.lit(False))]
-    # keys whose admissible items all fit are decided without rounds (a
-    # partial aggregate, no ordering needed)
-    totals = base.where(small).groupBy(key).agg(F.sum("_size").alias("_t"))
-    fit_keys = totals.where(F.col("_t") <= F.lit(float(max_total))).select(key)
-    decided.append(base.where(small).join(fit_keys, key, "left_semi").withColumn("admitted", F.lit(True)))
-    und = cut_lineage(base.where(small).join(fit_keys, key, "left_anti"))
-    rem = cut_lineage(und.select(key).distinct().withColumn("_rem", F.lit(float(max_total))))
-    ocols = list(order)
-    left = und.count()
-    for _ in range(max_rounds):
-        if left == 0:
-            break
-        c = prefix_sum(und, [key], ocols, F.col("_size"), out="_cum").join(rem, key)
-        fits = F.col("_cum") <= F.col("_rem")
-        first_over = (c.where(~fits).groupBy(key)
-                      .agg(F.min(F.struct(*ocols, "_cum", "_size")).alias("_j")))
-        first_over = first_over.select(key, *[F.col("_j")[o].alias("_j_" + o) for o in ocols],
-                                       (F.col("_j._cum") - F.col("_j._size")).alias("_used"))
-        c = c.join(first_over, key, "left")
-        gt = F.lit(False)
-        eq = F.lit(True)
-        for o in ocols:  # lexicographic (order) > (j order)
-            gt = gt | (eq & (F.col(o) > F.col("_j_" + o)))
-            eq = eq & (F.col(o) == F.col("_j_" + o))
-        has_j = F.col("_used").isNotNull()
-        # a key with no overflowing item has no j: nothing is after it
-        after_j = F.when(has_j, F.coalesce(gt, F.lit(False))).otherwise(F.lit(False))
-        is_j = F.when(has_j, F.coalesce(eq, F.lit(False))).otherwise(F.lit(False))
-        new_rem = F.col("_rem") - F.col("_used")
-        state = (F.when(fits & ~after_j, F.lit("admit"))
-                 .when(is_j, F.lit("skip"))
-                 .when(has_j & after_j & (F.col("_size") > new_rem), F.lit("skip"))
-                 .otherwise(F.lit("open")))
-        c = cut_lineage(c.withColumn("_state", state).withColumn("_new_rem", F.coalesce(new_rem, F.col("_rem"))))
-        decided.append(c.where(F.col("_state") != "open").withColumn("admitted", F.col("_state") == "admit")
-                       .select(*items.columns, "_size", "admitted"))
-        rem = cut_lineage(c.groupBy(key).agg(F.min("_new_rem").alias("_rem")))
-        und = cut_lineage(c.where(F.col("_state") == "open").select(*items.columns, "_size"))
-        now_left = und.count()
-        if now_left >= left:
-            raise RuntimeError("byte_budget made no progress (order columns must be non-NULL and unique)")
-        left = now_left
-    out = decided[0].select(*items.columns, "_size", "admitted")
-    for d in decided[1:]:
-        out = out.unionByName(d)
-    return out.drop("_size")
+                max_asset: float = MAX_ASSET_SIZE, max_total: float = MAX_TOTAL_BYTES) -> DataFrame:
+    """Greedy admission in ``order`` (unique within a key) per ``key``: an item
+    is admitted when it is at most ``max_asset`` and fits in what is left of
+    ``max_total``; one that does not fit is skipped and later smaller ones may
+    still fit.  Adds ``admitted``; an item of unknown size is not admitted, a
+    NULL key is a key of its own.
+
+    Exact, in phases.  With r left and T the largest power of two up to r,
+    items up to T fit until their running sum brings r below T, and a larger
+    item fits only if it is at most r minus the sum before it.  The first such
+    event of a key ends its phase: all before it is decided, and less than T
+    is left.  So the phases follow the number of binary digits of
+    ``max_total`` over the smallest size, never the number of items.  Only
+    (key, order, size) rows take part, in ranges that are dealt out once."""
+    with Scratch(items.sparkSession, "budget") as scratch:
+        size = F.col(size_col).cast("double")
+        ok = size.isNotNull() & (size <= F.lit(float(max_asset))) & (size <= F.lit(float(max_total)))
+        narrow = items.where(ok).select(F.col(key).alias("_k"), F.struct(*order).alias("_o"), size.alias("_s"))
+        open_ = ranged(narrow, ["_k"], ["_o"], scratch).withColumn("_r", F.lit(float(max_total)))
+        admitted = []
+        while True:
+            power = F.pow(F.lit(2.0), F.floor(F.log2("_r")))
+            t = F.when(F.col("_r") > 0, F.when(power > F.col("_r"), power / 2).otherwise(power)).otherwise(F.lit(0.0))
+            small = F.col("_s") <= F.col("_t")
+            c = prefix_over(open_.withColumn("_t", t), ["_k"], ["_o"], F.when(small, F.col("_s")).otherwise(0.0),
+                            "_cum", before="_before")
+            left = F.col("_r") - F.when(small, F.col("_cum")).otherwise(F.col("_before") + F.col("_s"))
+            event = F.when(small, left < F.col("_t")).otherwise(left >= 0)
+            c = c.select("_k", "_o", "_s", "_pid", small.alias("_small"), event.alias("_event"), left.alias("_left"))
+            first = c.where("_event").groupBy("_k").agg(F.min(F.struct("_o", "_left")).alias("_e"))
+            j = null_safe(c, first, ["_k"], "left")
+            decided = F.col("_e").isNull() | (F.col("_o") <= F.col("_e._o"))
+            j = scratch.table(j.select("_k", "_o", "_s", "_pid", decided.alias("_decided"),
+                                       (decided & (F.col("_small") | (F.col("_o") == F.col("_e._o")))).alias("_in"),
+                                       F.col("_e._left").alias("_r")))
+            admitted.append(j.where("_in").select("_k", "_o"))
+            # what is larger than the rest of the budget never fits
+            open_ = j.where(~F.col("_decided") & (F.col("_s") <= F.col("_r"))).select("_k", "_o", "_s", "_pid", "_r")
+            if open_.isEmpty():
+                break
+        chosen = scratch.keep(reduce(DataFrame.unionByName, admitted).withColumn("admitted", F.lit(True)))
+    j = items.join(chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.struct(*order).eqNullSafe(F.col("_o"))), "left")
+    return j.select(*[items[c] for c in items.columns], F.coalesce("admitted", F.lit(False)).alias("admitted"))
 
 
 # ---------------------------------------------------------------------------
@@ -224,7 +273,10 @@ def _v4_num(s: str) -> int:
 
 def ipv4_to_long(ip) -> Column:
     """Dotted IPv4 -> number; NULL when not a valid dotted quad."""
-    s = U._c(ip)
+    return U.let(U._c(ip), _ipv4_to_long)
+
+
+def _ipv4_to_long(s: Column) -> Column:
     parts = F.split(s, r"\.")
     ok = s.rlike(r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$")
     num = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.cast("long"))
@@ -234,24 +286,24 @@ def ipv4_to_long(ip) -> Column:
 def is_private_ip(ip) -> Column:
     """Private, loopback or link-local IPv4 address (range test folded into
     one OR of BETWEENs; no join)."""
-    n = ipv4_to_long(ip)
-    cond = F.lit(False)
-    for lo, hi in PRIVATE_V4:
-        cond = cond | n.between(_v4_num(lo), _v4_num(hi))
-    return F.coalesce(n.isNotNull() & cond, F.lit(False))
+    def test(n):
+        inside = reduce(lambda a, b: a | b, [n.between(_v4_num(lo), _v4_num(hi)) for lo, hi in PRIVATE_V4])
+        return F.coalesce(inside, F.lit(False))
+    return U.let(ipv4_to_long(ip), test)
 
 
 def block_private(df: DataFrame, url_col: str = "url", dns: DataFrame | None = None) -> DataFrame:
     """Adds ``host``, ``ip`` and ``is_private``.  A literal IPv4 host is its own
     address; names are looked up in ``dns(host, ip)`` (left join); a missing
     host or a failed lookup is not private."""
-    out = df.withColumn("host", U.host_of(url_col))
-    literal = ipv4_to_long("host").isNotNull()
-    if dns is not None:
-        d = dns.select(F.lower("host").alias("_dh"), F.col("ip").alias("_dip"))
-        out = out.join(d, out["host"] == d["_dh"], "left")
-        ip = F.when(literal, F.col("host")).otherwise(F.col("_dip"))
-        out = out.withColumn("ip", ip).drop("_dh", "_dip")
+    found = U.let(U.host_of(url_col), lambda h: F.struct(h.alias("host"), F.when(
+        ipv4_to_long(h).isNotNull(), h).alias("ip")))
+    out = df.withColumn("_h", F.explode(F.array(found)))  # parsed once
+    names = [F.col(c) for c in df.columns]
+    if dns is None:
+        out = out.select(*names, F.col("_h.host").alias("host"), F.col("_h.ip").alias("ip"))
     else:
-        out = out.withColumn("ip", F.when(literal, F.col("host")))
+        d = dns.select(F.lower("host").alias("_dh"), F.col("ip").alias("_dip"))
+        out = out.join(d, F.col("_h.host") == d["_dh"], "left").select(
+            *names, F.col("_h.host").alias("host"), F.coalesce("_h.ip", "_dip").alias("ip"))
     return out.withColumn("is_private", is_private_ip("ip"))

@@ -22,16 +22,23 @@ SRI_ATTRS = ["integrity", "crossorigin"]
 SRI_TAGS = ["script", "link", "style"]
 
 
-def _srcset_rewrite(v: Column, base: Column, bp: Column) -> Column:
+def _path(absu: Column, named: Column, parts: Column | None = None) -> Column:
+    """A3: where a URL is stored; ``named`` holds those whose first reference
+    had a content-type hint that decides."""
+    return F.coalesce(F.try_element_at(named, absu), U.file_path(absu, parts=parts))
+
+
+def _srcset_rewrite(v: Column, base: Column, bp: Column, named: Column, mapped) -> Column:
     def entry(e):
         toks = F.when(e["url"].isNotNull(), F.concat(
-            F.array(U.file_path(U.resolve_parts(bp, base, e["url"]))),
+            F.array(U.let(mapped(U.resolve_parts(bp, base, e["url"])), lambda a: _path(a, named))),
             F.slice(e["tokens"], 2, F.greatest(F.size(e["tokens"]) - 1, F.lit(0))))).otherwise(e["tokens"])
         return F.array_join(toks, " ")
     return F.array_join(F.transform(H.srcset_entries(v), entry), ", ")
 
 
-def _rewrite_attrs(name: Column, attrs: Column, base: Column, bp: Column, fetched: Column) -> Column:
+def _rewrite_attrs(name: Column, attrs: Column, base: Column, bp: Column, fetched: Column, named: Column,
+                   mapped) -> Column:
     """New attribute list of an asset tag (first occurrence of each asset
     attribute is considered, as a DOM would)."""
     attr_list = F.coalesce(F.try_element_at(H.asset_attr_map(), name), F.array().cast("array<string>"))
@@ -45,7 +52,7 @@ def _rewrite_attrs(name: Column, attrs: Column, base: Column, bp: Column, fetche
         first = F.array_position(lnames, ln) == (i + 1)
         eligible = first & F.array_contains(attr_list, ln) & v.isNotNull() & (v != "") & ~v.startswith("data:")
         new_v = (F.when(~eligible, F.lit(None).cast("string"))
-                 .when(ln.isin(X.SRCSET_ATTRS), _srcset_rewrite(v, base, bp))
+                 .when(ln.isin(X.SRCSET_ATTRS), _srcset_rewrite(v, base, bp, named, mapped))
                  .when((name == "link") & ~link_ok, F.lit(None).cast("string"))
                  .otherwise(F.try_element_at(fetched, U.resolve_parts(bp, base, v))))
         return let(new_v, lambda nv: F.when(nv.isNotNull() & (nv != v), F.struct(
@@ -55,41 +62,49 @@ def _rewrite_attrs(name: Column, attrs: Column, base: Column, bp: Column, fetche
         name.isin(SRI_TAGS), H.drop_attrs(out, SRI_ATTRS)).otherwise(out))
 
 
-def _rewrite_anchor(attrs: Column, base: Column, bp: Column, seed_netloc: Column, follow: bool) -> Column:
+def _rewrite_anchor(attrs: Column, base: Column, bp: Column, seed_netloc: Column, follow: bool, named: Column,
+                    mapped) -> Column:
     lnames = F.transform(attrs, lambda a: F.lower(a["name"]))
 
     def target(a, absu, p):
-        keep = ((p["netloc"] == seed_netloc) | (F.lit(follow) & p["scheme"].isin("http", "https"))) \
-            & U.is_html_parts(p)
-        return F.when(keep, let(U.file_path(absu, parts=p), lambda lp: F.struct(
+        keep = (p["scheme"].isin("http", "https") & ((p["netloc"] == seed_netloc) | F.lit(follow))
+                & U.is_html_parts(p))
+        return F.when(keep, let(_path(absu, named, p), lambda lp: F.struct(
             a["name"].alias("name"), H.quote_attr(lp).alias("raw"), lp.alias("value")))).otherwise(a)
 
     def one(a, i):
         v = a["value"]
         first = (F.lower(a["name"]) == "href") & (F.array_position(lnames, F.lit("href")) == (i + 1))
         return F.when(first & v.isNotNull() & (v != ""), let(
-            U.resolve_parts(bp, base, v),
+            mapped(U.resolve_parts(bp, base, v)),
             lambda absu: let(U.url_parts(absu), lambda p: target(a, absu, p)))).otherwise(a)
     return F.transform(attrs, one)
 
 
 def rewrite_tokens(tokens: Column, base: Column, seed: Column, fetched: Column,
-                   follow_domains: bool = False) -> Column:
-    """Map each token of a page to its offline form (see module doc)."""
+                   follow_domains: bool = False, named: Column | None = None, map_url=None) -> Column:
+    """Map each token of a page to its offline form (see module doc).
+    ``named`` (URL -> path) goes before the path that a URL has by itself;
+    ``map_url`` is applied to links and srcset entries (``fetched`` is keyed
+    by the URLs as the page gives them)."""
+    named = F.create_map().cast("map<string,string>") if named is None else F.coalesce(
+        named, F.create_map().cast("map<string,string>"))
+    mapped = map_url or (lambda c: c)
     asset_tags = [t for t, _ in ASSET_ATTRS]
     fetched = F.coalesce(fetched, F.create_map().cast("map<string,string>"))
     # base and seed parsed once per page
     per_page = F.struct(U.url_parts(base).alias("bp"), U.authority(seed).alias("sn"))
     return let(per_page, lambda pp: _rewrite_all(tokens, base, pp["bp"], pp["sn"], fetched, follow_domains,
-                                                 asset_tags))
+                                                 asset_tags, named, mapped))
 
 
-def _rewrite_all(tokens, base, bp, sn, fetched, follow_domains, asset_tags):
+def _rewrite_all(tokens, base, bp, sn, fetched, follow_domains, asset_tags, named, mapped):
     def one(t):
         def tag(info):
             st, name, attrs = info["st"], info["name"], info["attrs"]
-            new_attrs = (F.when(name == "a", _rewrite_anchor(attrs, base, bp, sn, follow_domains))
-                         .when(name.isin(asset_tags + ["style"]), _rewrite_attrs(name, attrs, base, bp, fetched))
+            new_attrs = (F.when(name == "a", _rewrite_anchor(attrs, base, bp, sn, follow_domains, named, mapped))
+                         .when(name.isin(asset_tags + ["style"]),
+                               _rewrite_attrs(name, attrs, base, bp, fetched, named, mapped))
                          .otherwise(attrs))
             new_st = let(new_attrs, lambda na: F.when(na == attrs, st).otherwise(H.rebuild_tag(st, na)))
             rest = F.substring(t, F.length(st) + 1, F.lit(2147483647))

@@ -4,7 +4,7 @@ A4, J6, J7, R1)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -12,7 +12,8 @@ from ..functions import urls as U
 
 def recrawl_diff(old: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
     """``snapshot(url, etag, last_modified, md5)`` old vs new ->
-    ``(url, change)`` with change in new / gone / changed / unchanged.
+    ``(url, change, request_header)`` with change in new / gone / changed /
+    unchanged; the header is what a conditional request for the URL sends.
     The ETag decides when both sides have one, else Last-Modified, else the
     content hash (the validators a conditional request would send)."""
     o = old.select(key, *[F.col(c).alias("o_" + c) for c in ("etag", "last_modified", "md5")])
@@ -28,7 +29,15 @@ def recrawl_diff(old: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
               .when(~F.col("n_present"), F.lit("gone"))
               .when(same, F.lit("unchanged"))
               .otherwise(F.lit("changed")))
-    return j.select(key, change.alias("change"))
+    return j.select(key, change.alias("change"), request_header("o_etag", "o_last_modified").alias("request_header"))
+
+
+def request_header(etag, last_modified) -> Column:
+    """The validator of a conditional request: the ETag, else the
+    Last-Modified date, else none."""
+    e, m = U._c(etag), U._c(last_modified)
+    return (F.when(e.isNotNull() & (e != ""), F.concat(F.lit("If-None-Match: "), e))
+            .when(m.isNotNull() & (m != ""), F.concat(F.lit("If-Modified-Since: "), m)))
 
 
 def plan_downloads(assets: DataFrame, snapshot: DataFrame | None = None, keys: list[str] | None = None,
@@ -47,14 +56,15 @@ def plan_downloads(assets: DataFrame, snapshot: DataFrame | None = None, keys: l
     return d
 
 
-def path_map(refs: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """A3: URL -> local path, decided by its first reference (with that
-    reference's content-type hint)."""
-    keys = list(keys or ["crawl_id"])
-    o = F.struct(*(order or ["first_ref"]))
-    first = refs.groupBy(*keys, "abs_url").agg(F.min_by("content_type", o).alias("content_type"))
-    return first.select(*keys, F.col("abs_url").alias("url"),
-                        U.file_path(F.col("abs_url"), F.col("content_type")).alias("local_path"))
+def path_map(refs: DataFrame) -> DataFrame:
+    """A3: ``refs(crawl_id, url, content_type, seq)`` -> ``(crawl_id, url,
+    local_path)`` of the URLs whose path their first reference's content-type
+    hint decides; all others are stored where the URL alone says."""
+    first = refs.groupBy("crawl_id", "url").agg(F.min_by("content_type", "seq").alias("content_type"))
+    named = first.where(F.col("content_type").isNotNull()).select(
+        "crawl_id", "url", U.file_path(F.col("url"), F.col("content_type")).alias("local_path"),
+        U.file_path(F.col("url")).alias("_plain"))
+    return named.where(F.col("local_path") != F.col("_plain")).drop("_plain")
 
 
 def last_writer(files: DataFrame, keys: list[str] | None = None, order: str = "write_seq") -> DataFrame:

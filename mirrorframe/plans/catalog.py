@@ -512,10 +512,15 @@ def job_status_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("job_status_stream", _JOBS_SQL)
 def job_status_stream_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..streaming.live import finish_job_rows, job_status_stream, read_table_stream, run_available
-    stream = read_table_stream(spark, sf_dir, "events")
-    table = run_available(job_status_stream(stream), "jobs", mode="complete")
-    return finish_job_rows(table).select(*_JOB_COLS)
+    """The patches (a table of several files) as a stream, in update mode."""
+    from ..operators.jobs import job_patches_from_events
+    from ..session import scratch_path
+    from ..streaming.live import job_status_stream, job_table, run_available
+    path = scratch_path(spark, "patches")
+    job_patches_from_events(_events(spark, sf_dir)).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+    return job_table(run_available(job_status_stream(stream), "jobs", mode="update")).select(*_JOB_COLS)
 
 
 JOBS_NOW = "2024-01-15 12:00:00"
@@ -540,10 +545,11 @@ def live_jobs_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("recrawl_diff", r"""
 SELECT 'doc://' || doc_id AS url,
-       CASE WHEN doc_id % 10 = 0 THEN 'gone' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS change
+       CASE WHEN doc_id % 10 = 0 THEN 'gone' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS change,
+       CASE doc_id % 3 WHEN 0 THEN 'If-None-Match: ' || md5(text) WHEN 1 THEN 'If-Modified-Since: v1' END AS request_header
 FROM documents
 UNION ALL
-SELECT 'doc://' || (doc_id + 100000000), 'new' FROM documents WHERE doc_id % 10 = 5""")
+SELECT 'doc://' || (doc_id + 100000000), 'new', NULL FROM documents WHERE doc_id % 10 = 5""")
 def recrawl_diff_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import derived
     from ..operators.snapshot import recrawl_diff
@@ -567,19 +573,25 @@ WHERE NOT (ext IN (""" + KNOWN_SQL + r""") AND ext NOT IN (""" + PAGE_SQL + r"""
 def stream_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.live import read_table_stream, run_available, streaming_frontier
     stream = read_table_stream(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return run_available(streaming_frontier(stream), "frontier", mode="append")
+    return run_available(streaming_frontier(stream), "frontier").drop("epoch")
 
 
-@register("token_bucket_stream")
-def token_bucket_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("token_bucket_stream", r"""
+WITH e AS (SELECT event_id, 'h' || (user_id % 5) AS host, epoch_us(ts) / 1e6 AS arrival FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY arrival, event_id) - 1 AS n FROM e),
+s AS (SELECT *, greatest(arrival, (n - 19) / 10.0 + max(arrival - n / 10.0) OVER (
+        PARTITION BY host ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS start_at FROM n)
+SELECT event_id, host, round(arrival, 6) AS arrival, round(start_at, 3) AS start_at, round(start_at - arrival, 3) AS wait_s
+FROM s""")
+def token_bucket_stream_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-host token bucket over request arrivals (events: host = user_id % 5,
-    arrival = ts).  A sequential recurrence: no SQL oracle; tested against a
-    brute-force simulation in tests/test_streaming.py."""
-    from ..streaming.live import read_table_stream, run_available, token_bucket
+    arrival = ts)."""
+    from ..streaming.live import read_table_stream, token_bucket_stream
     ev = read_table_stream(spark, sf_dir, "events")
     req = ev.select("event_id", F.concat(F.lit("h"), (F.col("user_id") % 5).cast("string")).alias("host"),
                     (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("arrival"))
-    return run_available(token_bucket(req), "bucket", mode="append")
+    return token_bucket_stream(req, "bucket").select("event_id", "host", *[
+        F.round(c, k).alias(c) for c, k in (("arrival", 6), ("start_at", 3), ("wait_s", 3))])
 
 
 # ---------------------------------------------------------------------------

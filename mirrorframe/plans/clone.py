@@ -1,6 +1,10 @@
 """C1 ``clone_site``: crawl -> hooks -> assets -> downloads (classified,
 byte-budgeted) -> rewrite -> snapshot files (last writer per path), for many
-seeds at once.  F1-F3 plugin hooks are plain Column/DataFrame functions."""
+seeds at once.  F1-F3 plugin hooks are plain Column/DataFrame functions.
+
+References are read from the chosen pages once, into a narrow table.  All
+policies work on keys, orders and sizes; bodies and html are joined last.
+"""
 
 from __future__ import annotations
 
@@ -14,16 +18,17 @@ from ..config import CrawlConfig
 from ..functions import css as C
 from ..functions import urls as U
 from ..operators import extract as X
-from ..operators.policy import byte_budget, classify_asset
+from ..operators.policy import block_private, byte_budget, classify_asset, null_safe
 from ..operators.rewrite import rewrite_tokens
-from ..operators.snapshot import last_writer, plan_downloads
+from ..operators.snapshot import last_writer, path_map, plan_downloads
+from ..session import Scratch
 from .crawl import crawl
 
 
 @dataclass
 class Hooks:
     """F1 ``after_html(url, html) -> html`` before rewriting; F2
-    ``map_url(url) -> url`` on every discovered asset URL; F3
+    ``map_url(url) -> url`` on every discovered URL; F3
     ``export(site_files)`` after the clone."""
 
     after_html: Callable[[Column, Column], Column] | None = None
@@ -31,111 +36,182 @@ class Hooks:
     export: Callable[[DataFrame], None] | None = None
 
 
-_ORDER = ["crawl_rank", "tag_rank", "tag_pos", "attr_rank", "srcset_idx"]
+#: The order in which a crawl meets its references: page, kind of tag, place on the page, attribute, srcset entry, and the
+#: reference inside a downloaded stylesheet (-1: the file itself).
+ORDER = ["crawl_rank", "tag_rank", "tag_pos", "attr_rank", "srcset_idx", "sheet_ref"]
+
+
+def accepted_responses(responses: DataFrame, max_asset_size: int) -> DataFrame:
+    """One accepted answer per URL, the latest by ``attempt`` and ``ts`` (where
+    the table has them; else by the hash of the body): ``(abs_url, size, _rk)``
+    names the rows of ``responses`` that ``with_body`` returns."""
+    rows = _ranked_responses(responses, max_asset_size)
+    return rows.groupBy("abs_url").agg(F.max("_rk").alias("_rk"), F.max_by("size", "_rk").alias("size"))
+
+
+def _ranked_responses(responses: DataFrame, max_asset_size: int) -> DataFrame:
+    by = [F.col(c) for c in ("attempt", "ts") if c in responses.columns]
+    return (responses.where(classify_asset("status", "size", url="url", max_asset_size=max_asset_size) == "accept")
+            .withColumn("_rk", F.struct(*by, F.md5("body").alias("hash")))
+            .withColumnRenamed("url", "abs_url"))
+
+
+def with_body(files: DataFrame, responses: DataFrame, max_asset_size: int) -> DataFrame:
+    """``files(abs_url, _rk, ...)`` with the body of that answer."""
+    bodies = _ranked_responses(responses, max_asset_size).select("abs_url", "_rk", "body")
+    wanted = files.select("abs_url", "_rk").distinct()
+    bodies = bodies.join(wanted, ["abs_url", "_rk"], "left_semi").dropDuplicates(["abs_url", "_rk"])
+    return files.join(bodies, ["abs_url", "_rk"])
 
 
 def clone_site(pages: DataFrame, seeds: DataFrame, cfg: CrawlConfig | None = None,
                responses: DataFrame | None = None, robots: DataFrame | None = None,
                sitemap_urls: DataFrame | None = None, hooks: Hooks | None = None,
-               corpus: DataFrame | None = None) -> DataFrame:
+               dns: DataFrame | None = None, snapshot: DataFrame | None = None) -> DataFrame:
     """Snapshot files ``(crawl_id, local_path, kind, source_url, content,
     write_seq)``.
 
-    ``responses(url, status, content_type, body, size)`` are the asset
-    answers (only 'accept' outcomes are stored, within the byte budget).
-    Pages, downloaded assets, stylesheets (their ``url()``/``@import``
-    rewritten) and files referenced from CSS (stored as fetched) are written;
-    the last write of a path wins."""
+    ``responses(url, status, content_type, body, size)`` are the asset answers
+    (only 'accept' outcomes are stored, within the byte budget);
+    ``snapshot(url)`` lists files of an earlier run, which are not stored again
+    but are referred to.  Pages, downloaded assets, stylesheets (their
+    ``url()``/``@import`` rewritten) and files referenced from CSS (stored as
+    fetched) are written; the last write of a path wins.  Only http(s) URLs off
+    private hosts are downloaded."""
     cfg = cfg or CrawlConfig()
     hooks = hooks or Hooks()
-    got = crawl(pages, seeds, cfg, robots=robots, sitemap_urls=sitemap_urls, corpus=corpus, keep_html=True)
-    if hooks.after_html is not None:
-        got = got.withColumn("html", hooks.after_html(F.col("norm_url"), F.col("html")))
-    tok = X.with_tokens(got)
-
-    # assets of <img>/<link>/<script>… and CSS references of <style> blocks
-    assets = X.extract_assets(tok, base_col="norm_url", keep=["crawl_id", "crawl_rank"])
-    styles = X.extract_style_blocks(tok, keep=["crawl_id", "crawl_rank", "norm_url"])
-    css_refs = X.extract_css_refs(styles, base_col="norm_url", keep=["crawl_id", "crawl_rank", "page_id", "pos"])
-    css_assets = css_refs.select(
-        "crawl_id", "crawl_rank", "page_id", F.lit(99).alias("tag_rank"), F.col("pos").alias("tag_pos"),
-        "ref_pos", F.col("ref_pos").alias("attr_rank"), F.lit(-1).alias("srcset_idx"), "abs_url",
-        F.lit(None).cast("string").alias("content_type"), F.lit(False).alias("is_stylesheet")).drop("ref_pos")
-    # ref_url: the URL as the page references it (rewrite key); abs_url: the
-    # URL downloaded (after the F2 hook)
-    assets = assets.withColumn("ref_url", F.col("abs_url"))
-    css_assets = css_assets.withColumn("ref_url", F.col("abs_url"))
-    if hooks.map_url is not None:
-        assets = assets.withColumn("abs_url", hooks.map_url(F.col("abs_url")))
-        css_assets = css_assets.withColumn("abs_url", hooks.map_url(F.col("abs_url")))
-    cols = ["crawl_id", "crawl_rank", "page_id", "tag_rank", "tag_pos", "attr_rank", "srcset_idx", "abs_url",
-            "ref_url", "content_type", "is_stylesheet"]
-    refs = assets.select(*cols).unionByName(css_assets.select(*cols))
-    refs = refs.where(U.valid_scheme("abs_url"))
-
-    plan = plan_downloads(refs)  # per crawl: first hint, first reference
-    plan = plan.select("crawl_id", "abs_url", "content_type", "is_stylesheet",
-                       *[F.col("first_ref")[o].alias("r_" + o) for o in _ORDER])
-    if responses is not None:
-        ok = responses.where(classify_asset("status", "size") == "accept").select(
-            F.col("url").alias("abs_url"), F.col("body"), F.col("size"))
-        dl = plan.join(ok, "abs_url")
-        dl = byte_budget(dl, "crawl_id", ["r_" + o for o in _ORDER] + ["abs_url"], "size",
-                         max_asset=cfg.max_asset_size, max_total=cfg.max_total_bytes).where("admitted")
-    else:
-        dl = plan.withColumn("body", F.lit(None).cast("binary")).withColumn("size", F.lit(0)).where(F.lit(False))
-    dl = dl.withColumn("local_path", U.file_path(F.col("abs_url"), F.col("content_type")))
-
-    # CSS files referenced by downloaded stylesheets (saved as fetched, Q8)
-    sheets = dl.where("is_stylesheet").select("crawl_id", "abs_url", "r_crawl_rank",
-                                              C.decode_css(F.col("body")).alias("css"))
-    sheet_refs = X.extract_css_refs(sheets.withColumn("page_id", F.lit(None).cast("long")), base_col="abs_url",
-                                    keep=["crawl_id", "r_crawl_rank"])
-    if responses is not None:
-        ok2 = responses.where(classify_asset("status", "size") == "accept").select(
-            F.col("url").alias("abs_url"), "body")
-        css_files = (sheet_refs.select("crawl_id", "r_crawl_rank", "abs_url", "local_path")
-                     .join(dl.select("crawl_id", "abs_url").withColumn("_have", F.lit(True)),
-                           ["crawl_id", "abs_url"], "left_anti")
-                     .join(ok2, "abs_url")
-                     .groupBy("crawl_id", "abs_url").agg(F.min_by(F.struct("local_path", "body"), "r_crawl_rank")
-                                                         .alias("f"), F.min("r_crawl_rank").alias("r_crawl_rank"))
-                     .select("crawl_id", "abs_url", "f.local_path", "f.body", "r_crawl_rank"))
-    else:
-        css_files = None
-
-    # J5 per page: assets downloaded in this crawl -> their local path
-    fetched = dl.select("crawl_id", "abs_url", "local_path")
-    maps = (refs.select("crawl_id", "page_id", "abs_url", "ref_url").distinct()
-            .join(fetched, ["crawl_id", "abs_url"])
-            .groupBy("crawl_id", "page_id")
-            .agg(F.map_from_entries(F.collect_list(F.struct("ref_url", "local_path"))).alias("fetched")))
-    pages_rw = tok.join(maps, ["crawl_id", "page_id"], "left")
+    spark = pages.sparkSession
+    with Scratch(spark, "clone") as scratch:
+        got = crawl(pages, seeds, cfg, robots=robots, sitemap_urls=sitemap_urls, keep_html=True, dns=dns,
+                    map_url=hooks.map_url)
+        if hooks.after_html is not None:
+            got = got.withColumn("html", hooks.after_html(F.col("norm_url"), F.col("html")))
+        got = scratch.keep(got.select("crawl_id", "page_id", "norm_url", "seed_url", "crawl_rank", "html"))
+        refs = scratch.table(_references(got, cfg, hooks))
+
+        files = refs.where("kind = 'file'")
+        allowed = block_private(files.select("abs_url").where(U.valid_scheme("abs_url")).distinct(), "abs_url", dns)
+        if cfg.block_private:
+            allowed = allowed.where(~F.col("is_private"))
+        allowed = scratch.table(allowed.select("abs_url"))
+        plan = plan_downloads(files.join(allowed, "abs_url", "left_semi"), order=ORDER)
+        plan = scratch.table(plan.select("crawl_id", "abs_url", "content_type", "is_stylesheet", "first_ref.*"))
+        have = snapshot.select(F.col("url").alias("abs_url")).distinct() if snapshot is not None else None
+        if responses is not None:
+            answers = scratch.table(accepted_responses(responses, cfg.max_asset_size))
+            stored = scratch.keep(_downloads(plan, answers, responses, have, cfg, hooks, dns, scratch))
+        else:
+            stored = scratch.keep(plan.where(F.lit(False)).withColumn("size", F.lit(0).cast("long"))
+                                  .withColumn("_rk", F.struct(F.lit("").alias("hash"))))
+        # A3: one path per URL, for links, assets and files
+        named = scratch.keep(path_map(refs.select(
+            "crawl_id", F.col("abs_url").alias("url"), "content_type", F.struct(
+                "crawl_rank", F.when(F.col("kind") == "file", 0).otherwise(1).alias("kind_rank"), *ORDER[1:]).alias("seq"))))
+        stored = stored.join(named.withColumnRenamed("url", "abs_url"), ["crawl_id", "abs_url"], "left").withColumn(
+            "local_path", F.coalesce("local_path", U.file_path(F.col("abs_url"), F.col("content_type"))))
+
+        # J5 per page: references that are there, now or from before, and paths that a hint has decided
+        there = stored.select("crawl_id", "abs_url", "local_path")
+        if have is not None:
+            old = plan.join(have, "abs_url", "left_semi").select(
+                "crawl_id", "abs_url", U.file_path(F.col("abs_url"), F.col("content_type")).alias("local_path"))
+            there = there.unionByName(old).dropDuplicates(["crawl_id", "abs_url"])
+        maps = (files.select("crawl_id", "page_id", "abs_url", "ref_url").distinct().join(there, ["crawl_id", "abs_url"])
+                .groupBy("crawl_id", "page_id")
+                .agg(F.map_from_entries(F.collect_set(F.struct("ref_url", "local_path"))).alias("fetched")))
+        names = (refs.select("crawl_id", "page_id", F.col("abs_url").alias("url")).distinct()
+                 .join(named, ["crawl_id", "url"]).groupBy("crawl_id", "page_id")
+                 .agg(F.map_from_entries(F.collect_set(F.struct("url", "local_path"))).alias("named")))
+        maps = scratch.keep(maps.join(names, ["crawl_id", "page_id"], "full_outer"))
+
+    tok = X.with_tokens(got.join(maps, ["crawl_id", "page_id"], "left"))
     html = F.array_join(rewrite_tokens(F.col("tokens"), F.col("norm_url"), F.col("seed_url"), F.col("fetched"),
-                                       cfg.follow_domains), "")
-    page_files = pages_rw.select(
-        "crawl_id", U.file_path(F.col("norm_url")).alias("local_path"), F.lit("page").alias("kind"),
-        F.col("norm_url").alias("source_url"), F.encode(html, "UTF-8").alias("content"),
-        F.struct(F.col("crawl_rank").cast("long").alias("r"), F.lit(1).alias("phase")).alias("write_seq"))
-    body = F.when(F.col("is_stylesheet"),
-                  F.encode(C.rewrite_css(C.decode_css(F.col("body")), F.col("abs_url")), "UTF-8")
-                  ).otherwise(F.col("body"))
-    asset_files = dl.select(
-        "crawl_id", "local_path", F.lit("asset").alias("kind"), F.col("abs_url").alias("source_url"),
-        body.alias("content"),
-        F.struct(F.col("r_crawl_rank").cast("long").alias("r"), F.lit(0).alias("phase")).alias("write_seq"))
-    files = page_files.unionByName(asset_files)
-    if css_files is not None:
-        files = files.unionByName(css_files.select(
+                                       cfg.follow_domains, F.col("named"), hooks.map_url), "")
+    # a page is written after its references
+    page_seq = F.struct(F.col("crawl_rank").cast("long").alias("r"), F.lit(1).alias("phase"), *[
+        F.lit(0).alias(c) for c in ORDER[1:]], F.col("norm_url").alias("u"))
+    page_files = tok.join(named.select("crawl_id", F.col("url").alias("norm_url"), F.col("local_path").alias("_named")),
+                          ["crawl_id", "norm_url"], "left").select(
+        "crawl_id", F.coalesce("_named", U.file_path(F.col("norm_url"))).alias("local_path"), F.lit("page").alias("kind"),
+        F.col("norm_url").alias("source_url"), F.encode(html, "UTF-8").alias("content"), page_seq.alias("write_seq"))
+    out = page_files
+    if responses is not None:
+        body = F.when(F.col("is_stylesheet"),
+                      F.encode(C.rewrite_css(C.decode_css(F.col("body")), F.col("abs_url")), "UTF-8")
+                      ).otherwise(F.col("body"))
+        seq = F.struct(F.col("crawl_rank").cast("long").alias("r"), F.lit(0).alias("phase"), *ORDER[1:],
+                       F.col("abs_url").alias("u"))
+        asset_files = with_body(stored, responses, cfg.max_asset_size).select(
             "crawl_id", "local_path", F.lit("asset").alias("kind"), F.col("abs_url").alias("source_url"),
-            F.col("body").alias("content"),
-            F.struct(F.col("r_crawl_rank").cast("long").alias("r"), F.lit(0).alias("phase")).alias("write_seq")))
-    out = last_writer(files, ["crawl_id"], "write_seq")
+            body.alias("content"), seq.alias("write_seq"))
+        out = out.unionByName(asset_files)
+    out = last_writer(out, ["crawl_id"], "write_seq")
     if hooks.export is not None:
         hooks.export(out)
     return out
 
 
+def _references(got: DataFrame, cfg: CrawlConfig, hooks: Hooks) -> DataFrame:
+    """Every reference of the chosen pages: files (assets and what ``<style>``
+    blocks refer to) and links.  ``ref_url``: the URL as the page gives it;
+    ``abs_url``: after the F2 hook."""
+    tok = X.with_tokens(got)
+    keep = ["crawl_id", "crawl_rank"]
+    assets = X.extract_assets(tok, base_col="norm_url", keep=keep).withColumn("kind", F.lit("file"))
+    styles = X.extract_style_blocks(tok, keep=[*keep, "norm_url"])
+    css = X.extract_css_refs(styles, base_col="norm_url", keep=[*keep, "page_id", "pos"])
+    css = css.select(*keep, "page_id", F.lit("file").alias("kind"), F.lit(99).alias("tag_rank"), F.col("pos").alias("tag_pos"),
+                     F.when(F.col("kind") == "url", F.col("ref_pos")).otherwise(F.col("ref_pos") + 1_000_000).alias("attr_rank"),
+                     F.lit(-1).alias("srcset_idx"), "abs_url", F.lit(None).cast("string").alias("content_type"),
+                     F.lit(False).alias("is_stylesheet"))
+    links = X.extract_links(tok, base_col="norm_url", seed_col="seed_url", follow_domains=cfg.follow_domains, keep=keep)
+    links = links.select(*keep, "page_id", F.lit("link").alias("kind"), F.lit(100).alias("tag_rank"),
+                         F.col("pos").cast("int").alias("tag_pos"), F.lit(0).alias("attr_rank"), F.lit(-1).alias("srcset_idx"),
+                         "abs_url", F.lit(None).cast("string").alias("content_type"), F.lit(False).alias("is_stylesheet"))
+    rows = assets.select(*css.columns).unionByName(css).unionByName(links)
+    mapped = hooks.map_url(F.col("abs_url")) if hooks.map_url else F.col("abs_url")
+    return rows.withColumn("ref_url", F.col("abs_url")).withColumn("abs_url", mapped).withColumn(
+        "sheet_ref", F.lit(-1)).where(~F.col("abs_url").startswith("data:"))
+
+
+def _downloads(plan: DataFrame, answers: DataFrame, responses: DataFrame, have: DataFrame | None, cfg: CrawlConfig,
+               hooks: Hooks, dns: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """The files that are stored: planned ones with an accepted answer, not
+    there yet, and within the byte budget; what a stored stylesheet refers to
+    comes right after it, under the same rules, and is not read further."""
+    def fresh(df):
+        return df if have is None else df.join(have, "abs_url", "left_anti")
+    direct = scratch.table(fresh(plan.join(answers, "abs_url")))
+    sheets = with_body(direct.where("is_stylesheet"), responses, cfg.max_asset_size)
+    sheets = sheets.select("crawl_id", *ORDER, F.col("abs_url").alias("sheet"), C.decode_css(F.col("body")).alias("css"))
+    inner = X.extract_css_refs(sheets, base_col="sheet", keep=["crawl_id", *ORDER[:-1], "sheet"])
+    mapped = hooks.map_url(F.col("abs_url")) if hooks.map_url else F.col("abs_url")
+    inner = inner.select("crawl_id", "sheet", *ORDER[:-1], F.when(F.col("kind") == "url", F.col("ref_pos")).otherwise(
+        F.col("ref_pos") + 1_000_000).alias("sheet_ref"), mapped.alias("abs_url"))
+    inner = block_private(inner.where(U.valid_scheme("abs_url")), "abs_url", dns)
+    if cfg.block_private:
+        inner = inner.where(~F.col("is_private"))
+    inner = fresh(inner.drop("host", "ip", "is_private").join(answers, "abs_url"))
+    inner = scratch.table(inner.withColumn("content_type", F.lit(None).cast("string")).withColumn(
+        "is_stylesheet", F.lit(False)))
+    direct = direct.withColumn("sheet", F.lit(None).cast("string"))
+    while True:
+        # of a URL met twice the first meeting counts
+        every = direct.unionByName(inner.select(*direct.columns))
+        first = every.groupBy("crawl_id", "abs_url").agg(
+            F.min_by(F.struct(*[c for c in direct.columns if c not in ("crawl_id", "abs_url")]), F.struct(*ORDER)).alias("f"))
+        cand = scratch.table(first.select("crawl_id", "abs_url", "f.*"))
+        judged = scratch.table(byte_budget(cand, "crawl_id", [*ORDER, "abs_url"], "size", max_asset=cfg.max_asset_size,
+                                           max_total=cfg.max_total_bytes))
+        # a stylesheet that was not stored refers to nothing: without the first such one's files the budget is looked at again
+        lost = judged.where(~F.col("admitted")).join(inner.select("crawl_id", F.col("sheet").alias("abs_url")).distinct(),
+                                                     ["crawl_id", "abs_url"], "left_semi")
+        worst = scratch.table(lost.groupBy("crawl_id").agg(F.min_by("abs_url", F.struct(*ORDER)).alias("sheet")))
+        if worst.isEmpty():
+            return judged.where("admitted").drop("admitted", "sheet")
+        inner = scratch.table(null_safe(inner, worst, ["crawl_id", "sheet"], "left_anti"))
+
+
 def progress_log(crawled: DataFrame, max_pages: int) -> DataFrame:
     """One progress event per saved page: (crawl_id, pages_cloned,
     max_pages, current_url)."""

@@ -1,5 +1,5 @@
-"""SparkSession helpers: sane defaults for tests/bench and a checkpoint folder
-that respects the cluster's ``spark.checkpoint.dir`` when one is set."""
+"""SparkSession helpers: defaults for tests and bench, and tables in the shared
+folder that the cluster names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
@@ -17,10 +17,6 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # HTML rows are CPU-heavy per byte: keep AQE from merging them into a few
-    # big partitions after a shuffle.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 
 
@@ -43,18 +39,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts and intermediate tables.
-
-    Uses ``spark.checkpoint.dir`` as the cluster names it.  Only when it is
-    unset (local tests) a scratch folder is created and registered."""
-    conf = spark.sparkContext.getConf()
-    d = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    """Shared folder for intermediate tables and stream state: the cluster's
+    ``spark.checkpoint.dir``.  Only in local mode, where one machine is all
+    there is, a scratch folder is made when the setting is unset."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="mirrorframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        sc.setCheckpointDir(d)
     # iterative plans carry large expressions; keep their text form bounded
     if spark.conf.get("spark.sql.maxPlanStringLength", "2147483632") == "2147483632":
         spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 20))
@@ -62,40 +56,37 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-path of the shared checkpoint folder."""
-    root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (``spark.checkpoint.dir``):
-    survives executor loss, keeps the next iteration's plan short and keeps
-    the output partitioning.  ``localCheckpoint`` is never used.  The input
-    is persisted only while the checkpoint is written, so it is computed once."""
-    from pyspark import StorageLevel
-
-    checkpoint_root(df.sparkSession)  # also bounds plan text (cache names)
-    if not eager:
-        return df.checkpoint(eager=False)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # compute once for both jobs
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
-
-
-def write_and_read(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Alternative cut: a parquet table in the shared folder, read back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin a scan that has fewer partitions than the cluster has
-    cores (small inputs whose few row groups would otherwise run on a few
-    cores).  At scale a scan already has many splits and this is a no-op."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par * factor)
-    return df
+    """A fresh sub-path of the shared folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Lineage cuts as tables in the shared folder, which outlive any executor.
+    A ``table`` is removed when the block ends; a ``keep`` stays, because the
+    returned result reads it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self._gone = spark, scratch_path(spark, name), []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        for path in self._gone:
+            remove(self.spark, path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex[:8]}"
+        self._gone.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)

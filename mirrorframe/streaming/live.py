@@ -1,83 +1,102 @@
-"""Structured Streaming forms of the long-lived state.
+"""Structured Streaming forms of the long-lived state.
 
-Every query writes through ``foreachBatch`` into a table under the shared
-checkpoint folder (with its own streaming checkpoint), so it survives
-restarts and the batch readers see the result.  ``run_available`` drives a
-query with ``availableNow`` (all data present, then stop) — a live deployment
+A stream writes through ``foreachBatch`` into a table of one folder per epoch.
+An epoch that is replayed after a failure writes the same folder again, so no
+row is doubled; the stream's own checkpoint lies beside the table, so a stream
+that is started again with the same path goes on where it stopped.
+``run_available`` drives a stream with ``availableNow``; a live deployment
 uses a processing-time trigger instead.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from ..config import BURST, RATE_PER_SEC
+from ..config import BURST, JOB_TTL_SECONDS, RATE_PER_SEC
+from ..functions import urls as U
 from ..functions.urls import progress_pct
 from ..operators import extract as X
-from ..functions import urls as U
-from ..session import scratch_path
+from ..operators.jobs import JOB_FIELDS, latest_field, live_jobs
+from ..operators.policy import token_bucket
+from ..session import remove, scratch_path
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    """A parquet table of the test folder as a file stream."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
-
-
-def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming DataFrame to completion (availableNow) into a parquet
-    table; returns the table as a batch DataFrame."""
+    """A parquet table of a folder of tables as a file stream."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .option("pathGlobFilter", "*.parquet").parquet(_folder_of(spark, sf_dir, path)))
+
+
+def _folder_of(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """A file stream reads folders: a table that is a single file is reached by a glob on its own name."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return path if fs.getFileStatus(p).isDirectory() else path[:-1] + "[" + path[-1] + "]"
+
+
+def read_epochs(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table that a stream wrote, with the ``epoch`` of each row; empty before the first epoch."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/table")
+    full = StructType(schema.fields).add("epoch", "long")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(f"{path}/table")
+
+
+def run_available(df: DataFrame, name: str, mode: str = "append", path: str | None = None,
+                  each: Callable[[DataFrame, int, str], DataFrame] | None = None,
+                  schema: StructType | None = None) -> DataFrame:
+    """Run a streaming DataFrame over all that is there now; returns the table
+    (``append``: all rows; ``update``: the rows of all epochs, see ``latest``).
+    ``path`` names the table for restarts; ``each`` maps a batch to the rows
+    that are written (of ``schema``)."""
     spark = df.sparkSession
-    out = scratch_path(spark, f"stream-{name}")
-    ckpt = scratch_path(spark, f"stream-{name}-ckpt")
+    path = path or scratch_path(spark, f"stream-{name}")
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        w = batch.write.mode("overwrite" if mode == "complete" else "append")
-        w.parquet(out)
+        rows = each(batch, epoch, path) if each else batch
+        rows.write.mode("overwrite").parquet(f"{path}/table/epoch={epoch}")
 
-    q = (df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
+    q = (df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint")
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.parquet(out)
+    return read_epochs(spark, path, schema or df.schema)
+
+
+def latest(table: DataFrame, key: str) -> DataFrame:
+    """The last written row of each key of an ``update`` stream's table."""
+    rest = [c for c in table.columns if c not in (key, "epoch")]
+    return table.groupBy(key).agg(F.max_by(F.struct(*rest), "epoch").alias("r")).select(key, "r.*")
 
 
 # ---------------------------------------------------------------------------
-# T1 job status over a live event stream
+# T1 job status over a live stream of patches, T2
 # ---------------------------------------------------------------------------
 
-def job_status_stream(events: DataFrame, max_pages: int = 100) -> DataFrame:
-    """Streaming aggregate per job (update/complete mode): latest status patch,
-    progress count, latest URL; same record as the batch ``job_status``."""
-    e = events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
-                      F.concat(F.col("user_id").cast("string"), F.lit("-"),
-                               F.to_date("ts").cast("string")).alias("job_id"))
-    prog = F.col("event_type").isin("view", "click", "signup")
-    order = F.struct("ts", "event_id")
-    term_status = F.when(F.col("event_type") == "error", "error").otherwise("done")
-    agg = e.groupBy("job_id").agg(
-        F.count_if(prog).cast("int").alias("pages_cloned"),
-        F.max_by(F.concat(F.lit("https://site.example.com/p/"), F.col("event_id").cast("string")),
-                 F.when(prog, order)).alias("current_url"),
-        F.max_by(term_status, F.when(~prog, order)).alias("status"),
-        F.max_by(F.concat(F.lit("HTTP error "), F.col("event_id").cast("string")),
-                 F.when(F.col("event_type") == "error", order)).alias("error"),
-        F.max_by(F.concat(F.lit("cloned_sites/"), F.col("job_id")),
-                 F.when(F.col("event_type") == "purchase", order)).alias("output_dir"),
-        F.min("ts").alias("created_at"))
-    return agg.select(
-        "job_id", F.coalesce("status", F.lit("running")).alias("status"), "pages_cloned",
-        F.lit(max_pages).alias("max_pages"), F.coalesce("current_url", F.lit("")).alias("current_url"),
-        F.coalesce("output_dir", F.lit("")).alias("output_dir"), "error", "created_at")
-
-
-def finish_job_rows(df: DataFrame) -> DataFrame:
-    return df.withColumn("progress", progress_pct("pages_cloned", "max_pages", F.col("status")))
+def job_status_stream(patches: DataFrame) -> DataFrame:
+    """The streaming form of ``jobs.job_status`` on the same patch schema
+    (update mode): per job each field's latest non-NULL patch.  ``created``
+    tells whether the job's create event has arrived; see ``job_table``."""
+    fields = [f for f in JOB_FIELDS if f in patches.columns]
+    return patches.groupBy("job_id").agg(
+        F.max(F.col("kind") == "create").alias("created"), *[latest_field(f) for f in fields])
+
+
+def job_table(table: DataFrame, now=None, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
+    """The current records of a ``job_status_stream`` table: patches to jobs
+    that were never created are left out and, with ``now``, so are jobs older
+    than the time to live."""
+    jobs = latest(table, "job_id").where("created").drop("created")
+    jobs = jobs.withColumn("progress", progress_pct("pages_cloned", "max_pages", F.col("status")))
+    return jobs if now is None else live_jobs(jobs, now, ttl_seconds)
 
 
 # ---------------------------------------------------------------------------
@@ -88,7 +107,7 @@ def streaming_frontier(pages: DataFrame, watermark: str | None = None) -> DataFr
     """Links of arriving pages, each normalised URL emitted once.
     Without a watermark the dedupe state holds every URL seen; with
     ``watermark`` (on an event-time column ``ts``) it is bounded."""
-    links = X.extract_links(pages, base_col="url")
+    links = X.extract_links(pages, base_col="url", keep=["ts"] if watermark else None)
     out = links.select("norm_url", U.authority("norm_url").alias("host"), *(["ts"] if watermark else []))
     if watermark:
         return out.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["norm_url"])
@@ -99,61 +118,26 @@ def streaming_frontier(pages: DataFrame, watermark: str | None = None) -> DataFr
 # T4 token bucket per host with arrivals
 # ---------------------------------------------------------------------------
 
-TOKEN_OUT = "event_id long, host string, arrival double, start_at double, wait_s double"
-TOKEN_STATE = "tokens double, last double, prev double"
-
-
-def bucket_schedule(rows, tokens, last, prev, rate=RATE_PER_SEC, burst=BURST):
-    """Sequential token bucket over ``rows`` = [(arrival, event_id)] sorted;
-    returns ([(event_id, arrival, start)], tokens, last, prev).  A request
-    starts when it has arrived, the previous request of the host has started
-    (FIFO) and a token is available; the bucket starts full."""
-    out = []
-    for arrival, eid in rows:
-        t = arrival if prev is None else max(arrival, prev)
-        if tokens is None:
-            tokens, last = float(burst), t
-        tokens = min(float(burst), tokens + (t - last) * rate)
-        last = t
-        if tokens >= 1.0:
-            start = t
-            tokens -= 1.0
-        else:
-            start = t + (1.0 - tokens) / rate
-            tokens, last = 0.0, start
-        prev = start
-        out.append((eid, arrival, start))
-    return out, tokens, last, prev
-
-
-def _bucket_fn(rate: float, burst: int):
-    def fn(key, pdfs, state):
-        host = key[0]
-        if state.exists:
-            tokens, last, prev = state.get
-        else:
-            tokens, last, prev = None, None, None
-        frames = list(pdfs)
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["arrival", "event_id"])
-        rows = list(zip(pdf["arrival"].tolist(), pdf["event_id"].tolist()))
-        out, tokens, last, prev = bucket_schedule(rows, tokens, last, prev, rate, burst)
-        state.update((tokens, last, prev))
-        yield pd.DataFrame({"event_id": [o[0] for o in out], "host": host,
-                            "arrival": [o[1] for o in out], "start_at": [o[2] for o in out],
-                            "wait_s": [o[2] - o[1] for o in out]})
-    return fn
-
-
-def token_bucket(requests: DataFrame, rate: float = RATE_PER_SEC, burst: int = BURST) -> DataFrame:
-    """T4: ``requests(event_id, host, arrival double seconds)`` stream ->
-    admitted start time per request, state (tokens, last refill, last start)
-    kept per host across micro-batches."""
-    return (requests.groupBy("host")
-            .applyInPandasWithState(_bucket_fn(rate, burst), TOKEN_OUT, TOKEN_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
-
-
-__all__ = ["read_table_stream", "run_available", "job_status_stream", "streaming_frontier", "token_bucket",
-           "bucket_schedule", "finish_job_rows"]
+BUCKET = StructType().add("event_id", "long").add("host", "string").add("arrival", "double") \
+    .add("start_at", "double").add("wait_s", "double")
+BUCKET_STATE = StructType().add("host", "string").add("seen", "long").add("peak", "double")
+
+
+def token_bucket_stream(requests: DataFrame, name: str, rate: float = RATE_PER_SEC, burst: int = BURST,
+                        path: str | None = None) -> DataFrame:
+    """T4 over a stream ``requests(event_id, host, arrival)``: each batch is
+    scheduled by ``policy.token_bucket``, in which a hot host spans many
+    tasks; what is carried over is two numbers per host, as a table per
+    epoch.  A batch's requests are taken to come after those of the earlier
+    batches."""
+    def each(batch: DataFrame, epoch: int, root: str) -> DataFrame:
+        spark = batch.sparkSession
+        at = lambda e: f"{root}/state/epoch={e}"
+        state = spark.read.schema(BUCKET_STATE).parquet(at(epoch - 1)) if epoch else None
+        starts, new = token_bucket(batch, state, rate, burst)
+        new.write.mode("overwrite").parquet(at(epoch))
+        if epoch > 1:  # the one before the last is needed by no replay
+            remove(spark, at(epoch - 2))
+        return starts.select(*BUCKET.names)
+
+    return run_available(requests, name, each=each, path=path, schema=BUCKET).drop("epoch")
