@@ -32,14 +32,19 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.gone = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", []
+        self.spark, self.root, self.gone = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", {}
 
     def __enter__(self):
         return self
 
     def __exit__(self, *_):
+        for label in list(self.gone):
+            self.drop(label)
+
+    def drop(self, label: str) -> None:
+        """Removes the tables of a label before the block ends."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in self.gone:
+        for path in self.gone.pop(label, []):
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
 
@@ -58,8 +63,9 @@ class Scratch:
         return self._write(df, self.path(label))
 
     def table(self, df: DataFrame, label: str = "t") -> DataFrame:
-        self.gone.append(self.path(label))
-        return self._write(df, self.gone[-1])
+        path = self.path(label)
+        self.gone.setdefault(label, []).append(path)
+        return self._write(df, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

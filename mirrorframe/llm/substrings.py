@@ -1,12 +1,12 @@
 """Removal of repeated word passages by level-wise doubling.
 
-Passages are sought at a quarter of the window length first, and only windows repeated there are extended to twice the
-length, then to the whole length.  At the first level not every window is needed: each full window is represented by the
-quarter window inside it with the smallest hash (an anchor), a choice that depends on the window's words alone, so equal
-windows have equal anchors at equal offsets, and a full window can be repeated only if its anchor is.  About one position
-in eight is an anchor.  An anchor that survives is extended to half windows on both sides; where these survive too, the full
-windows over it are compared.  Anchors whose windows agree altogether are compared as one first, so a passage copied many
-times costs a row for each anchor, not for each window.
+Windows of half the length are compared first, and only those that are repeated are extended to twice that length, the
+whole window.  At the first level not every window is needed: each whole window is represented by the half window inside it
+with the smallest hash (an anchor), a choice that depends on the window's words alone, so equal windows have equal anchors
+at equal offsets, and a window can be repeated only if its anchor is.  About one position in six is an anchor.  Anchors that
+survive are extended to all whole windows over them; where these agree altogether the anchors are compared as one, so a
+passage copied many times costs a row for each anchor, not for each window.  No whole window that is repeated is missed, and
+longer repeats are unions of such windows, so the doubling ends there.
 
 Only hashes and positions are shuffled, and the texts of the documents twice; counts and first occurrences are aggregated
 before they are joined, so that no task holds all the occurrences of a frequent window.
@@ -37,20 +37,19 @@ def hashed_words(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def levels(words: np.ndarray, window: int, chain: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all windows of a quarter, a half and the whole of ``window`` words."""
-    mul, quarter = _MULS[chain], window // 4
-    one = words[:len(words) - quarter + 1]
-    for i in range(1, quarter):
-        one = one * mul + words[i:len(words) - quarter + 1 + i]
+def levels(words: np.ndarray, window: int, chain: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all half windows and of all whole windows."""
+    mul, half = _MULS[chain], window // 2
+    one = words[:len(words) - half + 1]
+    for i in range(1, half):
+        one = one * mul + words[i:len(words) - half + 1 + i]
     one = _mix(one)
-    two = _mix(one[:-quarter] * mul + one[quarter:])
-    return one, two, _mix(two[:-2 * quarter] * mul + two[2 * quarter:])
+    return one, _mix(one[:-half] * mul + one[half:])
 
 
 def anchor_runs(one: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text (position, first and last start of the full windows that each stands for)."""
-    span = window - window // 4 + 1
+    """Anchors of a text (position, first and last start of the whole windows that each stands for)."""
+    span = window - window // 2 + 1
     at = np.lib.stride_tricks.sliding_window_view(one, span).argmin(axis=1) + np.arange(len(one) - span + 1)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     return at[first], first, np.r_[first[1:], len(at)] - 1
@@ -84,12 +83,10 @@ def _anchors(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _extended(rows: DataFrame, window: int) -> DataFrame:
-    """rows: doc, code, text, at (positions of surviving anchors).  A row for each: its half windows to the right and to the
-    left, the hash of all full windows over it together, and these windows."""
-    quarter = window // 4
+    """rows: doc, code, text, at (positions of surviving anchors).  A row for each: the first and last start of the whole
+    windows over it, the hash of them all together, and each one's."""
     kinds = pa.schema([("doc", pa.int64()), ("code", pa.int32()), ("p", pa.int32()), ("s1", pa.int32()), ("s2", pa.int32()),
-                       ("right", pa.int64()), ("left", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()),
-                       ("w1", pa.list_(pa.int64())), ("w2", pa.list_(pa.int32()))])
+                       ("c1", pa.int64()), ("c2", pa.int64()), ("w1", pa.list_(pa.int64())), ("w2", pa.list_(pa.int32()))])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,8 +94,8 @@ def _extended(rows: DataFrame, window: int) -> DataFrame:
                 words = hashed_words(text.as_py())
                 if len(words) < window:
                     continue
-                one, two, full = levels(words, window)
-                other = levels(words, window, 1)[2]
+                one, full = levels(words, window)
+                other = levels(words, window, 1)[1]
                 at, s1, s2 = anchor_runs(one, window)
                 live = np.isin(at, np.asarray(known.values))
                 at, s1, s2 = at[live], s1[live], s2[live]
@@ -106,64 +103,50 @@ def _extended(rows: DataFrame, window: int) -> DataFrame:
                     continue
                 n = s2 - s1 + 1
                 ends = np.cumsum(n)
-                place = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(s1, n)  # every full window, by anchor
+                place = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(s1, n)  # every whole window, by anchor
                 offset = _mix((np.repeat(at, n) - place + 1).astype(np.uint64))
                 contexts = [np.add.reduceat(_mix(x[place] ^ offset), ends - n).view(np.int64) for x in (full, other)]
-                has_r, has_l = at + 2 * quarter <= len(words), at >= quarter
                 bounds = pa.array(np.r_[0, ends].astype(np.int32))
-                right = two[np.minimum(at, len(two) - 1)].view(np.int64)
-                left = two[np.maximum(at - quarter, 0)].view(np.int64)
+                short = (other[place] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(at), doc.as_py(), np.int64)), pa.array(np.full(len(at), code.as_py(), np.int32)),
                     pa.array(at.astype(np.int32)), pa.array(s1.astype(np.int32)), pa.array(s2.astype(np.int32)),
-                    pa.array(right, mask=~has_r), pa.array(left, mask=~has_l), *map(pa.array, contexts),
-                    pa.ListArray.from_arrays(bounds, pa.array(full[place].view(np.int64))),
-                    pa.ListArray.from_arrays(bounds, pa.array((other[place] >> np.uint64(32)).astype(np.uint32)
-                                                              .view(np.int32)))], schema=kinds)
+                    *map(pa.array, contexts), pa.ListArray.from_arrays(bounds, pa.array(full[place].view(np.int64))),
+                    pa.ListArray.from_arrays(bounds, pa.array(short))], schema=kinds)
 
     return rows.select("doc", "code", "text", "at").mapInArrow(
-        emit, "doc long, code int, p int, s1 int, s2 int, right long, left long, c1 long, c2 long, "
-              "w1 array<long>, w2 array<int>")
+        emit, "doc long, code int, p int, s1 int, s2 int, c1 long, c2 long, w1 array<long>, w2 array<int>")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, window: int) -> DataFrame:
-    """Rows (doc, code, spans): the starts (first, last) of full windows that also occur earlier."""
-    quarter, rows = window // 4, _keyed(docs, id_col, text_col)
-    # a quarter window
+    """Rows (doc, code, spans): the starts (first, last) of whole windows that also occur earlier."""
+    rows = _keyed(docs, id_col, text_col)
+    # half windows
     anchors = scratch.table(_anchors(rows, window), "anchors")
     often = scratch.table(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
-    alive = anchors.join(often, "h", "left_semi").groupBy("doc").agg(F.collect_set("p").alias("at"))
-    # a half window, to the right and to the left of each anchor that is left
+    alive = scratch.table(anchors.join(often, "h", "left_semi").groupBy("doc").agg(F.collect_set("p").alias("at")), "alive")
+    scratch.drop("anchors")
+    # whole windows: anchors that agree in all of them first, then the windows of the first of each kind
     wide = scratch.table(_extended(rows.join(alive, "doc"), window), "wide")
-    narrow = wide.select("doc", "code", "p", "s1", "s2", "right", "left", "c1", "c2")
-    halves = scratch.table(narrow.select(F.explode(F.array(
-        F.struct(F.lit(True).alias("r"), F.col("right").alias("h")), F.struct(F.lit(False).alias("r"), F.col("left").alias("h"))
-    )).alias("x")).select("x.r", "x.h").filter("h IS NOT NULL").groupBy("r", "h").agg(F.count("*").alias("n")).filter("n > 1"),
-        "halves")
-    marked = narrow.join(halves.filter("r").select(F.col("h").alias("right"), F.lit(True).alias("in_r")), "right", "left") \
-        .join(halves.filter("NOT r").select(F.col("h").alias("left"), F.lit(True).alias("in_l")), "left", "left")
-    # a full window whose anchor is at offset o holds the right half if o <= window / 2, the left one if o >= window / 4
-    bound = scratch.table(marked.select(
-        "doc", "code", "p", "c1", "c2",
-        F.when(F.col("in_l").isNull(), F.greatest("s1", F.col("p") - quarter + 1)).otherwise(F.col("s1")).alias("t1"),
-        F.when(F.col("in_r").isNull(), F.least("s2", F.col("p") - 2 * quarter - 1)).otherwise(F.col("s2")).alias("t2"),
-    ).filter("t1 <= t2"), "bound")
-    # the whole window: anchors that agree in all windows first, then the windows of the first of each kind
     own = F.struct("doc", "code", "p")
-    kinds = scratch.table(bound.groupBy("c1", "c2").agg(F.min(own).alias("f")), "kinds")
-    ranked = bound.join(kinds, ["c1", "c2"])
-    later = ranked.filter(own != F.col("f")).select("doc", "code", "t1", "t2")
-    first = ranked.filter(own == F.col("f")).select("doc", "code", "p", "t1", "t2")
-    steps = F.transform(F.sequence("t1", "t2"), lambda s: F.struct(
-        s.alias("s"), F.element_at("w1", s - F.col("s1") + 1).alias("a"), F.element_at("w2", s - F.col("s1") + 1).alias("b")))
+    kinds = scratch.table(wide.groupBy("c1", "c2").agg(F.min(own).alias("f")), "kinds")
+    ranked = scratch.table(wide.select("doc", "code", "p", "s1", "s2", "c1", "c2").join(kinds, ["c1", "c2"]).select(
+        "doc", "code", "p", "s1", "s2", (own == F.col("f")).alias("is_first")), "ranked")
+    later = ranked.filter("NOT is_first").select("doc", "code", "s1", "s2")
+    steps = F.transform(F.arrays_zip("w1", "w2"), lambda w, i: F.struct(
+        (F.col("s1") + i).alias("s"), w["w1"].alias("a"), w["w2"].alias("b")))
     windows = scratch.table(
-        wide.select("doc", "code", "p", "s1", "w1", "w2").join(first, ["doc", "code", "p"])
+        wide.select("doc", "code", "p", "s1", "w1", "w2").join(
+            ranked.filter("is_first").select("doc", "code", "p"), ["doc", "code", "p"], "left_semi")
         .select("doc", "code", F.explode(steps).alias("w")).select("doc", "code", "w.s", "w.a", "w.b"), "windows")
+    scratch.drop("wide")
     earliest = scratch.table(windows.groupBy("a", "b").agg(
         F.min(F.struct("doc", "code", "s")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("a", "b", "f"), "earliest")
     again = windows.join(earliest, ["a", "b"]).filter(F.struct("doc", "code", "s") != F.col("f")).select(
-        "doc", "code", F.col("s").alias("t1"), F.col("s").alias("t2"))
-    return later.unionByName(again).groupBy("doc", "code").agg(F.collect_set(F.struct("t1", "t2")).alias("spans"))
+        "doc", "code", F.col("s").alias("s1"), F.col("s").alias("s2"))
+    again = scratch.table(again, "again")
+    scratch.drop("windows")
+    return later.unionByName(again).groupBy("doc", "code").agg(F.collect_set(F.struct("s1", "s2")).alias("spans"))
 
 
 def _cut(text: str | None, spans: list, window: int) -> tuple[list[bytes], int]:
@@ -171,7 +154,7 @@ def _cut(text: str | None, spans: list, window: int) -> tuple[list[bytes], int]:
     if not spans:
         return words, 0
     edge = np.zeros(len(words) + 1, np.int32)
-    first, last = np.array([(s["t1"], s["t2"]) for s in spans]).T
+    first, last = np.array([(s["s1"], s["s2"]) for s in spans]).T
     np.add.at(edge, first, 1)
     np.add.at(edge, last + window, -1)
     gone = np.cumsum(edge[:-1]) > 0
@@ -182,12 +165,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  texts: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_removed, kept_sha256`` and, with ``texts``, ``kept_text``.
 
-    A word goes if a window of ``window`` words (a multiple of 4) over it also starts earlier: in a document of a smaller
+    A word goes if a window of ``window`` words (an even number) over it also starts earlier: in a document of a smaller
     id, or in the same one.  Null and empty texts have no words.  A null id is smaller than any other.  Rows of the same id
     and text are one document; rows of the same id and different texts are taken in the order of a hash of the text.
     """
-    if window % 4 or window < 8:
-        raise ValueError("window is a multiple of 4, 8 or more")
+    if window % 2 or window < 4:
+        raise ValueError("window is an even number, 4 or more")
     spark = docs.sparkSession
     result = "struct<n_words:long,n_removed:long,kept_sha256:string,kept_text:string>"
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
