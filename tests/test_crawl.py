@@ -2,7 +2,7 @@
 plus random graphs against a queue-based reference crawl."""
 import random
 from collections import deque
-from urllib.parse import urljoin, urlparse, urlunparse
+from urllib.parse import urljoin, urlsplit
 
 import pytest
 
@@ -67,38 +67,24 @@ def test_cap_mid_crawl(spark):
     assert run(spark, site, max_pages=2) == ["http://example.com/", "http://example.com/page1"]
 
 
-def _norm(u):
-    p = urlparse(u)
-    return urlunparse(p._replace(fragment="", path=p.path.rstrip("/") or "/"))
-
-
 def queue_crawl(site, seed, max_pages, disallow=()):
-    """The reference algorithm: FIFO queue, dedupe at enqueue, robots at
-    dequeue, cap on successful pages."""
+    """First in, first out over a site whose URLs are all in normal form:
+    (pages in order, URLs ever queued, URLs still queued)."""
     import re
-    seed = _norm(seed)
-    q, seen, out = deque([seed]), {seed}, []
-    while q and len(out) < max_pages:
-        u = q.popleft()
-        if u != seed and any(urlparse(u).path.startswith(d) for d in disallow):
-            continue
-        html = site.get(u)
-        if html is None:
+    queue, known, out = deque([seed]), {seed}, []
+    while queue and len(out) < max_pages:
+        url = queue.popleft()
+        blocked = url != seed and urlsplit(url).path.startswith(tuple(disallow) or ("\0",))
+        if blocked or url not in site:
             continue
-        out.append(u)
-        m = re.search(r'<meta http-equiv="refresh" content="0; url=([^"]+)">', html)
-        links = []
-        if m:
-            links.append(_norm(urljoin(u, m.group(1))))
-        for href in re.findall(r'<a href="([^"]*)"', html):
-            a = urljoin(u, href)
-            if urlparse(a).netloc == urlparse(seed).netloc:
-                links.append(_norm(a))
-        for n in links:
-            if n not in seen:
-                seen.add(n)
-                q.append(n)
-    return out
+        out.append(url)
+        refresh = re.findall(r'content="0; url=([^"]+)"', site[url])
+        for target in refresh + re.findall(r'<a href="([^"]*)"', site[url]):
+            absolute = urljoin(url, target)
+            if absolute not in known:
+                known.add(absolute)
+                queue.append(absolute)
+    return out, known, queue
 
 
 @pytest.mark.parametrize("seed_val", [3, 11])
@@ -114,7 +100,7 @@ def test_random_graph_matches_queue(spark, seed_val):
         site[f"http://g.com/n/{i}"] = make_html(links, body)
     site["http://g.com/n/0"] = make_html([f"/n/{k}" for k in range(1, 6)])
     robots = [("g.com", 200, "User-agent: *\nDisallow: /n/1\n")]
-    want = queue_crawl(site, "http://g.com/n/0", 15, disallow=("/n/1",))
+    want, _, _ = queue_crawl(site, "http://g.com/n/0", 15, disallow=("/n/1",))
     got = run(spark, site, seed="http://g.com/n/0", max_pages=15, robots=robots)
     assert got == want
 
@@ -168,7 +154,7 @@ def test_clone_hooks(spark):
                                  "url string, status int, content_type string, body binary, size long")
     seen = []
     hooks = Hooks(after_html=lambda url, html: F.concat(html, F.lit("<!--x-->")),
-                  map_url=lambda u: F.regexp_replace(u, "^http://example.com/", "http://cdn.example.com/"),
+                  map_url=lambda u: F.regexp_replace(u, r"^http://example.com/(.*\.png)$", "http://cdn.example.com/$1"),
                   export=lambda files: seen.append(files.count()))
     files = {r.local_path: bytes(r.content) for r in clone_site(pages, seeds, responses=resp, hooks=hooks).collect()}
     assert files["i.png"] == b"PNG"
@@ -192,18 +178,74 @@ def test_crawl_counts_match_queue(spark):
     for cap in (7, 100):
         _, counts = crawl_with_counts(pages, seeds, CrawlConfig(max_pages=cap))
         c = counts.first()
-        # reference: queue crawl with counters
-        q, seen, out = deque(["http://g.com/n/0"]), {"http://g.com/n/0"}, 0
-        while q and out < cap:
-            u = q.popleft()
-            h = site.get(u)
-            if h is None:
-                continue
-            out += 1
-            import re
-            for href in re.findall(r'<a href="([^"]*)"', h):
-                nrm = _norm(urljoin(u, href))
-                if nrm not in seen:
-                    seen.add(nrm)
-                    q.append(nrm)
-        assert (c.pages_cloned, c.visited, c.queue_len) == (out, len(seen), len(q))
+        out, known, queue = queue_crawl(site, "http://g.com/n/0", cap)
+        assert (c.pages_cloned, c.visited, c.queue_len) == (len(out), len(known), len(queue))
+
+
+def test_private_hosts_are_not_fetched(spark):
+    site = {"http://example.com/": make_html(["http://10.0.0.1/a", "http://inner.example/b", "http://ok.example/c"]),
+            "http://10.0.0.1/a": make_html(), "http://inner.example/b": make_html(), "http://ok.example/c": make_html()}
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(site.items())],
+                                  "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("c", "http://example.com/")], "crawl_id string, url string")
+    dns = spark.createDataFrame([("inner.example", "192.168.1.4"), ("ok.example", "93.184.216.34")],
+                                "host string, ip string")
+    for block, n in ((True, 2), (False, 4)):
+        out = crawl(pages, seeds, CrawlConfig(follow_domains=True, block_private=block), dns=dns)
+        assert out.count() == n
+
+
+def test_deep_chain_is_walked_to_its_end(spark):
+    """More levels than visited tables are kept apart."""
+    site = {f"http://g.com/n/{i}": make_html([f"/n/{i + 1}"]) for i in range(14)}
+    assert run(spark, site, seed="http://g.com/n/0", max_pages=100) == list(site)
+
+
+def test_sitemap_comments_and_cdata(spark):
+    doc = ("<urlset><!-- <url><loc>http://s.com/no</loc></url> --><url><loc><![CDATA[http://s.com/a]]></loc></url></urlset>")
+    sm = spark.createDataFrame([("http://s.com/sitemap.xml", 200, "text/xml", doc)],
+                               "url string, status int, content_type string, body string")
+    roots = spark.createDataFrame([("1", "http://s.com/sitemap.xml")], "crawl_id string, url string")
+    assert [r.loc for r in expand_sitemaps(roots, sm).collect()] == ["http://s.com/a"]
+
+
+def _clone(spark, site, responses, **cfg):
+    from mirrorframe.plans.clone import clone_site
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(site.items())],
+                                  "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("c", "http://example.com/")], "crawl_id string, url string")
+    resp = spark.createDataFrame([(u, s, "x/y", bytearray(b), len(b), k) for k, (u, s, b) in enumerate(responses)],
+                                 "url string, status int, content_type string, body binary, size long, attempt int")
+    return {r.local_path: bytes(r.content) for r in clone_site(pages, seeds, CrawlConfig(**cfg), responses=resp).collect()}
+
+
+def test_clone_takes_the_latest_answer_and_last_writer(spark):
+    site = {"http://example.com/": '<img src="/a.png?1"><img src="/a.png?2"><img src="http://127.0.0.1/x.png"><img src="ftp://h/y.png">'}
+    e = "http://example.com"
+    files = _clone(spark, site, [(e + "/a.png?1", 500, b"old"), (e + "/a.png?1", 200, b"one"), (e + "/a.png?1", 200, b"newer"),
+                                 (e + "/a.png?2", 200, b"two"), ("http://127.0.0.1/x.png", 200, b"in"), ("ftp://h/y.png", 200, b"f")])
+    assert files.pop("index.html").count(b'src="a.png"') == 2
+    assert files == {"a.png": b"two"}
+
+
+def test_clone_counts_sheet_files_in_the_budget(spark):
+    site = {"http://example.com/": '<link rel="stylesheet" href="/s.css"><img src="/z.png">'}
+    e = "http://example.com"
+    css = b"a{background:url(big.png)} b{background:url(small.png)}"
+    answers = [(e + "/s.css", 200, css), (e + "/big.png", 200, b"B" * 60), (e + "/small.png", 200, b"S" * 5),
+               (e + "/z.png", 200, b"Z" * 30)]
+    # images of the page come before its stylesheet; the sheet's files share what is left
+    files = _clone(spark, site, answers, max_total_bytes=len(css) + 36)
+    assert sorted(files) == ["index.html", "s.css", "small.png", "z.png"]
+    files = _clone(spark, site, answers, max_total_bytes=40)  # the sheet is not stored: its files are not either
+    assert sorted(files) == ["index.html", "z.png"]
+    files = _clone(spark, site, answers, max_asset_size=58)
+    assert sorted(files) == ["index.html", "s.css", "small.png", "z.png"]
+
+
+def test_one_path_for_a_url_met_as_script_and_link(spark):
+    site = {"http://example.com/": '<script src="/app"></script><a href="/app">x</a>', "http://example.com/app": "<p>page</p>"}
+    files = _clone(spark, site, [("http://example.com/app", 200, b"code")])
+    assert set(files) == {"index.html", "app.js"}
+    assert files["index.html"] == b'<script src="app.js"></script><a href="app.js">x</a>'
+    assert files["app.js"] == b"<p>page</p>"  # the page is written last

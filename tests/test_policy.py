@@ -41,6 +41,20 @@ def test_byte_budget_matches_greedy(spark):
     assert got == want
 
 
+def test_byte_budget_keeps_unknown_sizes_and_keys(spark):
+    """A list that lets one item in at a time, NULL sizes and a NULL key; rows out = rows in."""
+    rows = [(None, i, s) for i, s in enumerate([5, None, 300, 4])]
+    rows += [(1, i, s) for i, s in enumerate(x for k in range(40) for x in (1, 40 - k))]
+    df = spark.createDataFrame(rows, "k long, i long, size long")
+    got = {(r.k, r.i): r.admitted for r in byte_budget(df, "k", ["i"], "size", max_asset=250, max_total=100).collect()}
+    want = {}
+    for key in (None, 1):
+        mine = [(i, s) for k, i, s in rows if k == key]
+        for (i, _), ok in zip(mine, greedy([1e9 if s is None else s for _, s in mine], 250, 100)):
+            want[key, i] = ok
+    assert got == want
+
+
 def test_prefix_sum_hot_key(spark):
     rows = [(0 if i % 3 else i % 7, i, float(i % 5)) for i in range(3000)]  # key 0 holds 2/3
     df = spark.createDataFrame(rows, "k long, o long, v double")
