@@ -9,10 +9,9 @@ from mirrorframe.llm.common import Scratch, read
 def op1_warc(spark, sf_dir):
     """Archives of all pages, written and read back; repeated page rows each have a record."""
     with Scratch(spark, "warc") as scratch:
-        records = warc.plan_records(read(spark, sf_dir, "pages"))
+        records = warc.plan_records(read(spark, sf_dir, "pages"), scratch)
         manifest = scratch.keep(warc.write_archives(records, scratch.path("archives")), "manifest")
-    found = warc.read_archives(spark, manifest)
-    held = warc.resolve_revisits(found)
+        held = warc.resolve_revisits(warc.read_archives(spark, manifest), scratch)
     return held.select(
         F.expr("try_cast(key AS bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.expr("try_cast(refers_to AS bigint)").alias("refers_to"))

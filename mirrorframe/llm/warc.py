@@ -15,6 +15,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mirrorframe.llm.common import Scratch
+
 _MAGIC = b"\x1f\x8b\x08"
 _STEP = 1 << 18
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -49,15 +51,15 @@ def member(kind: str, key: str, url: str, digest: str, payload: bytes, refers_to
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + packer.flush()
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+def plan_records(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                  min_revisit_bytes: int = 1000) -> DataFrame:
     """Rows (id, url, payload, digest, refers_to): of equal payloads of at least ``min_revisit_bytes`` the largest id is
     the response (``refers_to`` null) and the others revisit it.  Equal means equal length and SHA-1."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
-    group = rows.filter(F.col("n") >= min_revisit_bytes).groupBy("digest", "n").agg(
-        F.max("id").alias("winner"), F.count("*").alias("many")).filter("many > 1 AND winner IS NOT NULL")
+    group = scratch.table(rows.filter(F.col("n") >= min_revisit_bytes).groupBy("digest", "n").agg(
+        F.max("id").alias("winner"), F.count("*").alias("many")).filter("many > 1 AND winner IS NOT NULL"), "groups")
     return rows.join(group, ["digest", "n"], "left").select(
         "id", "url", "payload", "digest",
         F.when(~F.col("id").eqNullSafe(F.col("winner")), F.col("winner")).alias("refers_to"))
@@ -221,12 +223,15 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = 4
     return parts.repartition(max(1, int(n)), "path", "start").mapInArrow(scan, schema)
 
 
-def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Response and revisit rows with the payload of the response that a revisit refers to: adds ``refers_to`` (its key)
+def resolve_revisits(records: DataFrame, scratch: Scratch) -> DataFrame:
+    """Response and revisit rows with the payload of the response that a revisit refers to (the archives are read once,
+    into a table; only responses that are referred to take part in the join): adds ``refers_to`` (its key)
     and takes its length and digest, if the digest is the one that the revisit declares."""
     kind: Column = F.col("record_type")
-    originals = records.filter(kind == "response").groupBy("record_id").agg(
-        F.min(F.struct("key", "payload_bytes", "payload_digest")).alias("o"))
+    records = scratch.keep(records, "records")
+    referred = records.filter(kind == "revisit").select(F.col("refers_to_id").alias("record_id")).distinct()
+    originals = scratch.keep(records.filter(kind == "response").join(referred, "record_id", "left_semi").groupBy(
+        "record_id").agg(F.min(F.struct("key", "payload_bytes", "payload_digest")).alias("o")), "originals")
     own = records.filter(kind == "response").withColumn("refers_to", F.lit(None).cast("string"))
     again = (records.filter(kind == "revisit").drop("payload_bytes", "payload_digest")
              .join(originals.select(F.col("record_id").alias("refers_to_id"), "o"), "refers_to_id", "left")
