@@ -2,7 +2,8 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mirrorframe.llm import chunk_prints, credentials, language, main_text, mixing, packing, quality, simhash, substrings, warc
+from mirrorframe.llm import (chunk_prints, credentials, language, main_text, mixing, oracles, packing, quality, simhash,
+                             substrings, warc)
 from mirrorframe.llm.common import Scratch, read
 
 
@@ -78,6 +79,12 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLES = {}
+#: The other queries rest on XXH64, an HTML parser, a tokenizer, learned automata or look-behind patterns.
+ORACLES = {
+    "op1_warc": oracles.WARC,
+    "op3_mixing": oracles.MIXING,
+    "op6_quality_rules": oracles.QUALITY,
+    "op9_substrings": oracles.SUBSTRINGS,
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
