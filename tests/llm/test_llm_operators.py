@@ -1,0 +1,512 @@
+"""Each operator against a brute-force version written here, on small tables with nulls, empty, long and repeated rows, and
+columns whose names clash with the operator's own."""
+import collections
+import gzip
+import hashlib
+import io
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from mirrorframe.llm import (chunk_prints, credentials, language, main_text, mixing, packing, quality, simhash, substrings,
+                             warc)
+from mirrorframe.llm.common import Scratch
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TOKENIZER = pytest.importorskip("public_tokenizers")
+
+
+def prose(rng, n):
+    return " ".join(rng.choice("ab cd efg hij klm no pqr stu vwx yz".split()) + str(rng.randint(0, 40)) for _ in range(n))
+
+
+def texts():
+    rng = random.Random(3)
+    base = prose(rng, 90)
+    out = [None, "", " \t\n ", "one", "a b", base, base, base + " more", base.upper(), prose(rng, 60) + "\n" + base,
+           "x " * 300, "same line here again\n" * 20, "é ü ñ 日本語 " * 30, prose(rng, 4000), "tail " + base[:200], "###$$$ %%%"]
+    return out + [prose(rng, rng.randint(1, 120)) for _ in range(25)]
+
+
+@pytest.fixture(scope="module")
+def docs(on_workers):
+    rows = [(i * 3 % 41, t, "en" if i % 3 else None, f"s{i % 4}" if i % 5 else None, len(t or "")) for i, t in enumerate(texts())]
+    rows += [(None, "no id at all but some words in here", "en", "s0", 5), rows[5], rows[5]]
+    rows = [(*r, "clash", 1, "x") for r in rows]
+    return on_workers.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp string, "
+                                            "rank int, bucket string").repartition(3).cache()
+
+
+def empty(docs):
+    return docs.filter("false")
+
+
+# --- quality
+
+def test_quality_matches_brute_force(docs):
+    got = {(r.doc_id, r.n_words, r.word_chars): r for r in quality.quality_signals(docs).collect()}
+    assert quality.quality_signals(docs).count() == docs.count()
+    for r in docs.collect():
+        t = r.text or ""
+        w = WORD.findall(t)
+        g = got[r.doc_id, len(w), sum(map(len, w))]
+        seen = collections.Counter(tuple(w[i:i + 8]) for i in range(len(w) - 7))
+        hit = {j for i in range(len(w) - 7) if seen[tuple(w[i:i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert (g.n_repeat_words, g.n_dup_lines, g.n_symbols) == (
+            len(hit), len(lines) - len(set(lines)), sum(c in "#*$%&|<>" for c in t))
+        assert g.base_failed == (len(w) < 20 or 100 * len(hit) > 30 * len(w))
+        for k, share in zip(quality.NGRAM_LIMITS, g.dup_ngram_shares):
+            seen = collections.Counter(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+            hit = {j for i in range(len(w) - k + 1) if seen[tuple(w[i:i + k])] > 1 for j in range(i, i + k)}
+            assert share == pytest.approx(sum(len(w[j]) for j in hit) / max(1, sum(map(len, w))))
+
+
+def test_quality_keeps_clean_and_columns(docs):
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert any(len((r.text or "").split()) == 4000 for r in rows)
+    assert not any(r.text is None or r.text.startswith(("x x", "same line", "###")) for r in rows)
+    assert quality.keep_good(empty(docs)).count() == 0
+
+
+# --- simhash
+
+def brute_print(text):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    grams = [" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    bits = [0] * 64
+    for g in grams:
+        h = xxhash.xxh64_intdigest(g.encode(), 42)
+        for b in range(64):
+            bits[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * bits[b] > len(grams))
+
+
+def brute_components(prints, most=2):
+    root = {p: p for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    prints = sorted(root)
+    for i, a in enumerate(prints):
+        for b in prints[i + 1:]:
+            if bin(a ^ b).count("1") <= most and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {p: find(p) for p in prints}
+
+
+def test_simhash_matches_brute_force(docs):
+    rows = docs.collect()
+    roots = brute_components({brute_print(r.text) for r in rows})
+    least = {}
+    for r in rows:
+        k = roots[brute_print(r.text)]
+        if r.doc_id is not None:
+            least[k] = min(least.get(k, r.doc_id), r.doc_id)
+    want = sorted((str(r.doc_id), brute_print(r.text), str(least.get(roots[brute_print(r.text)]))) for r in rows)
+    got = sorted((str(r.doc_id), r.fp % (1 << 64), str(r.component_id)) for r in simhash.near_duplicates(docs).collect())
+    assert got == want
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == len({roots[brute_print(r.text)] for r in rows})
+    assert simhash.near_duplicates(empty(docs)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_dense_blocks_lose_no_link(on_workers, most, monkeypatch):
+    rng = random.Random(most)
+    seeds = [rng.getrandbits(64) for _ in range(6)]
+    prints = {0, (1 << 64) - 1, 1 << 63}
+    for s in seeds:
+        for _ in range(60):
+            x = s
+            for _ in range(rng.randint(0, 4)):
+                x ^= 1 << rng.randrange(64)
+            prints.add(x)
+    monkeypatch.setattr(simhash, "DENSE", 4)  # nearly all keys go the dense way
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
+    with Scratch(on_workers, "t") as scratch:
+        df = on_workers.createDataFrame(signed, "fp long")
+        found = simhash.components(simhash.links(df, scratch, most), scratch).collect()
+    groups = collections.defaultdict(set)
+    for r in found:
+        groups[r.root] |= {r.node % (1 << 64), r.root % (1 << 64)}
+    want = collections.defaultdict(set)
+    for p, r in brute_components(prints, most).items():
+        want[r].add(p)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+# --- substrings
+
+def brute_removed(rows, window):
+    seen, out = set(), []
+    for r in rows:
+        w = WORD.findall(r[1] or "")
+        gone = set()
+        for s in range(len(w) - window + 1):
+            k = tuple(w[s:s + window])
+            if k in seen:
+                gone.update(range(s, s + window))
+            seen.add(k)
+        out.append((r[0], len(w), len(gone), hashlib.sha256(" ".join(
+            x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("window", [8, 20])
+def test_substrings_match_brute_force(on_workers, window):
+    rng = random.Random(window)
+    passages = [prose(rng, n) for n in (25, 40, 9, 70)]
+    rows = [(i, " ".join(rng.choice([prose(rng, rng.randint(0, 30)), rng.choice(passages), "w w w w w w w w w w w w"])
+                         for _ in range(rng.randint(0, 6)))) for i in range(60)]
+    rows += [(100 + i, t) for i, t in enumerate(texts())]
+    df = on_workers.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, substrings.drop_repeats(df, window=window).collect()))
+    assert got == sorted(brute_removed(rows, window))
+
+
+def test_substrings_edges(docs):
+    out = substrings.drop_repeats(docs, texts=True).collect()
+    assert len(out) == docs.count() and all(r.n_words - r.n_removed == len(r.kept_text.split()) for r in out)
+    assert substrings.drop_repeats(empty(docs)).count() == 0
+    with pytest.raises(ValueError):
+        substrings.drop_repeats(docs, window=9)
+
+
+# --- WARC
+
+def test_warc_round_trip_and_ranges(on_workers):
+    rng = random.Random(1)
+    big = "<p>" + prose(rng, 400) + "</p>"
+    pages = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, None), (4, "http://a/\r\nX: y", "small"),
+             (5, "u", "small"), (9, "http://a/9", big), (None, "n", big), (7, "é", "日本" * 900)]
+    df = on_workers.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, key string")
+    with Scratch(on_workers, "t") as scratch:
+        manifest = scratch.keep(warc.write_archives(warc.plan_records(df, scratch), scratch.path("a")))
+        for split in (97, 5000, 1 << 20):  # ranges far smaller than records, and larger than the file
+            found = warc.read_archives(on_workers, manifest, split)
+            got = {r.key: r for r in warc.resolve_revisits(found, scratch).collect()}
+            assert len(got) == len(pages)
+            for i, _, h in pages:
+                r, data = got["null" if i is None else str(i)], (h or "").encode()
+                assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
+                again = h == big and i != 9
+                assert (r.record_type, r.refers_to) == (("revisit", "9") if again else ("response", None))
+        none = warc.plan_records(df.filter("false"), scratch)
+        manifest = scratch.keep(warc.write_archives(none, scratch.path("a")))
+        assert warc.read_archives(on_workers, manifest).count() == 0
+
+
+def test_warc_reader_passes_over_other_bytes():
+    inner = warc.member("response", "in", "u", "d", b"x" * 50, None)
+    data = b"junk\x1f\x8b\x08junk" + warc.member("response", "a", "u", "d", b"payload", None) + gzip.compress(b"no archive") \
+        + warc.member("response", "b", "u", "d", b"\x1f\x8b\x08 in the payload", None) + inner[:60]
+
+    class Source(io.BytesIO):
+        def size(self):
+            return len(data)
+    whole = [(at, f["x-record-key"], f["#"][0]) for at, f in warc.records_in(Source(data), 0, len(data))]
+    assert [k for _, k, _ in whole] == ["a", "b"]
+    parts = [x for s in range(0, len(data), 37) for x in warc.records_in(Source(data), s, s + 37)]
+    assert [(at, f["x-record-key"], f["#"][0]) for at, f in parts] == whole
+
+
+# --- mixing
+
+def test_mixing_reaches_weights(on_workers):
+    rows = [(i, "x" * 10, "big" if i % 10 else "small", "c") for i in range(20000)] + [(None, None, None, "c")]
+    df = on_workers.createDataFrame(rows, "doc_id long, text string, source string, copy string")
+    got = mixing.mix(df, weights={"big": 1, "small": 1}, columns=False)
+    assert got.columns == df.columns
+    n = collections.Counter(r.source for r in got.collect())
+    assert n[None] == 0 and abs(n["big"] - 10000) < 500 and abs(n["small"] - 10000) < 500
+    one, two = (mixing.mix(df.repartition(k), temperature=0.5).drop("text").collect() for k in (3, 7))
+    assert one == two and [r.mix_key for r in one] == sorted(r.mix_key for r in one)
+    each = collections.Counter((r.doc_id, r.n_copies) for r in one)
+    assert all(v == k[1] for k, v in each.items())
+    assert mixing.mix(df.filter("false")).count() == 0
+
+
+def test_poisson_table_is_exact(on_workers):
+    df = on_workers.createDataFrame([(1, "a" * 3, "s"), (2, "b" * 1497, "t")], "doc_id long, text string, source string")
+    table = {r.source: r for r in mixing.rates(df, "source", "text", {"s": 1, "t": 1}).collect()}
+    assert table["s"].rate == pytest.approx(250) and table["t"].rate == pytest.approx(750 / 1497)
+    for r in table.values():
+        p, total = np.exp(-r.rate), 0.0
+        for k, c in enumerate(r.cdf):
+            total += p
+            p *= r.rate / (k + 1)
+            assert c == pytest.approx(total, abs=1e-9)
+        assert r.cdf[-1] == pytest.approx(1.0)
+
+
+# --- fingerprints
+
+def test_fingerprints_follow_the_contract(docs):
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.text or ""))
+    got = chunk_prints.compare_with_next(docs).collect()
+    want = collections.Counter()
+    for r, nxt in zip(rows, rows[1:] + rows[:1]):
+        t, k = r.text or "", len(r.text or "") // 3
+        e = t[:len(t) - k] + (nxt.text or "")[:k]
+        a, b, c = (chunk_prints.chunk_weights(x) for x in (t, e, nxt.text or ""))
+        want[r.doc_id, len(t), hashlib.sha256(e.encode()).hexdigest(), chunk_prints.printed(a), chunk_prints.printed(b),
+             chunk_prints.likeness(a, b), chunk_prints.likeness(a, c)] += 1
+    assert collections.Counter(map(tuple, got)) == want
+    assert chunk_prints.compare_with_next(empty(docs)).count() == 0
+
+
+def test_chunks_cover_and_resist_shifts():
+    rng = random.Random(5)
+    text = prose(rng, 3000)
+    data = text.encode()
+    ends = chunk_prints.cuts(data)
+    assert ends[-1] == len(data) and ends == sorted(set(ends)) and max(np.diff([0, *ends])) <= chunk_prints.MOST
+    a = chunk_prints.chunk_weights(text)
+    assert chunk_prints.parsed(chunk_prints.printed(a)) == a and sum(a.values()) == len(data)
+    assert chunk_prints.likeness(a, chunk_prints.chunk_weights("inserted words " + text)) > 0.95
+    assert chunk_prints.likeness(a, chunk_prints.chunk_weights(prose(random.Random(6), 3000))) < 0.05
+    assert chunk_prints.likeness({}, {}) == 1 and chunk_prints.likeness(a, {}) == 0
+    block = chunk_prints._BLOCK  # cuts don't depend on where a long text is read in blocks
+    chunk_prints._BLOCK = 1000
+    try:
+        assert chunk_prints.cuts(data) == ends
+    finally:
+        chunk_prints._BLOCK = block
+
+
+# --- packing
+
+def test_packing_is_whole(docs):
+    from tokenizers import Tokenizer
+
+    path = TOKENIZER.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    pieces = packing.pack(docs, path, TOKENIZER.path("byte_bpe_50k.tiktoken"), size=256).collect()
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        for s in range(0, len(ids), 256):
+            want[r.doc_id, s, len(ids[s:s + 256]), zlib.crc32(ids[s:s + 256].tobytes()), len(ids)] += 1
+    assert collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in pieces) == want
+    rows = collections.defaultdict(list)
+    for r in pieces:
+        rows[r.sequence_id].append((r.offset, r.length))
+    assert sorted(rows) == list(range(len(rows)))
+    for held in rows.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert packing.pack(empty(docs), path).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_placements_are_whole_and_tight(seed):
+    rng = random.Random(seed)
+    size = rng.choice([8, 64, 2048])
+    histogram = {rng.randint(1, size): rng.choice([1, 3, 50, 10 ** 6]) for _ in range(rng.randint(1, 60))}
+    rows = packing.place(histogram, size)
+    count, ends = collections.Counter(), collections.defaultdict(int)
+    used = collections.defaultdict(list)
+    for length, low, high, first, offset in rows:
+        assert low == count[length]
+        count[length] += high - low + 1
+        used[first, offset].append((high - low + 1, length))
+        ends[first + high - low] = max(ends[first + high - low], 0)
+    assert count == histogram
+    if sum(histogram.values()) < 2000:
+        seqs = collections.defaultdict(list)
+        for length, low, high, first, offset in rows:
+            for i in range(high - low + 1):
+                seqs[first + i].append((offset, length))
+        for held in seqs.values():
+            at = 0
+            for offset, length in sorted(held):
+                assert offset == at
+                at += length
+            assert at <= size
+
+
+def test_fast_encoder_equals_the_tokenizer():
+    path = TOKENIZER.path("byte_bpe_50k.json")
+    fast, slow = packing.encoder(path, TOKENIZER.path("byte_bpe_50k.tiktoken")), packing.encoder(path, None)
+    rng = random.Random(0)
+    cases = ["", " ", "  a", "a  b\n\n c \t", "don't we'll I'M", "<|endoftext|> x", "é ü ñ ß œ", "日本語 text", "x" * 5000, "a b",
+             "\x85 \x1c", "1234 56.7e8", "…dots — dash", "  sep", "Ω ж ǅ ª º"]
+    cases += ["".join(rng.choice(" \n\tab'sé1,.%Ж—") for _ in range(200)) for _ in range(200)]
+    for c in cases:
+        assert fast(c).tolist() == slow(c).tolist(), c
+
+
+# --- secrets
+
+def test_secrets_base_matches_brute_force(on_workers):
+    rng = random.Random(2)
+    bits = ["password=", "Secret: ", "token = \"", "api-key", "API_KEY:'", "abcdef0123456789", "0f" * 20, "AKIA", "AKIA" + "X9" * 8,
+            "hunter2hunter2", "short", "\n", " é日 ", "token=token=abcdefghijklmnop", "secret: token:abcdefghijklmn", "user=bob", "=="]
+    rows = [(i, "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 30)))) for i in range(300)]
+    rows += [(1000, None), (None, "password=abcdefabcdef"), (1001, ""), (1002, "x" * 50000 + " AKIA" + "Q" * 16)]
+    df = on_workers.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, spans string").repartition(3)
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    got = {r.doc_id: r for r in credentials.scan(df).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        t = t or ""
+        found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        listed = [f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found)]
+        r = got[i]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(f[1] == k for f in found) for k in range(3)]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if x and x.split(":")[0] in ("assign", "access", "hex")] == listed
+    assert credentials.scan(df.filter("false")).count() == 0
+
+
+def test_weak_parts_need_their_complement(on_workers):
+    key, token = "AKIA" + "ABCD" * 4, "wJalrXUtnFEMIK7MDENGbPxRfiCY"
+    rows = [
+        (1, f"only {token} here"), (2, f"{key} and {token}"), (3, f"{key}" + " filler" * 60 + f" {token}"),
+        (4, "user=alice at https://db.example.com/x"), (5, f"user=alice {token} https://db.example.com/x"),
+        (6, f"user=alice " + "w " * 800 + token), (7, f"see https://db.example.com/x and {key} but nothing else"),
+    ]
+    df = on_workers.createDataFrame([*rows, rows[1]], "doc_id long, text string")
+    kinds = collections.defaultdict(list)
+    for r in credentials.scan(df).collect():
+        kinds[r.doc_id].append([x.split(":")[0] for x in r.spans.split(",") if x])
+    assert kinds[1] == [[]] and kinds[2] == [["access", "weak_secret"]] * 2
+    assert kinds[3] == [["access"]] and kinds[4] == [[]] and kinds[6] == [[]] and kinds[7] == [["access"]]
+    assert kinds[5] == [["weak_identifier", "weak_secret", "endpoint"]]
+    out = {r.doc_id: r for r in credentials.redact(df.selectExpr("text", "doc_id", "1L AS n_chars", "'a' AS spans")).collect()}
+    assert out[2].text == "[SECRET] and [SECRET]" and out[2].n_chars == len(out[2].text)
+    assert out[1].text == rows[0][1] and out[1].n_chars == 1 and out[2].spans == "a"
+
+
+# --- language
+
+def test_language_learns_and_is_defined_at_the_edges(on_workers):
+    rng = random.Random(4)
+    sounds = {"aa": "ka to mi re su na", "bb": "ght str ild ung sch ver", "cc": "eau oux ille tion é ç"}
+    make = lambda k, n: " ".join("".join(rng.choice(sounds[k].split()) for _ in range(3)) for _ in range(n))
+    rows = [(i, make(k, rng.randint(5, 200)), k) for i in range(90) for k in ["aa", "bb", "cc"][i % 3:i % 3 + 1]]
+    rows += [(200, None, "aa"), (201, "12 34 !!", "bb"), (202, make("aa", 9000), None), (203, "", None), (None, make("bb", 50), "bb")]
+    df = on_workers.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
+    got = {r.doc_id: r for r in language.identify(df, df.filter("doc_id < 60")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].lang_pred == k and 0 <= got[i].score <= 1 for i, _, k in rows if i is not None and i < 90)
+    assert got[202].lang_pred == "aa" and got[None].lang_pred == "bb"
+    assert {got[i].lang_pred for i in (200, 201, 203)} == {"und"}
+    assert {r.lang_pred for r in language.identify(df, df.filter("false")).collect()} == {"und"}
+    assert language.identify(df.filter("false"), df).count() == 0
+
+
+def test_phrases_are_longest_matches():
+    rng = random.Random(9)
+    train = [rng.randint(1, 3) for _ in range(300)]
+    table = language.suffix_automaton(train, 5)
+    held = {tuple(train[i:j]) for i in range(300) for j in range(i + 1, min(300, i + 40) + 1)}
+    rows = [[rng.randint(1, 4) for _ in range(rng.randint(1, 60))] for _ in range(50)]
+    rows.sort(key=len, reverse=True)
+    block = np.full((50, len(rows[0])), -1, np.int16)
+    for i, r in enumerate(rows):
+        block[i, :len(r)] = r
+    for r, n in zip(rows, language.phrases(table, block)):
+        at = want = 0
+        while at < len(r):
+            end = at
+            while end < len(r) and tuple(r[at:end + 1]) in held:
+                end += 1
+            at, want = max(end, at + 1), want + 1
+        assert n == want
+
+
+# --- main text
+
+def page(article, menu="", extra="", i=0):
+    return (f"<html><head><title>t{i}</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li>{menu}"
+            f"</ul></nav><div class='cookie-notice'>We use cookies</div>{article}{extra}<footer>&copy; site {i}</footer>")
+
+
+def test_main_text_of_framed_pages(on_workers):
+    rows = [(i, "http://h/" + str(i), page(
+        f"<article><h1>Title {i}</h1><p>First &amp; {i}<br>line<p>Second <i>it</i>alic</p><form><input>x</form></article>",
+        f"m{i}", "<aside>side</aside><section id=comments><article><p>reader says</article></section>", i)) for i in range(8)]
+    rows += [(100, None, None), (101, "http://h/x", ""), (102, "nohost", "plain <b>text</b> 1 < 2"), rows[0]]
+    df = on_workers.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, text string")
+    got = collections.defaultdict(list)
+    for r in main_text.main_text(df).collect():
+        got[r.page_id].append(r.text)
+    for i in range(8):
+        assert got[i] == [f"Title {i}\nFirst & {i} line\nSecond italic"] * (1 + (i == 0))
+    assert got[100] == [""] and got[101] == [""] and got[102] == ["plain text 1 < 2"]
+    assert main_text.main_text(df.filter("false")).count() == 0
+
+
+def test_template_text_goes_without_any_article(on_workers):
+    rng = random.Random(7)
+    body = lambda i: "".join(f"<p>{prose(rng, 20)}</p>" for _ in range(3))
+    parts = [body(i) for i in range(12)]
+    rows = [(i, f"https://site.example/{i}", f"<body><div class=top><b>My Site</b></div><div class=x><p>Read our rules first</p>"
+             f"{parts[i]}</div><div class=bottom>All rights reserved</div>") for i in range(12)]
+    rows += [(50, "https://other.example/", f"<div><p>Read our rules first</p>{parts[0]}</div>")]
+    df = on_workers.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in main_text.main_text(df).collect()}
+    lines = lambda h: re.findall("<p>(.*?)</p>", h)
+    for i in range(12):
+        assert got[i].split("\n") == lines(parts[i])
+    assert got[50].split("\n") == ["Read our rules first", *lines(parts[0])]  # one page shows no template
+
+
+@pytest.mark.parametrize("html", ["<" * 5000, "<a title=it's href=/x>t</a><p>it's</p>", "<p " + "a='" * 3000, "<!-- open", "<script>x",
+                                  "<p>&#0;&bogus;&#x110000;</p>", "</p></div>", "<div>" * 3000 + "deep"])
+def test_odd_markup_does_not_break(html):
+    main_text.extract(html, set(), None)
+
+
+# --- pipeline
+
+def test_pipeline_matches_its_parts(on_workers, docs, tmp_path):
+    """The stages over a small table, against the brute-force versions above."""
+    import corpus_pipeline
+
+    frame = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    more = [(500 + i, prose(random.Random(900 + i), 40) + f" password=abcdef{i:06d} end", "en", "s1", 1) for i in range(6)]
+    frame.unionByName(on_workers.createDataFrame(more, frame.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    now = on_workers.read.parquet(str(tmp_path / "documents.parquet"))
+    columns, (one, two, three, four, five) = now.columns, [f for _, f in corpus_pipeline.STAGES]
+    good = one(on_workers, now, str(tmp_path))
+    want = [r for r in now.collect() if quality.measure(r.text)["kept"]]
+    assert good.columns == columns and sorted(map(repr, good.collect())) == sorted(map(repr, want))
+    single = two(on_workers, good, str(tmp_path))
+    groups = collections.defaultdict(list)
+    roots = brute_components({brute_print(r.text) for r in want})
+    for r in want:
+        groups[roots[brute_print(r.text)]].append(r)
+    first = [min(g, key=lambda r: (r.doc_id is None, r.doc_id or 0)) for g in groups.values()]
+    assert single.columns == columns and sorted(map(repr, single.collect())) == sorted(map(repr, first))
+    clean = three(on_workers, single, str(tmp_path))
+    assert clean.columns == columns and clean.count() == len(first)
+    texts_out = {r.doc_id: r for r in clean.collect()}
+    for r in more:
+        assert texts_out[r[0]].text == re.sub("password=abcdef[0-9]+", "[SECRET]", r[1])
+        assert texts_out[r[0]].n_chars == len(texts_out[r[0]].text)
+    assert all(texts_out[r.doc_id].text == r.text for r in first if r.doc_id not in dict((m[0], 1) for m in more))
+    mixed = four(on_workers, clean, str(tmp_path))
+    rows = mixed.collect()
+    assert mixed.columns == columns and {r.doc_id for r in rows} <= set(texts_out)
+    assert all(r == texts_out[r.doc_id] for r in rows)
+    pieces = collections.Counter(r.doc_id for r in five(on_workers, mixed, str(tmp_path)).filter("start = 0").collect())
+    assert pieces == collections.Counter(r.doc_id for r in rows)
+    assert corpus_pipeline.run(on_workers, str(tmp_path)).count() >= len(rows)
