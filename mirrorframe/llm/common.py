@@ -28,7 +28,7 @@ class Scratch:
     """Tables written into the shared folder, so that no later step depends on what an executor holds.
 
     ``keep`` writes a table that the returned result still reads.  ``table`` writes one that goes when the block ends.
-    Both let the driver drop the shuffle files of the steps behind it.
+    Before either, and at the end, the shuffle files of the steps behind it are let go.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -40,6 +40,7 @@ class Scratch:
     def __exit__(self, *_):
         for label in list(self.gone):
             self.drop(label)
+        self._release()
 
     def drop(self, label: str) -> None:
         """Removes the tables of a label before the block ends."""
@@ -51,13 +52,15 @@ class Scratch:
     def path(self, label: str) -> str:
         return f"{self.root}/{label}-{uuid.uuid4().hex[:8]}"
 
-    def _write(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(path)
-        schema = df.schema
-        del df
+    def _release(self) -> None:
+        """Lets the driver drop the shuffle files of finished steps, to which nothing refers any more."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(schema).parquet(path)
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        self._release()
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         return self._write(df, self.path(label))
@@ -71,6 +74,3 @@ class Scratch:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
-
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
