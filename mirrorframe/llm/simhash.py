@@ -71,7 +71,7 @@ def links(prints: DataFrame, scratch: Scratch, max_bits: int = 2, blocks: int =
     keyed = prints.select("fp", F.explode(F.array(*[
         F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)
     ])).alias("key")).select("fp", "key.k", "key.v")
-    sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = scratch.table(keyed.groupBy("k", "v").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     shared = scratch.table(keyed.join(sizes, ["k", "v"]), "blocks")
     few = shared.filter(F.col("n") <= DENSE)
     other = few.select("k", "v", F.col("fp").alias("b"))
@@ -87,7 +87,8 @@ def links(prints: DataFrame, scratch: Scratch, max_bits: int = 2, blocks: int =
         known = probes.join(many.select(F.col("fp").alias("w")).distinct(), "w", "left_semi")
         return pairs.unionByName(known.filter("fp != w").select(
             F.least("fp", "w").alias("a"), F.greatest("fp", "w").alias("b"))).distinct()
-    stars = probes.groupBy("w").agg(F.min("fp").alias("m"), F.count("*").alias("n")).filter("n > 1")
+    probes = scratch.table(probes, "probes")
+    stars = scratch.table(probes.groupBy("w").agg(F.min("fp").alias("m"), F.count("*").alias("n")).filter("n > 1"), "stars")
     near = probes.join(stars, "w").filter("fp != m").select(F.col("m").alias("a"), F.col("fp").alias("b"))
     return pairs.unionByName(near).distinct()
 
@@ -99,11 +100,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = (both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct())
         large = scratch.table(large, "large")
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))  # v < u
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.table(down.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (down.join(low, "u").select("m", F.explode(F.array("u", "v")).alias("b")).filter("b != m")
                  .select(F.col("m").alias("a"), "b").distinct())
         now = scratch.table(small, "small")
