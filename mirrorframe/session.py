@@ -17,6 +17,9 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # URL and markup operators are thousands of Column calls; recording the Python line of each takes most of the time that
+    # it takes to build a plan (a static setting: a cluster job sets it when it makes its session)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
