@@ -19,7 +19,7 @@ BASE = [
 ]
 #: Weak kinds, listed after them: (kind, role, pattern, what the match must hold besides).
 WEAK = [
-    ("weak_secret", "secret", r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_.-])",
+    ("weak_secret", "secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-]|\.[A-Za-z0-9+/_-])",
      [r"[A-Z]", r"[a-z]", r"[0-9]"]),
     ("weak_identifier", "identifier",
      r"""(?i:(?<![a-z0-9])(?:user(?:name|_?id)?|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}""",
