@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from mirrorframe.llm.common import Scratch
 
 #: Texts of these characters only (Latin, Greek and Cyrillic letters, ASCII, common punctuation) are encoded from the rank
-#: file of the same vocabulary, which is several times faster; all others by the tokenizers file itself.
+#: file of the same vocabulary, which is several times faster; all others by the tokenizers file itself.  So are texts with
+#: a long white-space run: the rank file's encoder gives up (a panic, no Exception) on runs of about a million.
 _PLAIN = re.compile(r"[\t\n\r -~ -ɏΑ-ΡΣ-ωА-я‐-‧‰-›€]*")
 _GAP = re.compile(r"\s\s")
+_LONG_GAP = re.compile(r"(?<!\s)\s{10000}")
 _loaded: dict = {}
 
 
@@ -53,8 +55,10 @@ def encoder(tokenizer: str, ranks: str | None):
             def encode(text):
                 if not _PLAIN.fullmatch(text):
                     return slow(text)
-                ids = (full if _GAP.search(text) else single).encode_ordinary(text)
-                return np.array(ids, np.uint32)
+                gap = _GAP.search(text)
+                if gap and _LONG_GAP.search(text, gap.start()):
+                    return slow(text)
+                return np.array((full if gap else single).encode_ordinary(text), np.uint32)
 
         _loaded[tokenizer, ranks] = encode
     return _loaded[tokenizer, ranks]

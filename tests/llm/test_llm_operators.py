@@ -350,6 +350,17 @@ def test_fast_encoder_equals_the_tokenizer():
         assert fast(c).tolist() == slow(c).tolist(), c
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \n", "\xa0"])
+def test_long_white_space_is_encoded(space):
+    from tokenizers import Tokenizer
+
+    path = TOKENIZER.path("byte_bpe_50k.json")
+    fast, whole = packing.encoder(path, TOKENIZER.path("byte_bpe_50k.tiktoken")), Tokenizer.from_file(path)
+    for n in (9_999, 10_000, 1_000_000, 3_000_000):
+        text = "a  b" + space * (n // len(space)) + "c"
+        assert fast(text).tolist() == whole.encode(text, add_special_tokens=False).ids, n
+
+
 # --- secrets
 
 def test_secrets_base_matches_brute_force(on_workers):
