@@ -20,7 +20,8 @@ from mirrorframe.llm.common import Scratch
 
 #: Texts of these characters only (Latin, Greek and Cyrillic letters, ASCII, common punctuation) are encoded from the rank
 #: file of the same vocabulary, which is several times faster; all others by the tokenizers file itself.  So are texts with
-#: a long white-space run: the rank file's encoder gives up (a panic, no Exception) on runs of about a million.
+#: a long white-space run: the rank file's encoder gives up (a panic, no Exception) on runs of about a million; and texts that
+#: hold an added token of the tokenizers file, which the rank file does not know.
 _PLAIN = re.compile(r"[\t\n\r -~ -ɏΑ-ΡΣ-ωА-я‐-‧‰-›€]*")
 _GAP = re.compile(r"\s\s")
 _LONG_GAP = re.compile(r"(?<!\s)\s{10000}")
@@ -33,7 +34,6 @@ def encoder(tokenizer: str, ranks: str | None):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(tokenizer)
-        whole.encode_special_tokens = True
         whole.no_truncation()
         slow = lambda t: np.array(whole.encode(t, add_special_tokens=False).ids, np.uint32)
         if ranks is None:
@@ -52,8 +52,10 @@ def encoder(tokenizer: str, ranks: str | None):
             # without two white-space characters in a row the lookahead never matters
             single = make("ranks-single", public_tokenizers.PATTERN.replace(r"\s+(?!\S)|\s+", r"\s"))
 
+            added = [t.content for t in whole.get_added_tokens_decoder().values()]
+
             def encode(text):
-                if not _PLAIN.fullmatch(text):
+                if any(t in text for t in added) or not _PLAIN.fullmatch(text):
                     return slow(text)
                 gap = _GAP.search(text)
                 if gap and _LONG_GAP.search(text, gap.start()):

@@ -361,6 +361,26 @@ def test_long_white_space_is_encoded(space):
         assert fast(text).tolist() == whole.encode(text, add_special_tokens=False).ids, n
 
 
+def test_added_tokens_are_encoded_as_the_file_says(on_workers):
+    """Against the tokenizers file as it is, with nothing set on it."""
+    from tokenizers import Tokenizer
+
+    path, ranks = TOKENIZER.path("byte_bpe_50k.json"), TOKENIZER.path("byte_bpe_50k.tiktoken")
+    whole, rng = Tokenizer.from_file(path), random.Random(1)
+    cases = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  \n x", "<|endoftext|", "日本語 <|endoftext|>"]
+    cases += ["".join(rng.choice(["<|endoftext|>", "<|", "|>", " ", "\n", "a'b", "é1", "日", "end of"]) for _ in range(60))
+              for _ in range(60)]
+    for c in cases:
+        want = whole.encode(c, add_special_tokens=False).ids
+        for encode in (packing.encoder(path, ranks), packing.encoder(path, None)):
+            assert encode(c).tolist() == want, c
+    df = on_workers.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack(df, path, ranks).collect()}
+    for i, c in enumerate(cases):
+        ids = np.array([*whole.encode(c, add_special_tokens=False).ids, 1], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), c
+
+
 # --- secrets
 
 def test_secrets_base_matches_brute_force(on_workers):
