@@ -1,12 +1,14 @@
 """Main text of web pages by equivalence-class template deduction.
 
-The pages of a host are taken as filled-in copies of a template.  Each page is read into tokens: its elements, told apart by
-their path, and its text blocks, told apart by path and words.  Tokens that occur equally often in each page of the host
-(equal occurrence vectors) form an equivalence class; vectors are compared by a sum of hashes over pages, so that a host of
-any size is aggregated in parts.  A class is valid if it covers all pages of a host that shows enough different ones and
-holds elements as well as any text: the elements are the template's frame, text in such a class is nested in that frame and
-belongs to the template, and all other text fills slots.  Slots inside parts that frame a page (menus, page headers,
-footers, sidebars, notices, adverts, forms, comments) go; of the rest the article's slots make the main text, and where a
+The pages of a host are taken as filled-in copies of templates.  Each page is read into tokens: its elements, told apart by
+their path, and its text blocks, told apart by path and words.  A text block stands in a slot: the article it is part of, or
+else its nearest container.  Text and slot form an equivalence class where, on nearly all different pages of the host that hold
+the slot (or on those of them that share one layout, the elements directly below the body), the text occurs equally often:
+as often as its own element or the slot, or a fixed number of times.  Support is counted among the pages that hold the slot,
+so that empty pages, error pages and pages of another layout say nothing about it.  A class is valid from enough different
+pages on, twice as many inside what a page names its article; its text belongs to a template, and all other text fills
+slots.  Slots inside parts that frame a page (menus, page
+headers, footers, sidebars, notices, adverts, forms, comments) go; of the rest the article's slots make the main text, and where a
 page names none, the container that holds most of the host's slot text does.
 """
 import html as entities
@@ -22,8 +24,10 @@ from pyspark.sql.functions import arrow_udf
 
 from mirrorframe.llm.common import Scratch
 
-#: Different pages that a host must show before text that all of them share counts as template.
+#: Different pages on which text must occur equally often before it counts as template (twice as many inside an article).
 MIN_PAGES = 5
+#: Least share of these pages in the different pages that hold the text's slot.
+MIN_SHARE = 0.9
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -94,15 +98,18 @@ def _frames(tag: str, attrs: dict[str, str], in_article: bool) -> str | None:
 
 
 class Page:
-    """A page's tokens: ``elements`` (path -> count) and ``blocks`` of text outside the framing parts, in page order, each
-    (words, path, containers from the outside in, inside an article)."""
+    """A page's tokens: ``elements`` (path -> count), ``slots`` (paths of its containers), ``layout`` (a hash of the elements
+    directly below the body) and ``blocks`` of text outside the framing parts, in page order, each (words, path, containers
+    from the outside in, path of the outermost article or 0)."""
 
     def __init__(self, html: str):
         self.elements: Counter = Counter()
-        self.blocks: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.blocks: list[tuple[str, int, tuple[int, ...], int]] = []
+        self.slots: set[int] = set()
+        self.top: set[int] = set()
         self.article = False
-        # open elements: (tag, path, why it is no main text, inside an article, containers)
-        self.stack: list[tuple[str, int, str | None, bool, tuple[int, ...]]] = [("", 0, None, False, ())]
+        # open elements: (tag, path, why it is no main text, path of the outermost article around it, containers)
+        self.stack: list[tuple[str, int, str | None, int, tuple[int, ...]]] = [("", 0, None, 0, ())]
         self.run: list[str] = []
         at = 0
         while True:
@@ -124,6 +131,9 @@ class Page:
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
                 at = end.start() if end else len(html)
         self._flush()
+        self.layout = _signed(xxhash.xxh3_64_intdigest(b"".join(x.to_bytes(8, "big") for x in sorted(self.top))))
+        if self.elements or self.blocks:
+            self.slots.add(0)
 
     def _text(self, text: str) -> None:
         if self.stack[-1][2] is None:
@@ -185,12 +195,16 @@ class Page:
         name = f"{tag}.{attrs.get('class', '')}#{attrs.get('id', '')}" if attrs else tag
         path = xxhash.xxh3_64_intdigest(_DIGITS.sub("0", name).encode("utf-8", "surrogatepass"), parent)
         self.elements[path] += 1
+        if self.stack[-1][0] in ("", "html", "body") and tag not in ("html", "head", "body"):
+            self.top.add(path)
         if tag in _VOID:
             return
         if body and outer is None and why is None:
-            self.article = article = True
+            self.article, article = True, article or path
         if tag in _BLOCK and tag not in _LEAF:
             containers = (*containers, path)
+            if (outer or why) is None:
+                self.slots.add(path)
         self.stack.append((tag, path, outer or why, article, containers))
 
 
@@ -202,9 +216,16 @@ def _word_token(words: str, path: int) -> int:
     return _signed(xxhash.xxh3_64_intdigest(words.encode("utf-8", "surrogatepass"), path))
 
 
+def _in_layout(token: int, layout: int) -> int:
+    return _signed((token * 0x9E3779B97F4A7C15 ^ layout) & ((1 << 64) - 1))
+
+
 def _tokens(pages: DataFrame) -> DataFrame:
-    """Rows (host, page, kind, token, n, chars): per page and token.  Kinds: element, text, container."""
-    names = ["host", "page", "kind", "token", "n", "chars"]
+    """Rows (host, page, layout, kind, slot, token, within, n, even, chars): per page and token.  Kinds: slot, text (inside: text
+    inside an article), container.  within is the token told apart by layout; even: it occurs as often as its own element or its slot."""
+    kinds = pa.schema([("host", pa.string()), ("page", pa.int64()), ("layout", pa.int64()), ("kind", pa.string()),
+                       ("slot", pa.int64()), ("token", pa.int64()), ("within", pa.int64()), ("n", pa.int64()),
+                       ("even", pa.int64()), ("chars", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,43 +233,65 @@ def _tokens(pages: DataFrame) -> DataFrame:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = html.as_py()
                 page, seen = Page(text), _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
-                out += [(host, seen, "element", _signed(k), n, 0) for k, n in page.elements.items()]
-                texts = Counter(_word_token(b[0], b[1]) for b in page.blocks)
-                out += [(host, seen, "text", k, n, 0) for k, n in texts.items()]
+                key = (host, seen, page.layout)
+                out += [(*key, "slot", _signed(k), 0, 0, 1, 0, 0) for k in page.slots]
+                inside = {b[3] for b in page.blocks if b[3]}
+                texts = Counter((b[1], b[3] or (b[2][-1] if b[2] else 0), _word_token(b[0], b[1])) for b in page.blocks)
+                out += [(*key, "inside" if slot in inside else "text", _signed(slot), k, _in_layout(k, page.layout), n,
+                         int(n in (page.elements[path], page.elements[slot])), 0) for (path, slot, k), n in texts.items()]
                 size: Counter = Counter()
                 for words, _, containers, _ in page.blocks:
                     if containers:
                         size[containers[-1]] += len(words)
-                out += [(host, seen, "container", _signed(k), 1, n) for k, n in size.items()]
+                out += [(*key, "container", 0, _signed(k), 0, 1, 0, n) for k, n in size.items()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
-
-    return pages.mapInArrow(emit, "host string, page long, kind string, token long, n long, chars long")
-
-
-def deduce(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES) -> DataFrame:
-    """One row per host: ``template_text`` (tokens of text that belongs to the template) and ``body`` (the container with
-    most text outside the framing parts).  pages: host, html (not null)."""
-    seen = scratch.table(_tokens(pages).groupBy("host", "kind", "token").agg(
-        F.count("*").alias("pages"), F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"),
-        F.sum("chars").alias("chars")).filter(f"kind = 'container' OR pages >= {int(min_pages)}"), "tokens")
-    hosts = scratch.table(pages.select("host", F.xxhash64("html").alias("page")).groupBy("host", "page").agg(
-        F.count("*").alias("n")).groupBy("host").agg(F.sum("n").alias("all_pages"), F.count("*").alias("different")), "hosts")
-    everywhere = seen.filter("kind != 'container'").join(hosts.filter(F.col("different") >= min_pages), "host").filter(
-        "pages = all_pages")
-    classes = scratch.table(everywhere.groupBy("host", "vector").agg(
-        F.count_if(F.col("kind") == "element").alias("elements"),
-        F.collect_list(F.when(F.col("kind") == "text", F.col("token"))).alias("texts")).filter("elements > 0"), "classes")
-    template = classes.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("template_text"))
-    body = seen.filter("kind = 'container'").groupBy("host").agg(
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
+
+    return pages.mapInArrow(emit, "host string, page long, layout long, kind string, slot long, token long, within long, "
+                                  "n long, even long, chars long")
+
+
+def deduce(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """One row per host: ``template_text`` (tokens of text that belongs to a template of all pages, or, told apart by layout, of
+    one layout; the latter inverted too, for pages of a layout too rare to tell; and the other layouts, inverted) and ``body``
+    (the container with most text outside the framing parts).  pages: host, html (not null)."""
+    # a page that is there several times counts once
+    seen = scratch.table(_tokens(pages).dropDuplicates(["host", "page", "kind", "slot", "token"]).groupBy(
+        "host", "layout", "kind", "slot", "token", "within", "n").agg(
+        F.count("*").alias("pages"), F.sum("even").alias("even"), F.sum("chars").alias("chars")), "tokens")
+
+    def shared(*among: str) -> DataFrame:
+        """Texts that occur equally often on nearly all pages among those that hold their slot."""
+        slots = seen.filter("kind = 'slot'").groupBy(*among, "slot").agg(F.sum("pages").alias("of")).filter(
+            F.col("of") >= min_pages)
+        texts = seen.filter("kind IN ('text', 'inside')").groupBy(*among, "kind", "slot", "token", "n").agg(
+            F.sum("pages").alias("pages"), F.sum("even").alias("even"), F.max("within").alias("within")).groupBy(
+            *among, "kind", "slot", "token").agg(
+            F.greatest(F.max("pages"), F.sum("even")).alias("pages"), F.max("within").alias("within")).filter(
+            F.col("pages") >= F.when(F.col("kind") == "inside", 2 * min_pages).otherwise(min_pages))
+        return texts.join(slots, [*among, "slot"]).filter(F.col("pages") >= min_share * F.col("of"))
+
+    layouts = seen.filter("kind = 'slot' AND slot = 0").groupBy("host", "layout").agg(F.sum("pages").alias("of")).filter(
+        F.col("of") >= min_pages)
+    found = shared("host").select("host", F.array("token").alias("t")).unionByName(
+        shared("host", "layout").select("host", F.array("within", F.bitwise_not("token")).alias("t"))).unionByName(
+        layouts.select("host", F.array(F.bitwise_not("layout")).alias("t")))
+    template = scratch.table(found.select("host", F.explode("t").alias("token")), "classes").groupBy("host").agg(
+        F.collect_set("token").alias("template_text"))
+    body = seen.filter("kind = 'container'").groupBy("host", "token").agg(F.sum("chars").alias("chars")).groupBy("host").agg(
         F.max_by("token", F.struct("chars", "token")).alias("body"))
-    return scratch.keep(body.join(template, "host", "left"), "templates")
+    return scratch.keep(body.join(template, "host", "full"), "templates")
 
 
 def extract(html: str, template: set[int], body: int | None) -> str:
-    """The main text of a page under its host's template."""
+    """The main text of a page under its host's templates."""
     page = Page(html)
-    blocks = [b for b in page.blocks if _word_token(b[0], b[1]) not in template]
+    blocks = page.blocks
+    if template:
+        rare = ~page.layout not in template
+        tokens = [_word_token(b[0], b[1]) for b in blocks]
+        blocks = [b for b, k in zip(blocks, tokens) if not (
+            k in template or _in_layout(k, page.layout) in template or rare and ~k in template)]
     if page.article:
         return "\n".join(b[0] for b in blocks if b[3])
     inside = [b[0] for b in blocks if any(_signed(c) == body for c in b[2])]
@@ -260,7 +303,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per input row: the id, the url and ``text``, blocks of the main text joined by line feeds (empty if none).
 
     Null html is empty.  Pages without a host in their url (or without a url) are taken as pages of one nameless host.
-    Repeated rows each return, and count once as different pages of a host.  Other columns are not read.
+    Repeated rows each return, and count once as different pages of a host; null and empty pages do not count.
+    Other columns are not read.
     """
 
     @arrow_udf("string")

@@ -517,6 +517,25 @@ def test_template_text_goes_without_any_article(on_workers):
     assert got[50].split("\n") == ["Read our rules first", *lines(parts[0])]  # one page shows no template
 
 
+def test_templates_of_a_host_with_empty_pages_and_two_layouts(on_workers):
+    """Null, empty and error pages, pages without the notice, and copies say nothing about the rest of a host."""
+    rng, rows, want = random.Random(11), [], {}
+    add = lambda html, text=None: (want.__setitem__(len(rows), text), rows.append((len(rows), "https://h.example/", html)))
+    for i in range(20):  # articles; three quote a common sentence, one has no note
+        body = [prose(rng, 20) for _ in range(3)] + ["A sentence that some quote"] * (i < 3)
+        add("<body><div class=top>My Site</div><div class=x>" + "".join(f"<p>{b}</p>" for b in body) + "<p>Read our rules</p></div>"
+            + "<div class=note>Closed on Monday</div>" * (i != 7), "\n".join(body))
+    for i in range(8):  # front pages, in the same container
+        body = [prose(rng, 9) for _ in range(2)]
+        add(f"<body><section class=hero>Welcome</section><div class=x><p>News of today</p><p>{body[0]}</p><p>{body[1]}</p></div>",
+            "\n".join(body))
+    for html in (None, "", "<body><h1>500</h1>", *[rows[0][2]] * 40):
+        add(html, want[0] if html and "My Site" in html else "500" if html else "")
+    df = on_workers.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in main_text.main_text(df).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("html", ["<" * 5000, "<a title=it's href=/x>t</a><p>it's</p>", "<p " + "a='" * 3000, "<!-- open", "<script>x",
                                   "<p>&#0;&bogus;&#x110000;</p>", "</p></div>", "<div>" * 3000 + "deep"])
 def test_odd_markup_does_not_break(html):
