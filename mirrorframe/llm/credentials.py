@@ -3,7 +3,9 @@
 Three base kinds are reported wherever they stand.  Weak candidates (mixed tokens that may be secrets, assigned account
 names, endpoints) are common in clean text; they become findings only where complementary parts of a credential co-occur:
 the candidates are interval-joined to the identifiers, secrets and endpoints within a scope of ``scope`` code points around
-them in the same document, and a candidate stays if its neighbours complete it.
+them in the same document, and a candidate stays if its neighbours complete it.  A secret is completed by an identifier, by a
+service it opens (host:port, database URL, URL with a login), or by any other web URL if a key word stands near too; but what is
+itself a piece of a web URL is completed by an identifier only.
 """
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,13 @@ BASE = [
     ("access", "identifier", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", "secret", r"[0-9a-f]{16,}", 0, 16),
 ]
+_ENDPOINT = (
+    r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|amqp|ftp)://[A-Za-z0-9_.:@/%?&=-]{4,}"
+    r"|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}(?![0-9])"
+    # a name of three parts and a port, or of two and a port of four digits or more (file:line is none)
+    r"|(?<![A-Za-z0-9.-])(?:localhost|(?=[A-Za-z0-9-]{1,63}\.(?:[A-Za-z0-9-]{1,63}\.[A-Za-z]|[A-Za-z][A-Za-z0-9-]{0,62}:[0-9]{4}))"
+    r"[A-Za-z0-9.-]{3,253}+):[0-9]{2,5}(?![0-9])")
+_LOGIN, _PORT = r"https?://[^/@?]*@", r"https?://[^/@?]*:[0-9]{2,5}(?![0-9])"
 #: Weak kinds, listed after them: (kind, role, pattern, what the match must hold besides).
 WEAK = [
     ("weak_secret", "secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-]|\.[A-Za-z0-9+/_-])",
@@ -24,12 +33,16 @@ WEAK = [
     ("weak_identifier", "identifier",
      r"""(?i:(?<![a-z0-9])(?:user(?:name|_?id)?|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}""",
      []),
-    ("endpoint", "endpoint",
-     r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|amqp|ftp)://[A-Za-z0-9_.:@/%?&=-]{4,}"
-     r"|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}(?![0-9])", []),
+    # three sorts of endpoints, told apart by the text of the match: no match is of two
+    ("endpoint", "service", _ENDPOINT, [rf"^(?!https?://)|^{_LOGIN}"]),
+    ("endpoint", "port", _ENDPOINT, [rf"^(?!{_LOGIN}){_PORT}"]),
+    ("endpoint", "url", _ENDPOINT, [r"^https?://", rf"^(?!{_LOGIN}|{_PORT})"]),
+    # completes others, and is never reported itself
+    ("key_word", "key_word",
+     r"(?i:(?<![a-z0-9])(?:api|(?:api)?keys?|tokens?|bearer|secrets?|passw(?:or)?ds?|pwd|credentials?|o?auth|authorization|webhook)"
+     r"(?![a-z0-9]))", []),
 ]
-#: Which neighbours complete a weak part of a role.
-NEEDS = {"secret": ["identifier"], "identifier": ["secret"], "endpoint": ["identifier", "secret"]}
+ROLES = ["identifier", "secret", "service", "port", "url", "key_word"]
 SPAN = "array<struct<start:int,end:int,rank:int>>"
 _BUCKET = 512
 
@@ -86,25 +99,24 @@ def findings(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     each = scratch.keep(each.select("doc_id", "doc", "hash", F.concat(*base).alias("base"), F.concat(*weak).alias("weak")),
                         "parts")
     roles = F.array(*[F.lit(k[1]) for k in [*BASE, *WEAK]])
-    # no document without a weak part takes part in the join
-    parts = each.filter(F.size("weak") > 0).select("doc", "hash", F.explode(F.concat("base", "weak")).alias("s")).select(
+    # no document without a weak part that may be reported takes part in the join
+    parts = each.filter(F.exists("weak", lambda x: x["rank"] != len(BASE) + len(WEAK) - 1)).select("doc", "hash", F.explode(F.concat("base", "weak")).alias("s")).select(
         "doc", "hash", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.rank").alias("rank"),
         F.element_at(roles, F.col("s.rank") + 1).alias("role")).distinct()
-    near = parts.filter(F.col("rank") >= len(BASE)).withColumn("bucket", F.explode(F.sequence(
+    near = parts.filter((F.col("rank") >= len(BASE)) & (F.col("role") != "key_word")).withColumn("bucket", F.explode(F.sequence(
         F.floor((F.col("start") - scope) / _BUCKET), F.floor((F.col("end") + scope) / _BUCKET))))
     other = parts.select("doc", "hash", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("role").alias("role2"),
                          F.explode(F.sequence(F.floor(F.col("start") / _BUCKET), F.floor((F.col("end") - 1) / _BUCKET))
                                    ).alias("bucket"))
     joined = near.join(other, ["doc", "hash", "bucket"]).filter(
         (F.col("role") != F.col("role2")) & (F.col("s2") - F.col("end") <= scope) & (F.col("start") - F.col("e2") <= scope))
-    met = joined.groupBy("doc", "hash", "start", "end", "rank", "role").agg(*[
-        F.max((F.col("role2") == r).cast("int")).alias(r) for r in ("identifier", "secret", "endpoint")])
-    complete = F.lit(False)
-    for role, needs in NEEDS.items():
-        ok = F.col("role") == role
-        for r in needs:
-            ok = ok & (F.col(r) == 1)
-        complete = complete | ok
+    apart = (F.col("s2") >= F.col("end")) | (F.col("e2") <= F.col("start"))
+    met = joined.groupBy("doc", "hash", "start", "end", "rank", "role").agg(
+        *[F.max((F.col("role2") == r) & (apart if r == "key_word" else F.lit(True))).alias(r) for r in ROLES],
+        F.max(F.col("role2").isin("port", "url") & ~apart).alias("in_url"))
+    opens = ~F.col("in_url") & (F.col("service") | F.col("port") | (F.col("url") & F.col("key_word")))
+    complete = (F.when(F.col("role") == "secret", F.col("identifier") | opens)
+                .when(F.col("role") == "identifier", F.col("secret")).otherwise(F.col("identifier") & F.col("secret")))
     extra = met.filter(complete).groupBy("doc", "hash").agg(
         F.collect_list(F.struct("start", "end", "rank")).alias("extra"))
     extra = scratch.keep(extra, "extra")

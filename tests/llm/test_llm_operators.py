@@ -442,6 +442,28 @@ def test_weak_secrets_after_equals_signs_and_before_full_stops(on_workers):
     assert out[1].endswith("AWS_SECRET_ACCESS_KEY=[SECRET]") and out[2] == "[SECRET] opens with [SECRET]."
 
 
+def test_endpoints_complete_secrets(on_workers):
+    """A secret beside the service it opens, without any identifier."""
+    token = "wJalrXUtnFEMIK7MDENGbPxRfiCY"
+    yes = [f"Bearer {token} for https://svc.example.com/v1", f"{token} opens db.internal.example.com:5432", f"10.0.0.7:6379 {token}",
+           f"redis.local:6379 {token}", f"localhost:8080 {token}", f"{token} postgres://db.example.com/main",
+           f"http://svc.example.com:8080/x {token}", f"postgres://bob:{token}@db.example.com/main",
+           f"https://bob:{token}@svc.example.com/x"]
+    no = [f"{token} https://svc.example.com/v1", f"Bearer {token}", f"main.py:120 {token}", f"at 10:30 {token}",
+          f"the token of https://svc.example.com/{token} and https://svc.example.com/x",
+          "key https://example.com/Path/To/Version2/Guide https://example.com/x",
+          "db.example.com:5432" + " w" * 150 + f" {token}", "Bearer of https://svc.example.com/v1 db.example.com:5432",
+          "https://svc.example.com/x My_Api_Key_Abcdefghij123"]
+    df = on_workers.createDataFrame(list(enumerate(yes + no)), "doc_id long, text string")
+    got = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in credentials.scan(df).collect()}
+    for i, t in enumerate(yes):
+        assert got[i] == [["weak_secret", str(t.index(token)), str(t.index(token) + len(token))]], t
+    for i, t in enumerate(no):
+        assert got[len(yes) + i] == [], t
+    out = {r.doc_id: r.text for r in credentials.redact(df, n_chars_col=None).collect()}
+    assert [out[i] for i in range(len(yes))] == [t.replace(token, "[SECRET]") for t in yes]
+
+
 # --- language
 
 def test_language_learns_and_is_defined_at_the_edges(on_workers):
