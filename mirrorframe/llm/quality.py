@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-#: n-gram length -> largest share of word characters inside duplicated n-grams of that length.
-NGRAM_LIMITS = {5: 0.50, 6: 0.48, 7: 0.46, 8: 0.44, 9: 0.42, 10: 0.40}
+#: n-gram length -> largest share of word characters inside duplicated n-grams of that length.  Long clean texts repeat short
+#: n-grams, so their limits are wider.  From 8 words on the base rule decides: any limit below it rejects good texts first.
+NGRAM_LIMITS = {2: 0.70, 3: 0.60, 4: 0.55, 5: 0.50, 6: 0.48, 7: 0.46}
 #: Largest share of word characters on lines that repeat an earlier line.
 LINE_LIMIT = 0.30
 #: Most symbols per word.

@@ -75,6 +75,23 @@ def test_quality_keeps_clean_and_columns(docs):
     assert quality.keep_good(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [3, 4, 5])
+@pytest.mark.parametrize("size", [1, 2, 3, 4])
+def test_quality_drops_short_repeats(copies, size):
+    """Short runs of words, and few copies of short phrases, of which no window of 8 words comes twice."""
+    rng = random.Random(copies * 10 + size)
+    phrases = [[f"w{rng.randint(0, 10 ** 9)}" for _ in range(size)] for _ in range(24)]
+    told = quality.measure(" ".join(" ".join(p * copies) for p in phrases))
+    assert told["base_failed"] or not told["kept"]
+    if size == 1:  # the phrases are too short for the base rule to see them
+        assert not told["base_failed"]
+    scattered = [p for p in phrases for _ in range(copies)]
+    rng.shuffle(scattered)
+    told = quality.measure(" ".join(" ".join(p) for p in scattered))
+    assert size == 1 or not told["kept"]
+    assert quality.measure(" ".join(" ".join(p) for p in phrases))["kept"]
+
+
 # --- simhash
 
 def brute_print(text):
