@@ -82,3 +82,62 @@ x AS (SELECT doc_id, count(*) AS n_words, count(gone) AS n_removed,
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM b LEFT JOIN x USING (doc_id)"""
+
+_UPPER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: CRC-32 by its table (polynomial EDB88320), made by eight steps from each byte.
+TRIE = r"""
+WITH RECURSIVE steps(b, c, i) AS (
+  SELECT range, range, 0 FROM range(256) UNION ALL
+  SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM steps WHERE i < 8),
+crc AS (SELECT list(c ORDER BY b) AS tab FROM steps WHERE i = 8),
+t AS (SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS e,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(e ORDER BY pos) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+               string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+               lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h FROM o, crc),
+b AS (SELECT h.conv_id, list_concat(coalesce(list_slice(p.own, 1, h), []), list_slice(h.own, h + 1, len(h.own))) AS path
+      FROM h LEFT JOIN o p ON p.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM b),
+n AS (SELECT list_slice(path, 1, depth) AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+             coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(path) = depth), '') AS ends
+      FROM m GROUP BY ALL),
+u AS (SELECT *, list_slice(node, 1, depth - 1) AS up, CASE WHEN depth > 0 THEN length(node[-1].t) ELSE 0 END AS size FROM n),
+k AS (SELECT up AS node, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY up),
+l AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k USING (node)),
+a AS (SELECT list_slice(node, 1, d) AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved
+      FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM l) GROUP BY 1)
+SELECT l.conv_id, l.depth, p.conv_id AS parent_conv_id, l.n_convs, l.n_children, a.n_leaves,
+       a.saved::BIGINT AS saved_tokens, sha256(l.ends) AS ends_sha256
+FROM l JOIN a USING (node) LEFT JOIN n p ON l.depth > 0 AND p.node = l.up"""
+
+_TERMS = r"regexp_extract_all(" + _UPPER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+i AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark),
+q AS (SELECT i, item_id, term, count(*) AS qf FROM (SELECT i, item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+wt AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+       FROM tf, s GROUP BY term),
+sc AS (SELECT i, item_id, r, sum(qf * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * n_docs) // n_terms))))::BIGINT AS score
+       FROM q JOIN tf USING (term) JOIN wt USING (term) JOIN d USING (r), s GROUP BY ALL),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+      FROM sc JOIN d USING (r) WHERE score > 0)
+SELECT * FROM k WHERE rank <= 20"""
+
+JACCARD = rf"""
+WITH RECURSIVE b AS (SELECT row_number() OVER () AS r, doc_id,
+                            regexp_extract_all({_UPPER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS grams FROM b),
+x AS (SELECT r, len(grams) AS n, unnest(grams) AS gram FROM g),
+e AS (SELECT a.r AS a, c.r AS b FROM x a JOIN x c ON a.gram = c.gram AND a.r <> c.r
+      WHERE 100 * least(a.n, c.n) >= 80 * greatest(a.n, c.n)
+      GROUP BY a.r, c.r HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(c.n) - count(*))),
+reach AS (SELECT r, r AS o FROM b UNION SELECT reach.r, e.b FROM reach JOIN e ON e.a = reach.o)
+SELECT g.doc_id, len(grams)::BIGINT AS n_shingles, (SELECT min(c.doc_id) FROM reach JOIN b c ON c.r = reach.o WHERE reach.r = g.r) AS component_id
+FROM g"""

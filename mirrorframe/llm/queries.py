@@ -2,8 +2,8 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mirrorframe.llm import (chunk_prints, credentials, language, main_text, mixing, oracles, packing, quality, simhash,
-                             substrings, warc)
+from mirrorframe.llm import (chunk_prints, credentials, jaccard, language, main_text, mixing, oracles, packing, quality,
+                             ranking, simhash, substrings, trie, warc)
 from mirrorframe.llm.common import Scratch, read
 
 
@@ -65,6 +65,21 @@ def op10_secrets(spark, sf_dir):
     return credentials.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark, sf_dir):
+    with Scratch(spark, "trie") as scratch:
+        turns = trie.turns_in_order(read(spark, sf_dir, "conversations"), scratch)
+        members, turns = trie.shared_openings(turns, scratch)
+        return trie.prefix_trie(members, turns, scratch)
+
+
+def op12_search(spark, sf_dir):
+    return ranking.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_jaccard(spark, sf_dir):
+    return jaccard.near_classes(read(spark, sf_dir, "documents"), k=5, percent=80)
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_warc": op1_warc,
@@ -77,6 +92,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_substrings": op9_substrings,
     "op10_secrets": op10_secrets,
+    "op11_trie": op11_trie,
+    "op12_search": op12_search,
+    "op13_jaccard": op13_jaccard,
 }
 
 #: The other queries rest on XXH64, an HTML parser, a tokenizer, learned automata or look-behind patterns.
@@ -85,6 +103,9 @@ ORACLES = {
     "op3_mixing": oracles.MIXING,
     "op6_quality_rules": oracles.QUALITY,
     "op9_substrings": oracles.SUBSTRINGS,
+    "op11_trie": oracles.TRIE,
+    "op12_search": oracles.SEARCH,
+    "op13_jaccard": oracles.JACCARD,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
