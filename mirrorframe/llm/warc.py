@@ -35,18 +35,23 @@ def _line(value: str) -> str:
     return " ".join(value.split())
 
 
+def record_id(key: str, digest: str) -> str:
+    """A record's id: rows of one key with unlike payloads are records of their own."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{digest}:{key}')}>"
+
+
 def member(kind: str, key: str, url: str, digest: str, payload: bytes, refers_to: str | None) -> bytes:
     """One record as one gzip member.  A revisit holds the response's HTTP header and no payload."""
     http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n").encode()
     body = http + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, key)}>", f"WARC-Date: {_DATE}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(key, digest)}", f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {_line(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Record-Key: {_line(key)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                 f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(_SPACE, refers_to)}>"]
+                 f"WARC-Refers-To: {record_id(refers_to, digest)}"]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + packer.flush()
 
@@ -54,7 +59,11 @@ def member(kind: str, key: str, url: str, digest: str, payload: bytes, refers_to
 def plan_records(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                  min_revisit_bytes: int = 1000) -> DataFrame:
     """Rows (id, url, payload, digest, refers_to): of equal payloads of at least ``min_revisit_bytes`` the largest id is
-    the response (``refers_to`` null) and the others revisit it.  Equal means equal length and SHA-1."""
+    the response (``refers_to`` null) and the others revisit it.  Equal means equal length and SHA-1.
+
+    Null and empty html is an empty payload, a null url an empty one.  Rows of one id with unlike payloads are records of
+    their own, each response or revisit by its payload; rows with a null id revisit the largest id, and are responses where a
+    payload has no other.  An empty table gives no records; other columns are not read."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload"))

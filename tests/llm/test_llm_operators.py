@@ -6,11 +6,13 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from mirrorframe.llm import (chunk_prints, credentials, language, main_text, mixing, packing, quality, simhash, substrings,
                              warc)
@@ -223,6 +225,19 @@ def test_warc_round_trip_and_ranges(on_workers):
         assert warc.read_archives(on_workers, manifest).count() == 0
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_warc_rows_of_one_id_with_unlike_payloads(on_workers, turned):
+    long, short = "<p>" + "A b " * 900, "<p>" + "c " * 700
+    pages = [(1, long), (5, long), (5, short), (None, long), (2, short), (None, "x"), (5, "x")]
+    df = on_workers.createDataFrame([(i, "u", h) for i, h in (pages[::-1] if turned else pages)], "page_id long, url string, html string")
+    with Scratch(on_workers, "t") as scratch:
+        manifest = scratch.keep(warc.write_archives(warc.plan_records(df, scratch), scratch.path("a")))
+        got = warc.resolve_revisits(warc.read_archives(on_workers, manifest), scratch).collect()
+    want = [(str(i).lower().replace("none", "null"), len(h), hashlib.sha1(h.encode()).hexdigest(),
+             *(("response", None) if h == "x" or i == 5 else ("revisit", "5"))) for i, h in pages]
+    assert sorted((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == sorted(want)
+
+
 def test_warc_reader_passes_over_other_bytes():
     inner = warc.member("response", "in", "u", "d", b"x" * 50, None)
     data = b"junk\x1f\x8b\x08junk" + warc.member("response", "a", "u", "d", b"payload", None) + gzip.compress(b"no archive") \
@@ -459,6 +474,38 @@ def test_weak_secrets_after_equals_signs_and_before_full_stops(on_workers):
     assert out[1].endswith("AWS_SECRET_ACCESS_KEY=[SECRET]") and out[2] == "[SECRET] opens with [SECRET]."
 
 
+def test_secrets_in_very_long_texts_take_time_in_proportion(on_workers):
+    words = [f"{i:016x}0a" for i in range(60_000)]
+    long = "é " + " ".join(words)
+    df = on_workers.createDataFrame([(1, long), (2, "x " * 10_000 + words[0] + " end"), (3, words[1])], "doc_id long, text string")
+    begun = time.time()
+    got = {r.doc_id: r for r in credentials.scan(df).collect()}
+    assert {i: r.n_hex for i, r in got.items()} == {1: 60_000, 2: 1, 3: 1}
+    places = ",".join(f"hex:{2 + 19 * i}:{20 + 19 * i}" for i in range(60_000))
+    assert got[1].base_sha256 == hashlib.sha256(places.encode()).hexdigest()
+    out = {r.doc_id: r.text for r in credentials.redact(df, n_chars_col=None).collect()}
+    assert out[1] == "é " + " ".join(["[SECRET]"] * 60_000)
+    assert out[2] == "x " * 10_000 + "[SECRET] end" and out[3] == "[SECRET]"
+    assert time.time() - begun < 120
+
+
+def test_marks_replace_any_spans(on_workers):
+    rng = random.Random(4)
+    rows = []
+    for n in (1, 2, 9, 40):
+        for size in (30, 5000, 9000):
+            text = "".join(rng.choice("abé日 \n") for _ in range(size))
+            spans = [(a, min(size, a + rng.randint(1, rng.choice([4, 400, 5000]))), 0) for a in (rng.randrange(size) for _ in range(n))]
+            rows.append((text, spans))
+    got = on_workers.createDataFrame(rows, f"t string, s {credentials.SPAN}").select(
+        credentials._marked(F.col("t"), F.col("s"), "#").alias("x")).collect()
+    for (text, spans), r in zip(rows, got):
+        out, at = "", 0
+        for a, b, _ in sorted(spans):
+            out, at = (out, max(at, b)) if a < at else (out + text[at:a] + "#", b)
+        assert r.x == out + text[at:]
+
+
 def test_endpoints_complete_secrets(on_workers):
     """A secret beside the service it opens, without any identifier."""
     token = "wJalrXUtnFEMIK7MDENGbPxRfiCY"
