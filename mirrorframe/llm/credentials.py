@@ -10,6 +10,7 @@ itself a piece of a web URL is completed by an identifier only.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mirrorframe.functions.urls import let
 from mirrorframe.llm.common import Scratch
 
 #: Base kinds in the order in which equal starts are listed: (kind, role, pattern, group that is measured, least length).
@@ -47,6 +48,15 @@ SPAN = "array<struct<start:int,end:int,rank:int>>"
 _BUCKET = 512
 
 
+def _running(values: Column, add) -> Column:
+    """Running sums (or maxima) of an array, by doubling: as many passes over it as its length has binary digits, so that
+    a text with very many matches takes time nearly in proportion to them."""
+    passes = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int") - 1)
+                    ).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(passes, values, lambda acc, p: let(F.pow(F.lit(2.0), p).cast("int"), lambda k: F.transform(
+        acc, lambda x, i: F.when(i >= k, add(x, F.get(acc, i - k))).otherwise(x))))
+
+
 def matches(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0, holds=()) -> Column:
     """Spans of the leftmost non-overlapping matches, in code points, then those of them that pass.
 
@@ -57,26 +67,20 @@ def matches(text: Column, pattern: str, rank: int, group: int = 0, least: int =
     sized = F.transform(F.arrays_zip(*[p.alias(f"c{i}") for i, p in enumerate(parts)]), lambda x: F.struct(
         F.char_length(x["c0"]).alias("gap"), F.char_length(x["c1"]).alias("hit"),
         F.char_length(x[f"c{2 if group else 1}"]).alias("size"), x["c1"].alias("text")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(
-        "array<struct<start:int,end:int,rank:int,size:int,text:string>>").alias("found"))
-
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(x["hit"], F.lit(0))
-        row = F.struct(begin.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), x["size"].alias("size"),
-                       x["text"].alias("text"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["found"]).otherwise(
-            F.concat(acc["found"], F.array(row))).alias("found"))
-
-    all_of = F.aggregate(sized, start, step, lambda acc: acc["found"])
 
     def passes(x):
-        ok = x["size"] >= least
+        ok = x["hit"].isNotNull() & (x["size"] >= least)
         for p in holds:
             ok = ok & x["text"].rlike(p)
         return ok
 
-    kept = F.transform(F.filter(all_of, passes), lambda x: F.struct(x["start"], x["end"], x["rank"]))
+    def placed(s):
+        ends = _running(F.transform(s, lambda x: x["gap"] + F.coalesce(x["hit"], F.lit(0))), lambda a, b: a + b)
+        return let(ends, lambda e: F.transform(s, lambda x, i: F.struct(
+            (F.get(e, i) - x["hit"]).alias("start"), F.get(e, i).alias("end"), F.lit(rank).alias("rank"),
+            passes(x).alias("ok"))))
+
+    kept = F.transform(F.filter(let(sized, placed), lambda x: x["ok"]), lambda x: F.struct(x["start"], x["end"], x["rank"]))
     return F.when(text.rlike(pattern), kept).otherwise(F.array().cast(SPAN))
 
 
@@ -139,6 +143,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         _listed(F.concat("base", "extra")).alias("spans"))
 
 
+#: Code points of a piece of text in which places are looked up: a place in a long text is found by counting from its start.
+_PIECE = 4096
+
+
+def _marked(text: Column, spans: Column, mark: str) -> Column:
+    """The text with the spans replaced by the mark, overlapping ones by a single one."""
+
+    def between(pieces, a, b):
+        """Code points a to b, end exclusive."""
+        whole = F.transform(F.sequence((a / _PIECE).cast("int"), (F.greatest(a, b - 1) / _PIECE).cast("int")), lambda p: F.substring(
+            F.get(pieces, p), F.greatest(a - p * _PIECE, F.lit(0)) + 1, b - F.greatest(a, p * _PIECE)))
+        return F.when(b > a, F.array_join(whole, "")).otherwise("")
+
+    def joined(v):
+        s, tops, pieces = v["spans"], v["tops"], v["pieces"]
+        # a span opens a gap before it where it starts behind all earlier ones
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(tops, i - 1)))
+        before = F.transform(heads, lambda i: F.concat(between(
+            pieces, F.when(i == 0, 0).otherwise(F.get(tops, i - 1)), F.get(s, i)["start"]), F.lit(mark)))
+        return F.concat(F.array_join(before, ""), between(pieces, F.get(tops, F.size(s) - 1), v["size"]))
+
+    ordered = F.array_sort(spans)
+    return let(F.struct(ordered.alias("spans"), _running(F.transform(ordered, lambda x: x["end"]), F.greatest).alias("tops"),
+                        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)).alias("pieces"),
+                        F.char_length(text).alias("size")), joined)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars",
            mark: str = "[SECRET]", scope: int = 200) -> DataFrame:
     """The input rows, columns in order, with every finding in the text replaced by ``mark`` (overlapping ones by a single
@@ -147,13 +178,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_ch
         found = findings(docs, scratch, id_col, text_col, scope)
         spans = scratch.keep(found.select("doc", "hash", F.concat("base", "extra").alias("spans")).filter(
             F.size("spans") > 0).dropDuplicates(["doc", "hash"]), "spans")
-    merged = F.aggregate(
-        F.array_sort("__spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(False).alias("open")),
-        lambda acc, x: F.when(x["start"] < acc["at"], F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"), F.lit(True).alias("open"))).otherwise(
-            F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(
-                F.col(text_col), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)).alias("out"), F.lit(True).alias("open"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.char_length(text_col))))
+    merged = _marked(F.col(text_col), F.col("__spans"), mark)
     rows = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn(
         "__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     held = rows.join(spans.select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("spans").alias("__spans")),
