@@ -31,21 +31,27 @@ def css_import_refs(css) -> Column:
     return F.transform(F.regexp_extract_all(_c(css), F.lit(r"(?s)" + CSS_IMPORT_PATTERN), 1), _strip)
 
 
-def rewrite_css(css, base) -> Column:
+def rewrite_css(css, base, named=None, up=None) -> Column:
     """Every non-``data:`` ``url()`` becomes ``url("<local path>")``, then every
     ``@import "x"`` becomes ``@import "<local path>"`` (download success does
-    not matter)."""
+    not matter).  ``named`` (URL -> reference) goes before the path that a URL
+    has by itself, to which ``up`` leads from the file that holds the text."""
     b = _c(base)
 
+    def place(ref):
+        url = resolve_url(b, ref)
+        path = file_path(url) if up is None else F.concat(up, file_path(url))
+        return path if named is None else F.coalesce(F.try_element_at(named, url), path)
+
     def url_piece(p):
         inner = _strip(F.regexp_extract(p, _FULL_URL, 1))
         return F.when(p.rlike(_FULL_URL) & ~inner.startswith("data:"),
-                      F.concat(F.lit('url("'), file_path(resolve_url(b, inner)), F.lit('")'))).otherwise(p)
+                      F.concat(F.lit('url("'), place(inner), F.lit('")'))).otherwise(p)
 
     def import_piece(p):
         inner = _strip(F.regexp_extract(p, _FULL_IMPORT, 1))
         return F.when(p.rlike(_FULL_IMPORT),
-                      F.concat(F.lit('@import "'), file_path(resolve_url(b, inner)), F.lit('"'))).otherwise(p)
+                      F.concat(F.lit('@import "'), place(inner), F.lit('"'))).otherwise(p)
 
     def pass2(text):
         return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_IMPORT_PIECES), 0), import_piece), "")

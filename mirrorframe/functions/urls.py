@@ -289,6 +289,42 @@ def file_path(url, content_type=None, parts: Column | None = None) -> Column:
     return safe_path(local_path(url, content_type, parts))
 
 
+def external_path(url, content_type, seed_netloc) -> Column:
+    """Where a URL of another authority than the seed's is stored:
+    ``_external/<authority>/`` before its own path (characters that file
+    systems mind, such as the port's colon, as ``_``); else as ``file_path``."""
+    def build(p):
+        own = local_path(url, content_type, p)
+        place = F.regexp_replace(F.lower(p["netloc"]), r"[^a-z0-9.-]", "_")
+        away = (p["netloc"] != "") & (p["netloc"] != _c(seed_netloc))
+        return F.when(away, F.concat(F.lit("_external/"), place, F.lit("/"), safe_path(own))).otherwise(safe_path(own))
+    return let(url_parts(url), build)
+
+
+def relative_path(own, target) -> Column:
+    """The reference from the file ``own`` to the file ``target`` of the same
+    snapshot: up from the folder of ``own`` to the longest common folder,
+    then down (posixpath.relpath of two files)."""
+    def build(v):
+        here, there = v["here"], v["there"]
+        n = F.least(F.size(here), F.size(there) - 1)
+        same = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
+                           lambda i: F.get(here, i - 1) == F.get(there, i - 1))
+        return let(F.array_position(same, F.lit(False)), lambda miss: let(
+            F.when(miss == 0, F.greatest(n, F.lit(0))).otherwise(miss.cast("int") - 1), lambda k: F.concat(
+                F.repeat(F.lit("../"), F.size(here) - k),
+                F.array_join(F.slice(there, k + 1, F.size(there) - k), "/"))))
+
+    folder = F.regexp_extract(_c(own), r"^(.*)/[^/]*$", 1)
+    here = F.when(folder == "", F.array().cast("array<string>")).otherwise(F.split(folder, "/", -1))
+    return let(F.struct(here.alias("here"), F.split(_c(target), "/", -1).alias("there")), build)
+
+
+def up_to_root(own) -> Column:
+    """The reference from the file ``own`` to the root of its snapshot."""
+    return F.repeat(F.lit("../"), F.size(F.split(_c(own), "/", -1)) - 1)
+
+
 # Month names and zone names (hours from UTC) of HTTP dates (fixed values).
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _ZONES = {"EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}

@@ -243,6 +243,72 @@ def byte_budget(items: DataFrame, key: str, order: list[str], size_col: str = "s
     return j.select(*[items[c] for c in items.columns], F.coalesce("admitted", F.lit(False)).alias("admitted"))
 
 
+def offered_budget(meetings: DataFrame, key: str, item: str, order: list[str], parent: str, size_col: str = "size",
+                   max_asset: float = MAX_ASSET_SIZE, max_total: float = MAX_TOTAL_BYTES) -> DataFrame:
+    """Greedy admission, as ``byte_budget``, of items that are offered only
+    where another item was admitted: a stylesheet's files follow it, and a
+    stylesheet that is not stored refers to nothing.
+
+    ``meetings(key, item, *order, parent, size)``: an item may be met several
+    times; a meeting with a ``parent`` is one only if that item of the same
+    key was admitted before it (parents have meetings without a parent, which
+    come before those of their items).  An item is judged where it is first
+    met; what did not fit once never fits later.  Returns ``(key, item,
+    *order)`` of the admitted, at that meeting.
+
+    One scan in the phases of ``byte_budget``: with r left and T the largest
+    power of two up to r, every item up to T before the phase's end is
+    admitted, and no larger one is; so it is known which meetings before the
+    end take place, without judging the parents one by one.  Phases follow
+    the binary digits of the budget, not the number of items or of parents
+    that are turned away."""
+    with Scratch(meetings.sparkSession, "offers") as scratch:
+        size = F.col(size_col).cast("double")
+        ok = size.isNotNull() & (size <= F.lit(float(max_asset))) & (size <= F.lit(float(max_total)))
+        rows = scratch.table(meetings.where(ok).select(
+            F.col(key).alias("_k"), F.col(item).alias("_i"), F.struct(*order).alias("_o"), size.alias("_s"),
+            F.col(parent).alias("_p")))
+        sizes = rows.groupBy("_k", "_i").agg(F.max("_s").alias("_ps")).withColumnRenamed("_i", "_p")
+        of = null_safe(rows.where("_p IS NOT NULL"), sizes, ["_k", "_p"])
+        rows = rows.where("_p IS NULL").withColumn("_ps", F.lit(None).cast("double")).unionByName(of)
+        open_ = ranged(rows, ["_k"], ["_o"], scratch).withColumns(
+            {"_r": F.lit(float(max_total)), "_offered": F.col("_p").isNull()})
+        keep = ["_k", "_i", "_o", "_s", "_p", "_ps", "_pid", "_offered"]
+        admitted = []
+        while True:
+            power = F.pow(F.lit(2.0), F.floor(F.log2("_r")))
+            t = F.when(F.col("_r") > 0, F.when(power > F.col("_r"), power / 2).otherwise(power)).otherwise(F.lit(0.0))
+            x = open_.withColumn("_t", t).withColumn("_live", F.col("_offered") | (F.col("_ps") <= F.col("_t")))
+            firsts = x.where("_live").groupBy("_k", "_i").agg(F.min("_o").alias("_f"))
+            x = null_safe(x, firsts, ["_k", "_i"], "left").withColumn(
+                "_met", F.col("_live") & F.coalesce(F.col("_o") == F.col("_f"), F.lit(False)))
+            x = scratch.table(x.drop("_f", "_live"))
+            small = F.col("_s") <= F.col("_t")
+            c = prefix_over(x, ["_k"], ["_o"], F.when(F.col("_met") & small, F.col("_s")).otherwise(0.0), "_cum", before="_before")
+            left = F.col("_r") - F.when(small, F.col("_cum")).otherwise(F.col("_before") + F.col("_s"))
+            event = F.col("_met") & F.when(small, left < F.col("_t")).otherwise(left >= 0)
+            c = c.select(*keep, "_met", small.alias("_small"), event.alias("_event"), left.alias("_left"))
+            first = c.where("_event").groupBy("_k").agg(F.min(F.struct("_o", "_left")).alias("_e"))
+            j = null_safe(c, first, ["_k"], "left")
+            decided = F.col("_met") & (F.col("_e").isNull() | (F.col("_o") <= F.col("_e._o")))
+            j = scratch.table(j.select(*keep, decided.alias("_decided"), F.col("_e._left").alias("_r"), F.coalesce(
+                decided & (F.col("_small") | (F.col("_o") == F.col("_e._o"))), F.lit(False)).alias("_in")))
+            admitted.append(j.where("_in").select("_k", "_i", "_o"))
+            # closed items: judged ones, and those that are larger than the rest of the budget
+            rest = j.where(~F.col("_decided") & F.col("_r").isNotNull())
+            closed = scratch.table(j.where("_decided").select("_k", "_i", "_in").unionByName(
+                rest.where(F.col("_s") > F.col("_r")).select("_k", "_i", F.lit(False).alias("_in"))).groupBy("_k", "_i").agg(
+                F.max("_in").alias("_in")))
+            rest = null_safe(rest.drop("_in", "_decided"), closed.select("_k", "_i"), ["_k", "_i"], "left_anti")
+            rest = null_safe(rest, closed.withColumnRenamed("_i", "_p"), ["_k", "_p"], "left")
+            open_ = scratch.table(rest.where(F.coalesce("_in", F.lit(True))).select(
+                *[c for c in keep if c != "_offered"], "_r", (F.col("_offered") | F.coalesce("_in", F.lit(False))).alias("_offered")))
+            if open_.isEmpty():
+                break
+        chosen = scratch.keep(reduce(DataFrame.unionByName, admitted))
+    return chosen.select(F.col("_k").alias(key), F.col("_i").alias(item), *[F.col(f"_o.{c}").alias(c) for c in order if c not in (key, item)])
+
+
 # ---------------------------------------------------------------------------
 # U9 / J4 / P4 private addresses
 # ---------------------------------------------------------------------------

@@ -22,23 +22,25 @@ SRI_ATTRS = ["integrity", "crossorigin"]
 SRI_TAGS = ["script", "link", "style"]
 
 
-def _path(absu: Column, named: Column, parts: Column | None = None) -> Column:
-    """A3: where a URL is stored; ``named`` holds those whose first reference
-    had a content-type hint that decides."""
-    return F.coalesce(F.try_element_at(named, absu), U.file_path(absu, parts=parts))
+def _path(absu: Column, named: Column, parts: Column | None = None, up: Column | None = None) -> Column:
+    """A3: how a URL is referred to; ``named`` holds those that are not stored
+    where the URL alone says.  Others are referred to from the root, ``up`` from
+    the page."""
+    path = U.file_path(absu, parts=parts)
+    return F.coalesce(F.try_element_at(named, absu), path if up is None else F.concat(up, path))
 
 
-def _srcset_rewrite(v: Column, base: Column, bp: Column, named: Column, mapped) -> Column:
+def _srcset_rewrite(v: Column, base: Column, bp: Column, named: Column, mapped, up) -> Column:
     def entry(e):
         toks = F.when(e["url"].isNotNull(), F.concat(
-            F.array(U.let(mapped(U.resolve_parts(bp, base, e["url"])), lambda a: _path(a, named))),
+            F.array(U.let(mapped(U.resolve_parts(bp, base, e["url"])), lambda a: _path(a, named, up=up))),
             F.slice(e["tokens"], 2, F.greatest(F.size(e["tokens"]) - 1, F.lit(0))))).otherwise(e["tokens"])
         return F.array_join(toks, " ")
     return F.array_join(F.transform(H.srcset_entries(v), entry), ", ")
 
 
 def _rewrite_attrs(name: Column, attrs: Column, base: Column, bp: Column, fetched: Column, named: Column,
-                   mapped) -> Column:
+                   mapped, up) -> Column:
     """New attribute list of an asset tag (first occurrence of each asset
     attribute is considered, as a DOM would)."""
     attr_list = F.coalesce(F.try_element_at(H.asset_attr_map(), name), F.array().cast("array<string>"))
@@ -52,7 +54,7 @@ def _rewrite_attrs(name: Column, attrs: Column, base: Column, bp: Column, fetche
         first = F.array_position(lnames, ln) == (i + 1)
         eligible = first & F.array_contains(attr_list, ln) & v.isNotNull() & (v != "") & ~v.startswith("data:")
         new_v = (F.when(~eligible, F.lit(None).cast("string"))
-                 .when(ln.isin(X.SRCSET_ATTRS), _srcset_rewrite(v, base, bp, named, mapped))
+                 .when(ln.isin(X.SRCSET_ATTRS), _srcset_rewrite(v, base, bp, named, mapped, up))
                  .when((name == "link") & ~link_ok, F.lit(None).cast("string"))
                  .otherwise(F.try_element_at(fetched, U.resolve_parts(bp, base, v))))
         return let(new_v, lambda nv: F.when(nv.isNotNull() & (nv != v), F.struct(
@@ -63,13 +65,13 @@ def _rewrite_attrs(name: Column, attrs: Column, base: Column, bp: Column, fetche
 
 
 def _rewrite_anchor(attrs: Column, base: Column, bp: Column, seed_netloc: Column, follow: bool, named: Column,
-                    mapped) -> Column:
+                    mapped, up) -> Column:
     lnames = F.transform(attrs, lambda a: F.lower(a["name"]))
 
     def target(a, absu, p):
         keep = (p["scheme"].isin("http", "https") & ((p["netloc"] == seed_netloc) | F.lit(follow))
                 & U.is_html_parts(p))
-        return F.when(keep, let(_path(absu, named, p), lambda lp: F.struct(
+        return F.when(keep, let(_path(absu, named, p, up), lambda lp: F.struct(
             a["name"].alias("name"), H.quote_attr(lp).alias("raw"), lp.alias("value")))).otherwise(a)
 
     def one(a, i):
@@ -82,11 +84,15 @@ def _rewrite_anchor(attrs: Column, base: Column, bp: Column, seed_netloc: Column
 
 
 def rewrite_tokens(tokens: Column, base: Column, seed: Column, fetched: Column,
-                   follow_domains: bool = False, named: Column | None = None, map_url=None) -> Column:
+                   follow_domains: bool = False, named: Column | None = None, map_url=None,
+                   up: Column | None = None, name_css: bool = False) -> Column:
     """Map each token of a page to its offline form (see module doc).
     ``named`` (URL -> path) goes before the path that a URL has by itself;
     ``map_url`` is applied to links and srcset entries (``fetched`` is keyed
-    by the URLs as the page gives them)."""
+    by the URLs as the page gives them).  ``up`` leads from the page's file to
+    the root, where references are to be relative; those of ``fetched`` and
+    ``named`` are taken as they are.  ``name_css``: they hold for ``<style>``
+    blocks too."""
     named = F.create_map().cast("map<string,string>") if named is None else F.coalesce(
         named, F.create_map().cast("map<string,string>"))
     mapped = map_url or (lambda c: c)
@@ -95,20 +101,21 @@ def rewrite_tokens(tokens: Column, base: Column, seed: Column, fetched: Column,
     # base and seed parsed once per page
     per_page = F.struct(U.url_parts(base).alias("bp"), U.authority(seed).alias("sn"))
     return let(per_page, lambda pp: _rewrite_all(tokens, base, pp["bp"], pp["sn"], fetched, follow_domains,
-                                                 asset_tags, named, mapped))
+                                                 asset_tags, named, mapped, up, name_css))
 
 
-def _rewrite_all(tokens, base, bp, sn, fetched, follow_domains, asset_tags, named, mapped):
+def _rewrite_all(tokens, base, bp, sn, fetched, follow_domains, asset_tags, named, mapped, up, name_css):
     def one(t):
         def tag(info):
             st, name, attrs = info["st"], info["name"], info["attrs"]
-            new_attrs = (F.when(name == "a", _rewrite_anchor(attrs, base, bp, sn, follow_domains, named, mapped))
+            new_attrs = (F.when(name == "a", _rewrite_anchor(attrs, base, bp, sn, follow_domains, named, mapped, up))
                          .when(name.isin(asset_tags + ["style"]),
-                               _rewrite_attrs(name, attrs, base, bp, fetched, named, mapped))
+                               _rewrite_attrs(name, attrs, base, bp, fetched, named, mapped, up))
                          .otherwise(attrs))
             new_st = let(new_attrs, lambda na: F.when(na == attrs, st).otherwise(H.rebuild_tag(st, na)))
             rest = F.substring(t, F.length(st) + 1, F.lit(2147483647))
-            style_rest = F.concat(C.rewrite_css(H.element_text(t, "style"), base),
+            css = H.element_text(t, "style")
+            style_rest = F.concat(C.rewrite_css(css, base, named, up) if name_css else C.rewrite_css(css, base),
                                   F.regexp_extract(t, r"(?is)</style\s*+>$", 0))
             return F.concat(new_st, F.when(name == "style", style_rest).otherwise(rest))
         return F.when(H.is_start_tag(t, ["a", "style"] + asset_tags), let(

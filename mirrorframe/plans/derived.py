@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..session import scratch_path
 
 SITE = "https://site.example.com"
 
@@ -201,3 +202,108 @@ def site_responses(pages: DataFrame) -> DataFrame:
         "url string, status int, content_type string, body binary")
     out = imgs.unionByName(other)
     return out.withColumn("size", F.octet_length("body").cast("long"))
+
+
+def link_graph_sites(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All pages as four sites by ``page_id % 4``, each a tree over
+    ``page_id // 4`` as in ``link_graph_site``; seeds and robots rules."""
+    from ..operators.robots import parse_robots
+
+    spark = pages.sparkSession
+    i = F.expr("page_id div 4")
+    origin = F.concat(F.lit("https://site"), (F.col("page_id") % 4).cast("string"), F.lit(".example.com"))
+    html = F.concat(F.lit('<a href="/p/'), (i * 2 + 1).cast("string"), F.lit('">l</a> <a href="/p/'), (i * 2 + 2).cast("string"),
+                    F.lit('">r</a> <a href="/p/0#top">home</a>'))
+    site = pages.select("page_id", F.concat(origin, F.lit("/p/"), i.cast("string")).alias("url"), html.alias("html"))
+    hosts = pages.select(F.concat(F.lit("site"), (F.col("page_id") % 4).cast("string")).alias("crawl_id")).distinct()
+    seeds = hosts.select("crawl_id", F.concat(F.lit("https://"), F.col("crawl_id"), F.lit(".example.com/p/0")).alias("url"))
+    rules = hosts.where("crawl_id = 'site1'").select(
+        F.lit("site1.example.com").alias("host"), F.lit(200).alias("status"), F.lit("User-agent: *\nDisallow: /p/7\n").alias("body"))
+    return site, seeds, parse_robots(rules)
+
+
+def document_runs(documents: DataFrame) -> list[DataFrame]:
+    """Answers to three runs over the documents: ``(url, status, size, md5,
+    etag, last_modified, ts)``."""
+    docs = documents.where(F.length("text") > 0)
+    did = F.col("doc_id")
+    url = F.concat(F.lit("doc://"), _s("doc_id"))
+
+    def answers(df, status, text, modified, day, tag=True):
+        return df.select(
+            url.alias("url"), status.alias("status"), F.octet_length(text).cast("long").alias("size"), F.md5(text).alias("md5"),
+            F.when((did % 3 == 0) & F.lit(tag), F.md5(text)).alias("etag"),
+            F.when((did % 3 == 1) & F.lit(tag), modified).alias("last_modified"),
+            F.lit(f"2024-01-0{day} 12:00:00").cast("timestamp").alias("ts"))
+
+    first = answers(docs, F.lit(200), F.col("text"), F.lit("v1"), 1)
+    edited = (did % 7 == 0) & (did % 11 != 0) & (did % 13 != 0)
+    status = (F.when(did % 13 == 0, 404).when(did % 11 == 0, 500).when(did % 7 == 0, 200).otherwise(304))
+    told = F.when(edited, F.lit("v2")).when(did % 5 == 0, F.lit("v1b"))
+    asked = docs.where(did % 10 != 9)
+    second = answers(asked, status, F.when(edited, F.concat("text", F.lit(" [edited]"))).otherwise(F.col("text")), told, 2)
+    # a 304 says no validator that it does not change
+    second = second.withColumn("etag", F.when(F.col("status") != 304, F.col("etag")))
+    fresh = answers(docs.where(did % 10 == 5).withColumn("doc_id", did + 100000000), F.lit(200), F.col("text"), F.lit(""), 2, False)
+    third = answers(asked, F.when(did % 13 == 0, 404).otherwise(304), F.col("text"), F.lit(""), 3, False)
+    return [first, second.unionByName(fresh), third]
+
+
+def page_image_hook(url, html):
+    """An ``after_html`` hook for the link-graph site: every page shows an image of its own."""
+    return F.concat(html, F.lit('<img src="/img/'), F.regexp_extract(url, r"/p/(\d+)$", 1), F.lit('.png">'))
+
+
+def image_runs(pages: DataFrame) -> list[DataFrame]:
+    """Answers to two runs for the images of ``page_image_hook``: all sent;
+    then, by ``page_id % 4``, unchanged, sent anew, gone, failed."""
+    pid, k = _s("page_id"), F.col("page_id") % 4
+    url = F.concat(F.lit(SITE + "/img/"), pid, F.lit(".png"))
+
+    def answers(status, body, tag):
+        return pages.select(url.alias("url"), status.alias("status"), F.lit("image/png").alias("content_type"),
+                            F.encode(body, "UTF-8").alias("body"), tag.alias("etag"), F.lit(None).cast("string").alias(
+                                "last_modified")).withColumn("size", F.octet_length("body").cast("long"))
+
+    first = answers(F.lit(200), F.concat(F.lit("PNG"), pid), F.concat(F.lit("e"), pid))
+    status = F.element_at(F.array(*map(F.lit, [304, 200, 404, 503])), (k + 1).cast("int"))
+    second = answers(status, F.when(k == 1, F.concat(F.lit("NEW"), pid)).otherwise(F.lit("")),
+                     F.when(k == 1, F.concat(F.lit("f"), pid)))
+    return [first, second]
+
+
+def importing_sheets(pages: DataFrame) -> DataFrame:
+    """One stylesheet per page id, ``(page_id, url, css)``: it imports three
+    others by number, itself among them, so that imports run in circles."""
+    n = pages.agg(F.count("*").alias("n"))
+    i, other = F.col("page_id"), lambda x: F.concat(F.lit('@import "'), x.cast("string"), F.lit('.css";\n'))
+    css = F.concat(other((i * 2 + 1) % F.col("n")), other(i), other((i * i + 3) % F.col("n")),
+                   F.lit("body{background:url(bg"), (i % 5).cast("string"), F.lit(".png)}"))
+    return pages.select("page_id").crossJoin(F.broadcast(n)).select(
+        "page_id", F.concat(F.lit(SITE + "/css/"), _s("page_id"), F.lit(".css")).alias("url"), css.alias("css"))
+
+
+def dated_pages(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, html, ts, part)``: a page a minute, every ninth dated
+    twelve hours earlier; each links to its two children, to the left one
+    twice, and to the left child of the page before it.  ``part``: sixths."""
+    i = F.col("page_id")
+    a = lambda x: F.concat(F.lit('<a href="/p/'), x.cast("string"), F.lit('">x</a>'))
+    minutes = i - F.when(i % 9 == 4, 720).otherwise(0)
+    n = pages.agg(F.count("*").alias("n"))
+    return pages.select("page_id").crossJoin(F.broadcast(n)).select(
+        "page_id", F.concat(F.lit(SITE + "/p/"), _s("page_id")).alias("url"),
+        F.concat(a(2 * i + 1), a(2 * i + 2), a(2 * i + 1), a(F.abs(2 * i - 1))).alias("html"),
+        F.timestamp_seconds(F.lit(1704153600) + minutes * 60).alias("ts"), F.expr("page_id * 6 div n").alias("part"))
+
+
+def as_batches(rows: DataFrame, part, name: str) -> tuple[str, object]:
+    """Writes rows as files that a file stream takes one at a time, in the
+    order of ``part`` (a small number); the folder and its schema."""
+    spark = rows.sparkSession
+    path, held = scratch_path(spark, name), scratch_path(spark, name + "-rows")
+    rows.withColumn("_part", part).write.parquet(held)
+    table = spark.read.parquet(held)
+    for p in sorted(r[0] for r in table.select("_part").distinct().collect()):
+        table.where(F.col("_part") == p).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return path, rows.schema

@@ -99,6 +99,113 @@ def job_table(table: DataFrame, now=None, ttl_seconds: int = JOB_TTL_SECONDS) ->
     return jobs if now is None else live_jobs(jobs, now, ttl_seconds)
 
 
+class _JobRecord:
+    """T2 on the stream: keyed state of one job, and a timer that ends it.
+
+    Made in a function, so that a worker needs the class only where the stream runs."""
+
+    @staticmethod
+    def processor(fields: list[str], types: dict[str, str], ttl_seconds: int):
+        from pyspark.sql import Row
+        from pyspark.sql.streaming import StatefulProcessor
+
+        class Jobs(StatefulProcessor):
+            def init(self, handle):
+                self.handle = handle
+                self.record = handle.getValueState("record", "created boolean, ends long, " + ", ".join(
+                    f"{f} {types[f]}, {f}_ts long, {f}_seq long" for f in fields))
+
+            def handleInputRows(self, key, rows, timerValues):
+                held = self.record.get() if self.record.exists() else (False, None, *[None] * (3 * len(fields)))
+                created, ends, values = held[0], held[1], list(held[2:])
+                first = None
+                for r in rows:
+                    created = created or r["kind"] == "create"
+                    stamp = int(r["ts_us"])
+                    first = stamp if first is None else min(first, stamp)
+                    for i, f in enumerate(fields):
+                        if r[f] is not None and (values[3 * i + 1] is None or (
+                                values[3 * i + 1], values[3 * i + 2]) <= (stamp, r["seq"])):
+                            values[3 * i:3 * i + 3] = [r[f], stamp, r["seq"]]
+                # a job lives from its creation on, patches to a job that nobody creates from the first one on
+                born = values[3 * fields.index("created_at")] if "created_at" in fields else None
+                begun = int(born.timestamp() * 1000) if born is not None else first // 1000
+                now_ends = begun + ttl_seconds * 1000
+                if ends != now_ends:
+                    if ends is not None:
+                        self.handle.deleteTimer(ends)
+                    self.handle.registerTimer(now_ends)
+                self.record.update((created, now_ends, *values))
+                if created:
+                    yield Row(job_id=key[0], expired=False, **{f: values[3 * i] for i, f in enumerate(fields)})
+
+            def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+                created = self.record.exists() and self.record.get()[0]
+                self.record.clear()
+                if created:
+                    yield Row(job_id=key[0], expired=True, **dict.fromkeys(fields))
+
+            def close(self):
+                pass
+
+        return Jobs()
+
+
+def expiring_jobs(patches: DataFrame, delay: str, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
+    """``job_status_stream`` with state that ends.  Per job the fields'
+    latest non-NULL patches are keyed state; an event-time timer at the job's
+    creation plus the time to live clears it and emits the job once more with
+    ``expired``.  Time is the watermark of ``ts`` (``delay`` behind the newest
+    patch); patches behind it are dropped by the engine, later ones of an
+    ended job begin a record that nobody created, which ends the same way.
+    The stream needs the RocksDB state store (``live_job_table`` sets it)."""
+    fields = [f for f in JOB_FIELDS if f in patches.columns]
+    types = {f: patches.schema[f].dataType.simpleString() for f in fields}
+    rows = patches.withWatermark("ts", delay).withColumn("ts_us", F.unix_micros("ts"))
+    out = "job_id string, expired boolean, " + ", ".join(f"{f} {types[f]}" for f in fields)
+    return rows.groupBy("job_id").transformWithState(
+        _JobRecord.processor(fields, types, ttl_seconds), out, "Update", "EventTime")
+
+
+def live_job_table(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The jobs of an ``expiring_jobs`` stream that have not ended, as a table
+    that each epoch writes whole: touched jobs anew, ended ones not any more.
+    Reading it takes no filter and no clock."""
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, f"stream-{name}")
+    schema = StructType([f for f in stream.schema.fields if f.name != "expired"])
+    at = lambda e: f"{path}/jobs/epoch={e}"
+
+    def each(batch: DataFrame, epoch: int, root: str) -> DataFrame:
+        # of a job that was patched and ended in one epoch the end counts
+        now = batch.groupBy("job_id").agg(F.max_by(F.struct(*batch.columns[1:]), F.col("expired").cast("int")).alias("r"))
+        now = now.select("job_id", "r.*")
+        rows = now.where("NOT expired").drop("expired")
+        if epoch:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(at(epoch - 1)).join(now, "job_id", "left_anti"))
+        rows.write.mode("overwrite").parquet(at(epoch))
+        if epoch > 1:  # the one before the last is needed by no replay
+            remove(spark, at(epoch - 2))
+        return now.select("job_id", "expired")
+
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run_available(stream, name, "update", path, each, StructType().add("job_id", "string").add("expired", "boolean"))
+    finally:
+        spark.conf.set(store, before)
+    epochs = _epochs(spark, f"{path}/jobs")
+    return spark.read.schema(schema).parquet(at(max(epochs))) if epochs else spark.createDataFrame([], schema)
+
+
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    """The epochs that have a folder below ``path``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [int(x.getPath().getName().rpartition("=")[2]) for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
 # ---------------------------------------------------------------------------
 # T3 visited set over a live page stream
 # ---------------------------------------------------------------------------
@@ -141,3 +248,60 @@ def token_bucket_stream(requests: DataFrame, name: str, rate: float = RATE_PER_S
         return starts.select(*BUCKET.names)
 
     return run_available(requests, name, each=each, path=path, schema=BUCKET).drop("epoch")
+
+
+BUCKET_LATE = StructType(BUCKET.fields).add("late", "boolean")
+_REQUEST = StructType(BUCKET.fields[:3])
+
+
+def token_bucket_reordered(requests: DataFrame, name: str, delay_s: float, rate: float = RATE_PER_SEC, burst: int = BURST,
+                           path: str | None = None) -> DataFrame:
+    """T4 over a stream whose requests arrive out of order, within and across
+    batches.  Requests wait in a table until the watermark (``delay_s`` behind
+    the newest arrival) has passed them and are then scheduled in order of
+    arrival by ``policy.token_bucket``; a request behind the watermark when it
+    comes can not be put in its place any more and is listed as ``late``, with
+    no start.  So arrivals in any order give what one batch of all that are
+    not late gives.  What waits when the stream has no more to give is
+    scheduled in the returned table, and still waits if the stream goes on.
+
+    Carried over per epoch: two numbers a host, the waiting requests (those of
+    ``delay_s`` and the newest batch), the watermark; all tables, so that a hot host spans
+    many tasks."""
+    spark = requests.sparkSession
+    path = path or scratch_path(spark, f"stream-{name}")
+    at = lambda kind, e: f"{path}/{kind}/epoch={e}"
+    mark_schema = StructType().add("mark", "double")
+
+    def held(kind, e, schema):
+        return spark.read.schema(schema).parquet(at(kind, e))
+
+    def late_rows(rows):
+        return rows.select("event_id", "host", "arrival", F.lit(None).cast("double").alias("start_at"),
+                           F.lit(None).cast("double").alias("wait_s"), F.lit(True).alias("late"))
+
+    def each(batch: DataFrame, epoch: int, root: str) -> DataFrame:
+        rows = batch.select("event_id", "host", F.col("arrival").cast("double").alias("arrival"))
+        old = held("mark", epoch - 1, mark_schema).first()["mark"] if epoch else None
+        newest = rows.agg(F.max("arrival")).first()[0]
+        mark = max((m for m in (old, None if newest is None else newest - delay_s) if m is not None), default=None)
+        late = rows.where(F.col("arrival") <= old) if old is not None else rows.limit(0)
+        rows = rows.where(F.col("arrival") > old) if old is not None else rows
+        if epoch:
+            rows = rows.unionByName(held("waiting", epoch - 1, _REQUEST))
+        passed = F.lit(False) if mark is None else F.col("arrival") <= mark
+        starts, state = token_bucket(rows.where(passed), held("state", epoch - 1, BUCKET_STATE) if epoch else None, rate, burst)
+        state.write.mode("overwrite").parquet(at("state", epoch))
+        rows.where(~passed).write.mode("overwrite").parquet(at("waiting", epoch))
+        spark.createDataFrame([(mark,)], mark_schema).coalesce(1).write.mode("overwrite").parquet(at("mark", epoch))
+        if epoch > 1:
+            for kind in ("state", "waiting", "mark"):
+                remove(spark, at(kind, epoch - 2))
+        return starts.withColumn("late", F.lit(False)).select(*BUCKET_LATE.names).unionByName(late_rows(late))
+
+    done = run_available(requests, name, each=each, path=path, schema=BUCKET_LATE).drop("epoch")
+    epochs = _epochs(spark, f"{path}/waiting")
+    if not epochs:
+        return done
+    rest, _ = token_bucket(held("waiting", max(epochs), _REQUEST), held("state", max(epochs), BUCKET_STATE), rate, burst)
+    return done.unionByName(rest.withColumn("late", F.lit(False)).select(*BUCKET_LATE.names))
