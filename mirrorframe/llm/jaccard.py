@@ -188,11 +188,16 @@ class _Join:
         # overlap that two sets of this size need: ceil(2 n p / (100 + p))
         index = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1
         self.prefixes = scratch.table(
-            ordered.select("key", "n", alone.alias("alone"), index.alias("index"), F.posexplode(
+            ordered.select("key", "n", alone.alias("alone"), index.alias("index"), self._mass().alias("mass"), F.posexplode(
                 F.slice("grams", F.lit(1), F.greatest(F.lit(0).cast("long"), probe - alone).cast("int"))))
-            .select("key", "n", F.col("col.h").alias("h"), (F.col("alone") + F.col("pos")).alias("at"),
+            .select("key", "n", F.col("col.h").alias("h"), (F.col("alone") + F.col("pos")).alias("at"), "alone", "mass",
                     (F.col("alone") + F.col("pos") < F.col("index")).alias("first")), "prefixes")
 
+    @staticmethod
+    def _mass() -> Column:
+        """How often a set's n-grams occur in all: high in the middle of a group."""
+        return F.aggregate("grams", F.lit(0).cast("long"), lambda total, g: total + g["f"])
+
     def possible(self) -> Column:
         """Of rows (n, at) and (m, to): sizes and places of a common n-gram allow a link, if it is the first common one."""
         p = self.percent
@@ -209,9 +214,10 @@ class _Join:
                            F.when(swap, F.col("n")).otherwise(F.col("m")).alias("n_b")).distinct()
 
     def stars(self) -> DataFrame:
-        """Each set with one set of every n-gram of its prefix."""
-        hub = self.scratch.table(self.prefixes.filter("first").groupBy("h").agg(
-            F.min(F.struct("n", "key", "at")).alias("s"), F.count(F.lit(1)).alias("c"))
+        """Each set with one set of every n-gram of its prefix: that with the fewest n-grams of its own, then with the most
+        frequent ones, which is likely the text that the group's others were made from."""
+        hub = self.scratch.table(self.prefixes.groupBy("h").agg(
+            F.min(F.struct("alone", (-F.col("mass")).alias("rare"), "key", "n", "at")).alias("s"))
             .select("h", F.col("s.n").alias("m"), F.col("s.key").alias("other"), F.col("s.at").alias("to")), "hubs")
         return self.pairs(self.prefixes.join(hub, "h").filter("key != other").filter(self.possible()))
 
@@ -264,7 +270,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         chosen = scratch.table(each.join(passed, ["key", "n"]).groupBy("key", "n").agg(F.min(F.struct(
             F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("r"))
             .select(F.col("r.doc_id").alias("id"), F.col("r.text_hash").alias("hash")), "chosen")
-        texts = (docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_semi")
+        texts = (docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_semi")
                  .dropDuplicates(["doc_id", "text_hash"]))
         sets = scratch.table(_sets(texts.select("text"), k), "sets")
         join = _Join(sets, scratch, percent, fragments)
