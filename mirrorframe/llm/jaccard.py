@@ -166,7 +166,7 @@ class _Join:
         often = scratch.table(rows.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "often")
         rows = rows.join(often, "h")
         ordered = scratch.table(rows.groupBy("key", "n").agg(
-            F.sort_array(F.collect_list(F.struct("f", "h"))).alias("grams")), "ordered")
+            F.sort_array(F.collect_list(F.struct("f", "h"))).alias("grams"), F.sum("f").alias("mass")), "ordered")
         scratch.drop("grams")
         scratch.drop("often")
         # place in the global order as one number; only the cuts use it
@@ -188,16 +188,11 @@ class _Join:
         # overlap that two sets of this size need: ceil(2 n p / (100 + p))
         index = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1
         self.prefixes = scratch.table(
-            ordered.select("key", "n", alone.alias("alone"), index.alias("index"), self._mass().alias("mass"), F.posexplode(
+            ordered.select("key", "n", alone.alias("alone"), index.alias("index"), "mass", F.posexplode(
                 F.slice("grams", F.lit(1), F.greatest(F.lit(0).cast("long"), probe - alone).cast("int"))))
             .select("key", "n", F.col("col.h").alias("h"), (F.col("alone") + F.col("pos")).alias("at"), "alone", "mass",
                     (F.col("alone") + F.col("pos") < F.col("index")).alias("first")), "prefixes")
 
-    @staticmethod
-    def _mass() -> Column:
-        """How often a set's n-grams occur in all: high in the middle of a group."""
-        return F.aggregate("grams", F.lit(0).cast("long"), lambda total, g: total + g["f"])
-
     def possible(self) -> Column:
         """Of rows (n, at) and (m, to): sizes and places of a common n-gram allow a link, if it is the first common one."""
         p = self.percent
@@ -215,7 +210,7 @@ class _Join:
 
     def stars(self) -> DataFrame:
         """Each set with one set of every n-gram of its prefix: that with the fewest n-grams of its own, then with the most
-        frequent ones, which is likely the text that the group's others were made from."""
+        frequent ones (``mass``: how often they occur in all), likely the text that the group's others were made from."""
         hub = self.scratch.table(self.prefixes.groupBy("h").agg(
             F.min(F.struct("alone", (-F.col("mass")).alias("rare"), "key", "n", "at")).alias("s"))
             .select("h", F.col("s.n").alias("m"), F.col("s.key").alias("other"), F.col("s.at").alias("to")), "hubs")
