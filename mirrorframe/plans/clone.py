@@ -47,12 +47,17 @@ AFTER = 1 << 31
 
 @dataclass
 class Clone:
-    """The files of a run, all that wrote a path and what stays of them, and
-    the snapshot that the next run starts from."""
+    """A run's files, all that write a path (``written``) and those that stay,
+    and the snapshot that the next run starts from.  The plan that rewrites
+    the files is built only where they are asked for."""
 
-    written: DataFrame
+    build: Callable[[], DataFrame]
     snapshot: DataFrame | None
 
+    @property
+    def written(self) -> DataFrame:
+        return self.build()
+
     @property
     def files(self) -> DataFrame:
         return last_writer(self.written, ["crawl_id"], "write_seq")
@@ -204,37 +209,40 @@ def clone_run(pages: DataFrame, seeds: DataFrame, cfg: CrawlConfig | None = None
                 .groupBy("crawl_id", F.col("via").alias("abs_url"))
                 .agg(F.map_from_entries(F.collect_set(F.struct("url", "local_path"))).alias("named")))
 
-    tok = X.with_tokens(got.join(maps, ["crawl_id", "page_id"], "left"))
-    tok = tok.join(named.select("crawl_id", F.col("url").alias("norm_url"), F.col("local_path").alias("_named")),
-                   ["crawl_id", "norm_url"], "left")
-    place = F.coalesce("_named", U.file_path(F.col("norm_url")))
-    html = F.array_join(rewrite_tokens(F.col("tokens"), F.col("norm_url"), F.col("seed_url"), F.col("fetched"),
-                                       cfg.follow_domains, F.col("named"), hooks.map_url,
-                                       F.col("_up") if cfg.relative else None, own_names), "")
-    if cfg.relative:
-        tok = tok.withColumn("_up", U.up_to_root(place))
-    # a page is written after its references
-    page_seq = F.struct(F.col("crawl_rank").cast("long").alias("r"), F.lit(1).alias("phase"), *[
-        F.lit(0).cast(refs.schema[c].dataType).alias(c) for c in ORDER[1:]], F.col("norm_url").alias("u"))
-    out = tok.select("crawl_id", place.alias("local_path"), F.lit("page").alias("kind"), F.col("norm_url").alias("source_url"),
-                     F.encode(html, "UTF-8").alias("content"), page_seq.alias("write_seq"))
-    if responses is not None:
-        bodies = with_body(stored, responses, cfg.max_asset_size)
-        is_sheet = F.col("is_stylesheet")
-        if cfg.css_depth > 1:  # sheets that sheets import are read, and so rewritten, too
-            bodies = bodies.join(sheets_read, ["crawl_id", "abs_url"], "left")
-            is_sheet = is_sheet | F.col("read").isNotNull()
-        if sheet_names is not None:
-            bodies = bodies.join(sheet_names, ["crawl_id", "abs_url"], "left")
-        css = C.rewrite_css(C.decode_css(F.col("body")), F.col("abs_url"),
-                            F.coalesce("named", F.create_map().cast("map<string,string>")) if sheet_names is not None else None,
-                            U.up_to_root(F.col("local_path")) if cfg.relative else None)
-        seq = F.struct(F.col("crawl_rank").cast("long").alias("r"), F.lit(0).alias("phase"), *ORDER[1:],
-                       F.col("abs_url").alias("u"))
-        out = out.unionByName(bodies.select(
-            "crawl_id", "local_path", F.lit("asset").alias("kind"), F.col("abs_url").alias("source_url"),
-            F.when(is_sheet, F.encode(css, "UTF-8")).otherwise(F.col("body")).alias("content"), seq.alias("write_seq")))
-    return Clone(out, after)
+    def written() -> DataFrame:
+        tok = X.with_tokens(got.join(maps, ["crawl_id", "page_id"], "left"))
+        tok = tok.join(named.select("crawl_id", F.col("url").alias("norm_url"), F.col("local_path").alias("_named")),
+                       ["crawl_id", "norm_url"], "left")
+        place = F.coalesce("_named", U.file_path(F.col("norm_url")))
+        html = F.array_join(rewrite_tokens(F.col("tokens"), F.col("norm_url"), F.col("seed_url"), F.col("fetched"),
+                                           cfg.follow_domains, F.col("named"), hooks.map_url,
+                                           F.col("_up") if cfg.relative else None, own_names), "")
+        if cfg.relative:
+            tok = tok.withColumn("_up", U.up_to_root(place))
+        # a page is written after its references
+        page_seq = F.struct(F.col("crawl_rank").cast("long").alias("r"), F.lit(1).alias("phase"), *[
+            F.lit(0).cast(refs.schema[c].dataType).alias(c) for c in ORDER[1:]], F.col("norm_url").alias("u"))
+        out = tok.select("crawl_id", place.alias("local_path"), F.lit("page").alias("kind"), F.col("norm_url").alias("source_url"),
+                         F.encode(html, "UTF-8").alias("content"), page_seq.alias("write_seq"))
+        if responses is not None:
+            bodies = with_body(stored, responses, cfg.max_asset_size)
+            is_sheet = F.col("is_stylesheet")
+            if cfg.css_depth > 1:  # sheets that sheets import are read, and so rewritten, too
+                bodies = bodies.join(sheets_read, ["crawl_id", "abs_url"], "left")
+                is_sheet = is_sheet | F.col("read").isNotNull()
+            if sheet_names is not None:
+                bodies = bodies.join(sheet_names, ["crawl_id", "abs_url"], "left")
+            css = C.rewrite_css(C.decode_css(F.col("body")), F.col("abs_url"),
+                                F.coalesce("named", F.create_map().cast("map<string,string>")) if sheet_names is not None else None,
+                                U.up_to_root(F.col("local_path")) if cfg.relative else None)
+            seq = F.struct(F.col("crawl_rank").cast("long").alias("r"), F.lit(0).alias("phase"), *ORDER[1:],
+                           F.col("abs_url").alias("u"))
+            out = out.unionByName(bodies.select(
+                "crawl_id", "local_path", F.lit("asset").alias("kind"), F.col("abs_url").alias("source_url"),
+                F.when(is_sheet, F.encode(css, "UTF-8")).otherwise(F.col("body")).alias("content"), seq.alias("write_seq")))
+        return out
+
+    return Clone(written, after)
 
 
 def _next_snapshot(old: DataFrame | None, latest: DataFrame, plan: DataFrame, met: DataFrame,
