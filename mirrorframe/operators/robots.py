@@ -1,8 +1,8 @@
 """robots.txt as data (S5) and the fetch test against it.
 
-Each robots file is one row; its lines are folded with ``aggregate`` into the
-rule list of the first ``User-agent: *`` group (the group a ``*`` crawler
-obeys), so parsing needs no shuffle.  URLs are then tested against their own
+Each robots file is one row; its lines become one string of kinds, in which a
+single search finds the first ``User-agent: *`` group with rules (the group a
+``*`` crawler obeys), so parsing needs no shuffle and no fold.  URLs are then tested against their own
 host's rules: first matching rule in file order wins, no match allows.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.urls import let
 
-_RULE_T = "array<struct<gid:int,line_no:int,allow:boolean,prefix:string>>"
+_RULE_T = "array<struct<line_no:int,allow:boolean,prefix:string>>"
 
 
 def _unquote(x: Column) -> Column:
@@ -25,44 +25,42 @@ def _unquote(x: Column) -> Column:
     return F.coalesce(F.try_url_decode(fixed), x)
 
 
-def _step(acc: Column, line: Column) -> Column:
-    raw, i = line["raw"], line["i"]
-    content = F.regexp_replace(F.regexp_replace(raw, "#.*$", ""), r"^\s+|\s+$", "")
-    has_colon = content.contains(":")
-    key = F.lower(F.regexp_replace(F.substring_index(content, ":", 1), r"^\s+|\s+$", ""))
-    val = _unquote(F.regexp_replace(F.regexp_extract(content, r"^[^:]*:(.*)$", 1), r"^\s+|\s+$", ""))
-    st, gid, rules, star = acc["state"], acc["gid"], acc["rules"], acc["star"]
-
-    def mk(state, g, r, s):
-        return F.struct(state.alias("state"), g.alias("gid"), r.alias("rules"), s.alias("star"))
-
-    blank = mk(F.lit(0), F.when(st > 0, gid + 1).otherwise(gid), rules, star)
-    new_gid = F.when(st == 2, gid + 1).otherwise(gid)
-    agent = mk(F.lit(1), new_gid, rules,
-               F.when(val == "*", F.concat(star, F.array(new_gid))).otherwise(star))
-    is_rule = key.isin("allow", "disallow")
-    allow = (key == "allow") | (val == "")
-    rule = mk(F.lit(2), gid, F.concat(rules, F.array(F.struct(
-        gid.alias("gid"), i.alias("line_no"), allow.alias("allow"), val.alias("prefix")))), star)
-    return (F.when(raw == "", blank)
-            .when(~has_colon | (content == ""), acc)
-            .when(key == "user-agent", agent)
-            .when(is_rule & (st != 0), rule)
-            .otherwise(acc))
+def _line(raw: Column, i: Column) -> Column:
+    """A line as (kind, line_no, allow, prefix): ``b`` blank, ``s`` an agent line for ``*``, ``a`` one for others, ``r`` a rule;
+    other lines (comments, unknown keys) have no kind."""
+    def build(content):
+        key = F.lower(F.regexp_replace(F.substring_index(content, ":", 1), r"^\s+|\s+$", ""))
+        val = _unquote(F.regexp_replace(F.regexp_extract(content, r"^[^:]*:(.*)$", 1), r"^\s+|\s+$", ""))
+        kind = (F.when(raw == "", "b").when(~content.contains(":"), "")
+                .when(key == "user-agent", F.when(val == "*", "s").otherwise("a"))
+                .when(key.isin("allow", "disallow"), "r").otherwise(""))
+        return F.struct(kind.alias("kind"), i.alias("line_no"), ((key == "allow") | (val == "")).alias("allow"),
+                        val.alias("prefix"))
+    return let(F.regexp_replace(F.regexp_replace(raw, "#.*$", ""), r"^\s+|\s+$", ""), build)
+
+
+#: The first run of agent lines that names ``*`` and goes straight on to rules, and those rules.  It starts only where a run of
+#: agent lines starts and gives nothing back, so that a file is read once.
+_STAR_GROUP = "(?<![as])(a*+s[as]*+)(r++)"
 
 
 def robots_rules_column(body) -> Column:
-    """Rules of the effective ``*`` group of one robots file, in file order."""
+    """Rules of the effective ``*`` group of one robots file, in file order.
+
+    A group is a run of agent lines and the rules after it, up to a blank or another agent line; so the rules are neighbours
+    among the lines that have a kind, and one search over the string of kinds finds them, whatever the number of rules."""
     lines = F.split(F.coalesce(body, F.lit("")) if not isinstance(body, str) else F.col(body), r"\r\n|\r|\n", -1)
-    init = F.struct(F.lit(0).alias("state"), F.lit(0).alias("gid"),
-                    F.array().cast(_RULE_T).alias("rules"), F.array().cast("array<int>").alias("star"))
-    folded = F.aggregate(F.transform(lines, lambda l, i: F.struct(l.alias("raw"), i.alias("i"))), init, _step)
+    told = F.filter(F.transform(lines, _line), lambda x: x["kind"] != "")
 
-    def pick(f):
-        ruled = F.filter(f["star"], lambda g: F.exists(f["rules"], lambda r: r["gid"] == g))
-        g0 = F.array_min(ruled)
-        return F.filter(f["rules"], lambda r: r["gid"] == g0)
-    return let(folded, pick)
+    def pick(told):
+        def rules(kinds):
+            start = F.regexp_instr(kinds, F.lit(_STAR_GROUP)) + F.length(F.regexp_extract(kinds, _STAR_GROUP, 1))
+            n = F.length(F.regexp_extract(kinds, _STAR_GROUP, 2))
+            return F.when(n > 0, F.transform(F.slice(told, F.greatest(start, F.lit(1)), n), lambda x: F.struct(
+                x["line_no"].alias("line_no"), x["allow"].alias("allow"), x["prefix"].alias("prefix")))
+            ).otherwise(F.array().cast(_RULE_T))
+        return let(F.array_join(F.transform(told, lambda x: x["kind"]), ""), rules)
+    return let(told, pick)
 
 
 def parse_robots(files: DataFrame) -> DataFrame:
@@ -72,8 +70,7 @@ def parse_robots(files: DataFrame) -> DataFrame:
     prefix=''``); other 4xx: no rules (allow).  Hosts with no row at all
     (unreachable robots.txt) are allowed by the filter."""
     st = F.col("status")
-    deny = F.array(F.struct(F.lit(-1).alias("gid"), F.lit(-1).alias("line_no"), F.lit(False).alias("allow"),
-                            F.lit("").alias("prefix")))
+    deny = F.array(F.struct(F.lit(-1).alias("line_no"), F.lit(False).alias("allow"), F.lit("").alias("prefix")))
     rules = (F.when(st.isin(401, 403) | (st >= 500), deny)
              .when(st >= 400, F.array().cast(_RULE_T))
              .otherwise(robots_rules_column(F.col("body"))))

@@ -7,8 +7,10 @@ at the end, for the pages that were chosen.  Every URL carries ``ord`` = its
 parent's ``ord`` followed by its position on the parent page (seed ``[0]``,
 sitemap URLs ``[1..n]``, meta refresh position -1).  Within one level all keys
 have the same length, so ordering by ``ord`` is exactly the FIFO order of a
-queue-based crawl; first discovery is ``min(ord)``.  Each level is a table in
-the shared folder, so lineage stays short and survives lost executors.
+queue-based crawl; first discovery is ``min(ord)``.  After ``RANK_LEVELS``
+levels the paths of a level give way to their ranks, so that ``ord`` does not
+grow with the depth.  Each level is a table in the shared folder, so lineage
+stays short and survives lost executors.
 """
 
 from __future__ import annotations
@@ -30,6 +32,16 @@ from ..session import Scratch, checkpoint_root
 #: Levels after which the list of visited URLs is written as one table again.
 MERGE_LEVELS = 8
 
+#: Levels after which ``ord`` starts again from the rank within the level.
+RANK_LEVELS = 16
+
+
+def ranked_ord(frontier: DataFrame) -> DataFrame:
+    """``frontier(crawl_id, norm_url, ord)`` with ``ord`` replaced by its rank in the crawl, as two numbers that order alike."""
+    ranked = prefix_sum(frontier, ["crawl_id"], ["ord", "norm_url"], out="_rank")
+    high, low = F.shiftright("_rank", 30), F.col("_rank").bitwiseAND(F.lit((1 << 30) - 1))
+    return ranked.select("crawl_id", "norm_url", F.array(high.cast("int"), low.cast("int")).alias("ord"))
+
 
 def edge_table(corpus: DataFrame, map_url: Callable[[Column], Column] | None = None) -> DataFrame:
     """Links and meta refreshes of every page: ``(norm_url, pos, target,
@@ -66,7 +78,8 @@ def crawl_with_counts(pages: DataFrame, seeds: DataFrame, cfg: CrawlConfig | Non
     does not count toward ``max_pages``, nor does a page on a private host);
     ``robots(host, line_no, allow, prefix)``, ``sitemap_urls(crawl_id, loc,
     ord)`` and ``dns(host, ip)`` are optional; ``map_url`` maps every URL
-    discovered on a page.
+    discovered on a page.  With ``strict_scope`` meta refreshes and sitemap
+    URLs pass the tests of links; the seed never has to.
 
     Returns the fetched pages ``(crawl_id, norm_url, page_id, level, ord,
     crawl_rank)`` (+ ``url, html, seed_url`` when ``keep_html``) and A5
@@ -92,8 +105,14 @@ def crawl_with_counts(pages: DataFrame, seeds: DataFrame, cfg: CrawlConfig | Non
         if sitemap_urls is not None:
             sitemap_urls = scratch.keep(sitemap_urls.select(
                 F.col("crawl_id").cast("string").alias("crawl_id"), "loc", "ord"))
-            level0 = level0.unionByName(sitemap_urls.select(
-                "crawl_id", U.normalize_url("loc").alias("norm_url"), F.concat(F.array(F.lit(1)), "ord").alias("ord")))
+            listed = sitemap_urls.select(
+                "crawl_id", U.normalize_url("loc").alias("norm_url"), F.concat(F.array(F.lit(1)), "ord").alias("ord"))
+            if cfg.strict_scope:
+                listed = listed.where(U.is_html_link("norm_url"))
+                if not cfg.follow_domains:
+                    listed = listed.join(seed_info.select("crawl_id", "seed_netloc"), "crawl_id").where(
+                        U.authority("norm_url") == F.col("seed_netloc")).drop("seed_netloc")
+            level0 = level0.unionByName(listed)
         frontier = scratch.table(level0.groupBy(*key).agg(F.min("ord").alias("ord")))
         visited = [frontier.select(*key)]
         got_levels, queued = [], []
@@ -122,8 +141,12 @@ def crawl_with_counts(pages: DataFrame, seeds: DataFrame, cfg: CrawlConfig | Non
             # every fetched page are enqueued (also on the level that reaches the
             # cap, as a queue crawl does before it stops); only crawls below
             # their cap go on.
-            in_scope = F.col("any_scope") | (F.col("netloc") == F.col("seed_netloc"))
+            in_scope = F.col("netloc") == F.col("seed_netloc")
             found = got.join(edges, "norm_url")
+            if cfg.strict_scope:
+                found = found.where(~F.col("any_scope") | U.is_html_link("target"))
+            else:
+                in_scope = F.col("any_scope") | in_scope
             found = (found if cfg.follow_domains else found.where(in_scope)).select(
                 "crawl_id", F.col("target").alias("norm_url"), F.concat("ord", F.array("pos")).alias("ord"))
             if len(visited) > MERGE_LEVELS:
@@ -142,6 +165,8 @@ def crawl_with_counts(pages: DataFrame, seeds: DataFrame, cfg: CrawlConfig | Non
             if frontier.isEmpty():
                 break
             level += 1
+            if level % RANK_LEVELS == 0:
+                frontier = scratch.table(ranked_ord(frontier))
 
         # The crawl order as a dense number
         out = prefix_sum(reduce(DataFrame.unionByName, got_levels), ["crawl_id"], ["level", "ord"], out="crawl_rank")

@@ -307,3 +307,23 @@ def as_batches(rows: DataFrame, part, name: str) -> tuple[str, object]:
     for p in sorted(r[0] for r in table.select("_part").distinct().collect()):
         table.where(F.col("_part") == p).drop("_part").coalesce(1).write.mode("append").parquet(path)
     return path, rows.schema
+
+
+def refreshed_hosts(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(pages, seeds, sitemap_urls)``: the given pages with a meta refresh to the ``mirror-`` host of the page with the next id; one
+    crawl a host, seeded with its first page, whose sitemap lists the host's even pages and, beside each page, the next one if
+    that is of another host."""
+    from ..operators import extract as X
+    at = X.corpus(pages).select("page_id", "norm_url", U.authority("norm_url").alias("crawl_id"))
+    nxt = at.select((F.col("page_id") - 1).alias("page_id"), F.col("norm_url").alias("next_url"),
+                    F.col("crawl_id").alias("next_host"))
+    pairs = at.join(nxt, "page_id", "left")
+    refresh = F.concat(F.lit('<meta http-equiv="refresh" content="0; url='),
+                       F.regexp_replace("next_url", "^(https?://)", "$1mirror-"), F.lit('">'))
+    linked = pages.join(pairs.select("page_id", "next_url"), "page_id").select(
+        "page_id", "url", F.concat(F.coalesce(refresh, F.lit("")), F.coalesce("html", F.lit(""))).alias("html"))
+    seeds = at.groupBy("crawl_id").agg(F.min_by("norm_url", "page_id").alias("url"))
+    order = F.array(F.col("page_id").cast("int")).alias("ord")
+    listed = at.where("page_id % 2 = 0").select("crawl_id", F.col("norm_url").alias("loc"), order).unionByName(
+        pairs.where("next_host <> crawl_id").select("crawl_id", F.col("next_url").alias("loc"), order))
+    return linked, seeds, listed

@@ -68,6 +68,43 @@ def crawl_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("crawl_id", "page_id", "norm_url", "level", "crawl_rank").join(counts, "crawl_id")
 
 
+@register("crawl_strict", "WITH " + PAGES_NORM_SQL + r""",
+f AS (SELECT netloc, min(page_id) AS first FROM pc GROUP BY netloc)
+SELECT c.netloc AS crawl_id, c.page_id, c.norm_url, CASE WHEN c.page_id % 2 = 0 OR c.page_id = first THEN 0 ELSE 1 END AS level
+FROM pc c JOIN f ON f.netloc = c.netloc LEFT JOIN pc b ON b.page_id = c.page_id - 1 AND b.netloc = c.netloc
+WHERE c.page_id % 2 = 0 OR c.page_id = first OR b.page_id IS NOT NULL""")
+def crawl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``strict_scope`` (meta refreshes and sitemaps that lead to other hosts
+    are not followed) and F2 (refreshes to a mirror are mapped back) in a
+    crawl of every host of the given pages."""
+    from .crawl import crawl
+    linked, seeds, listed = derived.refreshed_hosts(read_pages(spark, sf_dir))
+    return crawl(linked, seeds, CrawlConfig(max_pages=NO_CAP, strict_scope=True), sitemap_urls=listed,
+                 map_url=lambda u: F.regexp_replace(u, "^(https?://)mirror-", "$1")).select(
+        "crawl_id", "page_id", "norm_url", "level")
+
+
+@register("decoded_sheets", r"""
+WITH d AS (SELECT doc_id, '/* ' || coalesce(text, '') || ' */ i{background:url(/f/é' || doc_id || '.png)}' AS css FROM documents),
+k AS (SELECT *, doc_id % 2 = 1 AND NOT regexp_matches(css, '[^\x{00}-\x{FF}]') AS latin FROM d)
+SELECT doc_id, latin, CAST(CASE WHEN latin THEN length(css) ELSE strlen(css) END AS BIGINT) AS n_bytes, md5(css) AS decoded_md5,
+       '/f/é' || doc_id || '.png' AS last_ref
+FROM k""")
+def decoded_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U14 on a stylesheet per document, stored in UTF-8 or, where it can be, every other one in Latin-1."""
+    from ..functions import css as C
+    css = F.concat(F.lit("/* "), F.coalesce("text", F.lit("")), F.lit(" */ i{background:url(/f/é"),
+                   F.col("doc_id").cast("string"), F.lit(".png)}"))
+    sheets = read_table(spark, sf_dir, "documents").select("doc_id", css.alias("css")).withColumn(
+        "latin", (F.col("doc_id") % 2 == 1) & ~F.col("css").rlike(r"[^\x{00}-\x{FF}]"))
+    stored = sheets.select("doc_id", "latin", F.when(F.col("latin"), F.encode("css", "ISO-8859-1"))
+                           .otherwise(F.encode("css", "UTF-8")).alias("body"))
+    text = stored.select("doc_id", "latin", F.octet_length("body").cast("long").alias("n_bytes"),
+                         C.decode_css("body").alias("css"))
+    return text.select("doc_id", "latin", "n_bytes", F.md5("css").alias("decoded_md5"),
+                       F.element_at(C.css_url_refs("css"), -1).alias("last_ref"))
+
+
 @register("page_hosts", "WITH " + _HOST_LINKS + r""",
 a AS (SELECT DISTINCT lower(regexp_replace(regexp_replace(netloc, '^.*@', ''), ':[^:]*$', '')) AS host FROM pc),
 d AS (SELECT *, ('0x' || substr(md5(host), 1, 2))::INT AS k FROM a),

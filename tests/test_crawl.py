@@ -249,3 +249,33 @@ def test_one_path_for_a_url_met_as_script_and_link(spark):
     assert set(files) == {"index.html", "app.js"}
     assert files["index.html"] == b'<script src="app.js"></script><a href="app.js">x</a>'
     assert files["app.js"] == b"<p>page</p>"  # the page is written last
+
+
+def test_deep_crawl_keeps_queue_order(spark, monkeypatch):
+    """``ord`` starts again from the rank every few levels, and the order stays that of the queue."""
+    from mirrorframe.plans import crawl as plan
+    monkeypatch.setattr(plan, "RANK_LEVELS", 3)
+    site = {f"http://g.com/n/{i}": make_html([f"/n/{i + 3}", f"/n/{i + 2}", f"/n/{i // 2}"]) for i in range(24)}
+    want, _, _ = queue_crawl(site, "http://g.com/n/0", 22)
+    assert run(spark, site, seed="http://g.com/n/0", max_pages=22) == want
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(site.items())], "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("c", "http://g.com/n/0")], "crawl_id string, url string")
+    rows = crawl(pages, seeds, CrawlConfig(max_pages=100)).collect()
+    assert len(rows) == 24 and max(r.level for r in rows) > 6 and max(len(r.ord) for r in rows) <= 4
+
+
+def test_strict_scope(spark):
+    """A meta refresh and sitemap URLs are followed anywhere, or with ``strict_scope`` as links are."""
+    pages = spark.createDataFrame([
+        (1, "http://a.com/", '<meta http-equiv="refresh" content="0; url=http://b.com/x">'),
+        (2, "http://b.com/x", ""), (3, "http://b.com/y", ""),
+        (4, "http://a.com/z", '<meta http-equiv="refresh" content="0; url=/w.png">'), (5, "http://a.com/w.png", ""),
+        (6, "http://a.com/v.pdf", "")], "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("c", "http://a.com/")], "crawl_id string, url string")
+    listed = spark.createDataFrame([("c", f"http://{u}", [i]) for i, u in enumerate(["b.com/y", "a.com/z", "a.com/v.pdf"])],
+                                   "crawl_id string, loc string, ord array<int>")
+    def got(**options):
+        return sorted(r.page_id for r in crawl(pages, seeds, CrawlConfig(**options), sitemap_urls=listed).collect())
+    assert got() == [1, 2, 3, 4, 5, 6]
+    assert got(strict_scope=True) == [1, 4]
+    assert got(strict_scope=True, follow_domains=True) == [1, 2, 3, 4]

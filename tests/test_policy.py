@@ -106,3 +106,26 @@ def test_robots_against_stdlib(spark):
     df = spark.createDataFrame([(i, "http://h.com" + u) for i, u in enumerate(urls)], "i long, norm_url string")
     got = {r.i: r.robots_allowed for r in robots_filter(df, rules).collect()}
     assert [got[i] for i in range(len(urls))] == want
+
+
+def test_robots_groups_against_stdlib(spark):
+    """Files of random agent, rule, blank and other lines; a file of very many rules."""
+    rnd = random.Random(3)
+    some = ["User-agent: *", "User-agent: x", "user-AGENT : * # c", "Disallow: /a", "Allow: /a/b", "Disallow: /", "Disallow:", "",
+            "  ", "# note", "Sitemap: http://h.com/s.xml", "nonsense", "Disallow: /%61b"]
+    files = ["\n".join(rnd.choice(some) for _ in range(rnd.randrange(14))) for _ in range(300)]
+    paths = ["/", "/a", "/a/b/c", "/ab", "/z"]
+    rows = [(f"h{i}.com", 200, f) for i, f in enumerate(files)]
+    rules = parse_robots(spark.createDataFrame(rows, "host string, status int, body string"))
+    urls = [(f"http://h{i}.com{p}",) for i in range(len(files)) for p in paths]
+    got = {r.norm_url: r.robots_allowed for r in robots_filter(spark.createDataFrame(urls, "norm_url string"), rules).collect()}
+    for i, f in enumerate(files):
+        rp = urllib.robotparser.RobotFileParser()
+        rp.parse(f.splitlines())
+        for p in paths:
+            assert got[f"http://h{i}.com{p}"] == rp.can_fetch("*", f"http://h{i}.com{p}"), (f, p)
+    n = 200_000
+    body = "User-agent: *\n" * 1000 + "\n" + "User-agent: *\n" + "".join(f"Disallow: /{i}\n" for i in range(n))
+    many = parse_robots(spark.createDataFrame([("h.com", 200, body)], "host string, status int, body string"))
+    last = many.orderBy(F.desc("line_no")).first()
+    assert many.count() == n and (last.line_no, last.prefix) == (n + 1001, f"/{n - 1}")
