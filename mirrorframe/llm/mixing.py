@@ -5,9 +5,11 @@ its documents at the mean rate ``w_s * budget / size_s``.  The number of copies
 that mean, of a uniform number hashed from the seed and the document; documents are exploded by it and the copies dealt
 out in the order of a second hash.  All of it is DataFrame functions.
 """
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mirrorframe.llm.common import Scratch
+
 
 def _uniform(*parts):
     """A number in (0, 1) from the md5 of the parts: 52 bits, moved by half a step so that it is never 0 or 1."""
@@ -39,18 +41,15 @@ def rates(docs: DataFrame, source_col: str, text_col: str, weights: dict | None
     rated = sized.select("source", "size", F.coalesce(rate, F.lit(0.0)).alias("rate"))
     # beyond this many copies the distribution's tail is under a double's precision
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    log_terms = F.transform(F.sequence(F.lit(1), last), lambda k: F.log(F.col("rate")) - F.log(k.cast("double")))
-    # a running sum of the logs, then of the probabilities, each as (last value, array so far)
-    logs = F.aggregate(
-        log_terms, F.struct((-F.col("rate")).alias("x"), F.array(-F.col("rate")).alias("xs")),
-        lambda acc, t: F.struct((acc["x"] + t).alias("x"), F.concat(acc["xs"], F.array(acc["x"] + t)).alias("xs")),
-        lambda acc: acc["xs"])
-    cdf = F.aggregate(
-        logs, F.struct(F.lit(0.0).alias("x"), F.array().cast("array<double>").alias("xs")),
-        lambda acc, t: F.struct((acc["x"] + F.exp(t)).alias("x"),
-                                F.concat(acc["xs"], F.array(acc["x"] + F.exp(t))).alias("xs")),
-        lambda acc: acc["xs"])
-    return rated.withColumn("cdf", F.when(F.col("rate") > 0, cdf))
+    terms = rated.select("source", "size", "rate", F.explode(
+        F.when(F.col("rate") > 0, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(-1)))).alias("k"))
+    # a row for each number of copies; a running sum of the logs, then of the probabilities
+    upto = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("k") == 0, -F.col("rate")).when(F.col("k") > 0, F.log("rate") - F.log(F.col("k").cast("double")))
+    summed = terms.withColumn("log", F.sum(step).over(upto)).withColumn("p", F.sum(F.exp("log")).over(upto))
+    listed = F.array_sort(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "p"))))
+    return summed.groupBy("source").agg(F.max("size").alias("size"), F.max("rate").alias("rate"), listed.alias("ps")).select(
+        "source", "size", "rate", F.when(F.col("rate") > 0, F.transform("ps", lambda x: x["p"])).alias("cdf"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7,
@@ -61,10 +60,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     With ``columns`` the rows also carry ``copy`` (1, 2, ... of a document), ``n_copies``, ``rate`` and ``mix_key`` (the
     order), which replace input columns of the same names.  A null id is drawn by the hash of the text; repeated rows draw
     the same number; null texts count no characters; an empty table gives an empty mix.
+
+    The rates are written as a table in the shared folder first.  Spark then knows their size when it plans the join: it
+    broadcasts them below its threshold, and the texts are not exchanged by source; a larger table of sources is joined by a
+    shuffle.  The order's key is uniform, so its ranges are known without a sample and the copies are drawn once.
     """
     own = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    table = rates(docs, source_col, text_col, weights, temperature, budget_ratio).select(
-        F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf"))
+    spark = docs.sparkSession
+    with Scratch(spark, "rates") as scratch:
+        table = scratch.keep(rates(docs, source_col, text_col, weights, temperature, budget_ratio).select(
+            F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf")).coalesce(1))
     drawn = (docs.join(table, F.col(source_col).eqNullSafe(F.col("__source")))
              .filter(F.col("__rate") > 0)
              .withColumn("__own", own)
@@ -76,4 +81,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     copies = copies.withColumn("__key", _uniform(F.lit(f"{seed}/order"), F.col("__own"), F.col("__copy").cast("string")))
     extra = [F.col("__copy").alias("copy"), F.col("__n").alias("n_copies"), F.col("__rate").alias("rate"),
              F.col("__key").alias("mix_key")] if columns else []
-    return copies.orderBy("__key", "__own", "__copy").select(*names, *extra)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = copies.repartitionById(parts, F.floor(F.col("__key") * parts).cast("int"))
+    return ranged.sortWithinPartitions("__key", "__own", "__copy").select(*names, *extra)
