@@ -98,36 +98,62 @@ def likeness(a: dict[int, int], b: dict[int, int]) -> float:
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (bucket, lent, rank_key, no_id, text) sorted by descending id inside each bucket, where a bucket is a range of
-    ids and ends with the lent first rows of the next one, so that each row's successor is in its own bucket.
+    """Rows (bucket, lent, rank_key, no_id, text) sorted by descending id, rows of one id by text, inside each bucket, where a
+    bucket is a range of this order and ends with the lent first row of the next one, so that each row's successor is in its
+    own bucket.
 
     As in Spark's own range partitioning the number of bounds follows the number of shuffle partitions, here four to each;
-    they come from approximate percentiles of the ids.  The bounds and the largest id of each bucket are all that the
-    driver sees, and the texts are shuffled once.
+    they come from approximate percentiles of the ids.  An id on which several bounds fall (a hot one, or the rows without an
+    id) has buckets of its own, by percentiles of the first seven bytes of its texts.  The bounds and the first key of each
+    bucket are all that the driver sees, and the texts are shuffled once.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("rank_key"),
+    least = F.lit(-(1 << 63))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("rank_key"),
                        F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    start = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    # a real id as low as the stand-in of a missing one comes before all of those
+    rows = rows.withColumn("start", F.when((F.col("rank_key") == least) & ~F.col("no_id"), -1).otherwise(start))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = [i / parts for i in range(1, parts)]
-    bounds = rows.agg(F.percentile_approx("rank_key", steps, max(10000, 20 * parts))).first()[0]
-    edges = np.unique(np.array(bounds or [], np.int64))
+    exact = max(10000, 20 * parts)
+    bounds = rows.agg(F.percentile_approx("rank_key", [i / parts for i in range(1, parts)], exact)).first()[0]
+    edges, times = np.unique(np.array(bounds or [], np.int64), return_counts=True)
+    inner = {}  # hot id -> bounds among its texts' starts
+    for n in np.unique(times[times > 1]).tolist():
+        ids = edges[times == n].tolist()
+        for r in rows.filter(F.col("rank_key").isin(ids)).groupBy("rank_key").agg(
+                F.percentile_approx("start", [i / n for i in range(1, n)], exact).alias("b")).collect():
+            inner[r.rank_key] = np.unique(np.array(r.b, np.int64))
+    own = np.array([len(inner[e]) + 1 if e in inner else 0 for e in edges.tolist()] + [0])
+    # descending ids: the largest are in bucket 0; at each edge first its own buckets, then that of what lies below
+    first = np.append(np.cumsum((own + 1)[::-1])[::-1][1:], 0)
+    held = np.append(edges, 0)
 
     @pandas_udf("long")
-    def bucket_of(keys: pd.Series) -> pd.Series:  # descending ids: the largest are in bucket 0
-        return pd.Series(len(edges) - np.searchsorted(edges, keys.to_numpy(), side="left"))
-
-    placed = rows.withColumn("bucket", bucket_of("rank_key"))
-    heads = {r.bucket: r.top for r in placed.groupBy("bucket").agg(F.max("rank_key").alias("top")).collect()}
+    def bucket_of(keys: pd.Series, starts: pd.Series) -> pd.Series:
+        keys, starts = keys.to_numpy(), starts.to_numpy()
+        at = np.searchsorted(edges, keys, side="left")
+        out = first[at] + own[at]
+        hot = (own[at] > 0) & (held[at] == keys)
+        for key in np.unique(keys[hot]).tolist():
+            mine = keys == key
+            out[mine] = first[at[mine]] + np.searchsorted(inner[key], starts[mine], side="right")
+        return pd.Series(out)
+
+    # without a hot id no text is read to find the first keys
+    placed = rows.withColumn("bucket", bucket_of("rank_key", "start" if inner else F.lit(0).cast("long")))
+    low = F.min(F.when(F.col("rank_key").isin(list(inner)), F.col("start"))) if inner else F.lit(None).cast("long")
+    heads = {r.bucket: (r.top, r.low) for r in placed.groupBy("bucket").agg(
+        F.max("rank_key").alias("top"), low.alias("low")).collect()}
     order = sorted(heads)
-    lend = [(heads[b], a) for a, b in zip(order, order[1:] + order[:1])]
-    lent = F.broadcast(spark.createDataFrame(lend, "top long, taker long"))  # a row for each bucket
-    own = F.struct(F.col("bucket"), F.lit(False).alias("lent"))
-    other = F.struct(F.col("taker").alias("bucket"), F.lit(True).alias("lent"))
-    both = placed.join(lent, placed.rank_key == lent.top, "left").select(
-        "rank_key", "no_id", "text",
-        F.explode(F.when(F.col("taker").isNull(), F.array(own)).otherwise(F.array(own, other))).alias("p"))
-    return both.select("p.bucket", "p.lent", "rank_key", "no_id", "text").repartition("bucket").sortWithinPartitions(
+    lend = [(b, *heads[b], a) for a, b in zip(order, order[1:] + order[:1])]
+    firsts = F.broadcast(spark.createDataFrame(lend, "bucket long, top long, low long, taker long"))  # a row for each bucket
+    tied = placed.join(firsts, "bucket").filter(
+        (F.col("rank_key") == F.col("top")) & ((F.col("start") == F.col("low")) | F.col("low").isNull()))
+    lent = tied.groupBy("taker", "rank_key").agg(F.min(F.struct("no_id", "text")).alias("m")).select(
+        F.col("taker").alias("bucket"), F.lit(True).alias("lent"), "rank_key", "m.no_id", "m.text")
+    both = placed.select("bucket", F.lit(False).alias("lent"), "rank_key", "no_id", "text").unionByName(lent)
+    return both.repartition("bucket").sortWithinPartitions(
         "bucket", "lent", F.col("rank_key").desc(), "no_id", "text")
 
 
@@ -141,7 +167,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     descending order of id, the first following the last) and their likeness, and the likeness to the next text.
 
     Null texts are empty.  Null ids come last; rows of the same id follow each other in the order of their texts.  A table
-    of one row is its own next document.  Equal texts have equal fingerprints.  Other columns are not read.
+    of one row is its own next document.  Rows of one id whose texts start alike share a bucket, which is one task.  Equal texts have equal fingerprints.  Other columns are not read.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +179,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 if held is not None and held[0] != buckets[i]:
                     held = None  # cannot be: a bucket ends with lent rows
                 if held is None and lent[i]:
-                    continue  # more rows of the id that was lent
+                    continue
                 text = batch.column(4)[i].as_py()
                 weights = chunk_weights(text)
                 if held is not None:

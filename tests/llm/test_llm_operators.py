@@ -281,6 +281,24 @@ def test_poisson_table_is_exact(on_workers):
         assert r.cdf[-1] == pytest.approx(1.0)
 
 
+def test_high_rates_and_many_sources(on_workers):
+    """A rate in the tens of thousands, and more sources than a broadcast holds: the join needs none."""
+    df = on_workers.createDataFrame([(1, "a", "s"), (2, "b" * 59999, "t")], "doc_id long, text string, source string")
+    row = mixing.rates(df, "source", "text", {"s": 1, "t": 1}).filter("source = 's'").first()
+    assert row.rate == pytest.approx(30000) and row.cdf[-1] == pytest.approx(1.0) and row.cdf == sorted(row.cdf)
+    n = mixing.mix(df, weights={"s": 1, "t": 1}).filter("doc_id = 1").count()
+    assert abs(n - 30000) < 6 * 30000 ** 0.5
+    held = on_workers.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    many = on_workers.range(3000).selectExpr("id AS doc_id", "repeat('x', 20) AS text", "concat('s', id % 1000) AS source")
+    wide = mixing.mix(many).collect()
+    try:
+        on_workers.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert mixing.mix(many).collect() == wide
+    finally:
+        on_workers.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert [r.mix_key for r in wide] == sorted(r.mix_key for r in wide)
+
+
 # --- fingerprints
 
 def test_fingerprints_follow_the_contract(docs):
@@ -297,6 +315,27 @@ def test_fingerprints_follow_the_contract(docs):
     assert chunk_prints.compare_with_next(empty(docs)).count() == 0
 
 
+def test_hot_and_missing_ids_spread_over_buckets(on_workers):
+    """A third of the rows under one id and a third under none: buckets of their own, one lent row each, order by text."""
+    rnd = random.Random(4)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, prose(rnd, 40)) for i in range(1500)]
+    rows += [(7, rows[1][1])] * 3 + [(-(1 << 63), "low"), (None, None), (7, "")]
+    df = on_workers.createDataFrame(rows, "doc_id long, text string")
+    placed = chunk_prints.in_order(df, "doc_id", "text").collect()
+    own = [r for r in placed if not r.lent]
+    assert len(own) == len(rows) and len(placed) - len(own) == len({r.bucket for r in own})
+    n = collections.Counter(r.bucket for r in own)
+    assert max(n.values()) < 150, n.most_common(3)
+    lined = sorted(own, key=lambda r: (r.bucket, -r.rank_key, r.no_id, r.text))
+    assert [(r.no_id, r.rank_key, r.text) for r in lined] == [
+        (r.no_id, r.rank_key, r.text) for r in sorted(own, key=lambda r: (-r.rank_key, r.no_id, r.text))]
+    ids = sorted(n)
+    head = {b: min((-r.rank_key, r.no_id, r.text) for r in own if r.bucket == b) for b in ids}
+    assert {r.bucket: (-r.rank_key, r.no_id, r.text) for r in placed if r.lent} == {
+        a: head[b] for a, b in zip(ids, ids[1:] + ids[:1])}
+    test_fingerprints_follow_the_contract(df)
+
+
 def test_chunks_cover_and_resist_shifts():
     rng = random.Random(5)
     text = prose(rng, 3000)
