@@ -42,8 +42,42 @@ def folded(text: str) -> np.ndarray:
     return out
 
 
-def suffix_automaton(text: list[int], letters: int) -> np.ndarray:
-    """next[state, letter] of the automaton of all substrings of ``text``; state 0 is the start, and 0 as a target is none."""
+class Transitions:
+    """Transitions of an automaton as a double array: that of a state and a letter lies in ``cells`` at the state's ``base`` plus
+    the letter, with the state as its owner.  Its size follows the number of transitions, not states times letters."""
+
+    def __init__(self, out: list[dict[int, int]], letters: int):
+        degree = np.array([len(x) for x in out], np.int64)
+        letter = np.fromiter((c for x in out for c in x), np.int64, int(degree.sum()))
+        target = np.fromiter((to for x in out for to in x.values()), np.int64, len(letter))
+        first = np.concatenate(([0], np.cumsum(degree)))
+        self.base = np.zeros(len(out), np.int64)
+        self.cells = np.full(letters + 4 * len(letter) + 64, -1, np.int64)  # owner << 32 | target; -1: free
+        rng = np.random.default_rng(0)
+        for d in np.unique(degree[degree > 0])[::-1].tolist():  # states with many transitions take their places first
+            left, rounds = np.flatnonzero(degree == d), 0
+            while len(left):
+                rounds += 1
+                if rounds % 32 == 0:
+                    self.cells = np.concatenate((self.cells, np.full(len(letter) + letters, -1, np.int64)))
+                base = rng.integers(0, len(self.cells) - letters, len(left))
+                edges = first[left][:, None] + np.arange(d)
+                places = base[:, None] + letter[edges]
+                free = (self.cells[places] < 0).all(axis=1)
+                _, earliest = np.unique(places[free], return_index=True)  # a place that several want goes to the first
+                got = np.flatnonzero(free)[np.bincount(earliest // d, minlength=int(free.sum())) == d]
+                self.base[left[got]] = base[got]
+                self.cells[places[got]] = left[got][:, None] << 32 | target[edges[got]]
+                left = np.delete(left, got)
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The state after each state's letter, 0 if there is none."""
+        cell = self.cells[self.base[state] + letter]
+        return np.where(cell >> 32 == state, cell & 0xFFFFFFFF, 0)
+
+
+def suffix_automaton(text: list[int], letters: int) -> Transitions:
+    """The automaton of all substrings of ``text``; state 0 is the start, and 0 as a target is none."""
     nxt, link, length = [{}], [-1], [0]
     last = 0
     for c in text:
@@ -69,28 +103,23 @@ def suffix_automaton(text: list[int], letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.zeros((len(nxt), letters), np.int32)
-    for state, out in enumerate(nxt):
-        for c, to in out.items():
-            table[state, c] = to
-    return table
+    return Transitions(nxt, letters)
 
 
-def phrases(table: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+def phrases(table: Transitions, pieces: np.ndarray) -> np.ndarray:
     """Phrases that each row of ``pieces`` needs (letters, -1 past a row's end; rows by length, the longest first)."""
-    flat, letters = table.ravel(), table.shape[1]
     lengths = (pieces >= 0).sum(axis=1)
     count, state = np.ones(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
     columns = np.ascontiguousarray(pieces.T)
     for t in range(int(lengths[0]) if len(lengths) else 0):
         n = int(np.searchsorted(-lengths, -t, side="left"))
         c = columns[t, :n]
-        to = flat[state[:n] * letters + c]
+        to = table.step(state[:n], c)
         lost = np.flatnonzero(to == 0)
         if len(lost):  # the match ends: a phrase begins with this letter
             inside = state[lost] > 0  # at the start of a phrase an unknown letter is a phrase of its own
             count[lost[inside]] += 1
-            to[lost] = flat[c[lost]]
+            to[lost] = table.step(np.zeros(len(lost), np.int64), c[lost])
             unknown = lost[to[lost] == 0]
             count[unknown[t + 1 < lengths[unknown]]] += 1
         state[:n] = to
@@ -103,7 +132,7 @@ class Model:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         chars = sorted({ord(c) for s in samples.values() for c in s})
-        self.letter = np.zeros(0x110000, np.int16)  # 0: in no sample
+        self.letter = np.zeros(0x110000, np.int32)  # 0: in no sample
         self.letter[chars] = np.arange(1, len(chars) + 1)
         self.bits = [math.log2(max(2, len(samples[x]))) for x in self.languages]
         self.tables = [suffix_automaton(self.letter[[ord(c) for c in samples[x]]].tolist(), len(chars) + 1)
@@ -124,7 +153,7 @@ class Model:
         order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
         for at in range(0, len(order), 4096):  # bounded memory, whatever the batch
             part = order[at:at + 4096]
-            block = np.full((len(part), len(rows[part[0]])), -1, np.int16)
+            block = np.full((len(part), len(rows[part[0]])), -1, np.int32)
             for k, i in enumerate(part):
                 block[k, :len(rows[i])] = rows[i]
             who = np.array([owner[i] for i in part])
