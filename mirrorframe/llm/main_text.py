@@ -10,6 +10,11 @@ pages on, twice as many inside what a page names its article; its text belongs t
 slots.  Slots inside parts that frame a page (menus, page
 headers, footers, sidebars, notices, adverts, forms, comments) go; of the rest the article's slots make the main text, and where a
 page names none, the container that holds most of the host's slot text does.
+
+Pages that name no article have their slots judged by class: the containers of a host with one path and one shape (text in
+paragraphs, in list items or bare) are a class, and the one with most text outside links is the main one.  A class from enough
+different pages on frames the page if most of its text is links (menus), or if it stands on nearly as many pages as the main one
+with one or two short blocks (adverts, notices, imprints).  Text of such a container goes unless it lies inside one of the main class.
 """
 import html as entities
 import re
@@ -28,6 +33,8 @@ from mirrorframe.llm.common import Scratch
 MIN_PAGES = 5
 #: Least share of these pages in the different pages that hold the text's slot.
 MIN_SHARE = 0.9
+#: A class of short containers has at most this many blocks a container, and less than this share of the main class's characters.
+SHORT_BLOCKS, SHORT_SHARE = 2, 0.2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -42,6 +49,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td "
     "tfoot th thead tr ul".split())
+_LIST, _PROSE, _BARE = 1, 2, 4  # where a container's text stands
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote figcaption figure".split())
 _CLOSES = {  # an opening tag ends an open one of these, up to the nearest of the others
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -100,17 +108,21 @@ def _frames(tag: str, attrs: dict[str, str], in_article: bool) -> str | None:
 class Page:
     """A page's tokens: ``elements`` (path -> count), ``slots`` (paths of its containers), ``layout`` (a hash of the elements
     directly below the body) and ``blocks`` of text outside the framing parts, in page order, each (words, path, containers
-    from the outside in, path of the outermost article or 0)."""
+    from the outside in, path of the outermost article or 0, number of the container).  ``parts`` are the containers, 0 the page:
+    [path, container around it, where text stands, characters, characters in links, blocks]."""
 
     def __init__(self, html: str):
         self.elements: Counter = Counter()
-        self.blocks: list[tuple[str, int, tuple[int, ...], int]] = []
+        self.blocks: list[tuple[str, int, tuple[int, ...], int, int]] = []
+        self.parts: list[list[int]] = [[0, 0, 0, 0, 0, 0]]
         self.slots: set[int] = set()
         self.top: set[int] = set()
         self.article = False
-        # open elements: (tag, path, why it is no main text, path of the outermost article around it, containers)
-        self.stack: list[tuple[str, int, str | None, int, tuple[int, ...]]] = [("", 0, None, 0, ())]
+        # open elements: (tag, path, why it is no main text, path of the outermost article around it, containers, number of the
+        # nearest one, inside a link)
+        self.stack: list[tuple[str, int, str | None, int, tuple[int, ...], int, bool]] = [("", 0, None, 0, (), 0, False)]
         self.run: list[str] = []
+        self.linked = 0
         at = 0
         while True:
             m = _TOKEN.search(html, at)
@@ -138,14 +150,34 @@ class Page:
     def _text(self, text: str) -> None:
         if self.stack[-1][2] is None:
             self.run.append(entities.unescape(text))
+            if self.stack[-1][6]:
+                self.linked += len(" ".join(self.run[-1].split()))
 
     def _flush(self) -> None:
         if self.run:
             words = " ".join("".join(self.run).split())
-            self.run = []
+            linked, self.run, self.linked = self.linked, [], 0
             if words:
-                _, path, _, article, containers = self.stack[-1]
-                self.blocks.append((words, path, containers, article))
+                _, path, _, article, containers, number, _ = self.stack[-1]
+                self.blocks.append((words, path, containers, article, number))
+                part = self.parts[number]
+                part[2] |= self._stands()
+                part[3:] = part[3] + len(words), part[4] + linked, part[5] + 1
+
+    def _stands(self) -> int:
+        """Whether the block that ends here is a list item, a paragraph or the like, or bare text of its container."""
+        for tag, *_ in reversed(self.stack):
+            if tag in ("li", "dt", "dd", "ul", "ol", "dl"):
+                return _LIST
+            if tag in _LEAF:
+                return _PROSE
+            if tag in _BLOCK:
+                break
+        return _BARE
+
+    def classes(self) -> list[int]:
+        """The class of each container: a hash of its path and of where its text stands."""
+        return [_signed(xxhash.xxh3_64_intdigest(bytes((part[2],)), part[0])) for part in self.parts]
 
     def _pop_to(self, i: int) -> None:
         if any(x[0] in _BLOCK for x in self.stack[i:]):
@@ -191,7 +223,7 @@ class Page:
                     if self.stack[i][2] != "comments":
                         self._pop_to(i)
                     break
-        _, parent, outer, article, containers = self.stack[-1]
+        _, parent, outer, article, containers, number, link = self.stack[-1]
         name = f"{tag}.{attrs.get('class', '')}#{attrs.get('id', '')}" if attrs else tag
         path = xxhash.xxh3_64_intdigest(_DIGITS.sub("0", name).encode("utf-8", "surrogatepass"), parent)
         self.elements[path] += 1
@@ -205,7 +237,9 @@ class Page:
             containers = (*containers, path)
             if (outer or why) is None:
                 self.slots.add(path)
-        self.stack.append((tag, path, outer or why, article, containers))
+                self.parts.append([path, number, 0, 0, 0, 0])
+                number = len(self.parts) - 1
+        self.stack.append((tag, path, outer or why, article, containers, number, link or tag == "a"))
 
 
 def _signed(x: int) -> int:
@@ -221,11 +255,12 @@ def _in_layout(token: int, layout: int) -> int:
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
-    """Rows (host, page, layout, kind, slot, token, within, n, even, chars): per page and token.  Kinds: slot, text (inside: text
-    inside an article), container.  within is the token told apart by layout; even: it occurs as often as its own element or its slot."""
+    """Rows (host, page, layout, kind, slot, token, within, n, even, chars, links, blocks): per page and token.  Kinds: slot, text
+    (inside: text inside an article), container, part (a class of containers, of pages that name no article).  within is the token
+    told apart by layout; even: it occurs as often as its own element or its slot."""
     kinds = pa.schema([("host", pa.string()), ("page", pa.int64()), ("layout", pa.int64()), ("kind", pa.string()),
                        ("slot", pa.int64()), ("token", pa.int64()), ("within", pa.int64()), ("n", pa.int64()),
-                       ("even", pa.int64()), ("chars", pa.int64())])
+                       ("even", pa.int64()), ("chars", pa.int64()), ("links", pa.int64()), ("blocks", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,31 +269,36 @@ def _tokens(pages: DataFrame) -> DataFrame:
                 text = html.as_py()
                 page, seen = Page(text), _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
                 key = (host, seen, page.layout)
-                out += [(*key, "slot", _signed(k), 0, 0, 1, 0, 0) for k in page.slots]
+                out += [(*key, "slot", _signed(k), 0, 0, 1, 0, 0, 0, 0) for k in page.slots]
                 inside = {b[3] for b in page.blocks if b[3]}
                 texts = Counter((b[1], b[3] or (b[2][-1] if b[2] else 0), _word_token(b[0], b[1])) for b in page.blocks)
                 out += [(*key, "inside" if slot in inside else "text", _signed(slot), k, _in_layout(k, page.layout), n,
-                         int(n in (page.elements[path], page.elements[slot])), 0) for (path, slot, k), n in texts.items()]
+                         int(n in (page.elements[path], page.elements[slot])), 0, 0, 0) for (path, slot, k), n in texts.items()]
                 size: Counter = Counter()
-                for words, _, containers, _ in page.blocks:
+                for words, _, containers, _, _ in page.blocks:
                     if containers:
                         size[containers[-1]] += len(words)
-                out += [(*key, "container", 0, _signed(k), 0, 1, 0, n) for k, n in size.items()]
+                out += [(*key, "container", 0, _signed(k), 0, 1, 0, n, 0, 0) for k, n in size.items()]
+                parts: dict[int, list[int]] = {}
+                for k, part in zip(page.classes(), () if page.article else page.parts):
+                    if part[5]:
+                        parts[k] = [a + b for a, b in zip(parts.get(k, (0, 0, 0, 0)), (1, *part[3:]))]
+                out += [(*key, "part", 0, k, 0, n, 0, chars, links, blocks) for k, (n, chars, links, blocks) in parts.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
 
     return pages.mapInArrow(emit, "host string, page long, layout long, kind string, slot long, token long, within long, "
-                                  "n long, even long, chars long")
+                                  "n long, even long, chars long, links long, blocks long")
 
 
 def deduce(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per host: ``template_text`` (tokens of text that belongs to a template of all pages, or, told apart by layout, of
-    one layout; the latter inverted too, for pages of a layout too rare to tell; and the other layouts, inverted) and ``body``
-    (the container with most text outside the framing parts).  pages: host, html (not null)."""
+    one layout; the latter inverted too, for pages of a layout too rare to tell; the other layouts, inverted; classes of containers
+    that frame a page, and the main class, inverted) and ``body`` (the container with most text outside the framing parts).  pages: host, html (not null)."""
     # a page that is there several times counts once
     seen = scratch.table(_tokens(pages).dropDuplicates(["host", "page", "kind", "slot", "token"]).groupBy(
         "host", "layout", "kind", "slot", "token", "within", "n").agg(
-        F.count("*").alias("pages"), F.sum("even").alias("even"), F.sum("chars").alias("chars")), "tokens")
+        F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("even", "chars", "links", "blocks")]), "tokens")
 
     def shared(*among: str) -> DataFrame:
         """Texts that occur equally often on nearly all pages among those that hold their slot."""
@@ -276,6 +316,16 @@ def deduce(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_s
     found = shared("host").select("host", F.array("token").alias("t")).unionByName(
         shared("host", "layout").select("host", F.array("within", F.bitwise_not("token")).alias("t"))).unionByName(
         layouts.select("host", F.array(F.bitwise_not("layout")).alias("t")))
+    parts = seen.filter("kind = 'part'").groupBy("host", "token").agg(
+        F.sum("pages").alias("pages"), F.sum(F.col("n") * F.col("pages")).alias("parts"),
+        *[F.sum(c).alias(c) for c in ("chars", "links", "blocks")])
+    main = parts.groupBy("host").agg(F.max_by(F.struct("token", "pages", "parts", "chars"),
+                                              F.struct(F.col("chars") - F.col("links"), "token")).alias("main"))
+    short = (F.col("pages") >= min_share * F.col("main.pages")) & (F.col("blocks") <= SHORT_BLOCKS * F.col("parts")) & (
+        F.col("chars") / F.col("parts") < SHORT_SHARE * F.col("main.chars") / F.col("main.parts"))
+    frames = parts.filter(F.col("pages") >= min_pages).join(main, "host").filter(
+        (F.col("token") != F.col("main.token")) & ((2 * F.col("links") > F.col("chars")) | short))
+    found = found.unionByName(frames.select("host", F.array("token", F.bitwise_not("main.token")).alias("t")))
     template = scratch.table(found.select("host", F.explode("t").alias("token")), "classes").groupBy("host").agg(
         F.collect_set("token").alias("template_text"))
     body = seen.filter("kind = 'container'").groupBy("host", "token").agg(F.sum("chars").alias("chars")).groupBy("host").agg(
@@ -294,6 +344,12 @@ def extract(html: str, template: set[int], body: int | None) -> str:
             k in template or _in_layout(k, page.layout) in template or rare and ~k in template)]
     if page.article:
         return "\n".join(b[0] for b in blocks if b[3])
+    if template:
+        classes, frames = page.classes(), []
+        for k, (_, around, *_) in zip(classes, page.parts):  # containers come after the one around them
+            main = ~k in template or bool(frames) and frames[around] is None
+            frames.append(None if main else k in template)
+        blocks = [b for b in blocks if not frames[b[4]]] or blocks
     inside = [b[0] for b in blocks if any(_signed(c) == body for c in b[2])]
     return "\n".join(inside or [b[0] for b in blocks])
 

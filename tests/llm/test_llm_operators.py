@@ -605,6 +605,19 @@ def test_phrases_are_longest_matches():
         assert n == want
 
 
+def test_tables_follow_the_transitions_and_not_the_letters():
+    """States times letters would be 10^8 entries here; transitions of a few states with very many letters find places too."""
+    rng = random.Random(3)
+    train = [rng.randint(1, 5000) for _ in range(20_000)] + list(range(1, 5001)) * 2
+    table = language.suffix_automaton(train, 5001)
+    assert len(table.cells) < 10 * len(train)
+    whole = np.array([train[i:i + 50] for i in range(0, 20_000, 50)], np.int32)
+    assert language.phrases(table, whole).tolist() == [1] * len(whole)
+    states, letters = np.zeros(5001, np.int64), np.arange(5001)
+    assert (table.step(states, letters) > 0).tolist() == [False] + [True] * 5000
+    assert language.suffix_automaton([], 1).step(np.zeros(1, np.int64), np.zeros(1, np.int64)).tolist() == [0]
+
+
 # --- main text
 
 def page(article, menu="", extra="", i=0):
@@ -661,6 +674,40 @@ def test_templates_of_a_host_with_empty_pages_and_two_layouts(on_workers):
     assert got == want
 
 
+def test_slots_are_judged_by_their_class_where_names_tell_nothing(on_workers):
+    """The given pages with neutral element names and without class and id: menus, adverts and footers go, articles stay."""
+    pages = on_workers.read.parquet("/root/testdata/sf0.1/pages.parquet")
+
+    def neutral(html):
+        html = re.sub(r"<(/?)(?:nav|aside|header|footer|article|main|section)\b", r"<\1div", html)
+        return re.sub(r"\s(?:class|id)=(?:\"[^\"]*\"|'[^']*')", "", html)
+
+    rows = [(r.page_id, r.url, neutral(r.html)) for r in pages.collect()]
+    want = {r.page_id: collections.Counter(r.text.split("\n")) for r in main_text.main_text(pages).collect()}
+    got = {r.page_id: collections.Counter(r.text.split("\n")) for r in main_text.main_text(
+        on_workers.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert not [k for k in want if want[k] - got[k]]
+    assert sum(not got[k] - want[k] for k in want) >= 0.9 * len(want)
+
+
+def test_classes_of_slots_spare_the_main_part_and_pages_of_their_own(on_workers):
+    rng, rows, want = random.Random(5), [], {}
+    add = lambda host, html, text: (want.__setitem__(len(rows), text), rows.append((len(rows), f"https://{host}/", html)))
+    menu = lambda: "<div><ul>" + "".join(f"<li><a href=/x>{prose(rng, 1)}</a>" for _ in range(5)) + "</ul></div>"
+    for i in range(10):  # a menu, a short line of its own on each page, and an article with a line in a part of its own
+        body, line = [prose(rng, 60) for _ in range(4)], prose(rng, 4)
+        add("a", f"<body>{menu()}<div>{prose(rng, 5)}</div><div>" + "".join(f"<p>{b}</p>" for b in body) + f"<div>{line}</div></div>",
+            "\n".join([*body, line]))
+    for i in range(3):  # a page that is nothing but links keeps them
+        links = [prose(rng, 2) for _ in range(4)]
+        add("a", "<body><div><ul>" + "".join(f"<li><a href=/y>{x}</a>" for x in links) + "</ul></div>", "\n".join(links))
+    for i in range(4):  # four pages are too few to tell
+        short, body = prose(rng, 5), prose(rng, 60)
+        add("b", f"<body><div>{short}</div><div><p>{body}</p></div>", f"{short}\n{body}")
+    df = on_workers.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in main_text.main_text(df).collect()} == want
+
+
 @pytest.mark.parametrize("html", ["<" * 5000, "<a title=it's href=/x>t</a><p>it's</p>", "<p " + "a='" * 3000, "<!-- open", "<script>x",
                                   "<p>&#0;&bogus;&#x110000;</p>", "</p></div>", "<div>" * 3000 + "deep"])
 def test_odd_markup_does_not_break(html):
