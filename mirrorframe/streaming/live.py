@@ -11,6 +11,7 @@ uses a processing-time trigger instead.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,104 +100,103 @@ def job_table(table: DataFrame, now=None, ttl_seconds: int = JOB_TTL_SECONDS) ->
     return jobs if now is None else live_jobs(jobs, now, ttl_seconds)
 
 
-class _JobRecord:
-    """T2 on the stream: keyed state of one job, and a timer that ends it.
-
-    Made in a function, so that a worker needs the class only where the stream runs."""
-
-    @staticmethod
-    def processor(fields: list[str], types: dict[str, str], ttl_seconds: int):
-        from pyspark.sql import Row
-        from pyspark.sql.streaming import StatefulProcessor
-
-        class Jobs(StatefulProcessor):
-            def init(self, handle):
-                self.handle = handle
-                self.record = handle.getValueState("record", "created boolean, ends long, " + ", ".join(
-                    f"{f} {types[f]}, {f}_ts long, {f}_seq long" for f in fields))
-
-            def handleInputRows(self, key, rows, timerValues):
-                held = self.record.get() if self.record.exists() else (False, None, *[None] * (3 * len(fields)))
-                created, ends, values = held[0], held[1], list(held[2:])
-                first = None
-                for r in rows:
-                    created = created or r["kind"] == "create"
-                    stamp = int(r["ts_us"])
-                    first = stamp if first is None else min(first, stamp)
-                    for i, f in enumerate(fields):
-                        if r[f] is not None and (values[3 * i + 1] is None or (
-                                values[3 * i + 1], values[3 * i + 2]) <= (stamp, r["seq"])):
-                            values[3 * i:3 * i + 3] = [r[f], stamp, r["seq"]]
-                # a job lives from its creation on, patches to a job that nobody creates from the first one on
-                born = values[3 * fields.index("created_at")] if "created_at" in fields else None
-                begun = int(born.timestamp() * 1000) if born is not None else first // 1000
-                now_ends = begun + ttl_seconds * 1000
-                if ends != now_ends:
-                    if ends is not None:
-                        self.handle.deleteTimer(ends)
-                    self.handle.registerTimer(now_ends)
-                self.record.update((created, now_ends, *values))
-                if created:
-                    yield Row(job_id=key[0], expired=False, **{f: values[3 * i] for i, f in enumerate(fields)})
-
-            def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-                created = self.record.exists() and self.record.get()[0]
-                self.record.clear()
-                if created:
-                    yield Row(job_id=key[0], expired=True, **dict.fromkeys(fields))
-
-            def close(self):
-                pass
-
-        return Jobs()
-
-
-def expiring_jobs(patches: DataFrame, delay: str, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
+class ExpiringJobs(NamedTuple):
+    """T2 on a stream: its patches, how far the watermark of ``ts`` is behind the newest one, and the time to live."""
+    patches: DataFrame
+    delay: str
+    ttl_seconds: int
+
+
+def expiring_jobs(patches: DataFrame, delay: str, ttl_seconds: int = JOB_TTL_SECONDS) -> ExpiringJobs:
     """``job_status_stream`` with state that ends.  Per job the fields'
     latest non-NULL patches are keyed state; an event-time timer at the job's
     creation plus the time to live clears it and emits the job once more with
     ``expired``.  Time is the watermark of ``ts`` (``delay`` behind the newest
-    patch); patches behind it are dropped by the engine, later ones of an
-    ended job begin a record that nobody created, which ends the same way.
-    The stream needs the RocksDB state store (``live_job_table`` sets it)."""
-    fields = [f for f in JOB_FIELDS if f in patches.columns]
-    types = {f: patches.schema[f].dataType.simpleString() for f in fields}
-    rows = patches.withWatermark("ts", delay).withColumn("ts_us", F.unix_micros("ts"))
-    out = "job_id string, expired boolean, " + ", ".join(f"{f} {types[f]}" for f in fields)
-    return rows.groupBy("job_id").transformWithState(
-        _JobRecord.processor(fields, types, ttl_seconds), out, "Update", "EventTime")
-
-
-def live_job_table(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """The jobs of an ``expiring_jobs`` stream that have not ended, as a table
-    that each epoch writes whole: touched jobs anew, ended ones not any more.
-    Reading it takes no filter and no clock."""
-    spark = stream.sparkSession
+    patch); later patches of an ended job begin a record that nobody created,
+    which ends the same way.  ``live_job_table`` keeps state and timers."""
+    return ExpiringJobs(patches, delay, ttl_seconds)
+
+
+_MARKS = StructType().add("before", "long").add("mark", "long")
+
+
+def live_job_table(jobs: ExpiringJobs, name: str, path: str | None = None) -> DataFrame:
+    """The jobs of an ``expiring_jobs`` stream that have not ended.  Reading
+    it takes no clock.  The stream's own table lists per epoch the jobs that
+    were touched and, as ``expired``, those that ended.
+
+    State is a table that each epoch writes whole: of each field the latest
+    value with its (ts, seq, epoch), and when the job's timer fires.  An epoch
+    joins its patches to it by one aggregate per job, which begins before the
+    shuffle; a timer is a column, so that all of an epoch fire in one scan.
+    As in the engine, an epoch's timers fire after its patches, by the
+    watermark of the epochs before it; patches are late by the watermark that
+    the epoch before was run with; and when no more patches come, the timers
+    up to the last watermark fire as well (``settled``)."""
+    spark, fields = jobs.patches.sparkSession, [f for f in JOB_FIELDS if f in jobs.patches.columns]
     path = path or scratch_path(spark, f"stream-{name}")
-    schema = StructType([f for f in stream.schema.fields if f.name != "expired"])
-    at = lambda e: f"{path}/jobs/epoch={e}"
+    at = lambda kind, e: f"{path}/{kind}/epoch={e}"
+    place = StructType().add("ts", "long").add("seq", "long").add("epoch", "long")
+    schema = StructType().add("job_id", jobs.patches.schema["job_id"].dataType).add("created", "boolean").add("ends", "long")
+    for f in fields:
+        schema.add(f, jobs.patches.schema[f].dataType).add(f"{f}_at", place)
+    written = StructType(schema.fields).add("touched", "boolean").add("ended", "boolean")
+
+    def marks(e):
+        return spark.read.schema(_MARKS).parquet(at("marks", e)).first()
+
+    def held(e):
+        return spark.read.schema(written).parquet(at("jobs", e)).where("NOT ended")
 
     def each(batch: DataFrame, epoch: int, root: str) -> DataFrame:
-        # of a job that was patched and ended in one epoch the end counts
-        now = batch.groupBy("job_id").agg(F.max_by(F.struct(*batch.columns[1:]), F.col("expired").cast("int")).alias("r"))
-        now = now.select("job_id", "r.*")
-        rows = now.where("NOT expired").drop("expired")
+        before, mark = marks(epoch - 1) if epoch else (0, 0)
+        rows = batch.withColumn("_us", F.unix_micros("ts"))
+        late = before
+        if epoch and epoch - 1 in _epochs(spark, f"{path}/settled"):
+            late = mark
+        of = lambda f: F.when(F.col(f).isNotNull(), F.struct(
+            F.col("_us").alias("ts"), F.col("seq").cast("long").alias("seq"), F.lit(epoch).cast("long").alias("epoch")))
+        rows = rows.where(~F.coalesce(F.col("_us") <= late * 1000, F.lit(False))).select(
+            "job_id", (F.col("kind") == "create").alias("created"), F.lit(None).cast("long").alias("ends"),
+            *[c for f in fields for c in (F.col(f), of(f).alias(f"{f}_at"))], F.col("_us").alias("_first"), F.lit(True).alias("touched"))
         if epoch:
-            rows = rows.unionByName(spark.read.schema(schema).parquet(at(epoch - 1)).join(now, "job_id", "left_anti"))
-        rows.write.mode("overwrite").parquet(at(epoch))
+            old = held(epoch - 1)
+            if late == mark:  # their timers have fired, where the stream had no more to give
+                old = old.where(F.coalesce(F.col("ends") >= mark, F.lit(True)))
+            rows = rows.unionByName(old.select(*schema.names, F.lit(None).cast("long").alias("_first"), F.lit(False).alias("touched")))
+        now = rows.groupBy("job_id").agg(
+            F.coalesce(F.max("created"), F.lit(False)).alias("created"), F.max("ends").alias("_ends"),
+            F.min("_first").alias("_first"), F.max("touched").alias("touched"),
+            *[c for f in fields for c in (F.max_by(f, f"{f}_at").alias(f), F.max(f"{f}_at").alias(f"{f}_at"))])
+        # a job lives from its creation on, patches to a job that nobody creates from the first one of the epoch on
+        first = F.floor(F.col("_first") / 1000)
+        begun = F.coalesce(F.unix_millis(F.col("created_at").cast("timestamp")), first) if "created_at" in fields else first
+        now = now.withColumn("ends", F.when(F.col("touched"), begun + jobs.ttl_seconds * 1000).otherwise(F.col("_ends")).cast("long"))
+        now = now.withColumn("ended", F.coalesce(F.col("ends") < mark, F.lit(False)))
+        now.select(*written.names).write.mode("overwrite").parquet(at("jobs", epoch))
+        newest = batch.agg(F.unix_millis((F.max("ts") - F.expr(f"INTERVAL {jobs.delay}")).cast("timestamp"))).first()[0]
+        spark.createDataFrame([(mark, max(mark, mark if newest is None else newest))], _MARKS).coalesce(1).write.mode(
+            "overwrite").parquet(at("marks", epoch))
         if epoch > 1:  # the one before the last is needed by no replay
-            remove(spark, at(epoch - 2))
-        return now.select("job_id", "expired")
-
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        run_available(stream, name, "update", path, each, StructType().add("job_id", "string").add("expired", "boolean"))
-    finally:
-        spark.conf.set(store, before)
+            for kind in ("jobs", "marks", "settled"):
+                remove(spark, at(kind, epoch - 2))
+        # of a job that was patched and ended in one epoch the end counts
+        return spark.read.schema(written).parquet(at("jobs", epoch)).where("created AND (touched OR ended)").select(
+            "job_id", F.col("ended").alias("expired"))
+
+    out = StructType().add("job_id", schema["job_id"].dataType).add("expired", "boolean")
+    run_available(jobs.patches, name, "append", path, each, out)
     epochs = _epochs(spark, f"{path}/jobs")
-    return spark.read.schema(schema).parquet(at(max(epochs))) if epochs else spark.createDataFrame([], schema)
+    if not epochs:
+        return spark.createDataFrame([], StructType([f for f in schema.fields if f.name == "job_id" or f.name in fields]))
+    last = max(epochs)
+    mark = marks(last)["mark"]
+    created = held(last).where("created")
+    if last not in _epochs(spark, f"{path}/settled"):
+        created.where(F.col("ends") < mark).select("job_id", F.lit(True).alias("expired")).write.mode("append").parquet(
+            f"{path}/table/epoch={last}")
+        spark.createDataFrame([(mark, mark)], _MARKS).coalesce(1).write.mode("overwrite").parquet(at("settled", last))
+    return created.where(F.coalesce(F.col("ends") >= mark, F.lit(True))).select("job_id", *fields)
 
 
 def _epochs(spark: SparkSession, path: str) -> list[int]:

@@ -257,6 +257,29 @@ def test_jobs_end_by_their_timer(spark, tmp_path):
     assert set(seen[3]) == {"c", "d"}   # a patch does not bring a job back
 
 
+def test_many_jobs_end_without_a_call_for_each(spark, tmp_path, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("state is called job by job")
+
+    for way in ("transformWithState", "transformWithStateInPandas", "applyInPandasWithState"):
+        monkeypatch.setattr(GroupedData, way, refuse)
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    at = lambda minutes: T1 + dt.timedelta(minutes=minutes)
+    schema = "job_id string, ts timestamp, seq long, kind string, status string, pages_cloned int, created_at timestamp"
+    for k in range(3):  # a thousand jobs every forty minutes; each batch patches the ones of the batch before, too
+        rows = [(f"{k}-{i}", at(40 * k), -1, "create", "running", 0, at(40 * k)) for i in range(1000)]
+        rows += [(f"{k - 1}-{i}", at(40 * k), i, "update", None, i, None) for i in range(1000) if k]
+        _append(spark.createDataFrame(rows, schema), path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = {r.job_id: (r.status, r.pages_cloned) for r in live_job_table(expiring_jobs(stream, "5 minutes", 3600), "jobs", out).collect()}
+    # 80 - 5 minutes are over the hour of the first thousand
+    assert got == {f"1-{i}": ("running", i) for i in range(1000)} | {f"2-{i}": ("running", 0) for i in range(1000)}
+    ended = [r.job_id for r in spark.read.parquet(f"{out}/table").where("expired").collect()]
+    assert sorted(ended) == sorted(f"0-{i}" for i in range(1000))
+
+
 def test_arrivals_out_of_order_give_the_batch_schedule(spark, tmp_path):
     from mirrorframe.operators.policy import token_bucket
     rng = random.Random(6)
