@@ -197,6 +197,33 @@ def retry_plan(responses: DataFrame, kind: str = "page", max_retries: int = MAX_
 # W2 + P6 byte budget
 # ---------------------------------------------------------------------------
 
+#: Rows of a key that are judged first; the engine cuts groups before the shuffle up to 1,000 rows of each.
+HEADS = (60, 960)
+
+
+def _head(rows: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows of each key (all, if None), with those that share the place of the last one."""
+    if n is None:
+        return rows
+    at = F.rank().over(Window.partitionBy("_k").orderBy("_o"))
+    return rows.withColumn("_at", at).where(F.col("_at") <= n).drop("_at")
+
+
+def _after(rows: DataFrame, head: DataFrame, admitted: list[DataFrame]) -> DataFrame:
+    """The rows behind each key's ``head`` that the rest of its budget can
+    hold, with that rest: what is larger than it never fits."""
+    spent = reduce(DataFrame.unionByName, admitted).groupBy("_k").agg(F.sum("_s").alias("_spent"))
+    cut = head.groupBy("_k").agg(F.max("_o").alias("_cut"), F.max("_r").alias("_r"))
+    rest = null_safe(cut, spent, ["_k"], "left").select("_k", "_cut", (F.col("_r") - F.coalesce("_spent", F.lit(0.0))).alias("_r"))
+    return null_safe(rows.drop("_r"), rest, ["_k"]).where((F.col("_o") > F.col("_cut")) & (F.col("_s") <= F.col("_r"))).drop("_cut")
+
+
+def _power(r: Column) -> Column:
+    """The largest power of two up to ``r`` (0 for none)."""
+    power = F.pow(F.lit(2.0), F.floor(F.log2(r)))
+    return F.when(r > 0, F.when(power > r, power / 2).otherwise(power)).otherwise(F.lit(0.0))
+
+
 def byte_budget(items: DataFrame, key: str, order: list[str], size_col: str = "size",
                 max_asset: float = MAX_ASSET_SIZE, max_total: float = MAX_TOTAL_BYTES) -> DataFrame:
     """Greedy admission in ``order`` (unique within a key) per ``key``: an item
@@ -261,54 +288,75 @@ def offered_budget(meetings: DataFrame, key: str, item: str, order: list[str], p
     admitted, and no larger one is; so it is known which meetings before the
     end take place, without judging the parents one by one.  Phases follow
     the binary digits of the budget, not the number of items or of parents
-    that are turned away."""
+    that are turned away.  They run over the first meetings of each key, then
+    over what the rest of the budget can hold, as there."""
     with Scratch(meetings.sparkSession, "offers") as scratch:
         size = F.col(size_col).cast("double")
         ok = size.isNotNull() & (size <= F.lit(float(max_asset))) & (size <= F.lit(float(max_total)))
-        rows = scratch.table(meetings.where(ok).select(
+        todo = scratch.table(meetings.where(ok).select(
             F.col(key).alias("_k"), F.col(item).alias("_i"), F.struct(*order).alias("_o"), size.alias("_s"),
-            F.col(parent).alias("_p")))
-        sizes = rows.groupBy("_k", "_i").agg(F.max("_s").alias("_ps")).withColumnRenamed("_i", "_p")
-        of = null_safe(rows.where("_p IS NOT NULL"), sizes, ["_k", "_p"])
-        rows = rows.where("_p IS NULL").withColumn("_ps", F.lit(None).cast("double")).unionByName(of)
-        open_ = ranged(rows, ["_k"], ["_o"], scratch).withColumns(
-            {"_r": F.lit(float(max_total)), "_offered": F.col("_p").isNull()})
-        keep = ["_k", "_i", "_o", "_s", "_p", "_ps", "_pid", "_offered"]
+            F.col(parent).alias("_p"))).withColumns({"_r": F.lit(float(max_total)), "_offered": F.col("_p").isNull()})
         admitted = []
-        while True:
-            power = F.pow(F.lit(2.0), F.floor(F.log2("_r")))
-            t = F.when(F.col("_r") > 0, F.when(power > F.col("_r"), power / 2).otherwise(power)).otherwise(F.lit(0.0))
-            x = open_.withColumn("_t", t).withColumn("_live", F.col("_offered") | (F.col("_ps") <= F.col("_t")))
-            firsts = x.where("_live").groupBy("_k", "_i").agg(F.min("_o").alias("_f"))
-            x = null_safe(x, firsts, ["_k", "_i"], "left").withColumn(
-                "_met", F.col("_live") & F.coalesce(F.col("_o") == F.col("_f"), F.lit(False)))
-            x = scratch.table(x.drop("_f", "_live"))
-            small = F.col("_s") <= F.col("_t")
-            c = prefix_over(x, ["_k"], ["_o"], F.when(F.col("_met") & small, F.col("_s")).otherwise(0.0), "_cum", before="_before")
-            left = F.col("_r") - F.when(small, F.col("_cum")).otherwise(F.col("_before") + F.col("_s"))
-            event = F.col("_met") & F.when(small, left < F.col("_t")).otherwise(left >= 0)
-            c = c.select(*keep, "_met", small.alias("_small"), event.alias("_event"), left.alias("_left"))
-            first = c.where("_event").groupBy("_k").agg(F.min(F.struct("_o", "_left")).alias("_e"))
-            j = null_safe(c, first, ["_k"], "left")
-            decided = F.col("_met") & (F.col("_e").isNull() | (F.col("_o") <= F.col("_e._o")))
-            j = scratch.table(j.select(*keep, decided.alias("_decided"), F.col("_e._left").alias("_r"), F.coalesce(
-                decided & (F.col("_small") | (F.col("_o") == F.col("_e._o"))), F.lit(False)).alias("_in")))
-            admitted.append(j.where("_in").select("_k", "_i", "_o"))
-            # closed items: judged ones, and those that are larger than the rest of the budget
-            rest = j.where(~F.col("_decided") & F.col("_r").isNotNull())
-            closed = scratch.table(j.where("_decided").select("_k", "_i", "_in").unionByName(
-                rest.where(F.col("_s") > F.col("_r")).select("_k", "_i", F.lit(False).alias("_in"))).groupBy("_k", "_i").agg(
-                F.max("_in").alias("_in")))
-            rest = null_safe(rest.drop("_in", "_decided"), closed.select("_k", "_i"), ["_k", "_i"], "left_anti")
-            rest = null_safe(rest, closed.withColumnRenamed("_i", "_p"), ["_k", "_p"], "left")
-            open_ = scratch.table(rest.where(F.coalesce("_in", F.lit(True))).select(
-                *[c for c in keep if c != "_offered"], "_r", (F.col("_offered") | F.coalesce("_in", F.lit(False))).alias("_offered")))
-            if open_.isEmpty():
+        for n in (*HEADS, None):
+            head = _head(todo, n) if n is None else scratch.table(_head(todo, n))
+            waits = head.where("NOT _offered")
+            sizes = todo if n is None else null_safe(
+                todo, waits.select("_k", F.col("_p").alias("_i")).distinct(), ["_k", "_i"], "left_semi")
+            sizes = sizes.groupBy("_k", "_i").agg(F.max("_s").alias("_ps")).withColumnRenamed("_i", "_p")
+            rows = head.where("_offered").withColumn("_ps", F.lit(None).cast("double")).unionByName(
+                null_safe(waits, sizes, ["_k", "_p"]))
+            fits, closed = _offer_phases(ranged(rows, ["_k"], ["_o"], scratch), scratch)
+            admitted += fits
+            if n is None:
+                break
+            todo = scratch.table(_still_offered(_after(todo, head, fits), closed))
+            if todo.isEmpty():
                 break
-        chosen = scratch.keep(reduce(DataFrame.unionByName, admitted))
+        chosen = scratch.keep(reduce(DataFrame.unionByName, admitted).drop("_s"))
     return chosen.select(F.col("_k").alias(key), F.col("_i").alias(item), *[F.col(f"_o.{c}").alias(c) for c in order if c not in (key, item)])
 
 
+def _still_offered(rows: DataFrame, closed: DataFrame) -> DataFrame:
+    """The meetings of items that are not ``closed(_k, _i, _in)``, without those whose parent was turned away."""
+    rows = null_safe(rows, closed.select("_k", "_i"), ["_k", "_i"], "left_anti")
+    rows = null_safe(rows, closed.withColumnRenamed("_i", "_p"), ["_k", "_p"], "left")
+    return rows.where(F.coalesce("_in", F.lit(True))).withColumn(
+        "_offered", F.col("_offered") | F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def _offer_phases(open_: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """The admitted ``(_k, _i, _o, _s)`` of ``ranged`` meetings with ``_r`` left,
+    a table a phase, and all items that were judged, ``(_k, _i, _in)``."""
+    keep = ["_k", "_i", "_o", "_s", "_p", "_ps", "_pid", "_offered"]
+    admitted, judged = [], []
+    while True:
+        x = open_.withColumn("_t", _power(F.col("_r"))).withColumn("_live", F.col("_offered") | (F.col("_ps") <= F.col("_t")))
+        firsts = x.where("_live").groupBy("_k", "_i").agg(F.min("_o").alias("_f"))
+        x = null_safe(x, firsts, ["_k", "_i"], "left").withColumn(
+            "_met", F.col("_live") & F.coalesce(F.col("_o") == F.col("_f"), F.lit(False)))
+        x = scratch.table(x.drop("_f", "_live"))
+        small = F.col("_s") <= F.col("_t")
+        c = prefix_over(x, ["_k"], ["_o"], F.when(F.col("_met") & small, F.col("_s")).otherwise(0.0), "_cum", before="_before")
+        left = F.col("_r") - F.when(small, F.col("_cum")).otherwise(F.col("_before") + F.col("_s"))
+        event = F.col("_met") & F.when(small, left < F.col("_t")).otherwise(left >= 0)
+        c = c.select(*keep, "_met", small.alias("_small"), event.alias("_event"), left.alias("_left"))
+        first = c.where("_event").groupBy("_k").agg(F.min(F.struct("_o", "_left")).alias("_e"))
+        j = null_safe(c, first, ["_k"], "left")
+        decided = F.col("_met") & (F.col("_e").isNull() | (F.col("_o") <= F.col("_e._o")))
+        j = scratch.table(j.select(*keep, decided.alias("_decided"), F.col("_e._left").alias("_r"), F.coalesce(
+            decided & (F.col("_small") | (F.col("_o") == F.col("_e._o"))), F.lit(False)).alias("_in")))
+        admitted.append(j.where("_in").select("_k", "_i", "_o", "_s"))
+        # closed items: judged ones, and those that are larger than the rest of the budget
+        rest = j.where(~F.col("_decided") & F.col("_r").isNotNull())
+        closed = scratch.table(j.where("_decided").select("_k", "_i", "_in").unionByName(
+            rest.where(F.col("_s") > F.col("_r")).select("_k", "_i", F.lit(False).alias("_in"))).groupBy("_k", "_i").agg(
+            F.max("_in").alias("_in")))
+        judged.append(closed)
+        open_ = scratch.table(_still_offered(rest.drop("_in", "_decided"), closed))
+        if open_.isEmpty():
+            return admitted, reduce(DataFrame.unionByName, judged).groupBy("_k", "_i").agg(F.max("_in").alias("_in"))
+
+
 # ---------------------------------------------------------------------------
 # U9 / J4 / P4 private addresses
 # ---------------------------------------------------------------------------

@@ -329,10 +329,12 @@ def sheet_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheets = li.select("l_orderkey").distinct().select(
         key.alias("crawl_id"), F.col("l_orderkey").alias("o"), F.lit(0).alias("n"), sheet.alias("item"),
         F.lit(None).cast("string").alias("parent"), (F.col("l_orderkey") * 7 % 60 + 1).cast("double").alias("size"))
-    met = sheets.unionByName(files).dropDuplicates(["crawl_id", "o", "n", "item"])
+    every = sheets.unionByName(files)
+    met = every.dropDuplicates(["crawl_id", "o", "n", "item"])
     got = offered_budget(met, "crawl_id", "item", ["o", "n", "item"], "parent", "size", SHEET_ASSET, SHEET_TOTAL)
-    sizes = met.groupBy("crawl_id", "item").agg(F.min("size").alias("size"))
-    return got.select("crawl_id", "item").join(sizes, ["crawl_id", "item"])
+    got = got.select("crawl_id", "item")
+    sizes = every.join(got.distinct(), ["crawl_id", "item"], "left_semi").groupBy("crawl_id", "item").agg(F.min("size").alias("size"))
+    return got.join(sizes, ["crawl_id", "item"])
 
 
 # ---------------------------------------------------------------------------

@@ -171,6 +171,39 @@ def test_files_follow_the_admission_of_their_sheet(spark, seed):
         assert {(r.k, r.item) for r in got.collect()} == _brute(rows, total, largest)
 
 
+def test_offers_deal_out_few_rows_of_used_up_keys(spark, monkeypatch):
+    """Keys longer than both heads; budgets that end in the first, in the second and behind it."""
+    from mirrorframe.session import Scratch
+    rng = random.Random(5)
+    rows, sizes = [], {}
+    for key in ("a", None):
+        o = 0
+        for sheet in range(400):
+            s = f"s{sheet}"
+            rows.append((key, o := o + 1, s, None, sizes.setdefault((key, s), rng.choice([1.0, 3.0, 20.0, 90.0]))))
+            for _ in range(rng.randint(2, 6)):
+                f = f"f{rng.randint(0, 900)}"
+                rows.append((key, o := o + 1, f, s if rng.random() < 0.9 else None, sizes.setdefault((key, f), rng.choice([1.0, 2.0, 7.0, 40.0]))))
+    df = spark.createDataFrame(rows, "k string, o int, item string, parent string, size double")
+    written, table, keep = [], Scratch.table, Scratch.keep
+
+    def counted(write):
+        def run(self, rows):
+            out = write(self, rows)
+            written.append(out.count())
+            return out
+        return run
+
+    monkeypatch.setattr(Scratch, "table", counted(table))
+    monkeypatch.setattr(Scratch, "keep", counted(keep))
+    for total in (100.0, 3000.0, 12_000.0):
+        written.clear()
+        got = offered_budget(df, "k", "item", ["o"], "parent", "size", 50.0, total)
+        assert {(r.k, r.item) for r in got.collect()} == _brute(rows, total, 50.0)
+        if total == 100.0:
+            assert sum(written) < 2 * len(rows)  # a table of all rows, and little more
+
+
 def test_two_hundred_sheets_turned_away_take_no_more_rounds(spark, monkeypatch):
     from mirrorframe.session import Scratch
     rows = []
