@@ -238,38 +238,54 @@ def byte_budget(items: DataFrame, key: str, order: list[str], size_col: str = "s
     event of a key ends its phase: all before it is decided, and less than T
     is left.  So the phases follow the number of binary digits of
     ``max_total`` over the smallest size, never the number of items.  Only
-    (key, order, size) rows take part, in ranges that are dealt out once."""
+    (key, order, size) rows take part, in ranges that are dealt out once.
+
+    Phases run over the first rows of each key (``HEADS``), then over what the
+    rest of the budget can hold of the next ones, then over all such rows: a
+    key whose budget is soon used up has few left to deal out."""
     with Scratch(items.sparkSession, "budget") as scratch:
         size = F.col(size_col).cast("double")
         ok = size.isNotNull() & (size <= F.lit(float(max_asset))) & (size <= F.lit(float(max_total)))
         narrow = items.where(ok).select(F.col(key).alias("_k"), F.struct(*order).alias("_o"), size.alias("_s"))
-        open_ = ranged(narrow, ["_k"], ["_o"], scratch).withColumn("_r", F.lit(float(max_total)))
+        todo = scratch.table(narrow).withColumn("_r", F.lit(float(max_total)))
         admitted = []
-        while True:
-            power = F.pow(F.lit(2.0), F.floor(F.log2("_r")))
-            t = F.when(F.col("_r") > 0, F.when(power > F.col("_r"), power / 2).otherwise(power)).otherwise(F.lit(0.0))
-            small = F.col("_s") <= F.col("_t")
-            c = prefix_over(open_.withColumn("_t", t), ["_k"], ["_o"], F.when(small, F.col("_s")).otherwise(0.0),
-                            "_cum", before="_before")
-            left = F.col("_r") - F.when(small, F.col("_cum")).otherwise(F.col("_before") + F.col("_s"))
-            event = F.when(small, left < F.col("_t")).otherwise(left >= 0)
-            c = c.select("_k", "_o", "_s", "_pid", small.alias("_small"), event.alias("_event"), left.alias("_left"))
-            first = c.where("_event").groupBy("_k").agg(F.min(F.struct("_o", "_left")).alias("_e"))
-            j = null_safe(c, first, ["_k"], "left")
-            decided = F.col("_e").isNull() | (F.col("_o") <= F.col("_e._o"))
-            j = scratch.table(j.select("_k", "_o", "_s", "_pid", decided.alias("_decided"),
-                                       (decided & (F.col("_small") | (F.col("_o") == F.col("_e._o")))).alias("_in"),
-                                       F.col("_e._left").alias("_r")))
-            admitted.append(j.where("_in").select("_k", "_o"))
-            # what is larger than the rest of the budget never fits
-            open_ = j.where(~F.col("_decided") & (F.col("_s") <= F.col("_r"))).select("_k", "_o", "_s", "_pid", "_r")
-            if open_.isEmpty():
+        for n in (*HEADS, None):
+            head = ranged(_head(todo, n), ["_k"], ["_o"], scratch)
+            fits = _byte_phases(head, scratch)
+            admitted += fits
+            if n is None:
                 break
-        chosen = scratch.keep(reduce(DataFrame.unionByName, admitted).withColumn("admitted", F.lit(True)))
+            todo = scratch.table(_after(todo, head, fits))
+            if todo.isEmpty():
+                break
+        chosen = scratch.keep(reduce(DataFrame.unionByName, admitted).drop("_s").withColumn("admitted", F.lit(True)))
     j = items.join(chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.struct(*order).eqNullSafe(F.col("_o"))), "left")
     return j.select(*[items[c] for c in items.columns], F.coalesce("admitted", F.lit(False)).alias("admitted"))
 
 
+def _byte_phases(open_: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """The admitted ``(_k, _o, _s)`` of ``ranged`` rows with ``_r`` left, a table a phase."""
+    admitted = []
+    while True:
+        small = F.col("_s") <= F.col("_t")
+        c = prefix_over(open_.withColumn("_t", _power(F.col("_r"))), ["_k"], ["_o"], F.when(small, F.col("_s")).otherwise(0.0),
+                        "_cum", before="_before")
+        left = F.col("_r") - F.when(small, F.col("_cum")).otherwise(F.col("_before") + F.col("_s"))
+        event = F.when(small, left < F.col("_t")).otherwise(left >= 0)
+        c = c.select("_k", "_o", "_s", "_pid", small.alias("_small"), event.alias("_event"), left.alias("_left"))
+        first = c.where("_event").groupBy("_k").agg(F.min(F.struct("_o", "_left")).alias("_e"))
+        j = null_safe(c, first, ["_k"], "left")
+        decided = F.col("_e").isNull() | (F.col("_o") <= F.col("_e._o"))
+        j = scratch.table(j.select("_k", "_o", "_s", "_pid", decided.alias("_decided"),
+                                   (decided & (F.col("_small") | (F.col("_o") == F.col("_e._o")))).alias("_in"),
+                                   F.col("_e._left").alias("_r")))
+        admitted.append(j.where("_in").select("_k", "_o", "_s"))
+        # what is larger than the rest of the budget never fits
+        open_ = j.where(~F.col("_decided") & (F.col("_s") <= F.col("_r"))).select("_k", "_o", "_s", "_pid", "_r")
+        if open_.isEmpty():
+            return admitted
+
+
 def offered_budget(meetings: DataFrame, key: str, item: str, order: list[str], parent: str, size_col: str = "size",
                    max_asset: float = MAX_ASSET_SIZE, max_total: float = MAX_TOTAL_BYTES) -> DataFrame:
     """Greedy admission, as ``byte_budget``, of items that are offered only

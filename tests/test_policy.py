@@ -41,6 +41,32 @@ def test_byte_budget_matches_greedy(spark):
     assert got == want
 
 
+def test_byte_budget_deals_out_few_rows_of_used_up_keys(spark, monkeypatch):
+    """Keys longer than both heads; budgets that end in the first, in the second and behind it."""
+    from mirrorframe.session import Scratch
+    rnd = random.Random(9)
+    size = {key: [float(rnd.choice([0, 1, 2, 3, 20, 55]) if key is None else rnd.randint(1, 50)) for _ in range(1500)] for key in (1, 2, None)}
+    rows = [(key, i, s) for key, sizes in size.items() for i, s in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "k long, i long, size double")
+    written, table, keep = [], Scratch.table, Scratch.keep
+
+    def counted(write):
+        def run(self, rows):
+            out = write(self, rows)
+            written.append(out.count())
+            return out
+        return run
+
+    monkeypatch.setattr(Scratch, "table", counted(table))
+    monkeypatch.setattr(Scratch, "keep", counted(keep))
+    for total in (300.0, 7000.0, 24_000.0):
+        written.clear()
+        got = {(r.k, r.i): r.admitted for r in byte_budget(df, "k", ["i"], "size", max_asset=50.0, max_total=total).collect()}
+        assert got == {(key, i): ok for key, sizes in size.items() for i, ok in enumerate(greedy(sizes, 50.0, total))}
+        if total == 300.0:
+            assert sum(written) < 2 * len(rows)  # a table of all rows, and little more
+
+
 def test_byte_budget_keeps_unknown_sizes_and_keys(spark):
     """A list that lets one item in at a time, NULL sizes and a NULL key; rows out = rows in."""
     rows = [(None, i, s) for i, s in enumerate([5, None, 300, 4])]
