@@ -209,15 +209,24 @@ def _head(rows: DataFrame, n: int | None) -> DataFrame:
     return rows.withColumn("_at", at).where(F.col("_at") <= n).drop("_at")
 
 
-def _after(rows: DataFrame, head: DataFrame, admitted: list[DataFrame]) -> DataFrame:
-    """The rows behind each key's ``head`` that the rest of its budget can
-    hold, with that rest: what is larger than it never fits."""
-    spent = reduce(DataFrame.unionByName, admitted).groupBy("_k").agg(F.sum("_s").alias("_spent"))
+def _after(rows: DataFrame, head: DataFrame, left: DataFrame) -> DataFrame:
+    """The rows behind each key's ``head`` that the rest of its budget,
+    ``left(_k, _end)``, can hold, with that rest: what is larger than it never
+    fits."""
     cut = head.groupBy("_k").agg(F.max("_o").alias("_cut"), F.max("_r").alias("_r"))
-    rest = null_safe(cut, spent, ["_k"], "left").select("_k", "_cut", (F.col("_r") - F.coalesce("_spent", F.lit(0.0))).alias("_r"))
+    rest = null_safe(cut, left, ["_k"], "left").select("_k", "_cut", F.coalesce("_end", "_r").alias("_r"))
     return null_safe(rows.drop("_r"), rest, ["_k"]).where((F.col("_o") > F.col("_cut")) & (F.col("_s") <= F.col("_r"))).drop("_cut")
 
 
+def _left(phase: DataFrame) -> DataFrame:
+    """What a phase leaves of each key's budget: what its event left, or all but its items."""
+    return phase.groupBy("_k").agg(F.coalesce(F.max("_r"), F.max("_was") - F.sum(F.when(F.col("_in"), F.col("_s")).otherwise(0.0))).alias("_end"))
+
+
+def _least(left: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, left).groupBy("_k").agg(F.min("_end").alias("_end"))
+
+
 def _power(r: Column) -> Column:
     """The largest power of two up to ``r`` (0 for none)."""
     power = F.pow(F.lit(2.0), F.floor(F.log2(r)))
@@ -251,39 +260,40 @@ def byte_budget(items: DataFrame, key: str, order: list[str], size_col: str = "s
         admitted = []
         for n in (*HEADS, None):
             head = ranged(_head(todo, n), ["_k"], ["_o"], scratch)
-            fits = _byte_phases(head, scratch)
+            fits, left = _byte_phases(head, scratch)
             admitted += fits
             if n is None:
                 break
-            todo = scratch.table(_after(todo, head, fits))
+            todo = scratch.table(_after(todo, head, left))
             if todo.isEmpty():
                 break
-        chosen = scratch.keep(reduce(DataFrame.unionByName, admitted).drop("_s").withColumn("admitted", F.lit(True)))
+        chosen = scratch.keep(reduce(DataFrame.unionByName, admitted).withColumn("admitted", F.lit(True)))
     j = items.join(chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.struct(*order).eqNullSafe(F.col("_o"))), "left")
     return j.select(*[items[c] for c in items.columns], F.coalesce("admitted", F.lit(False)).alias("admitted"))
 
 
-def _byte_phases(open_: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """The admitted ``(_k, _o, _s)`` of ``ranged`` rows with ``_r`` left, a table a phase."""
-    admitted = []
+def _byte_phases(open_: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """The admitted ``(_k, _o)`` of ``ranged`` rows with ``_r`` left, a table a phase, and what is left of each key's budget."""
+    admitted, ends = [], []
     while True:
         small = F.col("_s") <= F.col("_t")
         c = prefix_over(open_.withColumn("_t", _power(F.col("_r"))), ["_k"], ["_o"], F.when(small, F.col("_s")).otherwise(0.0),
                         "_cum", before="_before")
         left = F.col("_r") - F.when(small, F.col("_cum")).otherwise(F.col("_before") + F.col("_s"))
         event = F.when(small, left < F.col("_t")).otherwise(left >= 0)
-        c = c.select("_k", "_o", "_s", "_pid", small.alias("_small"), event.alias("_event"), left.alias("_left"))
+        c = c.select("_k", "_o", "_s", "_pid", F.col("_r").alias("_was"), small.alias("_small"), event.alias("_event"), left.alias("_left"))
         first = c.where("_event").groupBy("_k").agg(F.min(F.struct("_o", "_left")).alias("_e"))
         j = null_safe(c, first, ["_k"], "left")
         decided = F.col("_e").isNull() | (F.col("_o") <= F.col("_e._o"))
-        j = scratch.table(j.select("_k", "_o", "_s", "_pid", decided.alias("_decided"),
+        j = scratch.table(j.select("_k", "_o", "_s", "_pid", "_was", decided.alias("_decided"),
                                    (decided & (F.col("_small") | (F.col("_o") == F.col("_e._o")))).alias("_in"),
                                    F.col("_e._left").alias("_r")))
-        admitted.append(j.where("_in").select("_k", "_o", "_s"))
+        admitted.append(j.where("_in").select("_k", "_o"))
+        ends.append(_left(j))
         # what is larger than the rest of the budget never fits
         open_ = j.where(~F.col("_decided") & (F.col("_s") <= F.col("_r"))).select("_k", "_o", "_s", "_pid", "_r")
         if open_.isEmpty():
-            return admitted
+            return admitted, _least(ends)
 
 
 def offered_budget(meetings: DataFrame, key: str, item: str, order: list[str], parent: str, size_col: str = "size",
@@ -321,14 +331,14 @@ def offered_budget(meetings: DataFrame, key: str, item: str, order: list[str], p
             sizes = sizes.groupBy("_k", "_i").agg(F.max("_s").alias("_ps")).withColumnRenamed("_i", "_p")
             rows = head.where("_offered").withColumn("_ps", F.lit(None).cast("double")).unionByName(
                 null_safe(waits, sizes, ["_k", "_p"]))
-            fits, closed = _offer_phases(ranged(rows, ["_k"], ["_o"], scratch), scratch)
+            fits, left, closed = _offer_phases(ranged(rows, ["_k"], ["_o"], scratch), scratch)
             admitted += fits
             if n is None:
                 break
-            todo = scratch.table(_still_offered(_after(todo, head, fits), closed))
+            todo = scratch.table(_still_offered(_after(todo, head, left), closed))
             if todo.isEmpty():
                 break
-        chosen = scratch.keep(reduce(DataFrame.unionByName, admitted).drop("_s"))
+        chosen = scratch.keep(reduce(DataFrame.unionByName, admitted))
     return chosen.select(F.col("_k").alias(key), F.col("_i").alias(item), *[F.col(f"_o.{c}").alias(c) for c in order if c not in (key, item)])
 
 
@@ -340,11 +350,12 @@ def _still_offered(rows: DataFrame, closed: DataFrame) -> DataFrame:
         "_offered", F.col("_offered") | F.coalesce("_in", F.lit(False))).drop("_in")
 
 
-def _offer_phases(open_: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
-    """The admitted ``(_k, _i, _o, _s)`` of ``ranged`` meetings with ``_r`` left,
-    a table a phase, and all items that were judged, ``(_k, _i, _in)``."""
+def _offer_phases(open_: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """The admitted ``(_k, _i, _o)`` of ``ranged`` meetings with ``_r`` left, a
+    table a phase, what is left of each key's budget, and all items that were
+    judged, ``(_k, _i, _in)``."""
     keep = ["_k", "_i", "_o", "_s", "_p", "_ps", "_pid", "_offered"]
-    admitted, judged = [], []
+    admitted, ends, judged = [], [], []
     while True:
         x = open_.withColumn("_t", _power(F.col("_r"))).withColumn("_live", F.col("_offered") | (F.col("_ps") <= F.col("_t")))
         firsts = x.where("_live").groupBy("_k", "_i").agg(F.min("_o").alias("_f"))
@@ -355,22 +366,23 @@ def _offer_phases(open_: DataFrame, scratch: Scratch) -> tuple[list[DataFrame],
         c = prefix_over(x, ["_k"], ["_o"], F.when(F.col("_met") & small, F.col("_s")).otherwise(0.0), "_cum", before="_before")
         left = F.col("_r") - F.when(small, F.col("_cum")).otherwise(F.col("_before") + F.col("_s"))
         event = F.col("_met") & F.when(small, left < F.col("_t")).otherwise(left >= 0)
-        c = c.select(*keep, "_met", small.alias("_small"), event.alias("_event"), left.alias("_left"))
+        c = c.select(*keep, "_met", F.col("_r").alias("_was"), small.alias("_small"), event.alias("_event"), left.alias("_left"))
         first = c.where("_event").groupBy("_k").agg(F.min(F.struct("_o", "_left")).alias("_e"))
         j = null_safe(c, first, ["_k"], "left")
         decided = F.col("_met") & (F.col("_e").isNull() | (F.col("_o") <= F.col("_e._o")))
-        j = scratch.table(j.select(*keep, decided.alias("_decided"), F.col("_e._left").alias("_r"), F.coalesce(
+        j = scratch.table(j.select(*keep, "_was", decided.alias("_decided"), F.col("_e._left").alias("_r"), F.coalesce(
             decided & (F.col("_small") | (F.col("_o") == F.col("_e._o"))), F.lit(False)).alias("_in")))
-        admitted.append(j.where("_in").select("_k", "_i", "_o", "_s"))
+        admitted.append(j.where("_in").select("_k", "_i", "_o"))
+        ends.append(_left(j))
         # closed items: judged ones, and those that are larger than the rest of the budget
         rest = j.where(~F.col("_decided") & F.col("_r").isNotNull())
         closed = scratch.table(j.where("_decided").select("_k", "_i", "_in").unionByName(
             rest.where(F.col("_s") > F.col("_r")).select("_k", "_i", F.lit(False).alias("_in"))).groupBy("_k", "_i").agg(
             F.max("_in").alias("_in")))
         judged.append(closed)
-        open_ = scratch.table(_still_offered(rest.drop("_in", "_decided"), closed))
+        open_ = scratch.table(_still_offered(rest.drop("_in", "_decided", "_was"), closed))
         if open_.isEmpty():
-            return admitted, reduce(DataFrame.unionByName, judged).groupBy("_k", "_i").agg(F.max("_in").alias("_in"))
+            return admitted, _least(ends), reduce(DataFrame.unionByName, judged).groupBy("_k", "_i").agg(F.max("_in").alias("_in"))
 
 
 # ---------------------------------------------------------------------------
